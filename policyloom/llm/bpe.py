@@ -1,14 +1,14 @@
 """Byte-level BPE encoding and decoding with a two-tier lookup.
 
 Tier one resolves a whole pre-token that is itself a vocabulary entry by a minimal perfect hash
-(hash and displace), for all pre-tokens of a megabyte of text at once. Tier two merges the misses
+(hash and displace), for all pre-tokens of a run of texts at once. Tier two merges the misses
 with a heap over doubly linked bytes, in rank order and leftmost first. Ids equal those of the rank
 file's own library.
 
 Defined results: a null text encodes as the empty text, which has no ids; rows are never dropped or
 merged, repeated rows give repeated results; other columns pass through, and a column that has the
 name of an output is replaced by it; an empty table gives an empty result of the same schema.
-Texts of any length are handled whole; a text longer than a megabyte is one run of its own.
+Texts of any length are handled whole; a text longer than a run is one of its own.
 """
 
 from __future__ import annotations
@@ -27,10 +27,10 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ..runtime import ship
-from .kernels import U64, _EXACT, mix, span_hashes
+from .kernels import U64, _EXACT, mix, slices, span_hashes
 
-_RUN = 1 << 20
-_CACHE_ENTRIES = 1 << 20
+_RUN = 1 << 18
+_CACHE_ENTRIES = 1 << 19
 #: The characters that \\s matches in the vocabulary's pattern.
 _SPACES = "\t\n\v\f\r \x85\xa0                　"
 _SPACE, _LETTER, _NUMBER, _OTHER, _EDGE = range(5)
@@ -240,7 +240,7 @@ def encode_run(texts: list[str], vocabulary: Vocabulary) -> list[np.ndarray]:
 
 
 def encode_texts(texts: list, vocabulary: Vocabulary):
-    """The ids of each text; a null is the empty text. Texts are encoded together in runs of about a megabyte."""
+    """The ids of each text; a null is the empty text. Texts are encoded together in runs of about a quarter of a megabyte."""
     at = 0
     while at < len(texts):
         end, size = at, 0
@@ -266,24 +266,33 @@ def load(spark: SparkSession, path: str):
     return spark.sparkContext.broadcast(Vocabulary(read_ranks(path)))
 
 
-def encode(docs: DataFrame, ranks_path: str, text: str = "text") -> DataFrame:
-    """Adds token_ids (little-endian unsigned 32-bit integers, packed) and n_tokens."""
+def encode(docs: DataFrame, ranks_path: str, text: str = "text", decoded: bool = False) -> DataFrame:
+    """Adds token_ids (little-endian unsigned 32-bit integers, packed) and n_tokens; with decoded, in the same pass also the bytes that the ids stand for."""
     ship(docs.sparkSession)
     shared = load(docs.sparkSession, ranks_path)
-    schema = _replaced(docs.schema, T.StructField("token_ids", T.BinaryType()), T.StructField("n_tokens", T.LongType()))
-    kept = [f.name for f in schema.fields[:-2]]
+    added = [T.StructField("token_ids", T.BinaryType()), T.StructField("n_tokens", T.LongType())]
+    added += [T.StructField("decoded", T.BinaryType())] if decoded else []
+    schema = _replaced(docs.schema, *added)
+    kept = [f.name for f in schema.fields[: -len(added)]]
     needed = docs.select(*[F.col(f"`{c}`") for c in kept], F.col(f"`{text}`").cast("string").alias("__text"))
 
     def run(batches):
-        for batch in batches:
+        for batch in slices(batches):
             ids = list(encode_texts(batch.column(len(kept)).to_pylist(), shared.value))
             columns = [batch.column(k) for k in range(len(kept))]
             columns += [pa.array([x.astype("<u4").tobytes() for x in ids], pa.binary()), pa.array([len(x) for x in ids], pa.int64())]
-            yield pa.RecordBatch.from_arrays(columns, names=[*kept, "token_ids", "n_tokens"])
+            if decoded:
+                columns.append(pa.array([decode_ids(x, shared.value) for x in ids], pa.binary()))
+            yield pa.RecordBatch.from_arrays(columns, names=[f.name for f in schema.fields])
 
     return needed.mapInArrow(run, schema)
 
 
+def decode_ids(ids: np.ndarray, vocabulary: Vocabulary) -> bytes:
+    """The bytes that ids stand for."""
+    return b"".join(map(vocabulary.tokens.__getitem__, ids.tolist()))
+
+
 def decode(encoded: DataFrame, ranks_path: str, ids: str = "token_ids") -> DataFrame:
     """Adds decoded, the bytes that the packed ids stand for; null ids decode as no bytes."""
     ship(encoded.sparkSession)
@@ -293,9 +302,8 @@ def decode(encoded: DataFrame, ranks_path: str, ids: str = "token_ids") -> DataF
     needed = encoded.select(*[F.col(f"`{c}`") for c in kept], F.col(f"`{ids}`").alias("__ids"))
 
     def run(batches):
-        for batch in batches:
-            token = shared.value.tokens.__getitem__
-            out = [b"".join(map(token, unpack(x or b""))) for x in batch.column(len(kept)).to_pylist()]
+        for batch in slices(batches):
+            out = [decode_ids(np.frombuffer(x or b"", "<u4"), shared.value) for x in batch.column(len(kept)).to_pylist()]
             yield pa.RecordBatch.from_arrays([*[batch.column(k) for k in range(len(kept))], pa.array(out, pa.binary())], names=[*kept, "decoded"])
 
     return needed.mapInArrow(run, schema)

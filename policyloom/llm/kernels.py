@@ -150,3 +150,10 @@ def as_bytes(column) -> list:
 
     kind = pa.large_binary() if pa.types.is_large_string(column.type) else pa.binary()
     return column.cast(kind).to_pylist()
+
+
+def slices(batches, rows: int = 512):
+    """Arrow batches in runs of a few rows, so that a task holds few whole texts as Python objects at once."""
+    for batch in batches:
+        for at in range(0, batch.num_rows, rows):
+            yield batch.slice(at, rows)

@@ -51,9 +51,8 @@ def op9_poisson_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op10_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Ids of every document and what they decode to."""
-    encoded = bpe.encode(_docs(spark, sf_dir).select("doc_id", "text"), ranks_path()).select("doc_id", "n_tokens", "token_ids")
-    decoded = bpe.decode(encoded, ranks_path())
-    return decoded.select("doc_id", "n_tokens", F.sha2("token_ids", 256).alias("ids_sha256"), F.sha2("decoded", 256).alias("decoded_sha256"))
+    encoded = bpe.encode(_docs(spark, sf_dir).select("doc_id", "text"), ranks_path(), decoded=True)
+    return encoded.select("doc_id", "n_tokens", F.sha2("token_ids", 256).alias("ids_sha256"), F.sha2("decoded", 256).alias("decoded_sha256"))
 
 
 QUERIES = {
