@@ -27,8 +27,9 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..runtime import parallelism, ship, stored
+from .bitmaps import collect_bitmap, may_hold
 from .components import components
-from .kernels import U64, as_bytes, batch_shingles, mix
+from .kernels import U64, as_bytes, batch_shingles, mix, slices
 
 _BLOCK = 64
 _LIST = 4096
@@ -50,7 +51,7 @@ def _map(docs: DataFrame, id_col: str, text: str, width: int, schema: str, make,
 
     def run(batches):
         state: dict = {}
-        for batch in batches:
+        for batch in slices(batches):
             ids = batch.column(0).to_pylist()
             for columns in make(state, ids, batch_shingles(as_bytes(batch.column(1)), width)):
                 yield pa.RecordBatch.from_arrays(columns, names=names)
@@ -232,19 +233,13 @@ def _ints(blob: bytes) -> np.ndarray:
 
 def verify(pairs: DataFrame, docs: DataFrame, id_col: str, text: str, width: int, percent: int, bitmap_buckets: int) -> DataFrame:
     """Pairs whose whole sets reach the threshold. Only sets that occur in a pair travel, found by a bitmap of fixed size."""
-    size = bitmap_buckets * 32768
-    bit = F.pmod(F.xxhash64("id"), F.lit(size))
-    needed = pairs.select(F.col("u").alias("id")).union(pairs.select("v")).distinct().select("id", bit.alias("bit"))
-    rows = needed.groupBy(F.bitmap_bucket_number("bit").alias("b")).agg(F.bitmap_construct_agg(F.bitmap_bit_position("bit")).alias("bits")).collect()
-    bits = np.zeros(size // 8, np.uint8)
-    for r in rows:
-        bits[(r.b - 1) * 4096 : r.b * 4096] = np.frombuffer(r.bits, np.uint8)
-    shared = docs.sparkSession.sparkContext.broadcast(bits)
+    needed = pairs.select(F.col("u").alias("id")).union(pairs.select("v")).distinct()
+    shared = docs.sparkSession.sparkContext.broadcast(collect_bitmap(needed, "id", bitmap_buckets))
 
     def make(state, _, sets):
         seen, out = state.setdefault("seen", set()), []
         for s in sets:
-            if len(s) and (i := _key(s)) not in seen:
+            if len(s) and (i := _key(s)) not in seen and may_hold(shared.value, np.array([i]))[0]:
                 seen.add(i)
                 out.append((i, s.tobytes()))
         if out:
@@ -256,7 +251,7 @@ def verify(pairs: DataFrame, docs: DataFrame, id_col: str, text: str, width: int
     both = by_v.join(sets.select(F.col("id").alias("u"), F.col("tokens").alias("left")), "u")
 
     def run(batches):
-        for batch in batches:
+        for batch in slices(batches, 256):
             keep = []
             for a, b in zip(batch.column(2).to_pylist(), batch.column(3).to_pylist()):
                 x, y = np.frombuffer(a, U64), np.frombuffer(b, U64)

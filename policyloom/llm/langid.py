@@ -28,7 +28,7 @@ from pyspark.sql import types as T
 
 from ..runtime import ship
 from .bpe import _replaced
-from .kernels import U64, mix
+from .kernels import U64, mix, slices
 
 _BLOCK = 64
 _PIECE = 1 << 18
@@ -89,7 +89,7 @@ def fit(
     )
 
     def bits_of(batches):
-        for batch in batches:
+        for batch in slices(batches):
             out = []
             for value in batch.column(1).to_pylist():
                 row = np.zeros(bits, np.uint8)
@@ -139,7 +139,7 @@ def identify(docs: DataFrame, model: LanguageModel, text: str = "text") -> DataF
     needed = docs.select(*[F.col(f"`{c}`") for c in kept], F.col(f"`{text}`").cast("string").alias("__text"))
 
     def run(batches):
-        for batch in batches:
+        for batch in slices(batches):
             values, names, scores = batch.column(len(kept)), [], []
             for at in range(0, len(values), _BLOCK):
                 a, b = score_block(values.slice(at, _BLOCK).to_pylist(), shared.value)

@@ -6,8 +6,8 @@ a hash of the seed and the id, so it can be recomputed anywhere and does not dep
 are exploded by their counts, dealt to partitions by a hash of (seed, id, copy) and sorted by it: a global
 shuffle that splits a hot source evenly.
 
-Rates are one row a source: up to max_local_sources of them are made into a local relation, whose size the
-planner knows; beyond that they are joined as a table, with runtime skew handling. Sources are counted with
+Rates are one row a source. Up to max_local_sources of them, counted first, are broadcast (below 20 MB with their
+distributions); beyond that they are joined as a table, with runtime skew handling. Sources are counted with
 map-side combine.
 
 Defined results: a null source is a source of its own; a source without a target gets `default_weight` (None:
@@ -56,7 +56,7 @@ def rates(docs: DataFrame, source: str = "source", weights: dict | None = None,
     weighed = counts.withColumn("w", weight)
     rows = weighed.limit(max_local_sources + 1).collect()
     if len(rows) <= max_local_sources:
-        weighed = docs.sparkSession.createDataFrame([tuple(r) for r in rows], weighed.schema)
+        weighed = F.broadcast(docs.sparkSession.createDataFrame([tuple(r) for r in rows], weighed.schema))
         total_n, total_w = sum(r.n for r in rows), math.fsum(r.w for r in rows)
     else:
         total_n, total_w = weighed.agg(F.sum("n"), F.sum("w")).first()

@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..runtime import table
-from . import bpe, jaccard, langid, linedup, mixing
+from . import bpe, embeddings, fingerprints, jaccard, langid, linedup, mixing, suffixes, toxicity, warc
 
 RANKS = "byte_bpe_multi_50k.tiktoken"
 
@@ -25,12 +25,40 @@ def ranks_path() -> str:
     return public_tokenizers.path(RANKS)
 
 
+def op1_embedding_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Links and components of all vectors of a label with cosine >= 0.98."""
+    return embeddings.near_duplicates(table(spark, sf_dir, "embeddings"))
+
+
+def op2_minhash_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Fingerprints of every text and of its edited text, and their likeness."""
+    return fingerprints.edit_pairs(_docs(spark, sf_dir))
+
+
+def op3_warc_revisits(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All pages written as deduplicated archives and read back."""
+    return warc.round_trip(table(spark, sf_dir, "pages")).select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
+
+
+def op4_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What is left of every text without 50-byte strings of documents with smaller ids."""
+    kept = suffixes.remove_repeats(_docs(spark, sf_dir).select("doc_id", "text")).drop("text")
+    return kept.select("doc_id", "n_bytes", "n_removed", "n_spans", F.sha2("kept", 256).alias("kept_sha256"))
+
+
 def op5_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Documents without lines that an earlier line equals or is one edit away from."""
     kept = linedup.dedupe_lines(_docs(spark, sf_dir).select("doc_id", "text"))
     return kept.select("doc_id", "n_lines", "n_removed", F.sha2(F.coalesce("text", F.lit("")), 256).alias("kept_sha256"))
 
 
+def op6_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Toxicity of every document, learned from labelled ones that are not held out."""
+    docs = _docs(spark, sf_dir).select("doc_id", "text")
+    model = toxicity.fit(docs, table(spark, sf_dir, "labels").where(~toxicity.held_out()).select("doc_id", "toxic"))
+    return toxicity.add_scores(docs, model).select("doc_id", toxicity.held_out().alias("held_out"), "score", "predicted")
+
+
 def op7_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Language of every document, learned from those not held out."""
     docs = _docs(spark, sf_dir)
@@ -56,7 +84,12 @@ def op10_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES = {
+    "op1_embedding_dedup": op1_embedding_dedup,
+    "op2_minhash_fingerprints": op2_minhash_fingerprints,
+    "op3_warc_revisits": op3_warc_revisits,
+    "op4_suffix_dedup": op4_suffix_dedup,
     "op5_line_dedup": op5_line_dedup,
+    "op6_toxicity": op6_toxicity,
     "op7_language_id": op7_language_id,
     "op8_jaccard_join": op8_jaccard_join,
     "op9_poisson_mix": op9_poisson_mix,
@@ -64,6 +97,20 @@ QUERIES = {
 }
 
 ORACLE_SQL = {
+    # Base32 takes 20 bits of the digest at a time; its digits are those of base 32 by another alphabet.
+    "op3_warc_revisits": """
+WITH p AS (SELECT page_id, coalesce(html, '') AS body, sha1(coalesce(html, '')) AS h FROM pages),
+d AS (SELECT page_id, body, octet_length(encode(body)) AS payload_bytes, translate(
+        to_base(('0x' || substr(h, 1, 5))::BIGINT, 32, 4) || to_base(('0x' || substr(h, 6, 5))::BIGINT, 32, 4) ||
+        to_base(('0x' || substr(h, 11, 5))::BIGINT, 32, 4) || to_base(('0x' || substr(h, 16, 5))::BIGINT, 32, 4) ||
+        to_base(('0x' || substr(h, 21, 5))::BIGINT, 32, 4) || to_base(('0x' || substr(h, 26, 5))::BIGINT, 32, 4) ||
+        to_base(('0x' || substr(h, 31, 5))::BIGINT, 32, 4) || to_base(('0x' || substr(h, 36, 5))::BIGINT, 32, 4),
+        '0123456789ABCDEFGHIJKLMNOPQRSTUV', 'ABCDEFGHIJKLMNOPQRSTUVWXYZ234567') AS payload_digest FROM p),
+g AS (SELECT body, max(page_id) AS response FROM d GROUP BY body)
+SELECT d.page_id, d.payload_bytes, d.payload_digest, CASE WHEN g.response = d.page_id THEN 'response' ELSE 'revisit' END AS record_type,
+       CASE WHEN g.response <> d.page_id THEN g.response END AS refers_to
+FROM d JOIN g ON d.body = g.body
+""",
     # The root of a source's row count is its weight; a copy count is how much of the Poisson distribution lies at or below the draw.
     "op9_poisson_mix": """
 WITH s AS (SELECT source, count(*) AS n FROM documents GROUP BY source),
