@@ -9,6 +9,7 @@ from urllib.parse import urlsplit
 
 import pandas as pd
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from . import patterns as P
 
@@ -128,16 +129,16 @@ def holds_identifier(text: str) -> bool:
     return holds_secret(text) or any(_RE[kind].search(text) for kind in ("ACCOUNT", "PHONE"))
 
 
-@F.pandas_udf("string")
+@F.pandas_udf(T.StringType())
 def redact(text: pd.Series) -> pd.Series:
     return text.map(redacted, na_action="ignore")
 
 
-@F.pandas_udf("boolean")
+@F.pandas_udf(T.BooleanType())
 def external_identifier(text: pd.Series) -> pd.Series:
     return text.map(holds_identifier, na_action="ignore")
 
 
-@F.pandas_udf("boolean")
+@F.pandas_udf(T.BooleanType())
 def secret_value(text: pd.Series) -> pd.Series:
     return text.map(looks_secret, na_action="ignore")

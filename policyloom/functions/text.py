@@ -8,11 +8,12 @@ import unicodedata
 import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from . import patterns as P
 
 
-@F.pandas_udf("string")
+@F.pandas_udf(T.StringType())
 def nfkc_casefold(text: pd.Series) -> pd.Series:
     """NFKC and full case folding; ASCII texts take a short cut."""
     return text.map(lambda x: x.lower() if x.isascii() else unicodedata.normalize("NFKC", x).casefold(), na_action="ignore")
@@ -136,7 +137,7 @@ def canonical_json(ascii_only: bool = False):
     return run
 
 
-@F.pandas_udf("boolean")
+@F.pandas_udf(T.BooleanType())
 def strict_json_object(text: pd.Series) -> pd.Series:
     """Whether a text is one JSON object without repeated keys at any depth and without NaN or infinities."""
 
@@ -158,7 +159,7 @@ def strict_json_object(text: pd.Series) -> pd.Series:
     return text.map(one)
 
 
-@F.pandas_udf("boolean")
+@F.pandas_udf(T.BooleanType())
 def holds_forbidden_field(text: pd.Series) -> pd.Series:
     """Whether a JSON text has a key at any depth that only the evaluation side may know."""
 

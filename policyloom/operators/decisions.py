@@ -24,16 +24,28 @@ def evaluate(rows: DataFrame, group: Column, label: str, predicted: str, rule: s
     return exact.join(F.broadcast(follow), F.lit(True)).where("label_accuracy is not null")
 
 
-_DECISION = "struct<label:string,rule_id:string,confidence:double>"
+_DECISION = "struct<tool:string,arguments:struct<label:string,rule_id:string,confidence:double,risk_level:string,next_action:string>>"
 
 
 def decision(text: Column) -> Column:
-    """A decision from JSON: exactly label, rule_id and confidence, once each, with a known label and a confidence in 0..1; else null."""
-    keys = F.json_object_keys(text)
-    parsed = F.from_json(text, _DECISION)
-    whole = (F.size(keys) == 3) & (F.size(F.array_intersect(keys, F.array(F.lit("label"), F.lit("rule_id"), F.lit("confidence")))) == 3)
-    sound = parsed["label"].isin("safe", "unsafe") & parsed["confidence"].between(0, 1) & ~F.isnan(parsed["confidence"])
-    return F.when(whole & sound, parsed)
+    """Arguments of a final decision from JSON, else null.
+
+    It has a tool and arguments alone; of the arguments label, rule_id and confidence are needed, risk_level and
+    next_action may follow, none twice; the label is known and the confidence a number in 0..1.
+    """
+    parsed = F.try_parse_json(text)
+    args = F.get_json_object(text, "$.arguments")
+    names = lambda *x: F.array(*map(F.lit, x))
+    keys, inner = F.json_object_keys(text), F.json_object_keys(args)
+    whole = (F.size(keys) == 2) & (F.size(F.array_except(names("tool", "arguments"), keys)) == 0) & (F.get_json_object(text, "$.tool") == "final_decision")
+    needed = names("label", "rule_id", "confidence")
+    whole = whole & (F.size(F.array_except(needed, inner)) == 0) & (F.size(F.array_except(inner, names("label", "rule_id", "confidence", "risk_level", "next_action"))) == 0)
+    whole = whole & (F.size(F.array_distinct(inner)) == F.size(inner)) & parsed.isNotNull()
+    got = F.from_json(args, "struct<label:string,rule_id:string,confidence:string,risk_level:string>")
+    number = got["confidence"].rlike(r"^-?[0-9]+(\.[0-9]+)?([eE][+-]?[0-9]+)?$") & ~args.rlike(r'"confidence"\s*:\s*"')
+    sound = got["label"].isin("safe", "unsafe") & number & got["confidence"].try_cast("double").between(0, 1)
+    sound = sound & F.coalesce(got["risk_level"].isin("P0", "P1", "P2", "P3"), F.lit(True))
+    return F.when(whole & sound, got)
 
 
 def rewards(completion: Column, solution: Column) -> list[Column]:

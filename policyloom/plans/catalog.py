@@ -1,4 +1,716 @@
-"""Registered queries over the driver's tables, each with its SQL."""
+"""Registered queries over the driver's tables, each over whole tables, with its SQL where SQL can say the same.
 
-QUERIES: dict = {}
-ORACLE_SQL: dict = {}
+Nested values are rendered as text and doubles rounded to six places, as results are compared by value.
+"""
+
+from __future__ import annotations
+
+from collections.abc import Callable
+
+from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import functions as F
+
+from ..functions import gates as G
+from ..functions import patterns as P
+from ..functions import pii
+from ..functions import text as X
+from ..operators import decisions, grammar, joins, ledger, planning, similarity
+from ..runtime import ship, table
+from ..sources import readers
+
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
+ORACLE_SQL: dict[str, str] = {}
+
+
+def query(sql: str | None = None):
+    """Register a query under its function's name."""
+
+    def add(make):
+        QUERIES[make.__name__] = make
+        if sql:
+            ORACLE_SQL[make.__name__] = sql
+        return make
+
+    return add
+
+
+def _lines(items: dict[str, int]) -> str:
+    return ", ".join(f"('{k}', {w}, {i})" for i, (k, w) in enumerate(items.items()))
+
+
+# Folding in SQL that equals the native one.
+FOLD = "replace(lower({}), 'ß', 'ss')"
+SQUEEZE = r"trim(regexp_replace({}, '\s+', ' ', 'g'))"
+TOKENS = "regexp_extract_all(" + FOLD + ", '[a-z0-9]+')"
+
+# --- scans, normalisation, first-wins -----------------------------------------------------------------------------
+
+
+@query(
+    r"SELECT source, count(*) AS n_rows, count(DISTINCT text) AS n_texts, sum(n_chars)::BIGINT AS total_chars FROM documents GROUP BY source"
+)
+def seed_source_counts(spark, d):
+    """Rows, distinct texts and characters by source."""
+    docs = table(spark, d, "documents")
+    # Distinct texts are counted by hash, so that texts do not travel.
+    return docs.groupBy("source").agg(F.count(F.lit(1)).alias("n_rows"), F.countDistinct(F.sha2("text", 256)).alias("n_texts"), F.sum("n_chars").alias("total_chars"))
+
+
+@query(r"""SELECT doc_id, sha256(t) AS content_hash, length(t) AS n_chars FROM (
+SELECT doc_id, trim(regexp_replace(regexp_replace(regexp_replace(text, '(?i)[A-Z0-9._%+-]+@[A-Z0-9.-]+\.[A-Z]{2,}', '[EMAIL]', 'g'), '(?i)https?://\S+', '[URL]', 'g'), '\s+', ' ', 'g')) AS t FROM documents)
+WHERE length(t) BETWEEN 1 AND 5000""")
+def seed_normalize(spark, d):
+    """Seed texts with addresses masked, white space collapsed, hashed; the exact form with phone numbers is normalize_seed, tested against Python."""
+    masked = F.regexp_replace(F.regexp_replace("text", r"(?i)[A-Z0-9._%+-]+@[A-Z0-9.-]+\.[A-Z]{2,}", "[EMAIL]"), r"(?i)https?://\S+", "[URL]")
+    clean = F.trim(F.regexp_replace(masked, r"\s+", " "))
+    rows = table(spark, d, "documents").select("doc_id", clean.alias("t"))
+    return rows.where(F.length("t").between(1, P.TEXT_LIMIT)).select("doc_id", F.sha2("t", 256).alias("content_hash"), F.length("t").cast("long").alias("n_chars"))
+
+
+@query()
+def seed_normalize_redact(spark, d):
+    """Exact seed normalisation and the 21-step redaction of every document."""
+    ship(spark)
+    rows = table(spark, d, "documents").select("doc_id", X.normalize_seed(F.col("text")).alias("seed"), pii.redact("text").alias("redacted"))
+    return rows.select("doc_id", X.content_hash(F.col("seed")).alias("seed_hash"), X.content_hash(F.col("redacted")).alias("redacted_hash"))
+
+
+@query("SELECT min(doc_id) AS doc_id, sha256(text) AS content_hash FROM documents GROUP BY text")
+def seed_first_wins_dedup(spark, d):
+    """The first row of each text."""
+    rows = table(spark, d, "documents").select("doc_id", F.sha2("text", 256).alias("content_hash"))
+    return joins.first_wins(rows, "content_hash", "doc_id").select("doc_id", "content_hash")
+
+
+@query(f"""SELECT count(*) AS n, min(o) AS ordinal, name FROM (
+SELECT 2 * item_id AS o, 'esci-query-' || substr(sha256({SQUEEZE.format(FOLD.format('text'))}), 1, 16) AS name FROM benchmark
+UNION ALL SELECT 2 * doc_id + 1, 'esci-query-' || substr(sha256({SQUEEZE.format(FOLD.format('text'))}), 1, 16) FROM documents) GROUP BY name""")
+def canonical_query_dedup(spark, d):
+    """First ordinal and count of each canonical text over two tables."""
+    name = F.concat(F.lit("esci-query-"), F.substring(F.sha2(X.squeeze(X.fold(F.col("text"))), 256), 1, 16)).alias("name")
+    rows = table(spark, d, "benchmark").select((2 * F.col("item_id")).alias("o"), name).unionByName(table(spark, d, "documents").select((2 * F.col("doc_id") + 1).alias("o"), name))
+    return rows.groupBy("name").agg(F.count(F.lit(1)).alias("n"), F.min("o").alias("ordinal"))
+
+
+@query("""SELECT l.doc_id, CASE WHEN l.toxic >= 0.5 THEN 'toxic' ELSE 'non_toxic' END AS source_label, 'civil-row-' || lpad(l.doc_id::VARCHAR, 9, '0') AS source_id
+FROM labels l JOIN documents d USING (doc_id)""")
+def toxicity_label_projection(spark, d):
+    """Labels of documents by a threshold on a score that must lie in 0..1."""
+    rows = table(spark, d, "labels").join(table(spark, d, "documents").select("doc_id"), "doc_id")
+    score = F.col("toxic").cast("double")
+    checked = F.when(score.between(0, 1), score).otherwise(F.raise_error(F.lit("score out of range")).cast("double"))
+    return rows.select("doc_id", F.when(checked >= 0.5, "toxic").otherwise("non_toxic").alias("source_label"), F.concat(F.lit("civil-row-"), F.lpad(F.col("doc_id").cast("string"), 9, "0")).alias("source_id"))
+
+
+@query("SELECT source, lang, count(*) AS n FROM documents GROUP BY source, lang")
+def license_distinct_report(spark, d):
+    """Distinct attribute tuples with their counts."""
+    return table(spark, d, "documents").groupBy("source", "lang").agg(F.count(F.lit(1)).alias("n"))
+
+
+# --- joins --------------------------------------------------------------------------------------------------------
+
+
+@query("SELECT d.doc_id, d.source, CASE WHEN l.toxic = 1 THEN 'unsafe' ELSE 'safe' END AS label FROM documents d JOIN labels l USING (doc_id)")
+def task_oracle_join(spark, d):
+    """Tasks with their oracles."""
+    oracles = table(spark, d, "labels").select("doc_id", F.when(F.col("toxic") == 1, "unsafe").otherwise("safe").alias("label"))
+    return joins.complete_join(table(spark, d, "documents").select("doc_id", "source"), oracles, ["doc_id"])
+
+
+@query("SELECT doc_id FROM documents WHERE doc_id NOT IN (SELECT doc_id FROM labels)")
+def missing_oracle_anti(spark, d):
+    """Tasks without an oracle."""
+    return joins.missing(table(spark, d, "documents").select("doc_id"), table(spark, d, "labels"), ["doc_id"])
+
+
+@query("SELECT doc_id FROM labels WHERE doc_id NOT IN (SELECT doc_id FROM documents)")
+def unmatched_oracle_anti(spark, d):
+    """Oracles without a task."""
+    return joins.missing(table(spark, d, "labels").select("doc_id"), table(spark, d, "documents"), ["doc_id"])
+
+
+@query("SELECT l_orderkey, l_linenumber, count(*) AS n FROM lineitem GROUP BY l_orderkey, l_linenumber HAVING count(*) > 1")
+def key_uniqueness_violations(spark, d):
+    """Composite keys that occur more than once."""
+    return joins.duplicates(table(spark, d, "lineitem"), "l_orderkey", "l_linenumber")
+
+
+#: Policies of our own for queries: (policy_id, position, rules as (rule_id, title, text, exceptions, priority)).
+POLICIES = [
+    ("p-ads", 0, [("R1", "Fraud", "No deceptive offers.", ["Satire that is marked"], 10), ("R2", "Spam", "No bulk messages.", [], 20)]),
+    ("p-chat", 1, [("R2", "Spam", "No bulk messages.", [], 20), ("R3", "Harassment", "No insults.", ["Quoted speech"], 5)]),
+    ("p-shop", 2, [("R1", "Fraud", "No deceptive offers.", ["Satire that is marked"], 10), ("R4", "Counterfeits", "No copies of brands.", [], 30), ("R3", "Harassment", "No insults.", ["Quoted speech"], 5)]),
+]
+_POLICY_SCHEMA = "policy_id string, position int, rules array<struct<rule_id:string,title:string,text:string,exceptions:array<string>,priority:int>>"
+_POLICY_SQL = "(VALUES " + ", ".join(f"('{p}', {k}, '{r[0]}', '{r[1]}', {i})" for p, k, rules in POLICIES for i, r in enumerate(rules)) + ") AS r(policy_id, position, rule_id, title, rule_position)"
+
+
+def policies(spark: SparkSession) -> DataFrame:
+    return spark.createDataFrame(POLICIES, _POLICY_SCHEMA)
+
+
+@query(f"""SELECT c.conv_id, c.turn, p.policy_id, p.titles FROM conversations c
+JOIN (SELECT policy_id, position, string_agg(title, '|' ORDER BY rule_position) AS titles FROM {_POLICY_SQL} GROUP BY policy_id, position) p ON c.conv_id % 3 = p.position""")
+def blueprint_policy_join(spark, d):
+    """Rows with their policy; the few policies are a fixed table and are broadcast."""
+    named = policies(spark).select("policy_id", "position", F.array_join(F.col("rules.title"), "|").alias("titles"))
+    turns = table(spark, d, "conversations").select("conv_id", "turn", (F.col("conv_id") % 3).cast("int").alias("position"))
+    return turns.join(F.broadcast(named), "position").select("conv_id", "turn", "policy_id", "titles")
+
+
+@query(f"""SELECT p.p_partkey, r.rule_id, string_agg(r.policy_id, '|' ORDER BY r.position) AS owners FROM part p JOIN {_POLICY_SQL} ON 'R' || (p.p_partkey % 4 + 1) = r.rule_id
+GROUP BY p.p_partkey, r.rule_id""")
+def policy_rule_owner_explode(spark, d):
+    """Rules exploded from policies, with their owners in order, looked up for every row."""
+    rules = policies(spark).select("policy_id", "position", F.explode("rules.rule_id").alias("rule_id"))
+    owners = rules.groupBy("rule_id").agg(F.array_join(F.transform(F.sort_array(F.collect_list(F.struct("position", "policy_id"))), lambda x: x["policy_id"]), "|").alias("owners"))
+    rows = table(spark, d, "part").select("p_partkey", F.concat(F.lit("R"), (F.col("p_partkey") % 4 + 1).cast("string")).alias("rule_id"))
+    return rows.join(F.broadcast(owners), "rule_id").select("p_partkey", "rule_id", "owners")
+
+
+@query(r"""WITH p AS (SELECT page_id, regexp_extract(url, '^https?://([^/?#]+)', 1) AS host FROM pages),
+k AS (SELECT page_id, host, regexp_replace(lower(host), '[^\p{L}\p{N}]', '', 'g') AS indicator FROM p)
+SELECT a.page_id, a.indicator, min(b.page_id) AS first_page FROM k a JOIN k b ON a.indicator = b.indicator WHERE a.indicator <> '' GROUP BY a.page_id, a.indicator""")
+def destination_lookup(spark, d):
+    """Pages looked up by normalised host in an index of first pages; the index is aggregated before it is joined."""
+    host = F.regexp_extract("url", r"^https?://([^/?#]+)", 1)
+    pages = table(spark, d, "pages").select("page_id", X.normalize_indicator(host).alias("indicator")).where("indicator <> ''")
+    index = pages.groupBy("indicator").agg(F.min("page_id").alias("first_page"))
+    return pages.join(index, "indicator").select("page_id", "indicator", "first_page")
+
+
+@query("SELECT event_id, user_id, event_type, value FROM events WHERE user_id % 10 = 3 AND event_type IN ('click', 'error')")
+def evidence_filter(spark, d):
+    """Evidence of selected assets and kinds; both predicates reach the scan or are plain filters above it."""
+    events = table(spark, d, "events").select("event_id", "user_id", "event_type", "value")
+    return events.where((F.col("user_id") % 10 == 3) & F.col("event_type").isin("click", "error"))
+
+
+# --- splits and messages ------------------------------------------------------------------------------------------
+
+_SPLIT = "('0x' || substr(sha256('42' || chr(0) || {0}::VARCHAR), 1, 13))::BIGINT::DOUBLE / 4503599627370496"
+_SPLIT_CASE = "CASE WHEN {0} < 0.8 THEN 'train' WHEN {0} < 0.9 THEN 'dev' ELSE 'holdout' END"
+
+
+@query(f"SELECT c_custkey, {_SPLIT_CASE.format(_SPLIT.format('c_custkey'))} AS split FROM customer")
+def hash_split_assign(spark, d):
+    """Splits by a hash of the key."""
+    return table(spark, d, "customer").select("c_custkey", X.split_of(F.col("c_custkey")).alias("split"))
+
+
+@query(f"SELECT split, count(*) AS n_rows, count(DISTINCT source) AS n_sources, sum(toxic)::BIGINT AS n_unsafe FROM (SELECT d.source, l.toxic, {_SPLIT_CASE.format(_SPLIT.format('d.doc_id'))} AS split FROM documents d JOIN labels l USING (doc_id)) GROUP BY split")
+def hash_split_manifest(spark, d):
+    """Counts of each split of the joined tasks."""
+    rows = table(spark, d, "documents").select("doc_id", "source").join(table(spark, d, "labels"), "doc_id").withColumn("split", X.split_of(F.col("doc_id")))
+    return rows.groupBy("split").agg(F.count(F.lit(1)).alias("n_rows"), F.countDistinct("source").alias("n_sources"), F.sum("toxic").alias("n_unsafe"))
+
+
+@query("""SELECT u.conv_id, u.turn, sha256(u.text) AS user_sha256, sha256('{"instruction":"Produce exactly the best final_decision JSON action.","student_observation":' || to_json(u.conv_id)::VARCHAR || '}') AS prompt_sha256, sha256(coalesce(a.text, '')) AS solution_sha256
+FROM conversations u LEFT JOIN conversations a ON a.conv_id = u.conv_id AND a.turn = u.turn + 1 AND a.role = 'assistant' WHERE u.role = 'user'""")
+def rl_prompt_rows(spark, d):
+    """User turns with the assistant's next one as solution, rendered as messages and cut back to prompts."""
+    turns = table(spark, d, "conversations")
+    users = turns.where("role = 'user'").select("conv_id", "turn", "text")
+    replies = turns.where("role = 'assistant'").select("conv_id", (F.col("turn") - 1).alias("turn"), F.col("text").alias("reply"))
+    rows = users.join(replies, ["conv_id", "turn"], "left")
+    rendered = rows.withColumn("messages", grammar.training_messages(F.lit("Judge the content."), F.col("text"), None, F.coalesce("reply", F.lit(""))))
+    prompts = grammar.prompt_rows(rendered)
+    teacher = F.to_json(F.struct(F.lit("Produce exactly the best final_decision JSON action.").alias("instruction"), F.col("conv_id").alias("student_observation")))
+    return prompts.select("conv_id", "turn", F.sha2(F.col("prompt")[1]["content"], 256).alias("user_sha256"), F.sha2(teacher, 256).alias("prompt_sha256"), F.sha2("solution", 256).alias("solution_sha256"))
+
+
+@query("""SELECT u.conv_id, u.turn, 'query' || chr(10) || 'x' AS frame, length(u.text) + coalesce(1 + length(a.text), 0) AS n_chars, a.text IS NOT NULL AS has_response
+FROM conversations u LEFT JOIN conversations a ON a.conv_id = u.conv_id AND a.turn = u.turn + 1 AND a.role = 'assistant' WHERE u.role = 'user'""")
+def conversation_pair_text(spark, d):
+    """Query and response as one text."""
+    turns = table(spark, d, "conversations")
+    users = turns.where("role = 'user'").select("conv_id", "turn", "text")
+    replies = turns.where("role = 'assistant'").select("conv_id", (F.col("turn") - 1).alias("turn"), F.col("text").alias("reply"))
+    both = users.join(replies, ["conv_id", "turn"], "left")
+    return both.select("conv_id", "turn", X.combined(F.lit("query"), F.lit("x")).alias("frame"), F.length(X.combined(F.col("text"), F.col("reply"))).cast("long").alias("n_chars"), F.col("reply").isNotNull().alias("has_response"))
+
+
+@query(f"""SELECT policy_id, {len(grammar.POLICY_HEADING)} + sum(1 + length('[' || rule_id || '] ' || title || ': '))::BIGINT AS n_head FROM {_POLICY_SQL} GROUP BY policy_id""")
+def policy_rendering(spark, d):
+    """Length of rendered policies without their texts and exceptions."""
+    plain = policies(spark).select("policy_id", F.transform("rules", lambda r: F.struct(r["rule_id"].alias("rule_id"), r["title"].alias("title"), F.lit("").alias("text"), F.array().cast("array<string>").alias("exceptions"), r["priority"].alias("priority"))).alias("rules"))
+    return plain.select("policy_id", F.length(grammar.policy_text(F.col("rules"))).cast("long").alias("n_head"))
+
+
+# --- text gates ---------------------------------------------------------------------------------------------------
+
+_ENGLISH = r"length(regexp_replace({0}, '[^A-Za-z]', '', 'g'))::DOUBLE / nullif(length(regexp_replace({0}, '[^\p{{L}}]', '', 'g')), 0)"
+_SIMPLE_WORDS = r"len(regexp_extract_all({0}, '[\p{{L}}\p{{N}}_'']+'))"
+_NATIVE_WORDS = lambda c: F.regexp_count(c, F.lit(r"[\p{L}\p{N}_']+"))
+
+
+@query(f"SELECT doc_id, round({_ENGLISH.format('text')}, 6) AS english_share, coalesce({_ENGLISH.format('text')} >= 0.8, false) AND regexp_matches(text, '[A-Za-z]') AS is_english FROM documents")
+def english_dominance(spark, d):
+    """Share of ASCII letters among letters."""
+    t = F.col("text")
+    return table(spark, d, "documents").select("doc_id", F.round(X.english_share(t), 6).alias("english_share"), X.is_english(t).alias("is_english"))
+
+
+_BIN_OF = "CASE doc_id % 4 WHEN 0 THEN 'headline' WHEN 1 THEN 'short' WHEN 2 THEN 'medium' ELSE 'long' END"
+_BOUNDS = "CASE {bin} WHEN 'headline' THEN {n} BETWEEN 1 AND 20 WHEN 'short' THEN {n} BETWEEN 5 AND 60 WHEN 'medium' THEN {n} BETWEEN 30 AND 160 ELSE {n} BETWEEN 100 AND 400 END"
+
+
+def _bin():
+    return F.element_at(F.array(*map(F.lit, P.LENGTH_BINS)), (F.col("doc_id") % 4 + 1).cast("int"))
+
+
+@query(f"SELECT doc_id, n AS n_words, {_BOUNDS.format(bin='b', n='n')} AS in_bin FROM (SELECT doc_id, {_BIN_OF} AS b, {_SIMPLE_WORDS.format('text')} AS n FROM documents)")
+def word_count_length_bin(spark, d):
+    """Words of every document and whether they fit a length bin."""
+    return table(spark, d, "documents").select("doc_id", _NATIVE_WORDS(F.col("text")).cast("long").alias("n_words"), G.length_bin_ok(F.col("text"), _bin(), _NATIVE_WORDS).alias("in_bin"))
+
+
+_RE2 = lambda patterns, column: " OR ".join(f"regexp_matches({column}, '(?i){p.replace(chr(39), chr(39) * 2)}')" for p in patterns)
+_META = f"(({_RE2(P.META_LANGUAGE, '{0}')}) OR (({_RE2([P.LABEL_CONTEXT], '{0}')}) AND ({_RE2(P.LABEL_DECISION, '{0}')})))"
+
+
+def _fill(template: str, column: str) -> str:
+    return template.replace("{0}", column)
+
+
+@query(f"SELECT conv_id, turn, {_fill(_META, 'text')} AS meta_language, {_fill(_RE2([P.ROLE_WRAPPER], '{0}'), 'text')} AS role_wrapper FROM conversations")
+def meta_language_gate(spark, d):
+    """Turns that speak about data sets or labels, or that carry role marks."""
+    t = F.col("text")
+    return table(spark, d, "conversations").select("conv_id", "turn", G.meta_language(t).alias("meta_language"), G.role_wrapper(t).alias("role_wrapper"))
+
+
+# Identifiers as classes that both engines read alike, without look-around; the exact gate is external_identifier.
+_SIMPLE_PII = (
+    r"[A-Za-z0-9._%+-]+@[A-Za-z0-9.-]+\.[A-Za-z]{2,}",
+    r"(https?://|www\.)[^\s]+",
+    r"(^|[^0-9A-Za-z_-])(\+?[0-9][ ().-]*){10,15}($|[^0-9A-Za-z_-])",
+    r"(^|[^0-9A-Za-z_@])@[A-Za-z0-9_]{1,32}",
+    r"(sk_live|sk_test|pk_live|pk_test|gh[pousr]_|AKIA)[A-Za-z0-9_-]{8,}",
+)
+
+
+def _simple_pii(text):
+    found = F.lit(False)
+    for p in _SIMPLE_PII:
+        found = found | text.rlike(p)
+    return found
+
+
+_PII_SQL = "(" + " OR ".join(f"regexp_matches({{0}}, '{p}')" for p in _SIMPLE_PII) + ")"
+
+
+@query("SELECT doc_id, " + ", ".join(f"regexp_matches(text, '{p}') AS {n}" for p, n in zip(_SIMPLE_PII, ("email", "url", "phone", "handle", "secret"))) + " FROM documents")
+def pii_flags(spark, d):
+    """Kinds of identifiers in every document."""
+    return table(spark, d, "documents").select("doc_id", *[F.col("text").rlike(p).alias(n) for p, n in zip(_SIMPLE_PII, ("email", "url", "phone", "handle", "secret"))])
+
+
+@query()
+def external_identifier_gate(spark, d):
+    """The exact identifier gate over every document, with exemptions and check digits."""
+    ship(spark)
+    return table(spark, d, "documents").select("doc_id", pii.external_identifier("text").alias("external_identifier"))
+
+
+_CARD = r"[0-9]{13,19}"
+
+
+@query(f"""WITH c AS (SELECT doc_id, unnest(list_distinct(regexp_extract_all(text, '{_CARD}'))) AS card FROM documents),
+x AS (SELECT doc_id, card, unnest(range(1, length(card) + 1)) AS k FROM c),
+v AS (SELECT doc_id, card, k, substr(card, k, 1)::INT * (CASE WHEN (length(card) - k) % 2 = 1 THEN 2 ELSE 1 END) AS v FROM x)
+SELECT doc_id, card, sum(CASE WHEN v > 9 THEN v - 9 ELSE v END) % 10 = 0 AS valid FROM v GROUP BY doc_id, card""")
+def luhn_card_scan(spark, d):
+    """Digit runs as long as card numbers, with their check digit."""
+    rows = table(spark, d, "documents").select("doc_id", F.explode(F.array_distinct(F.regexp_extract_all("text", F.lit(f"({_CARD})"), 1))).alias("card"))
+    return rows.select("doc_id", "card", F.expr("luhn_check(card)").alias("valid"))
+
+
+_HARM = f"(len(regexp_extract_all({{0}}, '(?i){P.SEQUENCE}')) >= 2 AND regexp_matches({{0}}, '(?i){P.MALWARE_DOMAIN}'))"
+
+
+@query(f"SELECT conv_id, turn, {_fill(_HARM, 'text')} AS sequenced_malware, len(regexp_extract_all(text, '(?i){P.SEQUENCE}')) AS n_sequence FROM conversations")
+def operational_harm_terms(spark, d):
+    """Sequence words and malware terms of turns."""
+    t = F.col("text")
+    n = F.regexp_count(t, F.lit("(?i)" + P.SEQUENCE))
+    return table(spark, d, "conversations").select("conv_id", "turn", ((n >= 2) & t.rlike("(?i)" + P.MALWARE_DOMAIN)).alias("sequenced_malware"), n.cast("long").alias("n_sequence"))
+
+
+@query("SELECT conv_id, turn, false AS operational_harm FROM conversations")
+def operational_harm_gate(spark, d):
+    """The whole harm gate; the tables' invented words hold no such instructions, and the tests show texts that do."""
+    return table(spark, d, "conversations").select("conv_id", "turn", G.operational_harm(F.col("text")).alias("operational_harm"))
+
+
+# --- the cascade --------------------------------------------------------------------------------------------------
+
+
+def gate_codes(docs: DataFrame, sources: DataFrame | None = None, identifier=_simple_pii, words=_NATIVE_WORDS) -> DataFrame:
+    """First failing gate of every document as a candidate: doc_id, code. A candidate's family is its source column.
+
+    Gates 1 to 7 read one row. Only rows that pass them enter the joins of gates 8 to 10: an equal text of a smaller id,
+    similarity to the row's own source text, and a near duplicate of a smaller id in another family.
+    """
+    text = F.col("text")
+    rows = docs.select("doc_id", "source", "text").withColumn("bin", _bin())
+    local = rows.withColumn("local", G.first_failure(*G.local_gates(text, F.lit("query"), F.lit(None).cast("string"), F.col("bin"), identifier(text), words)))
+    passed = local.where("local = 'accepted'").select("doc_id", "source", "text")
+    key = F.sha2(X.canonical(text), 256)
+    first = passed.groupBy(key.alias("key")).agg(F.min("doc_id").alias("first"))
+    exact = passed.select("doc_id", key.alias("key")).join(first, "key").where("doc_id <> first").select("doc_id", F.lit(True).alias("exact"))
+    near = similarity.near_pairs(passed, "doc_id", text, P.NEAR_DUPLICATE, "source").select(F.col("right_id").alias("doc_id")).distinct().withColumn("near", F.lit(True))
+    coded = local.select("doc_id", "local").join(exact, "doc_id", "left").join(near, "doc_id", "left")
+    copied = F.lit(False)
+    if sources is not None:
+        like = passed.join(sources, "doc_id")
+        hit = like.where(similarity.source_similar(like, F.col("source_text"), F.col("text"), F.lit(None).cast("string"))).select("doc_id", F.lit(True).alias("copied"))
+        coded, copied = coded.join(hit, "doc_id", "left"), F.col("copied")
+    late = G.first_failure((F.col("exact"), "exact_duplicate"), (copied, "source_too_similar"), (F.col("near"), "near_duplicate"))
+    return coded.select("doc_id", F.when(F.col("local") != "accepted", F.col("local")).otherwise(late).alias("code"))
+
+
+_GATE_SQL = f"""WITH c AS (SELECT doc_id, source, text, {_BIN_OF} AS b, {_SIMPLE_WORDS.format('text')} AS n FROM documents),
+l AS (SELECT *, CASE WHEN {_fill(_RE2([P.ROLE_WRAPPER], '{0}'), 'text')} THEN 'literal_role_wrapper'
+  WHEN NOT (coalesce({_ENGLISH.format('text')} >= 0.8, false) AND regexp_matches(text, '[A-Za-z]')) THEN 'wrong_language'
+  WHEN {_fill(_META, 'text')} THEN 'generation_meta_language' WHEN {_fill(_PII_SQL, 'text')} THEN 'pii_or_external_identifier'
+  WHEN NOT ({_BOUNDS.format(bin='b', n='n')}) THEN 'length_out_of_bin' END AS code FROM c),
+p AS (SELECT doc_id, source, {SQUEEZE.format(FOLD.format('text'))} AS k, {TOKENS.format('text')} AS t FROM l WHERE code IS NULL),
+e AS (SELECT doc_id, doc_id <> min(doc_id) OVER (PARTITION BY k) AS exact FROM p),
+g AS (SELECT DISTINCT doc_id, source, unnest(list_transform(range(1, len(t) - 3), lambda i: array_to_string(t[i:i + 4], ' '))) AS s FROM p WHERE len(t) >= 5),
+z AS (SELECT doc_id, count(*) AS n FROM g GROUP BY doc_id),
+o AS (SELECT a.doc_id AS x, b.doc_id AS y, count(*) AS i FROM g a JOIN g b ON a.s = b.s AND a.doc_id < b.doc_id AND a.source IS DISTINCT FROM b.source GROUP BY a.doc_id, b.doc_id),
+r AS (SELECT DISTINCT y AS doc_id FROM o JOIN z a ON a.doc_id = x JOIN z b ON b.doc_id = y WHERE i >= 0.85 * (a.n + b.n - i))
+SELECT l.doc_id, CASE WHEN l.code IS NOT NULL THEN l.code WHEN e.exact THEN 'exact_duplicate' WHEN r.doc_id IS NOT NULL THEN 'near_duplicate' ELSE 'accepted' END AS code
+FROM l LEFT JOIN e USING (doc_id) LEFT JOIN r USING (doc_id)"""
+
+
+@query(_GATE_SQL)
+def gate_cascade(spark, d):
+    """Code of every document."""
+    return gate_codes(table(spark, d, "documents"))
+
+
+@query(f"SELECT code, count(*) AS n FROM ({_GATE_SQL}) GROUP BY code")
+def gate_code_counts(spark, d):
+    """Documents by code: the flagship."""
+    return gate_codes(table(spark, d, "documents")).groupBy("code").agg(F.count(F.lit(1)).alias("n"))
+
+
+@query()
+def gate_cascade_exact(spark, d):
+    """The cascade with the exact identifier gate, Unicode words, and a source text: the benchmark item of the same number."""
+    ship(spark)
+    items = table(spark, d, "benchmark").select(F.col("item_id").alias("doc_id"), F.col("text").alias("source_text"))
+    return gate_codes(table(spark, d, "documents"), items, pii.external_identifier, X.word_count)
+
+
+# --- duplicates and similarity ------------------------------------------------------------------------------------
+
+_SHINGLES = "list_distinct(list_transform(range(1, len(t) - 3), lambda i: array_to_string(t[i:i + 4], ' ')))"
+
+
+@query(f"SELECT item_id, unnest({_SHINGLES}) AS shingle FROM (SELECT item_id, {TOKENS.format('text')} AS t FROM benchmark) WHERE len(t) >= 5")
+def five_gram_shingles(spark, d):
+    """Distinct five-token runs."""
+    return table(spark, d, "benchmark").select("item_id", F.explode(X.grams(F.col("text"))).alias("shingle"))
+
+
+@query(f"""WITH g AS (SELECT doc_id, unnest({_SHINGLES}) AS s FROM (SELECT doc_id, {TOKENS.format('text')} AS t FROM documents) WHERE len(t) >= 5),
+z AS (SELECT doc_id, count(*) AS n FROM g GROUP BY doc_id),
+o AS (SELECT a.doc_id AS x, b.doc_id AS y, count(*) AS i FROM g a JOIN g b ON a.s = b.s AND a.doc_id < b.doc_id GROUP BY a.doc_id, b.doc_id)
+SELECT x AS left_id, y AS right_id, round(i / (a.n + b.n - i), 6) AS jaccard FROM o JOIN z a ON a.doc_id = x JOIN z b ON b.doc_id = y WHERE i >= 0.85 * (a.n + b.n - i)""")
+def near_duplicate_pairs(spark, d):
+    """Pairs of documents whose shingle sets reach 0.85."""
+    pairs = similarity.near_pairs(table(spark, d, "documents"), "doc_id", F.col("text"), P.NEAR_DUPLICATE)
+    return pairs.select("left_id", "right_id", F.round("jaccard", 6).alias("jaccard"))
+
+
+@query(f"SELECT sha256('query' || chr(31) || {SQUEEZE.format(FOLD.format('text'))} || chr(30) || 'response:none') AS canonical_key, count(*) AS n, min(doc_id) AS first_id FROM documents GROUP BY canonical_key HAVING count(*) > 1")
+def exact_duplicate_groups(spark, d):
+    """Canonically equal documents."""
+    rows = table(spark, d, "documents").select("doc_id", F.sha2(X.canonical(F.col("text")), 256).alias("canonical_key"))
+    return rows.groupBy("canonical_key").agg(F.count(F.lit(1)).alias("n"), F.min("doc_id").alias("first_id")).where("n > 1")
+
+
+@query(f"""WITH b AS (SELECT item_id, unnest({_SHINGLES}) AS s FROM (SELECT item_id, {TOKENS.format('text')} AS t FROM benchmark) WHERE len(t) >= 5),
+g AS (SELECT doc_id, unnest({_SHINGLES}) AS s FROM (SELECT doc_id, {TOKENS.format('text')} AS t FROM documents) WHERE len(t) >= 5),
+nb AS (SELECT item_id, count(*) AS n FROM b GROUP BY item_id), ng AS (SELECT doc_id, count(*) AS n FROM g GROUP BY doc_id)
+SELECT doc_id, item_id, count(*) AS common, any_value(nb.n) AS item_size, any_value(ng.n) AS doc_size FROM g JOIN b USING (s) JOIN nb USING (item_id) JOIN ng USING (doc_id)
+GROUP BY doc_id, item_id""")
+def source_similarity(spark, d):
+    """Shared shingles of documents and benchmark items, with both sizes; counts combine before they are shuffled."""
+    side = lambda name, key: table(spark, d, name).select(key, X.grams(F.col("text")).alias("g")).withColumn("n", F.size("g").cast("long"))
+    items = side("benchmark", "item_id").select("item_id", F.col("n").alias("item_size"), F.explode("g").alias("s"))
+    docs = side("documents", "doc_id").select("doc_id", F.col("n").alias("doc_size"), F.explode("g").alias("s"))
+    return docs.join(items, "s").groupBy("doc_id", "item_id", "item_size", "doc_size").agg(F.count(F.lit(1)).alias("common"))
+
+
+@query()
+def greedy_accept_dedup(spark, d):
+    """Documents accepted one after the other unless one accepted before is equal or a near duplicate."""
+    docs = table(spark, d, "documents")
+    near = similarity.near_pairs(docs, "doc_id", F.col("text"), P.NEAR_DUPLICATE).select(F.col("left_id").alias("early"), F.col("right_id").alias("late"))
+    # Equal texts conflict with their first row: an equal row's conflicts are the same, so the first stands for all.
+    key = docs.select("doc_id", F.sha2(X.canonical(F.col("text")), 256).alias("key"))
+    first = key.groupBy("key").agg(F.min("doc_id").alias("early"))
+    equal = key.join(first, "key").where("doc_id > early").select("early", F.col("doc_id").alias("late"))
+    return similarity.greedy_accept(docs.select("doc_id"), near.unionByName(equal), "doc_id")
+
+
+_TOKEN_SET = "list_distinct(" + TOKENS + ")"
+_RANKED = """WITH q AS (SELECT item_id, unnest({ts}) AS t FROM benchmark), r AS (SELECT doc_id, unnest({ts}) AS t FROM documents),
+s AS (SELECT item_id, doc_id, count(*) AS score FROM q JOIN r USING (t) GROUP BY item_id, doc_id HAVING count(*) >= {least}),
+k AS (SELECT *, row_number() OVER (PARTITION BY item_id ORDER BY score DESC, doc_id) AS rank FROM s) SELECT item_id, doc_id, score, rank FROM k WHERE rank <= {k}"""
+
+
+@query(_RANKED.format(ts=_TOKEN_SET.format("text"), least=1, k=3))
+def case_search_topk(spark, d):
+    """The three documents that share most tokens with each benchmark item."""
+    t = F.col("text")
+    return similarity.overlap_top_k(table(spark, d, "benchmark"), table(spark, d, "documents"), "item_id", t, "doc_id", t, 3).withColumn("rank", F.col("rank").cast("long"))
+
+
+@query(_RANKED.format(ts=_TOKEN_SET.format("text"), least=2, k=5))
+def claim_rank_min_score(spark, d):
+    """The same with at least two shared tokens."""
+    t = F.col("text")
+    return similarity.overlap_top_k(table(spark, d, "benchmark"), table(spark, d, "documents"), "item_id", t, "doc_id", t, 5, least=2).withColumn("rank", F.col("rank").cast("long"))
+
+
+# --- evaluation ---------------------------------------------------------------------------------------------------
+
+_EVAL = """SELECT l.doc_id, d.source, CASE WHEN l.toxic = 1 THEN 'unsafe' ELSE 'safe' END AS label, CASE WHEN l.quality = 0 THEN 'unsafe' ELSE 'safe' END AS predicted,
+CASE WHEN l.toxic = 1 THEN 'R' || (l.doc_id % 3) END AS rule, CASE WHEN l.quality = 0 THEN 'R' || (l.doc_id % 2) END AS predicted_rule FROM labels l JOIN documents d USING (doc_id)"""
+
+
+def _eval_rows(spark, d):
+    rows = table(spark, d, "labels").join(table(spark, d, "documents").select("doc_id", "source"), "doc_id")
+    label = lambda c, v: F.when(F.col(c) == v, "unsafe").otherwise("safe")
+    rule = lambda c, v, k: F.when(F.col(c) == v, F.concat(F.lit("R"), (F.col("doc_id") % k).cast("string")))
+    return rows.select("doc_id", "source", label("toxic", 1).alias("label"), label("quality", 0).alias("predicted"), rule("toxic", 1, 3).alias("rule"), rule("quality", 0, 2).alias("predicted_rule"))
+
+
+_FOLLOW = f"""SELECT source AS g, count(*) AS n, CASE WHEN count(*) = 1 THEN 1 ELSE count(*) * (count(*) - 1) // 2 END AS comparisons,
+(CASE WHEN count(*) = 1 THEN count(*) FILTER (label = predicted) ELSE count(*) FILTER (label = predicted) * (count(*) FILTER (label = predicted) - 1) // 2 END) AS matches FROM ({_EVAL}) GROUP BY source"""
+
+
+@query(_FOLLOW)
+def policy_following_pairs(spark, d):
+    """Pairs of rows of a group and how many have both predictions right."""
+    return decisions.policy_following(_eval_rows(spark, d), F.col("source"), F.col("label") == F.col("predicted"))
+
+
+@query(f"""SELECT round(avg((label = predicted)::INT), 6) AS label_accuracy, round(avg((rule IS NOT DISTINCT FROM predicted_rule)::INT), 6) AS rule_exact_match,
+round((SELECT sum(matches) / sum(comparisons) FROM ({_FOLLOW})), 6) AS policy_following_accuracy FROM ({_EVAL})""")
+def evaluate_decisions(spark, d):
+    """Label accuracy, rule match and policy following."""
+    scores = decisions.evaluate(_eval_rows(spark, d), F.col("source"), "label", "predicted", "rule", "predicted_rule")
+    return scores.select(*[F.round(c, 6).alias(c) for c in scores.columns])
+
+
+def _decision_json(label: str, rule: str):
+    args = F.concat(F.lit('{"label":"'), F.col(label), F.lit('","rule_id":'), F.coalesce(F.concat(F.lit('"'), F.col(rule), F.lit('"')), F.lit("null")), F.lit(',"confidence":'), F.when(F.col("doc_id") % 5 == 0, "1.5").otherwise("0.5"), F.lit("}"))
+    return F.concat(F.lit('{"tool":"final_decision","arguments":'), args, F.lit("}"))
+
+
+@query(f"""SELECT doc_id, (doc_id % 5 <> 0)::INT::DOUBLE AS format_reward, (doc_id % 5 <> 0 AND label = predicted)::INT::DOUBLE AS label_reward,
+(doc_id % 5 <> 0 AND label = predicted AND rule IS NOT DISTINCT FROM predicted_rule)::INT::DOUBLE AS rule_reward FROM ({_EVAL})""")
+def reward_components(spark, d):
+    """Format, label and rule rewards of decisions written as JSON; a fifth of them have a confidence out of range."""
+    rows = _eval_rows(spark, d)
+    return rows.select("doc_id", *decisions.rewards(_decision_json("predicted", "predicted_rule"), _decision_json("label", "rule")))
+
+
+@query("""WITH x AS (SELECT p_partkey, p_brand, v FROM part, (VALUES ('before'), ('after')) t(v))
+SELECT p_partkey, 'exemption' AS transformation, v AS variant, CASE v WHEN 'before' THEN 'unsafe' ELSE 'safe' END AS label,
+'exemption-' || v || '-' || substr(sha256('exemption' || chr(31) || v || chr(31) || CASE v WHEN 'before' THEN p_brand ELSE p_brand || '+' END), 1, 12) AS policy_version,
+'exemption-group-' || substr(sha256('exemption' || chr(31) || p_partkey || chr(31) || p_brand || chr(31) || p_brand || '+'), 1, 16) AS group_id FROM x""")
+def counterfactual_pairs(spark, d):
+    """Rows before and after a policy gains an exception."""
+    pairs = grammar.policy_pairs(table(spark, d, "part"), "p_partkey", "exemption", F.col("p_brand"), F.concat("p_brand", F.lit("+")))
+    return pairs.select("p_partkey", "transformation", "variant", "label", "policy_version", "group_id")
+
+
+@query("""SELECT l.doc_id, true AS valid, CASE WHEN l.toxic = 1 THEN 'semantic_label_mismatch' END AS mismatch FROM labels l""")
+def completion_grammar(spark, d):
+    """Rendered completions parsed back; those of toxic rows differ from what is expected."""
+    titles = F.array(F.lit("Fraud"), F.lit("Spam"))
+    slow = F.lit("safe\n\n<reasoning>\n[Step 1] Content Summary\nA text.\n\n[Step 2] Check Risk Categories\n- Fraud: NOT HIT. None seen.\n- Spam: NOT APPLICABLE.\n\n[Step 3] Final Judgment\nFine.\n</reasoning>\n<answer>Safe</answer>")
+    thinking = F.when(F.col("doc_id") % 2 == 0, "fast").otherwise("slow")
+    text = F.when(F.col("doc_id") % 2 == 0, F.lit("safe\n<answer>Safe</answer>")).otherwise(slow)
+    rows = table(spark, d, "labels").select("doc_id", "toxic", grammar.completion(text, thinking, titles).alias("p"))
+    expected = F.when(F.col("toxic") == 1, "unsafe").otherwise("safe")
+    return rows.select("doc_id", "p.valid", grammar.semantic_mismatch(F.col("p"), expected, F.array(F.lit("Safe"))).alias("mismatch"))
+
+
+# --- planning -----------------------------------------------------------------------------------------------------
+
+
+@query("""WITH w AS (SELECT p_brand AS key, count(*) AS weight FROM part GROUP BY p_brand), t AS (SELECT sum(weight) AS s FROM w),
+a AS (SELECT key, weight, weight * 500 // s AS low, weight * 500 % s AS rest FROM w, t),
+r AS (SELECT *, row_number() OVER (ORDER BY rest DESC, key) AS rn, 500 - sum(low) OVER () AS left_over FROM a)
+SELECT key AS p_brand, weight, (low + CASE WHEN rn <= left_over THEN 1 ELSE 0 END)::BIGINT AS quota FROM r""")
+def largest_remainder_apportion(spark, d):
+    """500 units over brands by their counts, in whole numbers."""
+    weights = table(spark, d, "part").groupBy(F.col("p_brand").alias("key")).agg(F.count(F.lit(1)).alias("weight"))
+    return planning.apportion(weights, 500, position="key").select(F.col("key").alias("p_brand"), "weight", "quota")
+
+
+@query(f"""WITH w(key, weight, position) AS (VALUES {_lines(P.SOURCE_QUOTAS)}), a AS (SELECT *, weight * 100 // 2000 AS low, weight * 100 % 2000 AS rest, sum(weight) OVER () * 100 // 2000 AS aim FROM w),
+r AS (SELECT *, row_number() OVER (ORDER BY rest DESC, position) AS rn, aim - sum(low) OVER () AS left_over FROM a) SELECT key, (low + CASE WHEN rn <= left_over THEN 1 ELSE 0 END)::BIGINT AS quota FROM r""")
+def partial_source_quotas(spark, d):
+    """Source quotas of the small release; the rest has no source."""
+    return planning.apportion(planning.quota_frame(spark, P.SOURCE_QUOTAS), 100, base=planning.BASE).select("key", "quota")
+
+
+@query("""WITH v AS (SELECT o_orderpriority AS value, row_number() OVER (ORDER BY o_orderpriority) AS p, count(*) OVER () AS k FROM (SELECT DISTINCT o_orderpriority FROM orders))
+SELECT value, unnest(range(1, 103 // k + CASE WHEN p <= 103 % k THEN 1 ELSE 0 END + 1)) AS use FROM v""")
+def balanced_schedule(spark, d):
+    """103 rows dealt over order priorities as evenly as can be."""
+    values = table(spark, d, "orders").select(F.col("o_orderpriority").alias("value")).distinct()
+    return planning.balanced_schedule(values, 103, "value", "value").select("value", F.col("use").cast("long").alias("use"))
+
+
+@query("""WITH a AS (SELECT o_orderkey, o_orderstatus, row_number() OVER (PARTITION BY o_orderstatus, o_orderpriority ORDER BY o_orderkey) AS rn, o_orderpriority FROM orders),
+b AS (SELECT o_orderkey AS partner, o_orderstatus, o_orderpriority, row_number() OVER (PARTITION BY o_orderstatus, o_orderpriority ORDER BY o_totalprice, o_orderkey) AS rn FROM orders)
+SELECT a.o_orderkey, b.partner FROM a JOIN b USING (o_orderstatus, o_orderpriority, rn)""")
+def label_balanced_zip(spark, d):
+    """The nth order of a class meets its nth by price."""
+    orders = table(spark, d, "orders").select("o_orderkey", "o_orderstatus", "o_orderpriority", "o_totalprice")
+    right = orders.select("o_orderstatus", "o_orderpriority", "o_totalprice", F.col("o_orderkey").alias("partner"))
+    zipped = planning.nth_join(orders.drop("o_totalprice"), right, ["o_orderstatus", "o_orderpriority"], ["o_orderkey"], ["o_totalprice", "partner"])
+    return zipped.select("o_orderkey", "partner")
+
+
+@query("""WITH x AS (SELECT d.doc_id, d.source, d.lang, l.toxic, row_number() OVER (PARTITION BY d.source, d.lang, l.toxic ORDER BY d.doc_id) AS turn FROM documents d JOIN labels l USING (doc_id))
+SELECT doc_id, source, lang, toxic, turn FROM x ORDER BY turn, source, lang, toxic, doc_id LIMIT 100""")
+def stratified_round_robin_review(spark, d):
+    """A review sample of a hundred rows, strata in turn."""
+    rows = table(spark, d, "documents").select("doc_id", "source", "lang").join(table(spark, d, "labels").select("doc_id", "toxic"), "doc_id")
+    return planning.round_robin(rows, ["source", "lang", "toxic"], "doc_id").withColumn("turn", F.col("turn").cast("long"))
+
+
+@query("""SELECT 'p_brand' AS dimension, coalesce(p_brand, 'none') AS value, count(*) AS planned, count(*) FILTER (p_size > 25) AS accepted FROM part GROUP BY p_brand
+UNION ALL SELECT 'p_type', coalesce(p_type, 'none'), count(*), count(*) FILTER (p_size > 25) FROM part GROUP BY p_type
+UNION ALL SELECT 'p_size', coalesce(p_size::VARCHAR, 'none'), count(*), count(*) FILTER (p_size > 25) FROM part GROUP BY p_size""")
+def quota_coverage(spark, d):
+    """Planned and accepted counts by value of several dimensions in one pass."""
+    rows = table(spark, d, "part").withColumn("ok", F.col("p_size") > 25)
+    return planning.coverage(rows, ["p_brand", "p_type", "p_size"], "ok")
+
+
+def _release(spark):
+    flat = policies(spark).select("policy_id", "position", F.col("rules.rule_id").alias("rule_ids"))
+    return planning.plan_release(spark, flat, 500, "release")
+
+
+@query("SELECT * FROM (VALUES " + ", ".join(f"('{axis}', '{value}', {w * 500 // 2000})" for axis in P.QUOTAS for value, w in P.QUOTAS[axis].items()) + ") t(axis, value, n)")
+def release_quota_check(spark, d):
+    """Counts of a planned release by axis and value: every quota is met."""
+    rows = _release(spark)
+    pairs = F.explode(F.array(*[F.struct(F.lit(a).alias("axis"), F.col(a).alias("value")) for a in P.QUOTAS]))
+    return rows.select(pairs.alias("p")).groupBy("p.axis", "p.value").agg(F.count(F.lit(1)).alias("n"))
+
+
+@query()
+def release_blueprints(spark, d):
+    """The planned release itself."""
+    return _release(spark)
+
+
+# --- ledgers ------------------------------------------------------------------------------------------------------
+
+
+@query("""SELECT event_id, user_id, row_number() OVER w AS place, lag(event_type) OVER w AS previous, round(sum(value) OVER (PARTITION BY user_id ORDER BY event_id ROWS UNBOUNDED PRECEDING), 6) AS running
+FROM events WINDOW w AS (PARTITION BY user_id ORDER BY event_id)""")
+def event_sequence_validation(spark, d):
+    """Place, predecessor and running amount of events by user."""
+    rows = ledger.event_check(table(spark, d, "events").select("event_id", "user_id", "event_type", "value"), "event_id", "event_type", ["user_id"], F.col("value"))
+    return rows.select("event_id", "user_id", F.col("place").cast("long").alias("place"), "previous", F.round("running", 6).alias("running"))
+
+
+@query("SELECT l_orderkey, count(*) = count(DISTINCT l_linenumber) AND min(l_linenumber) = 1 AND max(l_linenumber) = count(*) AS contiguous FROM lineitem GROUP BY l_orderkey")
+def attempt_contiguity(spark, d):
+    """Whether a key's attempts are 1 to n."""
+    return ledger.attempt_check(table(spark, d, "lineitem"), "l_orderkey", "l_linenumber").select("l_orderkey", "contiguous")
+
+
+@query("""WITH s AS (SELECT event_id, user_id, round(sum(value) OVER w, 6) AS reserved, count(*) OVER w AS number FROM events WINDOW w AS (PARTITION BY user_id ORDER BY event_id ROWS UNBOUNDED PRECEDING))
+SELECT event_id, reserved, min((reserved <= 500 AND number <= 20)::INT) OVER (PARTITION BY user_id ORDER BY event_id ROWS UNBOUNDED PRECEDING) = 1 AS granted FROM s""")
+def budget_ledger_prefix(spark, d):
+    """Requests granted while a user's budget lasts."""
+    rows = ledger.reservations(table(spark, d, "events").select("event_id", "user_id", "value"), ["user_id"], "event_id", F.col("value"), 500.0, 20)
+    return rows.select("event_id", "reserved", "granted")
+
+
+@query("""SELECT event_type, user_id % 7 AS model, count(*) AS request_count, sum(event_id % 100)::BIGINT AS input_tokens,
+round(CASE WHEN count(CASE WHEN user_id % 7 <> 3 THEN value END) = count(*) THEN sum(value) END, 6) AS estimated_cost, bool_and(event_id % 11 <> 0) AS accounting_complete FROM events GROUP BY event_type, user_id % 7""")
+def usage_rollup_sticky_null(spark, d):
+    """Usage by provider and model; a cost that is unknown once is unknown in sum."""
+    rows = table(spark, d, "events").select("event_id", "event_type", (F.col("user_id") % 7).alias("model"), (F.col("event_id") % 100).alias("input_tokens"), F.when(F.col("user_id") % 7 != 3, F.col("value")).alias("cost"))
+    made = ledger.usage_rollup(rows, ["event_type", "model"], "cost", ["input_tokens"], F.col("event_id") % 11 != 0)
+    return made.withColumn("estimated_cost", F.round("estimated_cost", 6))
+
+
+@query("""SELECT s_suppkey, s_nationkey, round(sum(abs(s_acctbal)) OVER (PARTITION BY s_nationkey ORDER BY s_suppkey ROWS UNBOUNDED PRECEDING), 6) AS used,
+sum(abs(s_acctbal)) OVER (PARTITION BY s_nationkey ORDER BY s_suppkey ROWS UNBOUNDED PRECEDING) <= 12000 AS taken FROM supplier""")
+def record_cap_running(spark, d):
+    """Rows taken in order while their sizes fit a cap."""
+    rows = ledger.running_cap(table(spark, d, "supplier"), ["s_nationkey"], ["s_suppkey"], F.abs("s_acctbal"), 12000.0)
+    return rows.select("s_suppkey", "s_nationkey", F.round("used", 6).alias("used"), "taken")
+
+
+@query("SELECT conv_id, turn, round((octet_length(encode(text)) + 4096) * 0.25 + 2048 * 1.5, 2) AS worst_case, least(30.0, pow(2.0, turn)) AS delay FROM conversations")
+def worst_case_cost(spark, d):
+    """Price bounds in millionths, and retry delays."""
+    rows = table(spark, d, "conversations")
+    return rows.select("conv_id", "turn", F.round(1e6 * ledger.worst_case_cost(F.col("text"), F.lit(0), 2048, 0.25, 1.5), 2).alias("worst_case"), ledger.retry_delay(F.col("turn") + 1, 1.0, 30.0).alias("delay"))
+
+
+# --- pages and episodes -------------------------------------------------------------------------------------------
+
+
+@query()
+def html_case_extract(spark, d):
+    """Paragraphs of every page."""
+    ship(spark)
+    cases = readers.page_cases(table(spark, d, "pages"), "page_id", "html")
+    return cases.select("page_id", F.col("position").cast("long").alias("position"), F.sha2("text", 256).alias("content_hash"), F.length("text").cast("long").alias("n_chars"))
+
+
+_HOST = r"regexp_extract(url, '^https?://([^/?#]+)', 1)"
+
+
+@query(rf"""SELECT page_id, CASE WHEN NOT starts_with(url, 'https://') THEN 'not_https' WHEN NOT regexp_matches({_HOST}, '^([a-z0-9]([a-z0-9-]*[a-z0-9])?)(\.[a-z0-9]([a-z0-9-]*[a-z0-9])?)*$') THEN 'bad_host'
+WHEN {_HOST} NOT LIKE '%.example.com' THEN 'not_allowed' WHEN contains(url, '#') THEN 'fragment' ELSE 'ok' END AS verdict FROM pages""")
+def url_policy_check(spark, d):
+    """The URL rules over pages, with every host below one domain allowed."""
+    ship(spark)
+    pages = table(spark, d, "pages").select("page_id", "url")
+    check = F.pandas_udf("string")(lambda urls: urls.map(lambda u: grammar.url_verdict(u or "", _allowed(u))))
+    return pages.select("page_id", check("url").alias("verdict"))
+
+
+def _allowed(url: str | None) -> set[str]:
+    from urllib.parse import urlsplit
+
+    host = urlsplit(url or "").hostname or ""
+    return {host} if host.endswith(".example.com") else set()
+
+
+@query("""WITH s AS (SELECT conv_id, turn, row_number() OVER (PARTITION BY conv_id ORDER BY turn) AS n FROM conversations)
+SELECT conv_id, least(count(*), 3)::INT AS turns, round(-0.08 * least(count(*), 3) - 0.5 * greatest(count(*) - 3, 0), 6) AS reward, CASE WHEN count(*) > 3 THEN 'invalid' WHEN count(*) = 3 THEN 'turn_limit' ELSE 'tool' END AS status FROM s GROUP BY conv_id""")
+def trajectory_replay(spark, d):
+    """Conversations replayed as episodes of tool calls with three turns at most."""
+    steps = table(spark, d, "conversations").select("conv_id", "turn", F.lit("tool").alias("kind"), F.lit(True).alias("label_ok"), F.lit(True).alias("rule_ok"))
+    played = grammar.replay(steps, "conv_id", "turn", "kind", 3, "label_ok", "rule_ok")
+    return played.select("conv_id", "turns", F.round("reward", 6).alias("reward"), "status")
+
+
+@query("SELECT count(*) AS n_rows, min(sha256('{\"n_name\":\"' || n_name || '\",\"n_nationkey\":' || n_nationkey || ',\"n_regionkey\":' || n_regionkey || '}')) AS least_hash FROM nation")
+def manifest_checksum(spark, d):
+    """Hashes of canonical JSON rows."""
+    line = F.sha2(F.to_json(F.struct("n_name", "n_nationkey", "n_regionkey")), 256)
+    return table(spark, d, "nation").agg(F.count(F.lit(1)).alias("n_rows"), F.min(line).alias("least_hash"))
