@@ -6,12 +6,13 @@ the first n - ceil(t * n) + 1. Inverted lists are then searched with skipping:
 * Set relation, equal sets: an index list holds a set once, however many documents have it.
 * Set relation, similar sets: in a list, each set is first compared with one hub of its size band alone. What
   the hub's answer already decides is not asked again: members that the verified links connect share one
-  component, and only lists that still hold several components are searched on, across components.
-* Position blocks: lists are sorted by set size and cut in blocks of positions; a block is skipped when the
-  largest overlap that its sizes and positions allow is too small, before any pair of it is looked at.
+  component, and lists of one component are done. Of the others, the members of a hub meet in blocks, where the
+  common counts of all of them are derived together from the shingles that they share.
+* Position blocks: lists are sorted by set size and skipped through by bands of size; within a band, members whose
+  size and position allow too little overlap with the hub are skipped before their sets are looked at.
 
-Every pair that is left is verified on whole sets, so links are exact up to 64-bit shingle hashes. Text is read
-in four scans and never shuffled; what travels are hashes of frequent-candidate shingles for counting, prefix
+Links are verified on whole sets, so they are exact up to 64-bit shingle hashes. Blocks yield as many links as
+join their components, so a group of n near copies makes no n * n rows. Text is scanned five times, never shuffled; what travels are hashes of frequent-candidate shingles for counting, prefix
 postings, and the sets of documents that occur in a candidate pair (found through a bitmap of fixed size).
 
 Defined results: words and shingles as in kernels; a null or wordless text has the empty set, n_shingles 0 and
@@ -31,7 +32,7 @@ from .bitmaps import collect_bitmap, may_hold
 from .components import components
 from .kernels import U64, as_bytes, batch_shingles, mix, slices
 
-_BLOCK = 64
+_COLUMNS = 4096
 _LIST = 4096
 
 
@@ -185,21 +186,41 @@ def _possible(na, pa_, nb, pb, percent):
     return 1 + np.minimum(na - pa_ - 1, nb - pb - 1) >= required_overlap(na, nb, percent)
 
 
-def _cross_pairs(left, right, percent):
-    """Pairs of different components between two runs of a list, block by block of the right one."""
-    ia, na, pa_, ca = left
-    out = []
-    for at in range(0, len(right[0]), _BLOCK):
-        ib, nb, pb, cb = (x[at : at + _BLOCK] for x in right)
-        # The block's best case: its smallest and largest set, its earliest position.
-        most = 1 + np.minimum(na - pa_ - 1, (nb - pb - 1).max())
-        rows = np.flatnonzero(most >= required_overlap(na, nb.min(), percent))
-        if not len(rows):
-            continue
-        fits = _possible(na[rows][:, None], pa_[rows][:, None], nb[None, :], pb[None, :], percent) & (ca[rows][:, None] != cb[None, :])
-        x, y = np.nonzero(fits)
-        out.append(np.stack([ia[rows][x], ib[y]]))
-    return np.concatenate(out, 1) if out else np.empty((2, 0), np.int64)
+def link_sets(sets: list[np.ndarray], sides: np.ndarray, percent: int) -> tuple[np.ndarray, np.ndarray]:
+    """Which sets of a block link (side 2: with all others, sides 0 and 1: with each other), as pairs of places that join the same components.
+
+    Common counts come from products of presence columns, a few thousand shingles at a time; shingles of one set only
+    cannot count and are left out.
+    """
+    sizes = np.array([len(x) for x in sets])
+    tokens, place = np.unique(np.concatenate(sets), return_inverse=True)
+    owner = np.repeat(np.arange(len(sets)), sizes)
+    often = np.bincount(place, minlength=len(tokens)) > 1
+    seat = np.cumsum(often) - 1
+    keep = often[place]
+    column, row = seat[place[keep]], owner[keep]
+    order = np.argsort(column, kind="stable")
+    column, row = column[order], row[order]
+    common = np.zeros((len(sets), len(sets)), np.float32)
+    for at in range(0, int(often.sum()), _COLUMNS):
+        lo, hi = np.searchsorted(column, (at, at + _COLUMNS))
+        part = np.zeros((len(sets), _COLUMNS), np.float32)
+        part[row[lo:hi], column[lo:hi] - at] = 1
+        common += part @ part.T
+    both = sizes[:, None] + sizes[None, :]
+    linked = (100 + percent) * common.astype(np.int64) >= percent * both
+    if not (sides == 2).all():
+        linked &= sides[:, None] != sides[None, :]
+    np.fill_diagonal(linked, False)
+    label = np.arange(len(sets))
+    x, y = np.nonzero(linked)
+    while len(x):
+        before = label.copy()
+        np.minimum.at(label, x, label[y])
+        if (before == label).all():
+            break
+    moved = np.flatnonzero(label != np.arange(len(sets)))
+    return moved, label[moved]
 
 
 def _pairs(frame: DataFrame, make) -> DataFrame:
@@ -231,10 +252,9 @@ def _ints(blob: bytes) -> np.ndarray:
     return np.frombuffer(blob, np.int64)
 
 
-def verify(pairs: DataFrame, docs: DataFrame, id_col: str, text: str, width: int, percent: int, bitmap_buckets: int) -> DataFrame:
-    """Pairs whose whole sets reach the threshold. Only sets that occur in a pair travel, found by a bitmap of fixed size."""
-    needed = pairs.select(F.col("u").alias("id")).union(pairs.select("v")).distinct()
-    shared = docs.sparkSession.sparkContext.broadcast(collect_bitmap(needed, "id", bitmap_buckets))
+def _wanted_sets(ids: DataFrame, docs: DataFrame, id_col: str, text: str, width: int, bitmap_buckets: int) -> DataFrame:
+    """(id, tokens) of the sets with these keys, and of a few more: documents are scanned behind a bitmap of fixed size."""
+    shared = docs.sparkSession.sparkContext.broadcast(collect_bitmap(ids, "id", bitmap_buckets))
 
     def make(state, _, sets):
         seen, out = state.setdefault("seen", set()), []
@@ -246,7 +266,13 @@ def verify(pairs: DataFrame, docs: DataFrame, id_col: str, text: str, width: int
             yield [pa.array([r[0] for r in out], pa.int64()), pa.array([r[1] for r in out], pa.binary())]
 
     sets = _map(docs, id_col, text, width, "id long, tokens binary", make)
-    sets = sets.groupBy("id").agg(F.first("tokens").alias("tokens"))
+    return sets.groupBy("id").agg(F.first("tokens").alias("tokens"))
+
+
+def verify(pairs: DataFrame, docs: DataFrame, id_col: str, text: str, width: int, percent: int, bitmap_buckets: int) -> DataFrame:
+    """Pairs whose whole sets reach the threshold."""
+    needed = pairs.select(F.col("u").alias("id")).union(pairs.select("v")).distinct()
+    sets = _wanted_sets(needed, docs, id_col, text, width, bitmap_buckets)
     by_v = pairs.join(sets.select(F.col("id").alias("v"), F.col("tokens").alias("right")), "v")
     both = by_v.join(sets.select(F.col("id").alias("u"), F.col("tokens").alias("left")), "u")
 
@@ -260,12 +286,66 @@ def verify(pairs: DataFrame, docs: DataFrame, id_col: str, text: str, width: int
                 seat = np.searchsorted(y, x)
                 seat[seat == len(y)] = 0
                 keep.append(int((y[seat] == x).sum()) >= required_overlap(len(x), len(y), percent))
-            yield pa.RecordBatch.from_arrays([batch.column(0).filter(pa.array(keep, pa.bool_())), batch.column(1).filter(pa.array(keep, pa.bool_()))], names=["u", "v"])
+            mask = pa.array(keep, pa.bool_())
+            yield pa.RecordBatch.from_arrays([batch.column(0).filter(mask), batch.column(1).filter(mask)], names=["u", "v"])
 
     return both.select("u", "v", "right", "left").mapInArrow(run, "u long, v long").distinct()
 
 
-def jaccard_components(docs: DataFrame, id_col: str = "doc_id", text: str = "text", width: int = 5, percent: int = 80, bitmap_buckets: int = 1024) -> DataFrame:
+def _units(members: DataFrame, block: int) -> DataFrame:
+    """Open lists' members (token, band, id) dealt to blocks that must meet: h1, h2, i, j, side, id.
+
+    Members of a size band share a hub; sets of one hub meet each other, and those of hubs of neighbouring bands that a list
+    holds both. A hub's members are cut in blocks, so that no group is collected whole.
+    """
+    hubs = members.groupBy("token", "band").agg(F.min("id").alias("hub"))
+    own = stored(members.join(hubs, ["token", "band"]).select("hub", "id").distinct(), "hub-members")
+    blocks = own.groupBy("hub").agg(F.count(F.lit(1)).alias("n")).withColumn("blocks", F.ceil(F.col("n") / block).cast("int"))
+    dealt = own.join(blocks, "hub").withColumn("mine", F.pmod(F.xxhash64("id"), F.col("blocks")).cast("int"))
+    every = lambda n: F.explode(F.sequence(F.lit(0), F.col(n) - 1))
+    same = dealt.where("n > 1").withColumn("other", every("blocks"))
+    same = same.select(
+        F.col("hub").alias("h1"), F.col("hub").alias("h2"), F.least("mine", "other").alias("i"), F.greatest("mine", "other").alias("j"),
+        F.when(F.col("mine") == F.col("other"), 2).when(F.col("mine") < F.col("other"), 0).otherwise(1).alias("side"), "id",
+    )
+    next_band = hubs.select("token", (F.col("band") - 1).alias("band"), F.col("hub").alias("h2"))
+    sizes = blocks.select("hub", "blocks")
+    meet = hubs.withColumnRenamed("hub", "h1").join(next_band, ["token", "band"]).select("h1", "h2").distinct()
+    meet = meet.join(sizes.withColumnsRenamed({"hub": "h1", "blocks": "b1"}), "h1").join(sizes.withColumnsRenamed({"hub": "h2", "blocks": "b2"}), "h2")
+    left = dealt.select(F.col("hub").alias("h1"), "mine", "id").join(meet, "h1").withColumn("j", every("b2")).select("h1", "h2", F.col("mine").alias("i"), "j", F.lit(0).alias("side"), "id")
+    right = dealt.select(F.col("hub").alias("h2"), "mine", "id").join(meet, "h2").withColumn("i", every("b1")).select("h1", "h2", "i", F.col("mine").alias("j"), F.lit(1).alias("side"), "id")
+    return same.unionByName(left).unionByName(right)
+
+
+def _block_links(units: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
+    """Links found in blocks, as many as join each block's components: no pair rows are made."""
+    sent = units.join(sets, "id").repartition(parallelism(units.sparkSession), "h1", "h2", "i", "j").sortWithinPartitions("h1", "h2", "i", "j")
+    sent = sent.select("h1", "h2", "i", "j", "side", "id", "tokens")
+
+    def run(batches):
+        held, at = [], None
+
+        def done():
+            if len(held) < 2:
+                return None
+            keys = np.array([r[1] for r in held], np.int64)
+            x, y = link_sets([np.frombuffer(r[2], U64) for r in held], np.array([r[0] for r in held]), percent)
+            return pa.RecordBatch.from_arrays([pa.array(keys[x]), pa.array(keys[y])], names=["u", "v"]) if len(x) else None
+
+        for batch in slices(batches):
+            for row in zip(*(c.to_pylist() for c in batch.columns)):
+                if row[:4] != at:
+                    if (out := done()) is not None:
+                        yield out
+                    held, at = [], row[:4]
+                held.append(row[4:])
+        if (out := done()) is not None:
+            yield out
+
+    return sent.mapInArrow(run, "u long, v long").distinct()
+
+
+def jaccard_components(docs: DataFrame, id_col: str = "doc_id", text: str = "text", width: int = 5, percent: int = 80, bitmap_buckets: int = 1024, block: int = 512) -> DataFrame:
     """Per row: the id, n_shingles, component_id (smallest id reachable by links, its own included)."""
     spark = docs.sparkSession
     signed = stored(set_signatures(docs, id_col, text, width), "sets")
@@ -278,15 +358,13 @@ def jaccard_components(docs: DataFrame, id_col: str = "doc_id", text: str = "tex
     members = lists.mapInArrow(_unpack, "token long, chunk int, id long, n long, pos long")
     named = members.join(found, "id", "left").withColumn("c", F.coalesce("component_id", "id")).drop("component_id")
     open_tokens = named.groupBy("token").agg(F.min("c").alias("a"), F.max("c").alias("b")).where("a < b").select("token")
-    runs = named.join(open_tokens, "token", "left_semi").groupBy("token", "chunk").agg(F.sort_array(F.collect_list(F.struct("n", "id", "pos", "c"))).alias("m"))
-    pick = [F.col(f"m.{f}").alias(f) for f in ("id", "n", "pos", "c")]
-    flat = stored(runs.select("token", "chunk", *pick), "open-lists")
-    other = flat.select("token", *[F.col(f).alias(f"{f}_2") for f in ("chunk", "id", "n", "pos", "c")])
-    sides = flat.join(other, "token").where("chunk <= chunk_2").select("id", "n", "pos", "c", "id_2", "n_2", "pos_2", "c_2")
-    more = _pairs(sides, lambda *x: _cross_pairs([np.array(y, np.int64) for y in x[:4]], [np.array(y, np.int64) for y in x[4:]], percent))
-    more = stored(more.join(tried, ["u", "v"], "left_anti"), "cross-pairs")
-    more_links = verify(more, docs, id_col, text, width, percent, bitmap_buckets) if more.limit(1).count() else more
-    final = components(links.unionByName(more_links))
+    band = F.floor(F.log(F.col("n").cast("double")) / float(np.log(100 / percent)))
+    open_members = stored(named.join(open_tokens, "token", "left_semi").select("token", band.alias("band"), "id").distinct(), "open-members")
+    more = links.limit(0)
+    if not open_members.isEmpty():
+        units = _units(open_members, block)
+        more = _block_links(units, _wanted_sets(open_members.select("id").distinct(), docs, id_col, text, width, bitmap_buckets), percent)
+    final = components(links.unionByName(more))
     least = signed.where("n > 0").groupBy("key").agg(F.min("id").alias("least"))
     groups = least.join(final.withColumnRenamed("id", "key"), "key", "left").withColumn("c", F.coalesce("component_id", "key"))
     by_key = groups.join(groups.groupBy("c").agg(F.min("least").alias("smallest")), "c").select("key", "smallest")
