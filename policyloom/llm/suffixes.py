@@ -6,11 +6,12 @@ have equal anchors, which splits the space of suffixes into independent shards:
 
 1. Anchors alone are counted by documents, with map-side combine. Those of one document only cannot match; the others
    are remembered in a bitmap of fixed size (false positives cost work, never results).
-2. A second scan sends the pieces of remembered anchors to their shards. Equal pieces of a task meet there first: all
-   but those of the smallest id are covered at once, so a passage that many documents share sends one piece a task.
-3. A shard takes pieces in batches in id order. A batch gets a suffix array over its strings' starts, sorted by their
-   bytes; equal neighbours match within the batch, and a merge scan against each level finds matches with earlier
-   batches. What is new becomes a level, and levels merge while the newer is at least half as large as the older.
+2. A second scan sends the pieces of remembered anchors to their shards, packed. Equal pieces of a task meet there
+   first: all but those of the smallest id are covered at once, so a passage that many documents share sends one piece a
+   task; of equal pieces of a shard, too, only the first is looked into.
+3. A shard takes pieces in batches in id order. A batch gets a suffix array over its strings' starts; equal neighbours
+   match within the batch, and a merge scan against each level finds matches with earlier batches. What is new becomes
+   a level, and levels merge while the newer is at least half as large as the older.
 4. Runs of matching starts go back by document, and documents are cut.
 
 Text is shuffled once, to meet its spans. Strings are compared by all their bytes; only anchors are hashes.
@@ -22,6 +23,8 @@ pass through; outputs replace columns of the same name. An empty table gives an
 
 from __future__ import annotations
 
+import zlib
+
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -103,139 +106,219 @@ def _runs(texts: list[bytes], length: int, gram: int):
 
 
 class SuffixLevels:
-    """Sorted runs of distinct strings, the newest last; sizes at least halve from one to the next."""
+    """Suffix arrays of distinct strings, the newest last; sizes at least halve from one to the next.
+
+    An array is ordered by a hash of its strings, which keeps equal ones together as well as their bytes would; a match is
+    one of all bytes.
+    """
 
     def __init__(self, length: int):
-        self.kind = f"S{length}"
-        self.levels: list[np.ndarray] = []
-
-    def scan(self, strings: np.ndarray) -> np.ndarray:
-        """Which of the sorted strings some level holds."""
-        found = np.zeros(len(strings), bool)
-        for level in self.levels:
-            seat = np.searchsorted(level, strings)
-            seat[seat == len(level)] = 0
-            found |= level[seat] == strings
+        self.length = length
+        self.levels: list[tuple[np.ndarray, np.ndarray]] = []
+
+    def scan(self, order: np.ndarray, strings: np.ndarray) -> np.ndarray:
+        """Which of the strings, in the order of their hashes, some level holds."""
+        found = np.zeros(len(order), bool)
+        for held, bytes_held in self.levels:
+            seat = np.searchsorted(held, order)
+            seat[seat == len(held)] = 0
+            maybe = np.flatnonzero(held[seat] == order)
+            found[maybe] |= (bytes_held[seat[maybe]] == strings[maybe]).all(1)
         return found
 
-    def add(self, strings: np.ndarray) -> None:
-        """Take sorted distinct strings that no level holds."""
-        if not len(strings):
+    def add(self, order: np.ndarray, strings: np.ndarray) -> None:
+        """Take distinct strings that no level holds, in the order of their hashes."""
+        if not len(order):
             return
-        self.levels.append(strings)
-        while len(self.levels) > 1 and 2 * len(self.levels[-1]) >= len(self.levels[-2]):
+        self.levels.append((order, strings))
+        while len(self.levels) > 1 and 2 * len(self.levels[-1][0]) >= len(self.levels[-2][0]):
             new, old = self.levels.pop(), self.levels.pop()
-            self.levels.append(np.sort(np.concatenate([old, new]), kind="stable"))
+            both = np.concatenate([old[0], new[0]])
+            at = np.argsort(both, kind="stable")
+            self.levels.append((both[at], np.concatenate([old[1], new[1]])[at]))
 
 
-def covered(batch: list[tuple[int, bytes]], index: SuffixLevels, length: int) -> np.ndarray:
-    """For the starts of pieces (order of id, bytes), in id order: whether an earlier id has the string. The index takes the new ones."""
-    texts = [x[1] for x in batch]
+def covered(owners: np.ndarray, texts: list[bytes], index: SuffixLevels) -> np.ndarray:
+    """For the starts of pieces in id order: whether an earlier id has the string. The index takes the new ones."""
+    length = index.length
     sizes = np.array([len(x) for x in texts], np.int64)
     counts = sizes - length + 1
     data = np.frombuffer(b"".join(texts), np.uint8)
-    step = np.arange(counts.sum()) - np.repeat(np.cumsum(counts) - counts, counts)
-    start = np.repeat(np.cumsum(sizes) - sizes, counts) + step
-    # A string's trailing zero bytes do not count in this type; all are equally long, so equality holds all the same.
-    strings = np.lib.stride_tricks.sliding_window_view(data, length)[start].reshape(-1).view(index.kind)
-    order = np.argsort(strings, kind="stable")
-    ordered = strings[order]
-    owner = np.repeat(np.array([x[0] for x in batch], np.int64), counts)[order]
+    start = np.repeat(np.cumsum(sizes) - sizes, counts) + np.arange(counts.sum()) - np.repeat(np.cumsum(counts) - counts, counts)
+    hashes = window_hashes(data, length)[start]
+    view = np.lib.stride_tricks.sliding_window_view(data, length)
+    at = np.argsort(hashes, kind="stable")
+    ordered, start = hashes[at], start[at]
+    owner = np.repeat(owners, counts)[at]
     first = np.concatenate(([True], ordered[1:] != ordered[:-1]))
+    again = np.flatnonzero(~first)
+    # Equal hashes of unequal strings start a group of their own.
+    for part in range(0, len(again), 1 << 16):
+        k = again[part : part + (1 << 16)]
+        first[k[(view[start[k]] != view[start[k - 1]]).any(1)]] = True
     heads = np.flatnonzero(first)
     group = np.cumsum(first) - 1
-    known = index.scan(ordered[heads])
+    strings = view[start[heads]]
+    known = index.scan(ordered[heads], strings)
     hit = known[group] | (owner > owner[heads][group])
-    index.add(ordered[heads][~known])
-    out = np.empty(len(order), bool)
-    out[order] = hit
+    index.add(ordered[heads][~known], strings[~known])
+    out = np.empty(len(at), bool)
+    out[at] = hit
     return out
 
 
+_ROW = np.dtype([("o", "<i8"), ("sig", "<u4"), ("start", "<u4"), ("count", "<u2"), ("size", "<u2")])
+
+
+def _pack(rows: np.ndarray, texts: list[bytes]) -> bytes:
+    """Pieces of one shard, column by column and compressed: places first, then the bytes of those that have some."""
+    columns = b"".join(np.ascontiguousarray(rows[f]).tobytes() for f in _ROW.names)
+    return zlib.compress(len(rows).to_bytes(4, "little") + columns + b"".join(texts), 1)
+
+
+def _unpack(blob: bytes) -> tuple[np.ndarray, list[bytes]]:
+    raw = zlib.decompress(blob)
+    n, at = int.from_bytes(raw[:4], "little"), 4
+    rows = np.empty(n, _ROW)
+    for f in _ROW.names:
+        kind = _ROW.fields[f][0]
+        rows[f] = np.frombuffer(raw, kind, n, at)
+        at += n * kind.itemsize
+    ends = at + np.cumsum(rows["size"].astype(np.int64))
+    return rows, [raw[b - s : b] for b, s in zip(ends.tolist(), rows["size"].tolist())]
+
+
 def repeated_spans(docs: DataFrame, id_col: str, text: str, length: int = 50, gram: int = 20, bitmap_buckets: int = 2048, batch_strings: int = 1 << 17) -> DataFrame:
     """Rows (o, sig, start, stop): byte ranges of a text that strings of smaller ids cover; o is the id in order, sig a hash of the text."""
     spark = docs.sparkSession
     ship(spark)
-    rows = docs.select(
-        F.coalesce(F.col(id_col).cast("long"), F.lit(_LAST)).alias("o"), F.xxhash64(text).alias("sig"), F.coalesce(F.col(text), F.lit("")).alias("text")
-    ).where(F.octet_length("text") >= length)
+    rows = docs.select(_order(id_col).alias("o"), _signature(text).alias("sig"), F.col(text).alias("text")).where(F.octet_length("text") >= length)
 
     def anchors(batches):
+        held, size = [], 0
+
+        def flush():
+            anchor, n = np.unique(np.concatenate(held), return_counts=True)
+            return pa.RecordBatch.from_arrays([pa.array(anchor.view(np.int64)), pa.array(np.minimum(n, 2), pa.int64())], names=["anchor", "n"])
+
         for batch in slices(batches):
-            owner = np.array(batch.column(0).to_pylist(), np.int64)
-            for t, anchor, _, _ in _runs(as_bytes(batch.column(1)), length, gram):
+            for t, anchor, _, _ in _runs(as_bytes(batch.column(0)), length, gram):
                 order = np.lexsort((anchor, t))
                 a, b = anchor[order], t[order]
-                keep = np.concatenate(([True], (a[1:] != a[:-1]) | (b[1:] != b[:-1])))
-                yield pa.RecordBatch.from_arrays([pa.array(a[keep].view(np.int64)), pa.array(owner[b[keep]])], names=["anchor", "o"])
-
-    counted = rows.select("o", "text").mapInArrow(anchors, "anchor long, o long").groupBy("anchor").agg(F.min("o").alias("a"), F.max("o").alias("b"))
-    shared = spark.sparkContext.broadcast(collect_bitmap(counted.where("a < b"), "anchor", bitmap_buckets))
-    names = ["anchor", "o", "sig", "start", "count", "piece"]
+                held.append(a[np.concatenate(([True], (a[1:] != a[:-1]) | (b[1:] != b[:-1])))])
+                size += len(held[-1])
+            if size > 1 << 20:
+                yield flush()
+                held, size = [], 0
+        if size:
+            yield flush()
+
+    # An anchor counts once for each of its texts; that two rows may share an id only adds candidates.
+    counted = rows.select("text").mapInArrow(anchors, "anchor long, n long").groupBy("anchor").agg(F.sum("n").alias("n"))
+    shared = spark.sparkContext.broadcast(collect_bitmap(counted.where("n > 1"), "anchor", bitmap_buckets))
+    shards = parallelism(spark)
 
     def sent(batches):
-        held = []
+        held, size = [], 0
         for batch in slices(batches):
-            own, sigs, texts = batch.column(0).to_pylist(), batch.column(1).to_pylist(), as_bytes(batch.column(2))
+            own, sigs, texts = batch.column(0).to_numpy(), batch.column(1).to_numpy(), as_bytes(batch.column(2))
             for t, anchor, start, count in _runs(texts, length, gram):
                 keep = np.flatnonzero(may_hold(shared.value, anchor.view(np.int64)))
-                for k, a in zip(keep.tolist(), anchor[keep].view(np.int64).tolist()):
-                    s, c, i = int(start[k]), int(count[k]), int(t[k])
-                    held.append((a, texts[i][s : s + c + length - 1], own[i], sigs[i], s, c))
-            if len(held) >= 1 << 17:
+                rows_in = np.empty(len(keep), _ROW)
+                rows_in["o"], rows_in["sig"], rows_in["start"], rows_in["count"] = own[t[keep]], sigs[t[keep]], start[keep], count[keep]
+                ends = (start[keep] + count[keep] + length - 1).tolist()
+                held.append((anchor[keep] % U64(shards), rows_in, [texts[i][a:b] for i, a, b in zip(t[keep].tolist(), start[keep].tolist(), ends)]))
+                size += len(keep)
+            if size >= 1 << 17:
                 yield settle(held)
-                held = []
-        if held:
+                held, size = [], 0
+        if size:
             yield settle(held)
 
     def settle(held):
+        shard, rows_in = np.concatenate([h[0] for h in held]).astype(np.int64), np.concatenate([h[1] for h in held])
+        texts = [x for h in held for x in h[2]]
         least: dict[bytes, int] = {}
-        for _, piece, o, *_ in held:
-            if least.get(piece, _LAST + 1) > o:
+        for piece, o in zip(texts, rows_in["o"].tolist()):
+            if least.setdefault(piece, o) > o:
                 least[piece] = o
-        # A piece that a smaller id of the same task holds too is covered; it travels without its bytes.
-        return _batch([(a, o, sig, s, c, piece if least[piece] == o else None) for a, piece, o, sig, s, c in held], names)
+        # A piece that a smaller id of the same run holds too is covered: it travels without its bytes.
+        full = np.array([least[p] for p in texts], np.int64) == rows_in["o"]
+        rows_in["size"] = np.where(full, rows_in["count"] + (length - 1), 0)
+        order = np.lexsort((rows_in["start"], rows_in["o"], shard))
+        edges = np.flatnonzero(np.concatenate(([True], np.diff(shard[order]) != 0, [True])))
+        groups = [order[a:b] for a, b in zip(edges, edges[1:])]
+        blobs = [_pack(rows_in[g], [texts[k] for k in g.tolist() if full[k]]) for g in groups]
+        return pa.RecordBatch.from_arrays([pa.array([int(shard[g[0]]) for g in groups], pa.int32()), pa.array([int(rows_in["o"][g].min()) for g in groups], pa.int64()), pa.array(blobs, pa.binary())], names=["shard", "o", "blob"])
 
     def found(batches):
-        index, batch, strings = SuffixLevels(length), [], 0
-
-        def done():
-            hit = covered([(r[1], r[5]) for r in batch], index, length)
-            edge = np.zeros(len(hit) + 1, np.int64)
-            np.cumsum([r[4] for r in batch], out=edge[1 : len(batch) + 1])
-            out = []
-            for k, r in enumerate(batch):
-                own = hit[edge[k] : edge[k + 1]]
-                if own.any():
-                    turns = np.flatnonzero(np.diff(np.concatenate(([False], own, [False])).astype(np.int8)))
-                    out += [(r[1], r[2], r[3] + int(x), r[3] + int(y) + length - 1) for x, y in zip(turns[::2], turns[1::2])]
-            return out
-
+        own, at = [], None
+        for batch in batches:
+            for shard, blob in zip(batch.column(0).to_pylist(), batch.column(1)):
+                if shard != at:
+                    yield from search(own)
+                    own, at = [], shard
+                own.append(blob.as_py())
+        yield from search(own)
+
+    def search(blobs):
+        """All of one shard: pieces in id order, equal ones once, batch by batch against the levels."""
+        if not blobs:
+            return
+        parts = [_unpack(b) for b in blobs]
+        places, texts = np.concatenate([p[0] for p in parts]), [x for p in parts for x in p[1]]
+        del parts
+        order = np.argsort(places["o"], kind="stable")
+        index, least, batch, strings, done = SuffixLevels(length), {}, [], 0, []
+        direct = []
         last = None
-        for rows_in in slices(batches, 4096):
-            ready = []
-            for r in zip(*(c.to_pylist() for c in rows_in.columns)):
-                if r[5] is None:
-                    ready.append((r[1], r[2], r[3], r[3] + r[4] + length - 1))
-                    continue
-                if strings >= batch_strings and r[1] != last:
-                    ready += done()
-                    batch, strings = [], 0
-                batch.append(r)
-                strings += r[4]
-                last = r[1]
-            if ready:
-                yield _batch(ready, ["o", "sig", "start", "stop"])
-        if batch and (ready := done()):
-            yield _batch(ready, ["o", "sig", "start", "stop"])
-
-    shards = rows.mapInArrow(sent, "anchor long, o long, sig long, start long, count long, piece binary")
-    shards = shards.repartition(parallelism(spark), "anchor").sortWithinPartitions("o")
-    return shards.mapInArrow(found, "o long, sig long, start long, stop long")
-
-
-def _batch(rows, names):
-    return pa.RecordBatch.from_arrays([pa.array(c, pa.binary() if n == "piece" else pa.int64()) for c, n in zip(zip(*rows), names)], names=names)
+        for k in order.tolist():
+            piece, o = texts[k], int(places["o"][k])
+            if not piece or least.setdefault(piece, o) < o:
+                direct.append(k)
+                continue
+            if strings >= batch_strings and o != last:
+                done += match(places, texts, batch, index)
+                batch, strings = [], 0
+            batch.append(k)
+            strings += len(piece) - length + 1
+            last = o
+        if batch:
+            done += match(places, texts, batch, index)
+        d = places[direct]
+        out = [np.stack([d["o"], d["sig"].astype(np.int64), d["start"].astype(np.int64), d["start"].astype(np.int64) + d["count"] + (length - 1)])]
+        if done:
+            out.append(np.array(done, np.int64).T)
+        columns = np.concatenate(out, 1)
+        if columns.shape[1]:
+            yield pa.RecordBatch.from_arrays([pa.array(c) for c in columns], names=["o", "sig", "start", "stop"])
+
+    def match(places, texts, batch, index):
+        hit = covered(places["o"][batch], [texts[k] for k in batch], index)
+        edge = np.zeros(len(batch) + 1, np.int64)
+        np.cumsum(places["count"][batch], out=edge[1:])
+        inner = np.zeros(len(hit) + 1, bool)
+        inner[edge] = True
+        on = np.concatenate(([False], hit))
+        turn_on = np.flatnonzero(hit & (inner[:-1] | ~on[:-1]))
+        off = np.concatenate((hit[1:], [False]))
+        turn_off = np.flatnonzero(hit & (inner[1:] | ~off)) + 1
+        piece = np.searchsorted(edge, turn_on, side="right") - 1
+        at = places[np.array(batch)[piece]]
+        begin = at["start"].astype(np.int64) - edge[piece]
+        return list(zip(at["o"].tolist(), at["sig"].tolist(), (begin + turn_on).tolist(), (begin + turn_off + length - 1).tolist()))
+
+    blobs = rows.mapInArrow(sent, "shard int, o long, blob binary")
+    return blobs.repartition(shards, "shard").sortWithinPartitions("shard", "o").select("shard", "blob").mapInArrow(found, "o long, sig long, start long, stop long")
+
+
+def _order(id_col: str):
+    return F.coalesce(F.col(id_col).cast("long"), F.lit(_LAST))
+
+
+def _signature(text: str):
+    """Tells texts of one id apart."""
+    return F.crc32(F.coalesce(F.col(text), F.lit("")).cast("binary"))
 
 
 def cut_spans(raw: bytes, spans: list) -> tuple[bytes, list[tuple[int, int]]]:
@@ -263,16 +346,19 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text: str = "text",
     schema = _replaced(docs.schema, *added)
     names = [f.name for f in schema.fields]
     kept = names[: -len(added)]
-    own = docs.select(*[F.col(f"`{c}`") for c in kept], F.coalesce(F.col(f"`{text}`"), F.lit("")).alias("__text"), F.coalesce(F.col(id_col).cast("long"), F.lit(_LAST)).alias("__o"), F.xxhash64(text).alias("__s"))
+    # Text crosses the shuffle once: as a column that is kept anyway, or else beside the others.
+    carried = kept if text in kept else [*kept, text]
+    own = docs.select(*[F.col(f"`{c}`") for c in carried], _order(id_col).alias("__o"), _signature(text).alias("__s"))
     joined = own.join(by_doc, (F.col("__o") == F.col("__so")) & (F.col("__s") == F.col("__ss")), "left")
-    joined = joined.select(*[F.col(f"`{c}`") for c in kept], "__text", F.col("__spans.start").alias("__a"), F.col("__spans.stop").alias("__b"))
+    joined = joined.select(*[F.col(f"`{c}`") for c in carried], F.col("__spans.start").alias("__a"), F.col("__spans.stop").alias("__b"))
+    place, n = carried.index(text), len(carried)
 
     def run(batches):
         for batch in slices(batches):
             out = []
-            for raw, a, b in zip(as_bytes(batch.column(len(kept))), batch.column(len(kept) + 1).to_pylist(), batch.column(len(kept) + 2).to_pylist()):
-                left, merged = cut_spans(raw, list(zip(a or [], b or [])))
-                out.append((left, len(raw), len(raw) - len(left), len(merged)))
+            for raw, a, b in zip(as_bytes(batch.column(place)), batch.column(n).to_pylist(), batch.column(n + 1).to_pylist()):
+                left, merged = cut_spans(raw or b"", list(zip(a or [], b or [])))
+                out.append((left, len(raw or b""), len(raw or b"") - len(left), len(merged)))
             columns = [pa.array(c, k) for c, k in zip(zip(*out), [pa.binary(), pa.int64(), pa.int64(), pa.int64()])] if out else [pa.array([], pa.binary()), *[pa.array([], pa.int64())] * 3]
             yield pa.RecordBatch.from_arrays([*[batch.column(k) for k in range(len(kept))], *columns], names=names)
 
