@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-import math
-
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -26,13 +24,13 @@ def overlap_top_k(queries: DataFrame, records: DataFrame, query_id: str, query_t
 def overlap_top_k_with_zeros(queries: DataFrame, records: DataFrame, query_id: str, query_text: Column, record_id: str, record_text: Column, k: int, token_set=X.word_or_cjk_set) -> DataFrame:
     """As above, but records without a common token fill up the list, smallest id first.
 
-    Only the first k records by id can do that for any query, so k rows join every query, not all records.
+    Only the first records by id can do that for any query, so 2k of them are added to each, not all records.
     """
     scored = overlap_top_k(queries, records, query_id, query_text, record_id, record_text, k, 1, token_set).select(query_id, record_id, "score")
-    fill = records.select(record_id).orderBy(record_id).limit(2 * k)
-    ids = queries.select(query_id).distinct()
-    # The k smallest ids that are not yet ranked: among 2k smallest at least k are free.
-    padded = ids.join(F.broadcast(fill.agg(F.collect_list(record_id).alias("__fill"))), F.lit(True)).select(query_id, F.explode("__fill").alias(record_id))
+    # The k smallest ids that are not yet ranked: among the k smallest and k that may be ranked, at least k are free.
+    fill = [r[0] for r in records.select(record_id).distinct().orderBy(record_id).limit(2 * k).collect()]
+    kind = records.schema[record_id].dataType
+    padded = queries.select(query_id).distinct().withColumn(record_id, F.explode(F.array(*[F.lit(x).cast(kind) for x in fill])))
     zeros = padded.join(scored.select(query_id, record_id), [query_id, record_id], "left_anti").withColumn("score", F.lit(0).cast("long"))
     rank = F.row_number().over(Window.partitionBy(query_id).orderBy(F.desc("score"), record_id))
     return scored.unionByName(zeros).withColumn("rank", rank).where(F.col("rank") <= k)

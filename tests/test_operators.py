@@ -21,7 +21,7 @@ def test_strict_join_refuses_gaps(spark):
 
 def test_first_wins_keeps_nulls_apart(spark):
     df = spark.createDataFrame([("a", 2), ("a", 1), (None, 5), (None, 4)], "k string, o int")
-    assert sorted(map(tuple, joins.first_wins(df, "k", "o").collect()), key=str) == [(None, 4), ("a", 1)]
+    assert sorted(map(tuple, joins.first_wins(df, "k", "o").collect()), key=str) == [("a", 1), (None, 4)]
 
 
 def test_source_lookup_falls_back_only_when_clear(spark):
