@@ -68,6 +68,17 @@ def grams(text: Column, width: int = 5, folded=fold) -> Column:
     )[0]
 
 
+def gram_hashes(text: Column, width: int = 5, folded=fold) -> Column:
+    """The same runs as distinct 64-bit hashes: eight bytes each where they are stored, shuffled or joined."""
+    return F.transform(
+        F.array(tokens(text, folded)),
+        lambda t: F.when(
+            F.size(t) >= width,
+            F.array_distinct(F.transform(F.sequence(F.lit(0), F.greatest(F.size(t) - width, F.lit(0))), lambda i: F.xxhash64(F.slice(t, i + 1, width)))),
+        ).otherwise(F.array().cast("array<bigint>")),
+    )[0]
+
+
 def jaccard(left: Column, right: Column) -> Column:
     """Share of common elements of two sets; 0 if either is empty."""
     common = F.size(F.array_intersect(left, right))

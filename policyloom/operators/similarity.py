@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import text as X
-from ..runtime import cut
+from ..runtime import cut, stored
 
 
 def overlap_top_k(queries: DataFrame, records: DataFrame, query_id: str, query_text: Column, record_id: str, record_text: Column, k: int, least: int = 1, token_set=X.token_set) -> DataFrame:
@@ -42,8 +42,9 @@ def near_pairs(docs: DataFrame, id_col: str, text: Column, threshold: float, fam
     Prefix filter: sets that reach t share one of their first n - ceil(t n) + 1 shingles in any common order; rare ones come
     first, so index lists are short. Pairs are verified on the whole sets.
     """
-    sets = docs.select(F.col(id_col).alias("id"), *([F.col(family).alias("family")] if family else []), X.grams(text, width).alias("grams"))
-    sets = sets.withColumn("n", F.size("grams")).where("n > 0")
+    sets = docs.select(F.col(id_col).alias("id"), *([F.col(family).alias("family")] if family else []), X.gram_hashes(text, width).alias("grams"))
+    # Sets are used four times below: hashed once, kept in the shared folder, read back by column.
+    sets = stored(sets.withColumn("n", F.size("grams")).where("n > 0"), "shingle-sets")
     flat = sets.select("id", "n", F.explode("grams").alias("g"))
     often = flat.groupBy("g").agg(F.count(F.lit(1)).alias("df")).where("df > 1")
     ranked = flat.join(often, "g", "left").withColumn("rn", F.row_number().over(Window.partitionBy("id").orderBy(F.coalesce("df", F.lit(1)), "g")))

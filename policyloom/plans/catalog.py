@@ -15,7 +15,7 @@ from ..functions import patterns as P
 from ..functions import pii
 from ..functions import text as X
 from ..operators import decisions, grammar, joins, ledger, planning, similarity
-from ..runtime import ship, table
+from ..runtime import ship, stored, table
 from ..sources import readers
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -355,7 +355,9 @@ def gate_codes(docs: DataFrame, sources: DataFrame | None = None, identifier=_si
     """
     text = F.col("text")
     rows = docs.select("doc_id", "source", "text").withColumn("bin", _bin())
-    local = rows.withColumn("local", G.first_failure(*G.local_gates(text, F.lit("query"), F.lit(None).cast("string"), F.col("bin"), identifier(text), words)))
+    code = G.first_failure(*G.local_gates(text, F.lit("query"), F.lit(None).cast("string"), F.col("bin"), identifier(text), words))
+    # The local gates run once; of rows that they refuse only the code is kept.
+    local = stored(rows.withColumn("local", code).withColumn("text", F.when(F.col("local") == "accepted", text)).drop("bin"), "local-gates")
     passed = local.where("local = 'accepted'").select("doc_id", "source", "text")
     key = F.sha2(X.canonical(text), 256)
     first = passed.groupBy(key.alias("key")).agg(F.min("doc_id").alias("first"))
