@@ -205,3 +205,17 @@ def test_policy_pairs_and_rendering(spark):
 def test_udf_queries_ship_code(spark):
     ship(spark)
     assert spark.createDataFrame([("https://a.org",), (None,)], "u string").select(grammar.url_check({"a.org"})("u")).collect() == [("ok",), ("invalid",)]
+
+
+def test_sources_are_placed_by_quota_and_form(spark):
+    policies = spark.createDataFrame([("p", 0, ["R1", "R2"]), ("q", 1, ["R2", "R3"])], "policy_id string, position int, rule_ids array<string>")
+    rows = planning.plan_release(spark, policies, 100, "s").cache()
+    seeds = spark.createDataFrame([(s, f"{s}-{k}") for s in P.SOURCE_QUOTAS for k in range(15)], "source string, source_id string")
+    got = planning.assign_sources(rows, seeds, 100, "s").collect()
+    named = [r for r in got if r.source]
+    assert len(got) == 100 and len({r.source_id for r in named}) == len(named)
+    counts = {s: sum(r.source == s for r in named) for s in P.SOURCE_QUOTAS}
+    assert counts == planning.source_amounts(100) == {"uci_sms_spam": 10, "uci_youtube_spam": 5, "nemotron_aegis_v2": 6, "civil_comments": 5, "amazon_esci": 4}
+    assert all(r.content_form in P.SOURCE_FORMS[r.source] for r in named)
+    with pytest.raises(ValueError):
+        planning.assign_sources(rows, seeds.limit(3), 100, "s")
