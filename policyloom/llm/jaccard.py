@@ -6,8 +6,9 @@ the first n - ceil(t * n) + 1. Inverted lists are then searched with skipping:
 * Set relation, equal sets: an index list holds a set once, however many documents have it.
 * Set relation, similar sets: in a list, each set is first compared with one hub of its size band alone. What
   the hub's answer already decides is not asked again: members that the verified links connect share one
-  component, and lists of one component are done. Of the others, the members of a hub meet in blocks, where the
-  common counts of all of them are derived together from the shingles that they share.
+  component, and lists of one component are done. Of the others, short lists yield their pairs across components,
+  and the members of long ones meet in blocks, where the common counts of all of them are derived together from the
+  shingles that they share.
 * Position blocks: lists are sorted by set size and skipped through by bands of size; within a band, members whose
   size and position allow too little overlap with the hub are skipped before their sets are looked at.
 
@@ -292,15 +293,24 @@ def verify(pairs: DataFrame, docs: DataFrame, id_col: str, text: str, width: int
     return both.select("u", "v", "right", "left").mapInArrow(run, "u long, v long").distinct()
 
 
+def _few_pairs(columns, percent: int):
+    """Pairs of different components in one short list whose sizes and positions allow enough overlap."""
+    ids, ns, pos, c = (np.array(x, np.int64) for x in columns)
+    fits = _possible(ns[:, None], pos[:, None], ns[None, :], pos[None, :], percent) & (c[:, None] != c[None, :])
+    x, y = np.nonzero(np.triu(fits, 1))
+    return np.stack([ids[x], ids[y]])
+
+
 def _units(members: DataFrame, block: int) -> DataFrame:
-    """Open lists' members (token, band, id) dealt to blocks that must meet: h1, h2, i, j, side, id.
+    """Members (cluster, band, id) dealt to blocks that must meet: h1, h2, i, j, side, id.
 
-    Members of a size band share a hub; sets of one hub meet each other, and those of hubs of neighbouring bands that a list
-    holds both. A hub's members are cut in blocks, so that no group is collected whole.
+    Sets of a cluster meet if they are of one size band or of neighbouring ones; others differ too much in size. A band of a
+    cluster is cut in blocks, so that no group is collected whole.
     """
-    hubs = members.groupBy("token", "band").agg(F.min("id").alias("hub"))
-    own = stored(members.join(hubs, ["token", "band"]).select("hub", "id").distinct(), "hub-members")
+    own = stored(members.select("cluster", "band", "id", F.xxhash64("cluster", "band").alias("hub")).distinct(), "cluster-members")
+    hubs = own.select("cluster", "band", "hub").distinct()
     blocks = own.groupBy("hub").agg(F.count(F.lit(1)).alias("n")).withColumn("blocks", F.ceil(F.col("n") / block).cast("int"))
+    own = own.select("hub", "id")
     dealt = own.join(blocks, "hub").withColumn("mine", F.pmod(F.xxhash64("id"), F.col("blocks")).cast("int"))
     every = lambda n: F.explode(F.sequence(F.lit(0), F.col(n) - 1))
     same = dealt.where("n > 1").withColumn("other", every("blocks"))
@@ -308,9 +318,9 @@ def _units(members: DataFrame, block: int) -> DataFrame:
         F.col("hub").alias("h1"), F.col("hub").alias("h2"), F.least("mine", "other").alias("i"), F.greatest("mine", "other").alias("j"),
         F.when(F.col("mine") == F.col("other"), 2).when(F.col("mine") < F.col("other"), 0).otherwise(1).alias("side"), "id",
     )
-    next_band = hubs.select("token", (F.col("band") - 1).alias("band"), F.col("hub").alias("h2"))
+    next_band = hubs.select("cluster", (F.col("band") - 1).alias("band"), F.col("hub").alias("h2"))
     sizes = blocks.select("hub", "blocks")
-    meet = hubs.withColumnRenamed("hub", "h1").join(next_band, ["token", "band"]).select("h1", "h2").distinct()
+    meet = hubs.withColumnRenamed("hub", "h1").join(next_band, ["cluster", "band"]).select("h1", "h2").distinct()
     meet = meet.join(sizes.withColumnsRenamed({"hub": "h1", "blocks": "b1"}), "h1").join(sizes.withColumnsRenamed({"hub": "h2", "blocks": "b2"}), "h2")
     left = dealt.select(F.col("hub").alias("h1"), "mine", "id").join(meet, "h1").withColumn("j", every("b2")).select("h1", "h2", F.col("mine").alias("i"), "j", F.lit(0).alias("side"), "id")
     right = dealt.select(F.col("hub").alias("h2"), "mine", "id").join(meet, "h2").withColumn("i", every("b1")).select("h1", "h2", "i", F.col("mine").alias("j"), F.lit(1).alias("side"), "id")
@@ -345,7 +355,7 @@ def _block_links(units: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     return sent.mapInArrow(run, "u long, v long").distinct()
 
 
-def jaccard_components(docs: DataFrame, id_col: str = "doc_id", text: str = "text", width: int = 5, percent: int = 80, bitmap_buckets: int = 1024, block: int = 512) -> DataFrame:
+def jaccard_components(docs: DataFrame, id_col: str = "doc_id", text: str = "text", width: int = 5, percent: int = 80, bitmap_buckets: int = 1024, block: int = 512, short_list: int = 32) -> DataFrame:
     """Per row: the id, n_shingles, component_id (smallest id reachable by links, its own included)."""
     spark = docs.sparkSession
     signed = stored(set_signatures(docs, id_col, text, width), "sets")
@@ -359,11 +369,20 @@ def jaccard_components(docs: DataFrame, id_col: str = "doc_id", text: str = "tex
     named = members.join(found, "id", "left").withColumn("c", F.coalesce("component_id", "id")).drop("component_id")
     open_tokens = named.groupBy("token").agg(F.min("c").alias("a"), F.max("c").alias("b")).where("a < b").select("token")
     band = F.floor(F.log(F.col("n").cast("double")) / float(np.log(100 / percent)))
-    open_members = stored(named.join(open_tokens, "token", "left_semi").select("token", band.alias("band"), "id").distinct(), "open-members")
-    more = links.limit(0)
-    if not open_members.isEmpty():
-        units = _units(open_members, block)
-        more = _block_links(units, _wanted_sets(open_members.select("id").distinct(), docs, id_col, text, width, bitmap_buckets), percent)
+    open_members = stored(named.join(open_tokens, "token", "left_semi").select("token", band.alias("band"), "id", "n", "pos", "c").distinct(), "open-members")
+    long = open_members.groupBy("token").agg(F.count(F.lit(1)).alias("size"), F.min("id").alias("hub")).where(F.col("size") > short_list)
+    # Short lists: their pairs across components, at most short_list / 2 for each member.
+    runs = open_members.join(long, "token", "left_anti").groupBy("token").agg(F.collect_list(F.struct("id", "n", "pos", "c")).alias("m"))
+    few = _pairs(runs.select(*[F.col(f"m.{f}").alias(f) for f in ("id", "n", "pos", "c")]), lambda *x: _few_pairs(x, percent))
+    few = stored(few.join(tried, ["u", "v"], "left_anti"), "few-pairs")
+    more = verify(few, docs, id_col, text, width, percent, bitmap_buckets)
+    # Long lists: members that any of them connects form a cluster, whose blocks meet.
+    crowd = stored(open_members.join(long, "token").select("hub", "band", "id").distinct(), "crowded")
+    if not crowd.isEmpty():
+        clusters = components(crowd.select(F.col("hub").alias("u"), F.col("id").alias("v"))).withColumnRenamed("component_id", "cluster")
+        units = _units(crowd.select("band", "id").distinct().join(clusters, "id"), block)
+        wanted = _wanted_sets(crowd.select("id").distinct(), docs, id_col, text, width, bitmap_buckets)
+        more = more.unionByName(_block_links(units, wanted, percent))
     final = components(links.unionByName(more))
     least = signed.where("n > 0").groupBy("key").agg(F.min("id").alias("least"))
     groups = least.join(final.withColumnRenamed("id", "key"), "key", "left").withColumn("c", F.coalesce("component_id", "key"))
