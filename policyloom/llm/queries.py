@@ -47,7 +47,7 @@ def op4_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op5_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Documents without lines that an earlier line equals or is one edit away from."""
+    """Documents without lines that an earlier line equals or is within the edit bound of (one edit for every 20 characters, at most 4)."""
     kept = linedup.dedupe_lines(_docs(spark, sf_dir).select("doc_id", "text"))
     return kept.select("doc_id", "n_lines", "n_removed", F.sha2(F.coalesce("text", F.lit("")), 256).alias("kept_sha256"))
 

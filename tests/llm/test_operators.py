@@ -203,6 +203,37 @@ def test_line_dedup(spark):
     assert near and linedup.dedupe_lines(docs_of(spark, [])).count() == 0
 
 
+def edits(a, b):
+    row = list(range(len(b) + 1))
+    for i, x in enumerate(a, 1):
+        row, before = [i], row
+        for j, y in enumerate(b, 1):
+            row.append(min(before[j] + 1, row[-1] + 1, before[j - 1] + (x != y)))
+    return row[-1]
+
+
+def test_line_dedup_bound_grows_with_the_line(spark):
+    rng = random.Random(11)
+    base = ["".join(rng.choice("abcdefgh é") for _ in range(rng.choice([20, 39, 41, 59, 62, 79, 83, 120]))) for _ in range(16)]
+
+    def changed(x):
+        for _ in range(rng.randint(0, 6)):
+            i = rng.randrange(len(x) + 1)
+            x = rng.choice([x[:i] + rng.choice("abü") + x[i:], x[:i] + x[i + 1 :], x[:i] + rng.choice("ab") + x[i + 1 :]])
+        return x
+
+    rows = [(k, changed(base[k % 16])) for k in range(200)]
+    first = {}
+    for i, x in rows:
+        first.setdefault(x, i)
+    bound = lambda a, b: max(1, min(4, min(len(a), len(b)) // 20))
+    near = {x: min((d for y in first if min(len(x), len(y)) >= 20 and first[y] < first[x] and (d := edits(x, y)) <= bound(x, y)), default=0) for x in first}
+    assert {1, 2, 3, 4} <= set(near.values())
+    expected = [(i, "" if near[x] or first[x] != i else x) for i, x in rows]
+    got = linedup.dedupe_lines(docs_of(spark, rows)).select("doc_id", "text").collect()
+    assert sorted(map(tuple, got)) == expected
+
+
 # --- 6 toxicity ---------------------------------------------------------------------------------------------------
 
 
