@@ -603,23 +603,50 @@ def quota_coverage(spark, d):
     return planning.coverage(rows, ["p_brand", "p_type", "p_size"], "ok")
 
 
-def _release(spark):
-    flat = policies(spark).select("policy_id", "position", F.col("rules.rule_id").alias("rule_ids"))
-    return planning.plan_release(spark, flat, 500, "release")
+def _release(spark, d, count):
+    """Orders stand in for seed records, dealt over the governed sources in proportion to their quotas."""
+    ends, at = [], 0
+    for source, quota in P.SOURCE_QUOTAS.items():
+        at += quota
+        ends.append((source, at))
+    bucket = F.pmod(F.xxhash64("o_orderkey"), F.lit(at))
+    source = F.coalesce(*[F.when(bucket < end, F.lit(name)) for name, end in ends])
+    seeds = table(spark, d, "orders").select(source.alias("source"), F.col("o_orderkey").cast("string").alias("source_id"), F.sha2(F.concat_ws("|", "o_orderkey", "o_totalprice"), 256).alias("content_hash"))
+    return planning.plan_blueprints(spark, policies(spark), seeds, count, "release")
+
+
+def _axis_counts(rows, axes):
+    pairs = F.explode(F.array(*[F.struct(F.lit(a).alias("axis"), F.col("intended_label" if a == "label" else a).alias("value")) for a in axes]))
+    return rows.select(pairs.alias("p")).groupBy("p.axis", "p.value").agg(F.count(F.lit(1)).alias("n"))
 
 
 @query("SELECT * FROM (VALUES " + ", ".join(f"('{axis}', '{value}', {w * 500 // 2000})" for axis in P.QUOTAS for value, w in P.QUOTAS[axis].items()) + ") t(axis, value, n)")
 def release_quota_check(spark, d):
-    """Counts of a planned release by axis and value: every quota is met."""
-    rows = _release(spark)
-    pairs = F.explode(F.array(*[F.struct(F.lit(a).alias("axis"), F.col(a).alias("value")) for a in P.QUOTAS]))
-    return rows.select(pairs.alias("p")).groupBy("p.axis", "p.value").agg(F.count(F.lit(1)).alias("n"))
+    """Counts of a planned release of 500 rows by axis and value; its SQL holds the axes without tone and noise profile."""
+    return _axis_counts(_release(spark, d, 500), P.QUOTAS)
 
 
 @query()
 def release_blueprints(spark, d):
-    """The planned release itself."""
-    return _release(spark)
+    """The planned release of 500 rows itself."""
+    return _release(spark, d, 500)
+
+
+@query("""SELECT axis, value, n FROM (VALUES ('label', ['safe', 'unsafe'], 1000), ('conversation_shape', ['query'], 1400), ('conversation_shape', ['query_response'], 600),
+('thinking_type', ['fast'], 1400), ('thinking_type', ['slow'], 600), ('content_form', ['short_ad'], 400), ('content_form', ['social_post', 'livestream_pitch', 'product_listing'], 300),
+('content_form', ['comment', 'private_message', 'support_exchange'], 200), ('content_form', ['search_or_neutral'], 100), ('difficulty', ['explicit', 'exception'], 500),
+('difficulty', ['paraphrased'], 600), ('difficulty', ['implicit'], 400), ('length_bin', ['headline', 'short', 'medium', 'long'], 500),
+('tone', ['formal', 'colloquial', 'promotional', 'urgent', 'testimonial', 'technical', 'humorous', 'neutral'], 250),
+('noise_profile', ['none', 'spelling', 'emoji', 'punctuation', 'obfuscation'], 400)) t(axis, vals, n), unnest(vals) u(value)""")
+def release_quota_check_2000(spark, d):
+    """Counts of the full release of 2000 rows by axis and value, over all axes."""
+    return _axis_counts(_release(spark, d, 2000), P.QUOTAS | P.STYLE_QUOTAS)
+
+
+@query()
+def release_blueprints_2000(spark, d):
+    """The full planned release of 2000 rows."""
+    return _release(spark, d, 2000)
 
 
 # --- ledgers ------------------------------------------------------------------------------------------------------

@@ -219,3 +219,23 @@ def test_sources_are_placed_by_quota_and_form(spark):
     assert all(r.content_form in P.SOURCE_FORMS[r.source] for r in named)
     with pytest.raises(ValueError):
         planning.assign_sources(rows, seeds.limit(3), 100, "s")
+
+
+def test_blueprints_are_whole(spark):
+    rules = lambda *own: [{"rule_id": r, "title": f"title {r}", "text": "x", "exceptions": e} for r, e in own]
+    kind = "policy_id string, position int, rules array<struct<rule_id: string, title: string, text: string, exceptions: array<string>>>"
+    policies = spark.createDataFrame([("p", 0, rules(("R1", ["e1"]), ("R2", ["e2", "e3"]))), ("q", 1, rules(("R2", ["e2", "e3"]))), ("r", 2, rules(("R3", [])))], kind)
+    seeds = spark.createDataFrame([(s, f"{s}-{k}", f"{s}{k}") for s in P.SOURCE_QUOTAS for k in range(12)], "source string, source_id string, content_hash string")
+    got = planning.plan_blueprints(spark, policies, seeds, 100, "s").collect()
+    assert len(got) == len({r.blueprint_id for r in got}) == len({r.family_id for r in got}) == 100
+    count = lambda axis: sorted(sum(r[axis] == v for r in got) for v in {r[axis] for r in got})
+    assert count("tone") == [12] * 4 + [13] * 4 and count("noise_profile") == [20] * 5 and sum(r.source_ref is not None for r in got) == 30
+    assert all(r.source_ref is None or r.source_ref.content_hash == r.source_ref.source_id.replace("-", "") for r in got)
+    targets = [r for r in got if r.target_exception]
+    assert {r.slot for r in targets} == {r.slot for r in got if r.intended_label == "safe" and r.difficulty == "exception"}
+    uses = [sum(r.target_exception == e for r in targets) for e in ("e1", "e2", "e3")]
+    assert min(uses) > 0 and max(uses) - min(uses) <= 1
+    assert all(r.target_exception_rule_id in r.active_rule_ids for r in targets) and {r.policy_id for r in targets if r.target_exception == "e2"} == {"p", "q"}
+    for r in got:
+        assert r.active_rule_titles == [f"title {x}" for x in r.active_rule_ids] and r.tool_capable is False
+        assert r.intended_answers == ([f"title {r.primary_rule_id}"] if r.intended_label == "unsafe" else []) and (r.primary_rule_id is None) == (r.intended_label == "safe")
