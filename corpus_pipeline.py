@@ -1,7 +1,7 @@
 """A corpus pipeline: each stage works on all that its predecessor kept, written as Parquet and read again.
 
 Language ID drops documents without a language; line dedup cuts repeated lines and drops documents of which nothing
-is left; the Jaccard join keeps the document of the smallest id of each group; mixing repeats or drops documents to
+is left; the Jaccard join keeps the row of the smallest id of each group; mixing repeats or drops documents to
 meet source weights; byte-level BPE turns texts into ids. All but the last return the columns of documents.
 """
 
@@ -33,10 +33,17 @@ def drop_repeated_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Da
 
 
 def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of linked shingle sets: that of the smallest id."""
-    groups = jaccard.jaccard_components(docs.select("doc_id", "text"))
-    gone = stored(groups.where("doc_id <> component_id").select("doc_id"), "near-copies")
-    return docs.join(gone, "doc_id", "left_anti").select(*docs.columns)
+    """One row of each group of linked shingle sets: that of the smallest id, null ids last.
+
+    Rows are judged one by one, so rows without an id or with a repeated id are copies only if their texts are.
+    """
+    rows = stored(docs.withColumn("__row", F.monotonically_increasing_id()), "near-copy-rows")
+    groups = jaccard.jaccard_components(rows.select(F.col("__row").alias("doc_id"), "text")).select(F.col("doc_id").alias("__row"), "component_id")
+    placed = groups.join(rows.select("__row", "doc_id"), "__row")
+    order = F.struct(F.col("doc_id").isNull().alias("last"), "doc_id", "__row")
+    first = placed.groupBy("component_id").agg(F.min(order).alias("first")).select(F.col("first.__row").alias("__row"))
+    gone = stored(groups.select("__row").join(first, "__row", "left_anti"), "near-copies")
+    return rows.join(gone, "__row", "left_anti").select(*docs.columns)
 
 
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -39,3 +39,12 @@ def test_pipeline_stages(spark):
     assert mixed.columns == docs.columns and mixed.join(docs, docs.columns, "left_anti").count() == 0
     final = corpus_pipeline.run(spark, DATA)
     assert final.count() > 0 and final.where("n_tokens is null or token_ids is null").count() == 0
+
+
+def test_near_copies_are_dropped_by_row(spark):
+    text = {k: " ".join(f"{k}{i}" for i in range(60)) for k in "abcd"}
+    rows = [(None, text["a"]), (None, text["a"]), (4, text["b"]), (5, text["b"]), (5, text["c"]), (7, text["d"]), (7, text["d"]), (None, text["d"]), (9, None), (9, None)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    got = corpus_pipeline.drop_near_copies(spark, docs, DATA).collect()
+    expected = [(None, text["a"]), (4, text["b"]), (5, text["c"]), (7, text["d"]), (9, None), (9, None)]
+    assert sorted(map(tuple, got), key=str) == sorted(expected, key=str)
