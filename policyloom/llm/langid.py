@@ -8,8 +8,9 @@ one weight vector a language against the rest, and texts are scored in blocks: p
 landmark matrix, scaled to kernel values, times weights.
 
 Fitting reads a bounded sample: up to max_rows labelled rows, dealt evenly over the languages and drawn
-by a hash of the id among all labelled rows. Only the samples' presence bits reach the driver
-(max_rows * bits / 8 bytes). Scoring is one pass without a shuffle.
+by a hash of the id among all labelled rows. Every language is learned: beyond max_rows / 4 of them, each
+still has up to four rows, and each has a landmark, so sample and model grow with the languages. Only the
+samples' presence bits reach the driver (bits / 8 bytes a row). Scoring is one pass without a shuffle.
 
 Defined results: a null text, or one without any letter, is `und` with score 0; so is every text if no
 labelled row exists. Ties go to the language that sorts first. Repeated rows get repeated results;
@@ -73,20 +74,17 @@ def fit(
     labelled: DataFrame, id_col: str = "doc_id", text: str = "text", lang: str = "lang",
     max_rows: int = 1600, landmarks: int = 160, orders: tuple[int, ...] = (1, 2, 3), bits: int = 1 << 14, ridge: float = 1e-2,
 ) -> LanguageModel:
-    """Fit on rows of non-null text and lang; at most max_rows of them, chosen by a hash of the id."""
+    """Fit on rows of non-null text and lang; at most max_rows of them or four a language, chosen by a hash of the id."""
     ship(labelled.sparkSession)
     rows = labelled.where(F.col(lang).isNotNull() & F.col(text).isNotNull())
-    counts = {r[0]: r[1] for r in rows.groupBy(lang).count().orderBy(F.desc("count"), lang).limit(max_rows // 4).collect()}
+    counts = {r[0]: r[1] for r in rows.groupBy(lang).count().collect()}
     if not counts:
         return LanguageModel([], np.zeros((bits, 0), np.float32), np.zeros(0), np.zeros((0, 0)), orders, bits)
-    each = max_rows // len(counts)
+    each = max(4, max_rows // len(counts))
     draw = F.xxhash64(F.col(id_col).cast("string"), F.lit("langid"))
-    share = F.lit(0.0)
-    for name, n in counts.items():
-        share = F.when(F.col(lang) == name, F.lit(min(1.0, 1.3 * each / n + 5 / n))).otherwise(share)
-    sample = rows.select(draw.alias("draw"), F.col(text).alias("text"), F.col(lang).alias("lang"), share.alias("share")).where(
-        F.pmod("draw", F.lit(1 << 30)) < F.col("share") * (1 << 30)
-    )
+    shares = labelled.sparkSession.createDataFrame([(name, min(1.0, 1.3 * each / n + 5 / n)) for name, n in counts.items()], "__lang string, share double")
+    dealt = rows.select(draw.alias("draw"), F.col(text).alias("text"), F.col(lang).alias("lang")).join(F.broadcast(shares), F.col("lang") == F.col("__lang"))
+    sample = dealt.where(F.pmod("draw", F.lit(1 << 30)) < F.col("share") * (1 << 30)).select("draw", "text", "lang")
 
     def bits_of(batches):
         for batch in slices(batches):
@@ -99,10 +97,10 @@ def fit(
 
     drawn = sample.mapInArrow(bits_of, "draw long, lang string, bits binary").collect()
     languages = sorted(counts)
-    picked = []
-    for name in languages:
-        own = sorted({(r.draw, bytes(r.bits)) for r in drawn if r.lang == name})
-        picked.append(own[:each])
+    own_rows: dict[str, set] = {name: set() for name in languages}
+    for r in drawn:
+        own_rows[r.lang].add((r.draw, bytes(r.bits)))
+    picked = [sorted(own)[:each] for own in own_rows.values()]
     x = np.array([np.unpackbits(np.frombuffer(b, np.uint8)) for own in picked for _, b in own], np.float32).reshape(-1, bits)
     y = np.repeat(np.arange(len(languages)), [len(own) for own in picked])
     per = max(1, landmarks // len(languages))

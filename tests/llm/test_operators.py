@@ -294,6 +294,14 @@ def test_kernel_is_that_of_presence_sets():
     assert rows.sum(1).tolist() == [len(s) for s in sets] and (rows[0] @ rows[1]) == len(sets[0] & sets[1])
 
 
+def test_every_language_is_learned(spark):
+    rows = [(k, chr(0x4E00 + k % 430) * 3, f"l{k % 430:03}") for k in range(430 * 5 - 3)]
+    labelled = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    model = langid.fit(labelled)
+    assert len(model.languages) == 430
+    assert langid.score_block([rows[429][1]], model)[0] == ["l429"]
+
+
 # --- 8 Jaccard ----------------------------------------------------------------------------------------------------
 
 
