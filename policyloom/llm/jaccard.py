@@ -1,7 +1,7 @@
 """Exact Jaccard join of word-shingle sets, with components of linked documents.
 
 Prefix filtering over a global order (frequent shingles last, else by hash): linked sets share a shingle among
-the first n - ceil(t * n) + 1. Inverted lists are then searched with skipping:
+the first n - ceil(t * n) + 1. Inverted lists are then searched:
 
 * Set relation, equal sets: an index list holds a set once, however many documents have it.
 * Set relation, similar sets: in a list, each set is first compared with one hub of its size band alone. What
@@ -9,8 +9,8 @@ the first n - ceil(t * n) + 1. Inverted lists are then searched with skipping:
   component, and lists of one component are done. Of the others, short lists yield their pairs across components,
   and the members of long ones meet in blocks, where the common counts of all of them are derived together from the
   shingles that they share.
-* Position blocks: lists are sorted by set size and skipped through by bands of size; within a band, members whose
-  size and position allow too little overlap with the hub are skipped before their sets are looked at.
+* Positions: lists are sorted by set size; each member is tested against the hub of its size band, and left out before
+  its set is looked at if size and position allow too little overlap. No block of a list is skipped as a whole.
 
 Links are verified on whole sets, so they are exact up to 64-bit shingle hashes. Blocks yield as many links as
 join their components, so a group of n near copies makes no n * n rows. Text is scanned five times, never shuffled; what travels are hashes of frequent-candidate shingles for counting, prefix
