@@ -64,7 +64,7 @@ STAGES = [
     ("byte-level BPE", encode_text),
 ]
 
-#: SQL cannot express the classifier; the tests compare run() with a stage by stage version.
+#: SQL cannot express the classifier; the tests compare run() with the stages called one by one, not with a second implementation.
 ORACLE_SQL = None
 
 

@@ -48,3 +48,12 @@ def test_near_copies_are_dropped_by_row(spark):
     got = corpus_pipeline.drop_near_copies(spark, docs, DATA).collect()
     expected = [(None, text["a"]), (4, text["b"]), (5, text["c"]), (7, text["d"]), (9, None), (9, None)]
     assert sorted(map(tuple, got), key=str) == sorted(expected, key=str)
+
+
+def test_run_equals_its_stages(spark):
+    docs = spark.read.parquet(f"{DATA}/documents.parquet")
+    for _, stage in corpus_pipeline.STAGES:
+        docs = stage(spark, docs, DATA).cache()
+    rows = lambda df: sorted((r.doc_id, r.lang, r.source, r.n_tokens, bytes(r.token_ids)) for r in df.collect())
+    expected = rows(docs)
+    assert expected and rows(corpus_pipeline.run(spark, DATA)) == expected
