@@ -27,7 +27,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ..runtime import ship
-from .kernels import U64, _EXACT, mix, slices, span_hashes
+from .kernels import U64, blocks_of, mix, same_spans, slices, span_hashes
 
 _RUN = 1 << 18
 _CACHE_ENTRIES = 1 << 19
@@ -97,14 +97,15 @@ class Vocabulary:
         self.ranks = {token: k for k, token in enumerate(tokens)}
         sizes = np.array([len(x) for x in tokens], np.int64)
         ends = np.cumsum(sizes)
-        data = np.frombuffer(b"".join(tokens) + bytes(8), np.uint8)
-        keys = span_hashes(data[:-8], ends - sizes, ends, _EXACT)
+        data = np.frombuffer(b"".join(tokens), np.uint8)
+        self.blocks = blocks_of(data).copy()
+        keys = span_hashes(data, ends - sizes, ends, self.blocks)
+        if len(np.unique(keys)) < len(keys):
+            raise ValueError("two entries share a hash")
         self.find = PerfectHash(keys)
         slots = self.find(keys)
-        self.key, self.id = np.zeros(len(tokens), U64), np.zeros(len(tokens), np.uint32)
-        self.head, self.size = np.zeros(len(tokens), U64), np.zeros(len(tokens), np.int64)
-        self.key[slots], self.id[slots], self.size[slots] = keys, np.arange(len(tokens)), sizes
-        self.head[slots] = _heads(data, ends - sizes, sizes)
+        self.id, self.size, self.at = np.zeros(len(tokens), np.uint32), np.zeros(len(tokens), np.int64), np.zeros(len(tokens), np.int64)
+        self.id[slots], self.size[slots], self.at[slots] = np.arange(len(tokens)), sizes, ends - sizes
         self.cache: dict[bytes, np.ndarray] = {}
 
     def __getstate__(self):
@@ -149,14 +150,6 @@ def _merged(piece: bytes, ranks: dict[bytes, int]) -> list[int]:
     return out
 
 
-def _heads(padded: np.ndarray, starts: np.ndarray, sizes: np.ndarray) -> np.ndarray:
-    """The first eight bytes of each span as a number, zeros beyond its end; padded has eight bytes to spare."""
-    view = np.ndarray((len(padded) - 7,), "<u8", padded.tobytes(), strides=(1,))
-    keep = np.minimum(sizes, 8).astype(U64) * U64(8)
-    mask = np.where(keep == U64(64), U64(0xFFFFFFFFFFFFFFFF), (U64(1) << (keep & U64(63))) - U64(1))
-    return view[starts] & mask
-
-
 @lru_cache(1)
 def _classes() -> np.ndarray:
     """The kind of every code point."""
@@ -196,6 +189,19 @@ def _starts(points: np.ndarray, edges: np.ndarray, classes: np.ndarray) -> np.nd
     return np.flatnonzero(start)
 
 
+def _distinct_spans(data, blocks, begin, size, key):
+    """Of spans the first of each group of equal bytes, and each span's group."""
+    _, first, which = np.unique(key, return_index=True, return_inverse=True)
+    other = begin[first][which]
+    same = size == size[first][which]
+    same[same] = same_spans(data, blocks, begin[same], other[same], size[same])
+    # Spans whose hash is another's are groups of their own.
+    alone = np.flatnonzero(~same)
+    which = which.copy()
+    which[alone] = len(first) + np.arange(len(alone))
+    return np.concatenate([first, alone]), which
+
+
 def encode_run(texts: list[str], vocabulary: Vocabulary) -> list[np.ndarray]:
     """The ids of each text, uint32."""
     joined = "\n".join(texts) + "\n"
@@ -215,12 +221,15 @@ def encode_run(texts: list[str], vocabulary: Vocabulary) -> list[np.ndarray]:
     keep[edge_row] = False
     begin, stop = begin[keep], stop[keep]
     size = stop - begin
-    key = span_hashes(data, begin, stop, _EXACT)
+    blocks = blocks_of(data)
+    key = span_hashes(data, begin, stop, blocks)
     slot = vocabulary.find(key)
-    hit = (vocabulary.key[slot] == key) & (vocabulary.size[slot] == size)
-    hit &= vocabulary.head[slot] == _heads(np.frombuffer(raw + bytes(8), np.uint8), begin, size)
+    # A hit has the entry's size and all its bytes.
+    hit = vocabulary.size[slot] == size
+    sized = np.flatnonzero(hit)
+    hit[sized] = same_spans(data, blocks, begin[sized], vocabulary.at[slot[sized]], size[sized], vocabulary.blocks)
     misses = np.flatnonzero(~hit)
-    _, first, which = np.unique(key[misses], return_index=True, return_inverse=True)
+    first, which = _distinct_spans(data, blocks, begin[misses], size[misses], key[misses])
     first = misses[first]
     parts = [vocabulary.merge(raw[a:b]) for a, b in zip(begin[first].tolist(), stop[first].tolist())]
     part_size = np.array([len(x) // 4 for x in parts], np.int64)

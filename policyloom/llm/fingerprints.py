@@ -47,7 +47,7 @@ def minhash(shingles: np.ndarray, bins: int = 512, bits: int = 4) -> bytes:
     open_bins = np.flatnonzero(~filled)
     attempt = 1
     while len(open_bins):
-        at = (mix(open_bins.astype(U64) + U64(attempt) * U64(0x9E3779B97F4A7C15)) & U64(bins - 1)).astype(np.int64)
+        at = (mix(open_bins.astype(U64) + U64(attempt * 0x9E3779B97F4A7C15 & (1 << 64) - 1)) & U64(bins - 1)).astype(np.int64)
         source[open_bins] = at
         open_bins = open_bins[~filled[at]]
         attempt += 1

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import hashlib
+
 import numpy as np
 
 U64 = np.uint64
@@ -10,7 +12,6 @@ SEPARATORS = (0x20, 0x09, 0x0A, 0x0B, 0x0C, 0x0D)
 _SEP = np.zeros(256, bool)
 _SEP[list(SEPARATORS)] = True
 _BASE = 0x9E3779B97F4A7C15 | 1
-_BASE_INVERSE = pow(_BASE, -1, 1 << 64)
 _CHUNK = 1 << 20
 
 
@@ -36,34 +37,56 @@ def distinct(x: np.ndarray) -> np.ndarray:
     return x[keep]
 
 
-def _byte_values(fold: bool) -> np.ndarray:
-    codes = np.arange(256, dtype=U64)
-    if fold:
-        codes[65:91] += U64(32)
-    return mix((codes + U64(1)) * U64(0xD1342543DE82EF95))
+_FOLD = np.arange(256, dtype=np.uint8)
+_FOLD[65:91] += 32
+_EXACT = mix((np.arange(256, dtype=U64) + U64(1)) * U64(0xD1342543DE82EF95))
+#: Spans above this many bytes are hashed one by one, by BLAKE2.
+_LONG = 128
+_FULL = U64(0xFFFFFFFFFFFFFFFF)
+
 
+def blocks_of(data: np.ndarray) -> np.ndarray:
+    """The eight bytes from every place of data as a number; zeros follow the end."""
+    padded = np.concatenate([data, np.zeros(8, np.uint8)])
+    return np.ndarray((len(data) + 1,), "<u8", padded.tobytes(), strides=(1,))
 
-_FOLDED = _byte_values(True)
-_EXACT = _byte_values(False)
-_powers = {"p": np.ones(1, U64), "i": np.ones(1, U64)}
 
+def _masked(blocks: np.ndarray, at: np.ndarray, left: np.ndarray) -> np.ndarray:
+    bits = np.minimum(left, 8).astype(U64) * U64(8)
+    return blocks[at] & np.where(bits == U64(64), _FULL, (U64(1) << (bits & U64(63))) - U64(1))
 
-def _power_table(which: str, n: int) -> np.ndarray:
-    table = _powers[which]
-    if len(table) < n:
-        size = max(n, 2 * len(table), 1 << 12)
-        step = np.full(size, _BASE if which == "p" else _BASE_INVERSE, U64)
-        step[0] = 1
-        table = _powers[which] = np.cumprod(step, dtype=U64)
-    return table[:n]
 
+def span_hashes(data: np.ndarray, starts: np.ndarray, ends: np.ndarray, blocks: np.ndarray | None = None) -> np.ndarray:
+    """A 64-bit hash of each byte span data[start:end]; it depends on the span's bytes alone.
 
-def span_hashes(data: np.ndarray, starts: np.ndarray, ends: np.ndarray, values: np.ndarray) -> np.ndarray:
-    """A 64-bit hash of each byte span data[start:end]; it depends on the span's bytes alone."""
-    sums = np.zeros(len(data) + 1, U64)
-    np.cumsum(values[data] * _power_table("p", len(data)), out=sums[1:])
-    raw = (sums[ends] - sums[starts]) * _power_table("i", len(data) + 1)[starts]
-    return mix(raw + (ends - starts).astype(U64) * U64(0xA0761D6478BD642F))
+    Eight bytes at a time go through a mixing permutation, so no length or pattern of bytes cancels out; spans of up to
+    eight bytes and equal length never collide. Long spans take BLAKE2.
+    """
+    blocks = blocks_of(data) if blocks is None else blocks
+    size = ends - starts
+    short = np.flatnonzero(size <= _LONG)
+    state = mix(size.astype(U64) + U64(0xA0761D6478BD642F))
+    at, left = starts[short], size[short]
+    while len(short):
+        state[short] = mix(state[short] ^ _masked(blocks, at, left))
+        more = np.flatnonzero(left > 8)
+        short, at, left = short[more], at[more] + 8, left[more] - 8
+    for k in np.flatnonzero(size > _LONG).tolist():
+        state[k] = int.from_bytes(hashlib.blake2b(data[starts[k] : ends[k]].tobytes(), digest_size=8).digest(), "little")
+    return state
+
+
+def same_spans(data: np.ndarray, blocks: np.ndarray, starts: np.ndarray, others: np.ndarray, sizes: np.ndarray, other_blocks: np.ndarray | None = None) -> np.ndarray:
+    """Whether spans of equal size hold the same bytes; others may lie in other data of which blocks are given."""
+    other_blocks = blocks if other_blocks is None else other_blocks
+    same = np.ones(len(starts), bool)
+    open_, at, to, left = np.arange(len(starts)), starts, others, sizes
+    while len(open_):
+        equal = _masked(blocks, at, left) == _masked(other_blocks, to, left)
+        same[open_[~equal]] = False
+        more = np.flatnonzero(equal & (left > 8))
+        open_, at, to, left = open_[more], at[more] + 8, to[more] + 8, left[more] - 8
+    return same
 
 
 def _words(data: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -78,7 +101,7 @@ def _words(data: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         edge = np.ones(len(part) + 2, bool)
         edge[1:-1] = _SEP[part]
         turns = np.flatnonzero(edge[1:] != edge[:-1])
-        hashes.append(span_hashes(part, turns[0::2], turns[1::2], _FOLDED))
+        hashes.append(span_hashes(_FOLD[part], turns[0::2], turns[1::2]))
         begins.append(turns[0::2] + at)
         at = end
     if not hashes:
@@ -87,10 +110,10 @@ def _words(data: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
 
 
 def _fold(words: np.ndarray, size: int) -> np.ndarray:
-    total = words[: len(words) - size + 1] + U64(size)
+    total = mix(words[: len(words) - size + 1] + U64(size))
     for k in range(1, size):
-        total = total * U64(_BASE) + words[k : len(words) - size + 1 + k]
-    return mix(total)
+        total = mix(total * U64(_BASE) + words[k : len(words) - size + 1 + k])
+    return total
 
 
 def batch_shingles(texts: list, width: int = 5):

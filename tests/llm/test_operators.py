@@ -46,6 +46,29 @@ def test_components_of_chains_and_stars(spark):
     assert components.components(spark.createDataFrame([], "u long, v long")).count() == 0
 
 
+def thue_morse(n, flip=0):
+    return "".join("ab"[bin(i).count("1") + flip & 1] for i in range(n))
+
+
+def test_patterned_words_do_not_collide(spark):
+    words = [thue_morse(n, f) for n in (16, 64, 128, 129, 256, 1024, 2048, 8192) for f in (0, 1)]
+    sets = list(kernels.batch_shingles([f"{w} w x y z".encode() for w in words]))
+    assert len({int(s[0]) for s in sets}) == len(words)
+    rows = [(k, f"{w} w x y z") for k, w in enumerate(words)]
+    assert sorted(r.component_id for r in jaccard.jaccard_components(docs_of(spark, rows)).collect()) == list(range(len(words)))
+    prints = [fingerprints.minhash(s) for s in sets]
+    assert all(fingerprints.likeness(a, b) < 0.2 for i, a in enumerate(prints) for b in prints[:i])
+
+
+def test_spans_are_compared_by_all_bytes():
+    data = np.frombuffer(b"abcdefghijklmnop" + b"abcdefghijklmnoX" + b"abcdefghijklmnop", np.uint8)
+    blocks = kernels.blocks_of(data)
+    starts, sizes = np.array([0, 0, 0]), np.array([16, 16, 15])
+    assert kernels.same_spans(data, blocks, starts, np.array([16, 32, 16]), sizes).tolist() == [False, True, True]
+    first, which = bpe._distinct_spans(data, blocks, np.array([0, 16, 32]), np.array([16, 16, 16]), np.array([7, 7, 7], np.uint64))
+    assert which[0] == which[2] != which[1] and len(first) == 2
+
+
 # --- 1 embeddings -------------------------------------------------------------------------------------------------
 
 
@@ -396,6 +419,7 @@ def test_encoding_equals_the_library(spark):
     letters = " \n\t'  abstredvlm'é中文٣½²!?., 　😀1ⅧßÀ_-\x1c\x85'"
     texts = ["", "  ", "it's I'll we've 'x 's\n's ''s 'll", "a  \n b", "x" * 5000, " " * 300 + "a", "'re're'r", "don't", None]
     texts += ["".join(rng.choice(letters) for _ in range(rng.randint(0, 60))) for _ in range(800)]
+    texts += [thue_morse(n, f) for n in (1024, 2048, 8192) for f in (0, 1)] + [thue_morse(2048) + " " + thue_morse(2048, 1), "né lo " * 200_000]
     rows = [(i, t, "keep") for i, t in enumerate(texts)]
     docs = spark.createDataFrame(rows, "doc_id long, text string, n_tokens string")
     path = tokenizers.path("byte_bpe_multi_50k.tiktoken")
