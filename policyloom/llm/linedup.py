@@ -1,24 +1,24 @@
-"""Line deduplication within an edit bound that grows with the line, in DataFrame functions alone.
+"""Line deduplication by a deletion-neighbourhood join, in DataFrame functions alone.
 
-A line occurrence goes if the same line occurs earlier, or if an earlier first occurrence of another line lies
-within the edit bound (insertions, deletions, substitutions of one character). The bound is one edit for every
-chars_per_edit characters of the shorter line, at least 1 and at most max_edits. Earlier means by
-(doc_id, position); all is judged on the input, so a line may go for one that goes itself. Near matching takes
-lines of at least near_chars characters; blank lines are never touched.
+A line occurrence goes if the same line occurs earlier, or if an earlier first occurrence of another
+line lies within one edit of it (insertion, deletion or substitution of one character), whatever their lengths.
+Earlier means by (doc_id, position); all is judged on the input, so a line may go for one that goes itself.
+near_chars can spare short lines from near matching; blank lines are never touched.
 
 1. Exact: lines are keyed by 128 bits of hash; one aggregation with map-side combine finds first occurrences.
-2. Segments: for bound t, the shorter line holds t + 1 fixed segments. Counted from the left, the first segment that
-   ends with fewer edits than segments before or at it is whole, with i edits left of segment i and at most t - i to
-   the right. So it stands in the other line at most i places from its place counted from the start, and at most
-   t - i from its place counted from the end; each line emits these windows as hashed keys. Segments follow the
-   length in steps of chars_per_edit, so lines of like length emit one set. The filter is exact.
-3. Only lines that share a key with a different line are kept. Within a key each meets the earliest line first; those
-   within the bound are settled. The others meet all earlier lines of their keys.
-4. Candidates are verified on whole lines with a banded edit distance, and the documents are rebuilt.
-
-Step 3's second meeting makes pairs: a key shared by g lines that are not near its earliest line costs up to g * g / 2.
-
-The digests of lines are written once and reused; texts of lines for step 4 come from a scan of documents behind
+2. Anchors: a single edit leaves one half of a line whole, so each distinct line emits a key for each half, for its own
+   length and for one less. Keys that two different lines share mark the few lines that can have a partner at
+   all; the rest emit nothing more. Those few do the same with sixteenths. This filter is exact.
+3. Deletion neighbourhood: those lines emit every variant with one character of the open part deleted, as
+   hashed keys that also hold the anchor. Equal variants at one position are one substitution apart; a variant
+   equal to a whole line is one insertion apart. An aggregation takes the earliest line of each key, so no
+   pairs of a group are formed and hot keys combine before the shuffle.
+4. Each line's earliest partner is verified with a banded edit distance, and the documents are rebuilt.
+
+Occurrences meet the verdict on their line by its key. Lines that hold more than a quarter of an even partition's rows are
+at most four times as many as there are partitions; their verdicts are broadcast, so no task gets a hot line's occurrences.
+
+The digests of lines are written once and reused; texts of lines for step 3 come from a scan of documents behind
 a bitmap filter of fixed size (broadcast, at most bitmap_buckets * 4 KB), so the corpus's text is shuffled once,
 when documents meet their removed positions.
 
@@ -33,7 +33,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..runtime import stored
+from ..runtime import parallelism, stored
 
 _ORDER = "decimal(38,0)"
 _SPAN = 1 << 31
@@ -46,37 +46,32 @@ def _place() -> Column:
     return (d * F.lit(_SPAN).cast("decimal(11,0)") + F.col("p")).cast(_ORDER)
 
 
-def _split(docs: DataFrame, id_col: str, text: str) -> DataFrame:
-    """Every non-blank line with its place."""
-    split = docs.select(F.col(id_col).cast("long").alias("d"), F.posexplode(F.split(F.col(text), "\n", -1)).alias("p", "line"))
-    return split.where(F.btrim(F.col("line"), F.lit(_BLANK)) != "")
-
-
-def _hashes() -> list[Column]:
-    return [F.xxhash64("line").alias("h1"), F.xxhash64(F.lit("line"), F.col("line")).alias("h2")]
-
-
-def _bound(step: str, max_edits: int) -> str:
-    """Edits allowed to a shorter line of `step` times chars_per_edit characters."""
-    return f"greatest(1, least({max_edits}, {step}))"
+def _digests(docs: DataFrame, id_col: str, text: str, near_chars: int) -> DataFrame:
+    """Place, a hash s that tells the texts of one id apart, 128 bits of hash and half anchors a0 to a3 of every non-blank line; no text."""
+    split = docs.select(F.col(id_col).cast("long").alias("d"), F.xxhash64(text).alias("s"), F.posexplode(F.split(F.col(text), "\n", -1)).alias("p", "line"))
+    n = F.length("line")
+    halves = []
+    for less in (0, 1):
+        m = n - less
+        half = F.floor(m / 2).cast("int")
+        halves += [F.xxhash64(F.substring("line", half + less + 1, n), m, F.lit(0)), F.xxhash64(F.substring("line", F.lit(1), half), m, F.lit(1))]
+    return split.where(F.btrim(F.col("line"), F.lit(_BLANK)) != "").select(
+        "d", "s", "p", F.xxhash64("line").alias("h1"), F.xxhash64(F.lit("line"), F.col("line")).alias("h2"),
+        *[F.when(n >= near_chars, h).alias(f"a{k}") for k, h in enumerate(halves)],
+    )
 
 
-def _segments(long: DataFrame, near_chars: int, max_edits: int, chars_per_edit: int) -> DataFrame:
-    """Keys of every `line` of n characters: anchor, and own where it is a fixed segment of the line itself.
+def _anchors(parts: int) -> Column:
+    """Keys of `line`: for each length m in (n, n - 1) and each of the parts left open, a hash of all that stands outside of it.
 
-    For each step of lengths that a shorter or equal partner can have: its segments at their places (own, in the
-    line's own step), and as far from there as the edits on that side allow.
+    Two lines of m and m or m + 1 characters that are one edit apart share the key of the part that holds the edit.
+    Each key comes with the open part's start and its size in this line.
     """
-    first = f"cast(greatest(n - {max_edits}, {near_chars}) div {chars_per_edit} as int)"
-    steps = f"filter(sequence({first}, cast(n div {chars_per_edit} as int)), c -> n - (c + 1) * {chars_per_edit} < {_bound('c', max_edits)})"
-    # For each bound the segments, how far off they are, and how many segments from the end they begin (0: counted from the start).
-    windows = [[(i, s, 0 if i <= t // 2 else t - i + 1) for i in range(t + 1) for s in range(-min(i, t - i), min(i, t - i) + 1)] for t in range(1, max_edits + 1)]
-    dealt = F.expr(f"array({', '.join('array(' + ', '.join(f'struct({i} as i, {s} as off, {e} as back)' for i, s, e in w) + ')' for w in windows)})[t - 1]")
-    columns = [c for c in long.columns if c != "line"]
-    stepped = long.select("*", F.explode(F.expr(steps)).alias("c")).withColumn("t", F.expr(_bound("c", max_edits)))
-    stepped = stepped.withColumn("w", F.expr(f"cast(greatest(c * {chars_per_edit}, {near_chars}) div (t + 1) as int)"))
-    placed = stepped.select("*", F.inline(dealt)).withColumn("at", F.expr("if(back = 0, i * w, n - back * w) + off")).where("at >= 0 and at + w <= n")
-    return placed.select(*columns, F.expr("xxhash64(substring(line, at + 1, w), c, i)").alias("anchor"), F.expr(f"off = 0 and c = n div {chars_per_edit}").alias("own"))
+    begin, end = f"cast(j * m div {parts} as int)", f"cast((j + 1) * m div {parts} as int)"
+    outside = f"xxhash64(substring(line, 1, {begin}), substring(line, n - (m - {end}) + 1, m - {end}), m, j)"
+    key = f"struct({outside} as anchor, less, {begin} as start, {end} - {begin} + less as size)"
+    lengths = f"transform(array(n - less), m -> transform(sequence(0, {parts} - 1), j -> {key}))[0]"
+    return F.expr(f"transform(array(length(line)), n -> flatten(transform(array(0, 1), less -> {lengths})))[0]")
 
 
 def _bitmap(keys: Column, frame: DataFrame, buckets: int) -> DataFrame:
@@ -92,57 +87,73 @@ def _in_bitmap(frame: DataFrame, key: Column, bitmap: DataFrame, buckets: int) -
     return joined.where(byte.bitwiseAND(F.expr("shiftleft(1, __at % 8)")) != 0).drop("__bucket", "__at", "__bits")
 
 
-def _near(docs: DataFrame, id_col: str, text: str, near_chars: int, bitmap_buckets: int, max_edits: int, chars_per_edit: int) -> DataFrame:
-    """Keys (h1, h2) of lines within the edit bound of a line that occurs first earlier."""
-    long = _split(docs, id_col, text).withColumn("n", F.length("line")).where(F.col("n") >= near_chars)
-    keys = _segments(long.select("d", "p", "n", "line", *_hashes()), near_chars, max_edits, chars_per_edit)
-    shared = stored(keys.groupBy("anchor").agg(F.min("h1").alias("a"), F.max("h1").alias("b")).where("a <> b").select("anchor"), "line-anchors")
-    met = _in_bitmap(keys, F.col("anchor"), _bitmap(F.col("anchor"), shared, bitmap_buckets), bitmap_buckets).join(shared, "anchor")  # a semi join would be moved before the filter
-    # A line may hold a key at several places; it stands once under each, by its first occurrence.
-    members = stored(met.groupBy("anchor", "h1", "h2").agg(F.min(_place()).alias("ord"), F.first("n").alias("n"), F.max("own").alias("own")), "line-members")
-    place = members.groupBy("h1", "h2").agg(F.min("ord").alias("first")).select(
-        "h1", "h2", F.expr(f"try_cast((first - first % {_SPAN}) / {_SPAN} as bigint)").alias("d"), F.expr(f"cast(first % {_SPAN} as int)").alias("p"),
+def _near(docs: DataFrame, first: DataFrame, id_col: str, text: str, bitmap_buckets: int, fine_parts: int) -> DataFrame:
+    """Keys (h1, h2) of lines within one edit of a line that occurs first earlier."""
+    anchors = first.where("a0 is not null").select("h1", "h2", F.explode(F.array_distinct(F.array("a0", "a1", "a2", "a3"))).alias("anchor"))
+    shared = anchors.groupBy("anchor").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("anchor")
+    wanted = anchors.join(shared, "anchor", "left_semi").select("h1", "h2").distinct()
+    place = first.join(wanted, ["h1", "h2"], "left_semi").select(
+        "h1", "h2", F.col("first").alias("ord"),
+        F.expr(f"try_cast((first - first % {_SPAN}) / {_SPAN} as bigint)").alias("d"), F.expr(f"cast(first % {_SPAN} as int)").alias("p"),
     )
     place = stored(place, "line-places")
     held = _in_bitmap(docs.select(F.col(id_col).cast("long").alias("d"), F.col(text).alias("text")), F.col("d"), _bitmap(F.col("d"), place, bitmap_buckets), bitmap_buckets)
     lines = held.select("d", F.posexplode(F.split("text", "\n", -1)).alias("p", "line")).alias("l")
-    found = lines.join(place.alias("w"), F.expr("l.d <=> w.d and l.p = w.p and xxhash64(l.line) = w.h1"))
-    texts = stored(found.groupBy("h1", "h2").agg(F.first("line").alias("line")), "line-texts")
-
-    bound = _bound(f"least(x.n, y.n) div {chars_per_edit}", max_edits)
-    fits = f"y.ord < x.ord and abs(x.n - y.n) <= {bound} and (x.own and x.n <= y.n or y.own and y.n <= x.n)"
+    met = lines.join(place.alias("w"), F.expr("l.d <=> w.d and l.p = w.p and xxhash64(l.line) = w.h1"))
+    kept = stored(met.groupBy("h1", "h2", "ord").agg(F.first("line").alias("line")), "line-texts")
+    # The few lines that are left take finer anchors, so that long lines emit few and short variants.
+    fine = kept.select("h1", "h2", "ord", "line", F.inline(_anchors(fine_parts)))
+    open_part = fine.join(fine.groupBy("anchor").agg(F.min("ord").alias("a"), F.max("ord").alias("b")).where("a < b").select("anchor"), "anchor", "left_semi")
+    part = F.expr("substring(line, start + 1, size)")
+    # role 0: one character substituted; 1: the line itself; 2: a line with one character more, that one deleted.
+    deleted = F.expr(
+        "transform(if(size > 0, sequence(1, size), array()), i -> struct(if(less = 0, 0, 2) as role, if(less = 0, i, 0) as at,"
+        " concat(substring(part, 1, i - 1), substring(part, i + 1)) as v))"
+    )
+    whole = F.expr("if(less = 0, array(struct(1 as role, 0 as at, part as v)), array())")
+    variants = (
+        open_part.withColumn("part", part)
+        .select("h1", "h2", "ord", "anchor", F.explode(F.concat(deleted, whole)).alias("x"))
+        .select("h1", "h2", "ord", "x.role", F.xxhash64("anchor", "x.at", "x.v", F.expr("x.role = 0")).alias("k1"), F.hash("x.v", "x.at", "anchor").alias("k2"))
+    )
+    earliest = variants.groupBy("k1", "k2").agg(*[F.min(F.when(F.col("role") == r, F.col("ord"))).alias(f"m{r}") for r in (0, 1, 2)])
+    partner = F.expr("case role when 0 then m0 when 1 then m2 else m1 end")
+    pairs = (
+        variants.join(earliest.where("m0 is not null or (m1 is not null and m2 is not null)"), ["k1", "k2"])
+        .withColumn("partner", partner).where("partner < ord").groupBy("h1", "h2", "ord").agg(F.min("partner").alias("partner"))
+    )
+    mine = kept.select("ord", F.col("line").alias("mine"))
+    other = kept.select(F.col("ord").alias("partner"), F.col("line").alias("other"))
+    verified = pairs.join(mine, "ord").join(other, "partner").where(F.levenshtein("mine", "other", 1).between(0, 1))
+    return verified.select("h1", "h2")
 
-    def verified(x: DataFrame, y: DataFrame) -> DataFrame:
-        pairs = x.alias("x").join(y.alias("y"), F.expr(f"x.anchor = y.anchor and {fits}"))
-        pairs = pairs.select("x.h1", "x.h2", F.col("y.h1").alias("g1"), F.col("y.h2").alias("g2"), F.expr(f"{bound} as bound")).distinct()
-        both = pairs.join(texts.withColumnRenamed("line", "mine"), ["h1", "h2"]).join(texts.toDF("g1", "g2", "other"), ["g1", "g2"])
-        return both.where(F.levenshtein("mine", "other", max_edits).between(F.lit(0), F.col("bound"))).select("h1", "h2").distinct()
 
-    hubs = members.groupBy("anchor").agg(F.min(F.struct("ord", "h1", "h2", "n", "own")).alias("hub")).select("anchor", "hub.*")
-    settled = stored(verified(members, hubs), "line-settled")
-    left = members.join(settled, ["h1", "h2"], "left_anti")
-    return settled.unionByName(verified(left, members)).distinct()
+def _removed(digests: DataFrame, first: DataFrame, near: DataFrame) -> DataFrame:
+    """Places of the occurrences that go."""
+    verdict = first.select("h1", "h2", "first", "n").join(near.withColumn("near", F.lit(True)), ["h1", "h2"], "left")
+    total = first.agg(F.sum("n")).first()[0] or 0
+    heavy = F.col("n") * (4 * parallelism(digests.sparkSession)) > total
+    places = digests.select("d", "s", "p", "h1", "h2")
+    # At most four times as many lines as partitions are heavy, so their verdicts fit a broadcast.
+    hot = F.broadcast(verdict.where(heavy))
+    met = places.join(hot, ["h1", "h2"]).unionByName(places.join(hot.select("h1", "h2"), ["h1", "h2"], "left_anti").join(verdict.where(~heavy), ["h1", "h2"]))
+    return met.where(F.col("near") | (_place() != F.col("first"))).select("d", "s", "p")
 
 
-def dedupe_lines(
-    docs: DataFrame, id_col: str = "doc_id", text: str = "text", near_chars: int = 20, bitmap_buckets: int = 2048, max_edits: int = 4, chars_per_edit: int = 20,
-) -> DataFrame:
+def dedupe_lines(docs: DataFrame, id_col: str = "doc_id", text: str = "text", near_chars: int = 1, bitmap_buckets: int = 2048, fine_parts: int = 16) -> DataFrame:
     """The documents with removed lines cut out of `text`, and n_lines (before) and n_removed."""
-    if min(near_chars, max_edits, chars_per_edit) < 1:
-        raise ValueError("near_chars, max_edits and chars_per_edit must be at least 1")
-    digests = stored(_split(docs, id_col, text).select("d", "p", *_hashes()), "line-digests")
-    first = digests.groupBy("h1", "h2").agg(F.min(_place()).alias("first"))
-    near = stored(_near(docs, id_col, text, near_chars, bitmap_buckets, max_edits, chars_per_edit), "line-near")
-    verdict = first.join(near.withColumn("near", F.lit(True)), ["h1", "h2"], "left")
-    gone = digests.join(verdict, ["h1", "h2"]).where(F.col("near") | (_place() != F.col("first")))
-    gone = gone.groupBy("d").agg(F.collect_set("p").alias("__gone"))
+    digests = stored(_digests(docs, id_col, text, near_chars), "line-digests")
+    once = [F.first(f"a{k}").alias(f"a{k}") for k in range(4)]
+    first = stored(digests.groupBy("h1", "h2").agg(F.min(_place()).alias("first"), F.count(F.lit(1)).alias("n"), *once), "line-firsts")
+    near = stored(_near(docs, first, id_col, text, bitmap_buckets, fine_parts), "line-near")
+    gone = _removed(digests, first, near).groupBy(F.col("d").alias("__d"), F.col("s").alias("__s")).agg(F.collect_set("p").alias("__gone"))
     kept = [c for c in docs.columns if c.lower() not in {"n_lines", "n_removed"}]
     parts = F.split(F.col(text), "\n", -1)
-    rebuilt = F.when(
-        F.col("__gone").isNotNull(),
-        F.array_join(F.transform(F.array_except(F.sequence(F.lit(0), F.size(parts) - 1), F.col("__gone")), lambda i: F.get(parts, i)), "\n"),
-    ).otherwise(F.col(text))
-    joined = docs.select(*kept).join(gone, docs[id_col].eqNullSafe(gone["d"]), "left")
+    # The lines are bound once, as a lambda's variable; what is left is picked by position.
+    left = lambda lines: F.array_except(F.sequence(F.lit(0), F.size(lines) - 1), F.col("__gone"))
+    cut = F.transform(F.array(parts), lambda lines: F.array_join(F.transform(left(lines), lambda i: F.get(lines, i)), "\n"))
+    rebuilt = F.when(F.col("__gone").isNotNull(), cut[0]).otherwise(F.col(text))
+    joined = docs.select(*[F.col(f"`{c}`") for c in kept]).join(gone, F.col(id_col).cast("long").eqNullSafe(F.col("__d")) & (F.xxhash64(text) == F.col("__s")), "left")
     return joined.select(
         *[rebuilt.alias(c) if c == text else F.col(f"`{c}`") for c in kept],
         F.coalesce(F.size(parts), F.lit(0)).cast("long").alias("n_lines"),
