@@ -163,19 +163,20 @@ def url_check(allowed: set[str]):
 
 
 def replay(steps: DataFrame, episode: str, order: str, kind: str, most_turns: int, label_ok: str, rule_ok: str) -> DataFrame:
-    """Rewards of episodes whose steps are tool, final or invalid actions.
+    """Rewards of episodes whose steps are tool, final, bad_arguments or invalid actions.
 
-    A tool costs; an invalid action costs more and ends the episode; a final one earns a point each for label and rule and
-    ends it; so does reaching the turn limit. Steps after the end count as invalid actions. Folded natively over the
-    episode's steps in order.
+    A tool costs; a final action earns a point each for label and rule and ends the episode; so does reaching the turn limit.
+    Anything else, and every step after the end, is an invalid action: it costs more and ends the episode. Bad arguments of a
+    known tool take a turn, what is no action takes none. Folded natively over the episode's steps in order.
     """
     ordered = steps.groupBy(episode).agg(F.sort_array(F.collect_list(F.struct(F.col(order).alias("o"), F.col(kind).alias("kind"), F.col(label_ok).alias("l"), F.col(rule_ok).alias("r")))).alias("steps"))
     start = F.struct(F.lit(0).alias("turns"), F.lit(False).alias("done"), F.lit(0.0).alias("reward"), F.lit("open").alias("status"))
 
     def step(state: Column, x: Column) -> Column:
-        bad = state["done"] | ~x["kind"].isin("tool", "final")
+        played = ~state["done"] & x["kind"].isin("tool", "final", "bad_arguments")
+        bad = ~played | (x["kind"] == "bad_arguments")
         tool = ~bad & (x["kind"] == "tool")
-        turns = state["turns"] + F.when(bad, 0).otherwise(1)
+        turns = state["turns"] + played.cast("int")
         limit = tool & (turns >= most_turns)
         gain = F.when(bad, P.INVALID_COST).when(tool, P.TOOL_COST).otherwise(x["l"].cast("double") + x["r"].cast("double"))
         status = F.when(bad, "invalid").when(limit, "turn_limit").when(tool, "tool").otherwise("final")

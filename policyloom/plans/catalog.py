@@ -180,12 +180,6 @@ def destination_lookup(spark, d):
     return pages.join(index, "indicator").select("page_id", "indicator", "first_page")
 
 
-@query("SELECT event_id, user_id, event_type, value FROM events WHERE user_id % 10 = 3 AND event_type IN ('click', 'error')")
-def evidence_filter(spark, d):
-    """Evidence of selected assets and kinds; both predicates reach the scan or are plain filters above it."""
-    events = table(spark, d, "events").select("event_id", "user_id", "event_type", "value")
-    return events.where((F.col("user_id") % 10 == 3) & F.col("event_type").isin("click", "error"))
-
 
 # --- splits and messages ------------------------------------------------------------------------------------------
 
@@ -220,23 +214,6 @@ def rl_prompt_rows(spark, d):
     return prompts.select("conv_id", "turn", F.sha2(F.col("prompt")[1]["content"], 256).alias("user_sha256"), F.sha2(teacher, 256).alias("prompt_sha256"), F.sha2("solution", 256).alias("solution_sha256"))
 
 
-@query("""SELECT u.conv_id, u.turn, 'query' || chr(10) || 'x' AS frame, length(u.text) + coalesce(1 + length(a.text), 0) AS n_chars, a.text IS NOT NULL AS has_response
-FROM conversations u LEFT JOIN conversations a ON a.conv_id = u.conv_id AND a.turn = u.turn + 1 AND a.role = 'assistant' WHERE u.role = 'user'""")
-def conversation_pair_text(spark, d):
-    """Query and response as one text."""
-    turns = table(spark, d, "conversations")
-    users = turns.where("role = 'user'").select("conv_id", "turn", "text")
-    replies = turns.where("role = 'assistant'").select("conv_id", (F.col("turn") - 1).alias("turn"), F.col("text").alias("reply"))
-    both = users.join(replies, ["conv_id", "turn"], "left")
-    return both.select("conv_id", "turn", X.combined(F.lit("query"), F.lit("x")).alias("frame"), F.length(X.combined(F.col("text"), F.col("reply"))).cast("long").alias("n_chars"), F.col("reply").isNotNull().alias("has_response"))
-
-
-@query(f"""SELECT policy_id, {len(grammar.POLICY_HEADING)} + sum(1 + length('[' || rule_id || '] ' || title || ': '))::BIGINT AS n_head FROM {_POLICY_SQL} GROUP BY policy_id""")
-def policy_rendering(spark, d):
-    """Length of rendered policies without their texts and exceptions."""
-    plain = policies(spark).select("policy_id", F.transform("rules", lambda r: F.struct(r["rule_id"].alias("rule_id"), r["title"].alias("title"), F.lit("").alias("text"), F.array().cast("array<string>").alias("exceptions"), r["priority"].alias("priority"))).alias("rules"))
-    return plain.select("policy_id", F.length(grammar.policy_text(F.col("rules"))).cast("long").alias("n_head"))
-
 
 # --- text gates ---------------------------------------------------------------------------------------------------
 
@@ -338,11 +315,6 @@ def operational_harm_terms(spark, d):
     return table(spark, d, "conversations").select("conv_id", "turn", ((n >= 2) & t.rlike("(?i)" + P.MALWARE_DOMAIN)).alias("sequenced_malware"), n.cast("long").alias("n_sequence"))
 
 
-@query("SELECT conv_id, turn, false AS operational_harm FROM conversations")
-def operational_harm_gate(spark, d):
-    """The whole harm gate; the tables' invented words hold no such instructions, and the tests show texts that do."""
-    return table(spark, d, "conversations").select("conv_id", "turn", G.operational_harm(F.col("text")).alias("operational_harm"))
-
 
 # --- the cascade --------------------------------------------------------------------------------------------------
 
@@ -535,17 +507,6 @@ def counterfactual_pairs(spark, d):
     return pairs.select("p_partkey", "transformation", "variant", "label", "policy_version", "group_id")
 
 
-@query("""SELECT l.doc_id, true AS valid, CASE WHEN l.toxic = 1 THEN 'semantic_label_mismatch' END AS mismatch FROM labels l""")
-def completion_grammar(spark, d):
-    """Rendered completions parsed back; those of toxic rows differ from what is expected."""
-    titles = F.array(F.lit("Fraud"), F.lit("Spam"))
-    slow = F.lit("safe\n\n<reasoning>\n[Step 1] Content Summary\nA text.\n\n[Step 2] Check Risk Categories\n- Fraud: NOT HIT. None seen.\n- Spam: NOT APPLICABLE.\n\n[Step 3] Final Judgment\nFine.\n</reasoning>\n<answer>Safe</answer>")
-    thinking = F.when(F.col("doc_id") % 2 == 0, "fast").otherwise("slow")
-    text = F.when(F.col("doc_id") % 2 == 0, F.lit("safe\n<answer>Safe</answer>")).otherwise(slow)
-    rows = table(spark, d, "labels").select("doc_id", "toxic", grammar.completion(text, thinking, titles).alias("p"))
-    expected = F.when(F.col("toxic") == 1, "unsafe").otherwise("safe")
-    return rows.select("doc_id", "p.valid", grammar.semantic_mismatch(F.col("p"), expected, F.array(F.lit("Safe"))).alias("mismatch"))
-
 
 # --- planning -----------------------------------------------------------------------------------------------------
 
@@ -729,17 +690,7 @@ def _allowed(url: str | None) -> set[str]:
     return {host} if host.endswith(".example.com") else set()
 
 
-@query("""WITH s AS (SELECT conv_id, turn, row_number() OVER (PARTITION BY conv_id ORDER BY turn) AS n FROM conversations)
-SELECT conv_id, least(count(*), 3)::INT AS turns, round(-0.08 * least(count(*), 3) - 0.5 * greatest(count(*) - 3, 0), 6) AS reward, CASE WHEN count(*) > 3 THEN 'invalid' WHEN count(*) = 3 THEN 'turn_limit' ELSE 'tool' END AS status FROM s GROUP BY conv_id""")
-def trajectory_replay(spark, d):
-    """Conversations replayed as episodes of tool calls with three turns at most."""
-    steps = table(spark, d, "conversations").select("conv_id", "turn", F.lit("tool").alias("kind"), F.lit(True).alias("label_ok"), F.lit(True).alias("rule_ok"))
-    played = grammar.replay(steps, "conv_id", "turn", "kind", 3, "label_ok", "rule_ok")
-    return played.select("conv_id", "turns", F.round("reward", 6).alias("reward"), "status")
-
+from . import records_catalog as _records  # noqa: E402
 
-@query("SELECT count(*) AS n_rows, min(sha256('{\"n_name\":\"' || n_name || '\",\"n_nationkey\":' || n_nationkey || ',\"n_regionkey\":' || n_regionkey || '}')) AS least_hash FROM nation")
-def manifest_checksum(spark, d):
-    """Hashes of canonical JSON rows."""
-    line = F.sha2(F.to_json(F.struct("n_name", "n_nationkey", "n_regionkey")), 256)
-    return table(spark, d, "nation").agg(F.count(F.lit(1)).alias("n_rows"), F.min(line).alias("least_hash"))
+QUERIES |= _records.QUERIES
+ORACLE_SQL |= _records.ORACLE_SQL
