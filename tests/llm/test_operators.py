@@ -335,8 +335,8 @@ def brute_components(rows, percent=80):
     return sorted((i, len(sets[k]), least[find(k)]) for k, (i, _) in enumerate(rows))
 
 
-@pytest.mark.parametrize("block, short_list", [(4, 3), (512, 32)])
-def test_jaccard_components(spark, block, short_list):
+@pytest.mark.parametrize("block, shard", [(4, 3), (256, 4096)])
+def test_jaccard_components(spark, block, shard):
     rng = random.Random(5)
     words = [f"w{i}" for i in range(40)]
     base = [" ".join(rng.choice(words) for _ in range(rng.randint(0, 90))) for _ in range(20)]
@@ -349,7 +349,7 @@ def test_jaccard_components(spark, block, short_list):
                 w[j : j + 1] = rng.choice([[], ["zz"], [rng.choice(words)]])
         rows.append((k * 3 % 901, " ".join(w + ("common line that all have in the end".split() if rng.random() < 0.3 else []))))
     rows += [(5000, None), (5001, ""), (5002, "A b"), (5003, "a  B"), (5004, "A b c d e"), (5005, "a b c d E"), (5005, "a b c d E")]
-    got = jaccard.jaccard_components(docs_of(spark, rows).withColumn("component_id", F.lit("clash")), block=block, short_list=short_list)
+    got = jaccard.jaccard_components(docs_of(spark, rows).withColumn("component_id", F.lit("clash")), block=block, shard=shard)
     assert sorted(map(tuple, got.collect())) == brute_components(rows)
 
 
