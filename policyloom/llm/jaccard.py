@@ -12,12 +12,14 @@ n - ceil(t * n) + 1. Inverted index lists of prefixes are then searched with two
   the pair, and sets that links already join in one component need no answer. Equal sets are one set throughout.
 
 What a list leaves open lies between its main component and its other members, the outliers. Outliers of a first common list
-form blocks of at most `block` sets, and each block meets the members of its own lists that its size range and rests allow,
-shard by shard; common counts of a block come from one pass over a member's shingles. A block yields as many links as join its
-components, so a group of n near copies makes no n * n rows, and lists are never merged.
+form blocks of at most `block` sets, and each block meets the members of its own lists, shard by shard, that its size range and
+rests allow and that share enough prefix shingles with it: two linked sets of x and y shingles that must have o in common share at
+least o + min(p(x) - x, p(y) - y) of the shingles in their prefixes of p. Common counts of a block come from one pass over a
+member's shingles. A block yields as many links as join its components, so a group of n near copies makes no n * n rows, and
+lists are never merged.
 
-Links are verified on whole sets, so they are exact up to 64-bit shingle hashes. Text is scanned four times, never shuffled; what
-travels are hashes for counting, prefix postings, and the sets of list members, which are stored once.
+Links are verified on whole sets, so they are exact up to 64-bit shingle hashes. Text is scanned five times, never shuffled; what
+travels are hashes for counting, prefix postings, and the sets that meet others, found through a bitmap of fixed size.
 
 Defined results: words and shingles as in kernels; a null or wordless text has the empty set, n_shingles 0 and
 links with nothing. Every row is linked for itself, repeated ids and rows too; a component is named by the smallest
@@ -415,7 +417,8 @@ def jaccard_components(docs: DataFrame, id_col: str = "doc_id", text: str = "tex
     lists = stored(_lists(_postings(docs, id_col, text, width, percent, frequent), parallelism(spark)), "lists")
     tried = stored(_pairs(lists.select("ids", "ns", "pos"), lambda i, n, p: _hub_pairs(_ints(i), _ints(n), _ints(p), percent)), "hub-pairs")
     members = lists.mapInArrow(_unpack, "token long, id long, n long, pos long")
-    sets = stored(_wanted_sets(members, docs, id_col, text, width, bitmap_buckets), "member-sets")
+    ends = tried.select(F.col("u").alias("id")).unionByName(tried.select(F.col("v").alias("id"))).distinct()
+    sets = _wanted_sets(ends, docs, id_col, text, width, bitmap_buckets)
     # Hubs against their members; the counts are the answers that others are derived from.
     none = {"c": F.lit(0).cast("long"), "hub": F.lit(0).cast("long"), "hub_common": F.lit(0).cast("long"), "hub_size": F.lit(0).cast("long")}
     asked = _sharded(tried.select(F.col("u").alias("block"), F.col("v").alias("id")), "hubs", shard).withColumns(none)
@@ -437,21 +440,33 @@ def jaccard_components(docs: DataFrame, id_col: str = "doc_id", text: str = "tex
     open_ = stored(spread_join(placed, mains.select("token", "members", "main"), "token"), "open-members")
     out = open_.where("c <> main")
     band = F.floor(F.log(F.col("n").cast("double")) / float(np.log(100 / percent)))
-    homes = out.groupBy("id").agg(F.min("token").alias("home"), F.first("n").alias("n")).select("id", "home", band.alias("band"))
+    homes = out.groupBy("id").agg(F.min("token").alias("home"), F.first("n").alias("n")).withColumn("band", band)
     rooms = homes.groupBy("home", "band").agg(F.ceil(F.count(F.lit(1)) / block).cast("int").alias("rooms"))
-    seated = stored(homes.join(rooms, ["home", "band"]).select("id", F.xxhash64("home", "band", F.pmod(F.xxhash64("id"), F.col("rooms"))).alias("block")), "seats")
-    asks = out.join(seated, "id").groupBy("block", "token").agg(F.max(F.col("n") - F.col("pos")).alias("rest"), F.min("n").alias("low"), F.max("n").alias("high"), F.first("members").alias("members"))
-    # Long lists meet their blocks in several tasks; a block passes over members that its sizes or rests exclude.
+    seated = stored(homes.join(rooms, ["home", "band"]).select("id", "n", F.xxhash64("home", "band", F.pmod(F.xxhash64("id"), F.col("rooms"))).alias("block")), "seats")
+    ranges = seated.groupBy("block").agg(F.min("n").alias("low"), F.max("n").alias("high"))
+    seats = seated.select("id", F.col("block").alias("seat"))
+    rows = stored(open_.select("token", "id", "n", "pos", "members").join(seats, "id", "left"), "seated-members")
+    asks = rows.where("seat is not null").groupBy(F.col("seat").alias("block"), "token").agg(F.max(F.col("n") - F.col("pos")).alias("rest"), F.count(F.lit(1)).alias("own"), F.first("members").alias("members")).join(ranges, "block")
+    # Long lists meet their blocks in several tasks. A set's own seat does not count as something that it shares.
     salts = F.ceil(F.col("members") / (16 * shard)).cast("int")
-    asks = asks.withColumn("salt", F.explode(F.sequence(F.lit(0), salts - 1)))
-    spread = open_.select("token", "id", "n", "pos", F.pmod(F.xxhash64("id"), salts).cast("int").alias("salt"))
-    nearest = F.greatest(F.col("low"), F.ceil(F.col("n") * percent / 100))
-    fits = (F.col("n") * 100 >= F.col("low") * percent) & (F.col("high") * 100 >= F.col("n") * percent)
-    fits = fits & (F.least("rest", F.col("n") - F.col("pos")) * (100 + percent) >= percent * (F.col("n") + nearest))
-    wanted = spread.join(asks, ["token", "salt"]).where(fits).select("block", "id").distinct()
-    wanted = stored(wanted, "asked")
+    asks = asks.withColumn("salt", F.explode(F.sequence(F.lit(0), salts - 1))).drop("members")
+    spread = rows.select("token", "id", "n", "pos", "seat", F.pmod(F.xxhash64("id"), salts).cast("int").alias("salt"))
+    need = lambda x, y: F.ceil((x + y) * percent / (100 + percent))
+    behind = lambda x: F.lit(1) - F.ceil(x * percent / 100)
+    shares = lambda x, y: need(x, y) + F.least(behind(x), behind(y))
+    near = F.greatest(F.col("low"), F.ceil(F.col("n") * percent / 100))
+    sized = (F.col("n") * 100 >= F.col("low") * percent) & (F.col("high") * 100 >= F.col("n") * percent)
+    far_enough = F.least("rest", F.col("n") - F.col("pos")) * (100 + percent) >= percent * (F.col("n") + near)
+    counted = ~F.coalesce(F.col("seat") == F.col("block"), F.lit(False)) | (F.col("own") > 1)
+    met = spread.join(asks, ["token", "salt"]).where(sized & counted).groupBy("block", "id", "n", "low", "high").agg(F.count(F.lit(1)).alias("shared"), F.max(far_enough).alias("reach"))
+    n, low, high = F.col("n"), F.col("low"), F.col("high")
+    # Of the sizes of a block that a set can link with, the smallest or the largest asks for least.
+    least_shared = F.least(shares(n, F.greatest(low, F.ceil(n * percent / 100))), shares(n, F.least(high, F.floor(n * 100 / percent))))
+    wanted = stored(met.where(F.col("reach") & (F.col("shared") >= least_shared)).select("block", "id"), "asked")
+    left = seated.select("block", "id").join(wanted.select("block").distinct(), "block", "left_semi").join(about, "id")
+    ends = wanted.select("id").unionByName(left.select("id")).distinct()
+    sets = _wanted_sets(ends, docs, id_col, text, width, bitmap_buckets)
     right = _sharded(wanted, "members", shard).join(about, "id")
-    left = seated.join(about, "id")
     more = _meet(left, right, sets, "u long, v long", lambda own: _Links(own, percent)).distinct()
     final = components(links.unionByName(more))
     least = signed.where("n > 0").groupBy("key").agg(F.min("id").alias("least"))
