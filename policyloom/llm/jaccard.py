@@ -1,25 +1,24 @@
 """Exact Jaccard join of word-shingle sets, with components of linked documents.
 
-Prefix filtering over a global order (frequent shingles last, else by hash): linked sets share a shingle among the first
-n - ceil(t * n) + 1. Inverted index lists of prefixes are then searched with two relations between sets:
+Prefix filtering over a global order (frequent shingles last, else by hash): linked sets share a shingle among
+the first n - ceil(t * n) + 1. Inverted index lists of prefixes are then searched with two relations between sets:
 
 * Position blocks. A list is sorted by set size and position and cut in blocks, each with its range of sizes and its largest
   rest behind the position. A probe skips a block whose bound allows too little overlap; only members of the others are
   tested one by one.
 * Derived answers. A list's hubs (the first set of each size band) are compared with the whole sets of the members that no
   block bound excludes, and the common counts are kept. Of two sets x and y with known counts cx and cy against one hub of
-  n shingles, at least cx + cy - n and at most min(cx, cy) + min(nx - cx, ny - cy) shingles are common: often that decides
-  the pair, and sets that links already join in one component need no answer. Equal sets are one set throughout.
+  n shingles, at least cx + cy - n and at most min(cx, cy) + min(nx - cx, ny - cy) shingles are common: what that decides is
+  not compared, and sets that links already join in one component need no answer. Equal sets are one set throughout.
 
-What a list leaves open lies between its main component and its other members, the outliers. Outliers of a first common list
-form blocks of at most `block` sets, and each block meets the members of its own lists, shard by shard, that its size range and
-rests allow and that share enough prefix shingles with it: two linked sets of x and y shingles that must have o in common share at
-least o + min(p(x) - x, p(y) - y) of the shingles in their prefixes of p. Common counts of a block come from one pass over a
-member's shingles. A block yields as many links as join its components, so a group of n near copies makes no n * n rows, and
-lists are never merged.
+What hubs leave open in a list is a pair of different components. Short lists yield such pairs; the members of long ones meet
+in blocks, where the common counts of all of them are derived together from the shingles that they share. Long lists
+that share a member form one cluster for that, which is cut by size band and into blocks.
 
-Links are verified on whole sets, so they are exact up to 64-bit shingle hashes. Text is scanned five times, never shuffled; what
-travels are hashes for counting, prefix postings, and the sets that meet others, found through a bitmap of fixed size.
+Links are verified on whole sets or follow from verified counts, so they are exact up to 64-bit shingle hashes. Blocks yield as
+many links as join their components, so a group of n near copies makes no n * n rows. Text is scanned six times, never
+shuffled; what travels are hashes of frequent-candidate shingles for counting, prefix postings, and the sets of documents that
+occur in a candidate pair (found through a bitmap of fixed size).
 
 Defined results: words and shingles as in kernels; a null or wordless text has the empty set, n_shingles 0 and
 links with nothing. Every row is linked for itself, repeated ids and rows too; a component is named by the smallest
@@ -38,6 +37,7 @@ from .bitmaps import collect_bitmap, may_hold
 from .components import components, spread_join
 from .kernels import U64, as_bytes, batch_shingles, mix, slices
 
+_COLUMNS = 4096
 _LIST = 4096
 _BLOCK = 64
 
@@ -226,28 +226,41 @@ def derived(nx, cx, ny, cy, nh, percent):
     return np.where(cx + cy - nh >= need, 1, np.where(np.minimum(cx, cy) + np.minimum(nx - cx, ny - cy) < need, -1, 0))
 
 
-class Block:
-    """Some sets as an index of their shingles, which counts what other sets have in common with each of them."""
+def link_sets(sets: list[np.ndarray], sides: np.ndarray, percent: int) -> tuple[np.ndarray, np.ndarray]:
+    """Which sets of a block link (side 2: with all others, sides 0 and 1: with each other), as pairs of places that join the same components.
 
-    def __init__(self, sets: list[np.ndarray]):
-        self.sizes = np.array([len(x) for x in sets], np.int64)
-        tokens = np.concatenate(sets)
-        order = np.argsort(tokens, kind="stable")
-        self.owner = np.repeat(np.arange(len(sets)), self.sizes)[order]
-        self.tokens, first = np.unique(tokens[order], return_index=True)
-        self.edges = np.append(first, len(tokens))
-
-    def common(self, others: list[np.ndarray]) -> np.ndarray:
-        """Counts, others x own sets."""
-        tokens = np.concatenate(others)
-        who = np.repeat(np.arange(len(others)), [len(x) for x in others])
-        seat = np.minimum(np.searchsorted(self.tokens, tokens), len(self.tokens) - 1)
-        hit = self.tokens[seat] == tokens
-        who, seat = who[hit], seat[hit]
-        size = self.edges[seat + 1] - self.edges[seat]
-        at = np.repeat(self.edges[seat] - (np.cumsum(size) - size), size) + np.arange(size.sum())
-        cells = np.repeat(who, size) * len(self.sizes) + self.owner[at]
-        return np.bincount(cells, minlength=len(others) * len(self.sizes)).reshape(len(others), -1)
+    Common counts come from products of presence columns, a few thousand shingles at a time; shingles of one set only
+    cannot count and are left out.
+    """
+    sizes = np.array([len(x) for x in sets])
+    tokens, place = np.unique(np.concatenate(sets), return_inverse=True)
+    owner = np.repeat(np.arange(len(sets)), sizes)
+    often = np.bincount(place, minlength=len(tokens)) > 1
+    seat = np.cumsum(often) - 1
+    keep = often[place]
+    column, row = seat[place[keep]], owner[keep]
+    order = np.argsort(column, kind="stable")
+    column, row = column[order], row[order]
+    common = np.zeros((len(sets), len(sets)), np.float32)
+    for at in range(0, int(often.sum()), _COLUMNS):
+        lo, hi = np.searchsorted(column, (at, at + _COLUMNS))
+        part = np.zeros((len(sets), _COLUMNS), np.float32)
+        part[row[lo:hi], column[lo:hi] - at] = 1
+        common += part @ part.T
+    both = sizes[:, None] + sizes[None, :]
+    linked = (100 + percent) * common.astype(np.int64) >= percent * both
+    if not (sides == 2).all():
+        linked &= sides[:, None] != sides[None, :]
+    np.fill_diagonal(linked, False)
+    label = np.arange(len(sets))
+    x, y = np.nonzero(linked)
+    while len(x):
+        before = label.copy()
+        np.minimum.at(label, x, label[y])
+        if (before == label).all():
+            break
+    moved = np.flatnonzero(label != np.arange(len(sets)))
+    return moved, label[moved]
 
 
 def _pairs(frame: DataFrame, make) -> DataFrame:
@@ -296,182 +309,132 @@ def _wanted_sets(ids: DataFrame, docs: DataFrame, id_col: str, text: str, width:
     return sets.groupBy("id").agg(F.first("tokens").alias("tokens"))
 
 
-def _sharded(units: DataFrame, keys: str, shard: int) -> DataFrame:
-    """Members of blocks dealt to shards of about `shard` members; rows (block, id, side 1) and more columns."""
-    sizes = units.groupBy("block").agg(F.ceil(F.count(F.lit(1)) / shard).cast("int").alias("shards"))
-    return spread_join(units, sizes, "block").withColumn("shard", F.pmod(F.xxhash64(F.lit(keys), "id"), F.col("shards")).cast("int")).drop("shards")
+def count_common(pairs: DataFrame, docs: DataFrame, id_col: str, text: str, width: int, bitmap_buckets: int) -> DataFrame:
+    """u, v, common, nu, nv of pairs, from their whole sets. Heavy hubs' sets are broadcast: at most four times as many as there are partitions."""
+    needed = pairs.select(F.col("u").alias("id")).union(pairs.select("v")).distinct()
+    sets = _wanted_sets(needed, docs, id_col, text, width, bitmap_buckets)
+    by_v = pairs.join(sets.select(F.col("id").alias("v"), F.col("tokens").alias("right")), "v")
+    both = by_v.join(sets.select(F.col("id").alias("u"), F.col("tokens").alias("left")), "u")
+
+    def run(batches):
+        for batch in slices(batches, 256):
+            out = []
+            for a, b in zip(batch.column(2).to_pylist(), batch.column(3).to_pylist()):
+                x, y = np.frombuffer(b, U64), np.frombuffer(a, U64)
+                few, many = (x, y) if len(x) <= len(y) else (y, x)
+                seat = np.searchsorted(many, few)
+                seat[seat == len(many)] = 0
+                out.append((int((many[seat] == few).sum()), len(x), len(y)))
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), *[pa.array(c, pa.int64()) for c in (zip(*out) if out else ((), (), ()))]], names=["u", "v", "common", "nu", "nv"])
+
+    return both.select("u", "v", "right", "left").mapInArrow(run, "u long, v long, common long, nu long, nv long")
+
+
+def _linked(percent: int):
+    return F.col("common") * (100 + percent) >= percent * (F.col("nu") + F.col("nv"))
+
+
+def _few_pairs(columns, percent: int, answer: int):
+    """Pairs of different components in one short list whose sizes and positions allow enough overlap and whose derived answer is this one."""
+    ids, ns, pos, c, hub, common, hub_size = (np.array(x, np.int64) for x in columns)
+    fits = _possible(ns[:, None], pos[:, None], ns[None, :], pos[None, :], percent) & (c[:, None] != c[None, :])
+    known = np.where(hub[:, None] == hub[None, :], derived(ns[:, None], common[:, None], ns[None, :], common[None, :], hub_size[:, None], percent), 0)
+    x, y = np.nonzero(np.triu(fits & (known == answer), 1))
+    return np.stack([ids[x], ids[y]])
 
 
-def _meet(left: DataFrame, right: DataFrame, sets: DataFrame, schema: str, make) -> DataFrame:
-    """make(block rows, member rows) of each shard of each block; rows are (id, c, hub, hub_common, hub_size, tokens).
+def _units(members: DataFrame, block: int) -> DataFrame:
+    """Members (cluster, band, id) dealt to blocks that must meet: h1, h2, i, j, side, id.
 
-    left: block, id and the four; right: also shard. A block's rows go to each of its shards, members pass by in runs.
+    Sets of a cluster meet if they are of one size band or of neighbouring ones; others differ too much in size. A band of a
+    cluster is cut in blocks, so that no group is collected whole.
     """
-    names = ["c", "hub", "hub_common", "hub_size"]
-    dealt = right.select("block", "shard").distinct().join(left, "block").select("block", "shard", F.lit(0).alias("side"), "id", *names)
-    rows = dealt.unionByName(right.select("block", "shard", F.lit(1).alias("side"), "id", *names)).join(sets, "id")
-    rows = rows.repartition(parallelism(left.sparkSession), "block", "shard").sortWithinPartitions("block", "shard", "side", "id").select("block", "shard", "side", "id", *names, "tokens")
-    columns = [part.split()[0] for part in schema.split(", ")]
+    own = stored(members.select("cluster", "band", "id", F.xxhash64("cluster", "band").alias("hub")).distinct(), "cluster-members")
+    hubs = own.select("cluster", "band", "hub").distinct()
+    blocks = own.groupBy("hub").agg(F.count(F.lit(1)).alias("n")).withColumn("blocks", F.ceil(F.col("n") / block).cast("int"))
+    own = own.select("hub", "id")
+    dealt = own.join(blocks, "hub").withColumn("mine", F.pmod(F.xxhash64("id"), F.col("blocks")).cast("int"))
+    every = lambda n: F.explode(F.sequence(F.lit(0), F.col(n) - 1))
+    same = dealt.where("n > 1").withColumn("other", every("blocks"))
+    same = same.select(
+        F.col("hub").alias("h1"), F.col("hub").alias("h2"), F.least("mine", "other").alias("i"), F.greatest("mine", "other").alias("j"),
+        F.when(F.col("mine") == F.col("other"), 2).when(F.col("mine") < F.col("other"), 0).otherwise(1).alias("side"), "id",
+    )
+    next_band = hubs.select("cluster", (F.col("band") - 1).alias("band"), F.col("hub").alias("h2"))
+    sizes = blocks.select("hub", "blocks")
+    meet = hubs.withColumnRenamed("hub", "h1").join(next_band, ["cluster", "band"]).select("h1", "h2").distinct()
+    meet = meet.join(sizes.withColumnsRenamed({"hub": "h1", "blocks": "b1"}), "h1").join(sizes.withColumnsRenamed({"hub": "h2", "blocks": "b2"}), "h2")
+    left = dealt.select(F.col("hub").alias("h1"), "mine", "id").join(meet, "h1").withColumn("j", every("b2")).select("h1", "h2", F.col("mine").alias("i"), "j", F.lit(0).alias("side"), "id")
+    right = dealt.select(F.col("hub").alias("h2"), "mine", "id").join(meet, "h2").withColumn("i", every("b1")).select("h1", "h2", "i", F.col("mine").alias("j"), F.lit(1).alias("side"), "id")
+    return same.unionByName(left).unionByName(right)
+
+
+def _block_links(units: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
+    """Links found in blocks, as many as join each block's components: no pair rows are made."""
+    sent = units.join(sets, "id").repartition(parallelism(units.sparkSession), "h1", "h2", "i", "j").sortWithinPartitions("h1", "h2", "i", "j")
+    sent = sent.select("h1", "h2", "i", "j", "side", "id", "tokens")
 
     def run(batches):
-        at, own, some, size, state = None, [], [], 0, None
-
-        def out(found):
-            if found is not None and len(found[0]):
-                yield pa.RecordBatch.from_arrays([pa.array(x) for x in found], names=columns)
-
-        def pass_by():
-            nonlocal some, size, state
-            if own and some:
-                state = state or make(own)
-                yield from out(state.send(some))
-            some, size = [], 0
-
-        def close():
-            nonlocal state
-            yield from pass_by()
-            if state is not None:
-                yield from out(state.end())
-            state = None
+        held, at = [], None
 
-        for batch in slices(batches, 256):
+        def done():
+            if len(held) < 2:
+                return None
+            keys = np.array([r[1] for r in held], np.int64)
+            x, y = link_sets([np.frombuffer(r[2], U64) for r in held], np.array([r[0] for r in held]), percent)
+            return pa.RecordBatch.from_arrays([pa.array(keys[x]), pa.array(keys[y])], names=["u", "v"]) if len(x) else None
+
+        for batch in slices(batches):
             for row in zip(*(c.to_pylist() for c in batch.columns)):
-                if row[:2] != at:
-                    yield from close()
-                    at, own = row[:2], []
-                kept = (*row[3:8], np.frombuffer(row[8], U64))
-                if row[2] == 0:
-                    own.append(kept)
-                else:
-                    some.append(kept)
-                    size += len(kept[5])
-                    if len(some) >= 64 or size > 1 << 18:
-                        yield from pass_by()
-        yield from close()
-
-    return rows.mapInArrow(run, schema)
-
-
-class _Counts:
-    """Common counts of a hub with its members."""
-
-    def __init__(self, own):
-        self.own, self.block = own, Block([r[5] for r in own])
-
-    def send(self, some):
-        common = self.block.common([r[5] for r in some])[:, 0]
-        one = self.own[0]
-        n = len(some)
-        return np.full(n, one[0]), np.array([r[0] for r in some], np.int64), common.astype(np.int64), np.full(n, len(one[5])), np.array([len(r[5]) for r in some], np.int64)
-
-    def end(self):
-        return None
-
-
-class _Links:
-    """Links that join the components of a block and its members: one for each member, and those between the block's own sets."""
-
-    def __init__(self, own, percent: int):
-        self.percent, self.block = percent, Block([r[5] for r in own])
-        self.ids, self.c, self.hub, self.hub_common, self.hub_size = (np.array([r[k] for r in own], np.int64) for k in range(5))
-        self.label = np.arange(len(own))
-
-    def send(self, some):
-        ids, c, hub, hub_common, _ = (np.array([r[k] for r in some], np.int64) for k in range(5))
-        ns = np.array([len(r[5]) for r in some], np.int64)
-        nx, ny = self.block.sizes[None, :], ns[:, None]
-        answer = np.where(hub[:, None] == self.hub[None, :], derived(nx, self.hub_common[None, :], ny, hub_common[:, None], self.hub_size[None, :], self.percent), 0)
-        # A set needs no answer about itself or about its own component.
-        answer[c[:, None] == self.c[None, :]] = -1
-        answer[np.minimum(nx, ny) * 100 < np.maximum(nx, ny) * self.percent] = -1
-        asked = np.flatnonzero((answer == 0).any(1))
-        if len(asked):
-            common = self.block.common([some[k][5] for k in asked.tolist()])
-            linked = common >= required_overlap(nx, ny[asked], self.percent)
-            answer[asked] = np.where(answer[asked] == 0, np.where(linked, 1, -1), answer[asked])
-        y, x = np.nonzero(answer > 0)
-        if not len(y):
-            return None
-        first = np.flatnonzero(np.concatenate(([True], y[1:] != y[:-1])))
-        # Own sets that one member links with are joined through the first of them.
-        head = x[np.repeat(first, np.diff(np.append(first, len(x))))]
-        while True:
-            low = np.minimum(self.label[x], self.label[head])
-            before = self.label.copy()
-            np.minimum.at(self.label, x, low)
-            np.minimum.at(self.label, head, low)
-            if (before == self.label).all():
-                break
-        return self.ids[x[first]], ids[y[first]]
-
-    def end(self):
-        moved = np.flatnonzero(self.label != np.arange(len(self.label)))
-        return self.ids[moved], self.ids[self.label[moved]]
-
-
-def jaccard_components(docs: DataFrame, id_col: str = "doc_id", text: str = "text", width: int = 5, percent: int = 80, bitmap_buckets: int = 1024, block: int = 256, shard: int = 4096) -> DataFrame:
+                if row[:4] != at:
+                    if (out := done()) is not None:
+                        yield out
+                    held, at = [], row[:4]
+                held.append(row[4:])
+        if (out := done()) is not None:
+            yield out
+
+    return sent.mapInArrow(run, "u long, v long").distinct()
+
+
+def jaccard_components(docs: DataFrame, id_col: str = "doc_id", text: str = "text", width: int = 5, percent: int = 80, bitmap_buckets: int = 1024, block: int = 512, short_list: int = 32) -> DataFrame:
     """Per row: the id, n_shingles, component_id (smallest id reachable by links, its own included)."""
     spark = docs.sparkSession
     signed = stored(set_signatures(docs, id_col, text, width), "sets")
     frequent = frequent_shingles(docs, id_col, text, width, percent)
     lists = stored(_lists(_postings(docs, id_col, text, width, percent, frequent), parallelism(spark)), "lists")
     tried = stored(_pairs(lists.select("ids", "ns", "pos"), lambda i, n, p: _hub_pairs(_ints(i), _ints(n), _ints(p), percent)), "hub-pairs")
-    members = lists.mapInArrow(_unpack, "token long, id long, n long, pos long")
-    ends = tried.select(F.col("u").alias("id")).unionByName(tried.select(F.col("v").alias("id"))).distinct()
-    sets = _wanted_sets(ends, docs, id_col, text, width, bitmap_buckets)
-    # Hubs against their members; the counts are the answers that others are derived from.
-    none = {"c": F.lit(0).cast("long"), "hub": F.lit(0).cast("long"), "hub_common": F.lit(0).cast("long"), "hub_size": F.lit(0).cast("long")}
-    asked = _sharded(tried.select(F.col("u").alias("block"), F.col("v").alias("id")), "hubs", shard).withColumns(none)
-    hubs = tried.select(F.col("u").alias("block"), F.col("u").alias("id")).distinct().withColumns(none)
-    known = stored(_meet(hubs, asked, sets, "u long, v long, common long, nu long, nv long", _Counts), "hub-counts")
-    links = known.where(F.col("common") * (100 + percent) >= percent * (F.col("nu") + F.col("nv"))).select("u", "v")
+    known = stored(count_common(tried, docs, id_col, text, width, bitmap_buckets), "hub-counts")
+    links = known.where(_linked(percent)).select("u", "v")
     found = stored(components(links), "hub-components")
+    # Lists that still hold several components are searched on, across components.
+    members = lists.mapInArrow(_unpack, "token long, chunk int, id long, n long, pos long")
     # Each member with its component and the hub that it has most in common with; a hub has all in common with itself.
     best = known.select(F.col("v").alias("id"), "u", "common", "nu").unionByName(known.select(F.col("u").alias("id"), "u", F.col("nu").alias("common"), "nu"))
     best = best.groupBy("id").agg(F.max(F.struct("common", F.col("u").alias("hub"), F.col("nu").alias("hub_size"))).alias("b"))
-    about = members.select("id").distinct().join(found, "id", "left").join(best, "id", "left").select(
-        "id", F.coalesce("component_id", "id").alias("c"), F.coalesce("b.hub", "id").alias("hub"), F.coalesce("b.common", F.lit(0)).alias("hub_common"), F.coalesce("b.hub_size", F.lit(0)).alias("hub_size"),
-    )
-    about = stored(about, "members")
-    placed = stored(members.join(about.select("id", "c"), "id"), "placed")
-    # A list of two is settled by its hub; of longer ones with several components, those outside the main one are asked for.
-    parts = placed.groupBy("token", "c").agg(F.count(F.lit(1)).alias("n"))
-    mains = parts.groupBy("token").agg(F.sum("n").alias("members"), F.count(F.lit(1)).alias("kinds"), F.max_by("c", F.struct("n", "c")).alias("main")).where("members > 2 and kinds > 1")
-    open_ = stored(spread_join(placed, mains.select("token", "members", "main"), "token"), "open-members")
-    out = open_.where("c <> main")
+    named = members.join(found, "id", "left").withColumn("c", F.coalesce("component_id", "id")).drop("component_id")
+    open_tokens = named.groupBy("token").agg(F.min("c").alias("a"), F.max("c").alias("b")).where("a < b").select("token")
     band = F.floor(F.log(F.col("n").cast("double")) / float(np.log(100 / percent)))
-    homes = out.groupBy("id").agg(F.min("token").alias("home"), F.first("n").alias("n")).withColumn("band", band)
-    rooms = homes.groupBy("home", "band").agg(F.ceil(F.count(F.lit(1)) / block).cast("int").alias("rooms"))
-    seated = stored(homes.join(rooms, ["home", "band"]).select("id", "n", F.xxhash64("home", "band", F.pmod(F.xxhash64("id"), F.col("rooms"))).alias("block")), "seats")
-    ranges = seated.groupBy("block").agg(F.min("n").alias("low"), F.max("n").alias("high"))
-    seats = seated.select("id", F.col("block").alias("seat"))
-    rows = stored(open_.select("token", "id", "n", "pos", "members").join(seats, "id", "left"), "seated-members")
-    asks = rows.where("seat is not null").groupBy(F.col("seat").alias("block"), "token").agg(F.max(F.col("n") - F.col("pos")).alias("rest"), F.count(F.lit(1)).alias("own"), F.first("members").alias("members")).join(ranges, "block")
-    # Long lists meet their blocks in several tasks. A set's own seat does not count as something that it shares.
-    salts = F.ceil(F.col("members") / (16 * shard)).cast("int")
-    asks = asks.withColumn("salt", F.explode(F.sequence(F.lit(0), salts - 1))).drop("members")
-    spread = rows.select("token", "id", "n", "pos", "seat", F.pmod(F.xxhash64("id"), salts).cast("int").alias("salt"))
-    need = lambda x, y: F.ceil((x + y) * percent / (100 + percent))
-    behind = lambda x: F.lit(1) - F.ceil(x * percent / 100)
-    shares = lambda x, y: need(x, y) + F.least(behind(x), behind(y))
-    near = F.greatest(F.col("low"), F.ceil(F.col("n") * percent / 100))
-    sized = (F.col("n") * 100 >= F.col("low") * percent) & (F.col("high") * 100 >= F.col("n") * percent)
-    far_enough = F.least("rest", F.col("n") - F.col("pos")) * (100 + percent) >= percent * (F.col("n") + near)
-    counted = ~F.coalesce(F.col("seat") == F.col("block"), F.lit(False)) | (F.col("own") > 1)
-    met = spread.join(asks, ["token", "salt"]).where(sized & counted).groupBy("block", "id", "n", "low", "high").agg(F.count(F.lit(1)).alias("shared"), F.max(far_enough).alias("reach"))
-    n, low, high = F.col("n"), F.col("low"), F.col("high")
-    # Of the sizes of a block that a set can link with, the smallest or the largest asks for least.
-    least_shared = F.least(shares(n, F.greatest(low, F.ceil(n * percent / 100))), shares(n, F.least(high, F.floor(n * 100 / percent))))
-    wanted = stored(met.where(F.col("reach") & (F.col("shared") >= least_shared)).select("block", "id"), "asked")
-    left = seated.select("block", "id").join(wanted.select("block").distinct(), "block", "left_semi").join(about, "id")
-    ends = wanted.select("id").unionByName(left.select("id")).distinct()
-    sets = _wanted_sets(ends, docs, id_col, text, width, bitmap_buckets)
-    right = _sharded(wanted, "members", shard).join(about, "id")
-    more = _meet(left, right, sets, "u long, v long", lambda own: _Links(own, percent)).distinct()
+    open_members = stored(named.join(open_tokens, "token", "left_semi").select("token", band.alias("band"), "id", "n", "pos", "c").distinct(), "open-members")
+    long = open_members.groupBy("token").agg(F.count(F.lit(1)).alias("size"), F.min("id").alias("hub")).where(F.col("size") > short_list)
+    # Short lists: their pairs across components, at most short_list / 2 for each member.
+    short = open_members.join(long, "token", "left_anti").join(best, "id", "left")
+    short = short.select("token", "id", "n", "pos", "c", F.coalesce("b.hub", "id").alias("hub"), F.coalesce("b.common", F.lit(0)).alias("common"), F.coalesce("b.hub_size", F.lit(0)).alias("hub_size"))
+    fields = ("id", "n", "pos", "c", "hub", "common", "hub_size")
+    runs = stored(short.groupBy("token").agg(F.collect_list(F.struct(*fields)).alias("m")).select(*[F.col(f"m.{f}").alias(f) for f in fields]), "short-lists")
+    few = stored(_pairs(runs, lambda *x: _few_pairs(x, percent, 0)).join(tried, ["u", "v"], "left_anti"), "few-pairs")
+    more = count_common(few, docs, id_col, text, width, bitmap_buckets).where(_linked(percent)).select("u", "v")
+    more = more.unionByName(_pairs(runs, lambda *x: _few_pairs(x, percent, 1)))
+    # Long lists: members that any of them connects form a cluster, whose blocks meet.
+    crowd = stored(open_members.join(long, "token").select("hub", "band", "id").distinct(), "crowded")
+    if not crowd.isEmpty():
+        clusters = components(crowd.select(F.col("hub").alias("u"), F.col("id").alias("v"))).withColumnRenamed("component_id", "cluster")
+        units = _units(crowd.select("band", "id").distinct().join(clusters, "id"), block)
+        wanted = _wanted_sets(crowd.select("id").distinct(), docs, id_col, text, width, bitmap_buckets)
+        more = more.unionByName(_block_links(units, wanted, percent))
     final = components(links.unionByName(more))
     least = signed.where("n > 0").groupBy("key").agg(F.min("id").alias("least"))
-    groups = least.join(final.withColumnRenamed("id", "key"), "key", "left").withColumn("c", F.coalesce("component_id", "key")).select("key", "least", "c")
-    groups = stored(groups, "groups")
+    groups = stored(least.join(final.withColumnRenamed("id", "key"), "key", "left").withColumn("c", F.coalesce("component_id", "key")).select("key", "least", "c"), "groups")
     by_key = spread_join(groups, groups.groupBy("c").agg(F.min("least").alias("smallest")), "c").select("key", "smallest")
     named_rows = signed.where("n = 0").select("id", "n", F.lit(None).cast("long").alias("smallest")).unionByName(spread_join(signed.where("n > 0"), by_key, "key").select("id", "n", "smallest"))
     component = F.when((F.col("n") > 0) & F.col("id").isNotNull(), F.col("smallest")).otherwise(F.col("id"))
@@ -480,9 +443,12 @@ def jaccard_components(docs: DataFrame, id_col: str = "doc_id", text: str = "tex
 
 def _unpack(batches):
     for batch in batches:
-        token, ids, ns, pos = (batch.column(k).to_pylist() for k in (0, 2, 3, 4))
+        token, chunk, ids, ns, pos = (c.to_pylist() for c in batch.columns)
         if not token:
             continue
         sizes = [len(x) // 8 for x in ids]
         whole = lambda blobs: pa.array(_ints(b"".join(blobs)))
-        yield pa.RecordBatch.from_arrays([pa.array(np.repeat(np.array(token, np.int64), sizes)), whole(ids), whole(ns), whole(pos)], names=["token", "id", "n", "pos"])
+        yield pa.RecordBatch.from_arrays(
+            [pa.array(np.repeat(np.array(token, np.int64), sizes)), pa.array(np.repeat(np.array(chunk, np.int32), sizes)), whole(ids), whole(ns), whole(pos)],
+            names=["token", "chunk", "id", "n", "pos"],
+        )

@@ -335,8 +335,8 @@ def brute_components(rows, percent=80):
     return sorted((i, len(sets[k]), least[find(k)]) for k, (i, _) in enumerate(rows))
 
 
-@pytest.mark.parametrize("block, shard", [(4, 3), (256, 4096)])
-def test_jaccard_components(spark, block, shard):
+@pytest.mark.parametrize("block, short_list", [(4, 3), (512, 32)])
+def test_jaccard_components(spark, block, short_list):
     rng = random.Random(5)
     words = [f"w{i}" for i in range(40)]
     base = [" ".join(rng.choice(words) for _ in range(rng.randint(0, 90))) for _ in range(20)]
@@ -349,10 +349,39 @@ def test_jaccard_components(spark, block, shard):
                 w[j : j + 1] = rng.choice([[], ["zz"], [rng.choice(words)]])
         rows.append((k * 3 % 901, " ".join(w + ("common line that all have in the end".split() if rng.random() < 0.3 else []))))
     rows += [(5000, None), (5001, ""), (5002, "A b"), (5003, "a  B"), (5004, "A b c d e"), (5005, "a b c d E"), (5005, "a b c d E")]
-    got = jaccard.jaccard_components(docs_of(spark, rows).withColumn("component_id", F.lit("clash")), block=block, shard=shard)
+    got = jaccard.jaccard_components(docs_of(spark, rows).withColumn("component_id", F.lit("clash")), block=block, short_list=short_list)
     assert sorted(map(tuple, got.collect())) == brute_components(rows)
 
 
+def test_blocks_are_skipped_only_where_no_pair_is_possible():
+    rng = np.random.default_rng(9)
+    ns = np.sort(rng.integers(5, 400, 300))
+    pos = (rng.random(300) * (ns * 0.2 + 1)).astype(np.int64)
+    edges = np.arange(0, 300, 16)
+    least, most, rests = ns[edges], ns[np.append(edges[1:], 300) - 1], np.maximum.reduceat(ns - pos, edges)
+    skipped = 0
+    for k in range(300):
+        open_ = jaccard.open_blocks(int(ns[k]), int(ns[k] - pos[k]), least, most, rests, 80)
+        fits = jaccard._possible(ns, pos, ns[k], pos[k], 80) & (np.minimum(ns, ns[k]) * 100 >= np.maximum(ns, ns[k]) * 80)
+        assert not (fits & ~np.repeat(open_, 16)[:300]).any()
+        skipped += int((~open_).sum())
+    assert skipped > 300
+
+
+def test_derived_answers_are_right():
+    rng = np.random.default_rng(4)
+    found = set()
+    for _ in range(3000):
+        hub = rng.permutation(40)[: rng.integers(10, 40)]
+        x, y = (np.union1d(rng.choice(hub, rng.integers(1, len(hub) + 1), False), rng.integers(40, 60, rng.integers(0, 6))) for _ in range(2))
+        cx, cy, both = (len(np.intersect1d(a, b)) for a, b in ((x, hub), (y, hub), (x, y)))
+        answer = int(jaccard.derived(len(x), cx, len(y), cy, len(hub), 80))
+        linked = 100 * both >= 80 * (len(x) + len(y) - both)
+        assert answer == 0 or (answer == 1) == linked
+        found.add(answer)
+    assert found == {-1, 0, 1}
+
+
 def test_jaccard_without_rows_or_ids(spark):
     assert jaccard.jaccard_components(docs_of(spark, [])).count() == 0
     got = jaccard.jaccard_components(docs_of(spark, [(None, "a b c"), (4, "a b c"), (2, "a b c")])).collect()
