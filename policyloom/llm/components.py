@@ -23,10 +23,15 @@ def spread_join(rows: DataFrame, table: DataFrame, key: str, how: str = "inner")
     return hot.unionByName(rows.join(listed, key, "left_anti").join(table, key, how))
 
 
-def _large_star(edges: DataFrame) -> DataFrame:
+def _large_star(edges: DataFrame, total: int) -> DataFrame:
+    """Links of every vertex to its larger neighbours go to its least one; total: how many links there are."""
     both = edges.unionByName(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
-    low = both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))
-    return spread_join(both.where("v > u"), low, "u").where("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct()
+    low = both.groupBy("u").agg(F.min("v").alias("m"), F.count(F.lit(1)).alias("n")).select("u", F.least("u", "m").alias("m"), "n")
+    heavy = F.col("n") * (2 * parallelism(edges.sparkSession)) > total
+    up = both.where("v > u")
+    hubs = F.broadcast(low.where(heavy).drop("n"))  # at most four times as many as there are partitions
+    met = up.join(hubs, "u").unionByName(up.join(low.where(~heavy).drop("n"), "u"))
+    return met.where("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct()
 
 
 def _small_star(edges: DataFrame) -> DataFrame:
@@ -44,12 +49,12 @@ def components(edges: DataFrame) -> DataFrame:
     every vertex points to smaller ones only, so a small-star step sees a vertex's few parents, not a hub's children.
     """
     now = stored(edges.where("u <> v").select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).distinct(), "links")
-    mark = None
-    while True:
-        now = stored(_small_star(_large_star(now)), "links")
-        row = now.agg(F.count(F.lit(1)), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first()
-        if (row[0], row[1]) == mark:
+    state = lambda df: tuple(df.agg(F.count(F.lit(1)), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first())
+    mark = state(now)
+    while mark[0]:
+        now = stored(_small_star(_large_star(now, mark[0])), "links")
+        before, mark = mark, state(now)
+        if before == mark:
             break
-        mark = (row[0], row[1])
     low = now.select(F.col("u").alias("id"), F.col("v").alias("component_id"))
     return low.unionByName(low.select(F.col("component_id").alias("id"), "component_id").distinct())

@@ -97,14 +97,23 @@ def near_duplicates(table: DataFrame, id_col: str = "vec_id", vector: str = "emb
     ship(spark)
     finite = F.forall("v", lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) < float("inf"))) & F.exists("v", lambda x: x != 0)
     rows = table.select(F.col(id_col).cast("long").alias("id"), F.col(vector).alias("v"), F.col(label).alias("label"))
-    rows = rows.withColumn("key", F.when(F.col("label").isNotNull() & F.col("v").isNotNull() & finite, F.xxhash64("label", F.size("v"), "v")))
-    valid = rows.where("key is not null")
+    sound = F.col("label").isNotNull() & F.col("v").isNotNull() & finite
+    # The key of a class is a hash; a seed is taken under which no two unlike vectors of a label share one.
+    for salt in range(64):
+        keyed = rows.withColumn("key", F.when(sound, F.xxhash64(F.lit(salt), "label", F.size("v"), "v")))
+        valid = keyed.where("key is not null")
+        unlike = valid.groupBy("key").agg(F.min(F.struct("label", "v")).alias("a"), F.max(F.struct("label", "v")).alias("b")).where("a <> b")
+        if unlike.isEmpty():
+            break
+    rows = keyed
     sizes = valid.groupBy("label", F.size("v").alias("d")).count().agg(F.max("count")).first()[0]
     classes = stored(valid.groupBy("key").agg(F.first("label").alias("label"), F.first("v").alias("v"), F.count(F.lit(1)).alias("n")), "vectors")
     k, tables = plan(sizes or 0, threshold, width, miss)
 
     def unit(column) -> list[np.ndarray]:
-        return [np.asarray(v, np.float64) / np.linalg.norm(np.asarray(v, np.float64)) for v in column.to_pylist()]
+        # Scaled by the largest component first, so that no square overflows or vanishes.
+        scaled = [x / np.abs(x).max() for x in (np.asarray(v, np.float64) for v in column.to_pylist())]
+        return [x / np.linalg.norm(x) for x in scaled]
 
     def hashed(batches):
         for batch in slices(batches, 1024):

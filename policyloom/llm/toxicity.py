@@ -198,10 +198,10 @@ def _logistic(x: np.ndarray, y: np.ndarray, ridge: float = 1e-2, rounds: int = 5
 
 
 def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text: str = "text", label: str = "toxic", max_rows: int = 3000, max_terms: int = 4000) -> ToxicityModel:
-    """Fit on at most max_rows labelled rows of each label; labels holds (id, label)."""
+    """Fit on at most max_rows labelled rows of each label; labels holds (id, label); an id that any row calls toxic is toxic."""
     spark = docs.sparkSession
     ship(spark)
-    known = labels.where(F.col(label).isin(0, 1) & F.col(id_col).isNotNull()).select(F.col(id_col).alias("__id"), F.col(label).cast("int").alias("y")).dropDuplicates(["__id"])
+    known = labels.where(F.col(label).isin(0, 1) & F.col(id_col).isNotNull()).select(F.col(id_col).alias("__id"), F.col(label).cast("int").alias("y")).groupBy("__id").agg(F.max("y").alias("y"))
     counts = {r[0]: r[1] for r in known.groupBy("y").count().collect()}
     seeds = {w: 4.0 for w in WORDS[INSULT]}
     if len(counts) < 2:

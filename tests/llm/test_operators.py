@@ -97,6 +97,8 @@ def test_embeddings(spark):
         rows.append((1000 - i, [float(np.float32(x)) for x in center + 0.12 * rng.standard_normal(16)], i % 3))
     rows += [(2000, rows[0][1], rows[0][2]), (2001, [2 * x for x in rows[0][1]], rows[0][2]), (2002, rows[0][1], None), (2003, None, 1), (2004, [0.0] * 16, 1), (2005, [float("nan")] * 16, 1), (2006, [None] * 16, 1), (2007, [1.0], 1)]
     df = spark.createDataFrame(rows, "vec_id long, embedding array<float>, label int").withColumn("kept", F.lit("clash"))
+    far = spark.createDataFrame([(1, [1e200, 1e200], 0), (2, [1e-200, 1.01e-200], 0), (3, [1e200, -1e200], 0), (4, [5e199, 5e199], 0)], "vec_id long, embedding array<double>, label int")
+    assert sorted(map(tuple, embeddings.near_duplicates(far).collect())) == [(1, 2, 1, True), (2, 2, 1, False), (3, 0, 3, True), (4, 2, 1, False)]
     assert sorted(map(tuple, embeddings.near_duplicates(df, block=7).collect())) == brute_vectors(rows)
     assert embeddings.near_duplicates(df.limit(0)).count() == 0
 
@@ -409,12 +411,17 @@ def test_mixing_meets_targets(spark):
     assert sorted((r.s or "", round(r.rate, 9)) for r in joined) == sorted((r.s or "", round(r.rate, 9)) for r in mixing.rates(docs).select("s", "rate").collect())
 
 
-def test_poisson_distribution(spark):
+def test_poisson_counts_invert_the_distribution(spark):
     from math import exp, factorial
 
-    cdf = spark.range(1).select(mixing._distribution(F.lit(2.5)).alias("c")).first().c
-    exact = np.cumsum([exp(-2.5) * 2.5**k / factorial(k) for k in range(30)])
-    assert np.allclose(cdf[:30], exact) and 1 - cdf[-1] < 1e-12
+    for rate in (0.3, 2.5, 40.0):
+        exact = np.cumsum([exp(-rate) * rate**k / factorial(k) for k in range(160)])
+        draws = [0.0, 0.01, 0.2, 0.5, 0.9, 0.999999, 1 - 2**-40]
+        got = spark.createDataFrame([(u,) for u in draws], "u double").select(mixing.poisson_count(F.lit(rate), F.col("u")).alias("n")).collect()
+        assert [r.n for r in got] == [int((exact <= u).sum()) for u in draws]
+    assert spark.range(1).select(mixing.poisson_count(F.lit(0.0), F.lit(0.5)).alias("n")).first().n == 0
+    # A rate of several hundred copies needs no table of its distribution.
+    assert 400 < spark.range(1).select(mixing.poisson_count(F.lit(500.0), F.lit(0.5)).alias("n")).first().n < 600
 
 
 # --- 10 tokens ----------------------------------------------------------------------------------------------------
