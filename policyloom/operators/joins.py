@@ -34,11 +34,16 @@ def missing(left: DataFrame, right: DataFrame, keys: list[str]) -> DataFrame:
 
 
 def first_wins(df: DataFrame, key: Column | str, ordinal: str) -> DataFrame:
-    """The row of the smallest ordinal for each key. Ordinals are aggregated first, so that whole rows of a hot key never meet in one task."""
+    """One row for each key: that of the smallest ordinal, of equal ordinals the one whose other columns come first as JSON.
+
+    Ordinals and hashes are aggregated first, so that whole rows of a hot key never meet in one task; rows that are equal in
+    every column count as one.
+    """
     key = F.col(key) if isinstance(key, str) else key
-    keyed = df.withColumn("__k", key)
-    first = keyed.groupBy("__k").agg(F.min(ordinal).alias("__first"))
-    return keyed.join(first, (keyed["__k"].eqNullSafe(first["__k"])) & (F.col(ordinal) == F.col("__first")), "left_semi").drop("__k")
+    keyed = df.withColumn("__k", key).withColumn("__rank", F.struct(F.col(ordinal).alias("o"), F.sha2(F.to_json(F.struct(*[F.col(f"`{c}`") for c in df.columns])), 256).alias("h")))
+    first = keyed.groupBy("__k").agg(F.min("__rank").alias("__first"))
+    kept = keyed.join(first, keyed["__k"].eqNullSafe(first["__k"]) & (F.col("__rank") == F.col("__first")), "left_semi")
+    return kept.drop("__k", "__rank").distinct()
 
 
 def source_lookup(refs: DataFrame, texts: DataFrame) -> DataFrame:

@@ -53,7 +53,7 @@ def ship(spark: SparkSession) -> None:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that all executors share: spark.checkpoint.dir, or a temporary one where that is unset (tests)."""
+    """The folder that all executors share: spark.checkpoint.dir, or on a local master where that is unset (tests) a temporary one."""
     context = spark.sparkContext
     configured = context.getConf().get("spark.checkpoint.dir", None)
     if configured:
@@ -61,6 +61,8 @@ def shared_dir(spark: SparkSession) -> str:
             context.setCheckpointDir(configured)
         return configured.rstrip("/")
     if context._jsc.sc().getCheckpointDir().isEmpty():
+        if not context.master.startswith("local"):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that all executors share")
         context.setCheckpointDir(tempfile.mkdtemp(prefix="policyloom-shared-"))
     return context._jsc.sc().getCheckpointDir().get().rstrip("/")
 
