@@ -263,8 +263,11 @@ def link_sets(sets: list[np.ndarray], sides: np.ndarray, percent: int) -> tuple[
     return moved, label[moved]
 
 
-def _pairs(frame: DataFrame, make) -> DataFrame:
-    """Distinct pairs (u < v); repeated ones fall away in each task first."""
+def _candidates(lists: DataFrame, percent: int) -> DataFrame:
+    """Distinct pairs (u < v) of hubs and members; repeated ones fall away in each task first.
+
+    A list of two is one pair; those of a batch are tested together.
+    """
 
     def run(batches):
         parts, size = [], 0
@@ -275,17 +278,37 @@ def _pairs(frame: DataFrame, make) -> DataFrame:
             return pa.RecordBatch.from_arrays([pa.array(both[0]), pa.array(both[1])], names=["u", "v"])
 
         for batch in batches:
-            columns = [c.to_pylist() for c in batch.columns]
-            for row in zip(*columns):
-                parts.append(np.asarray(make(*row), np.int64).reshape(2, -1))
+            rows = list(zip(*(c.to_pylist() for c in batch.columns)))
+            two = [r for r in rows if len(r[0]) == 16]
+            if two:
+                ids, ns, pos = (_ints(b"".join(x)).reshape(-1, 2) for x in zip(*two))
+                parts.append(ids[_possible(ns[:, 0], pos[:, 0], ns[:, 1], pos[:, 1], percent)].T)
                 size += parts[-1].shape[1]
-                if size > 1_000_000:
-                    yield flush()
-                    parts, size = [], 0
+            for r in rows:
+                if len(r[0]) > 16:
+                    parts.append(np.stack(_hub_pairs(*map(_ints, r), percent)))
+                    size += parts[-1].shape[1]
+            if size > 1_000_000:
+                yield flush()
+                parts, size = [], 0
         if size:
             yield flush()
 
-    return frame.mapInArrow(run, "u long, v long").distinct()
+    return lists.select("ids", "ns", "pos").mapInArrow(run, "u long, v long").distinct()
+
+
+def _open_pairs(runs: DataFrame, percent: int) -> DataFrame:
+    """Distinct pairs of members of different components of a short list, and the answer that follows from their hub's counts: 1 for a link, 0 if it stays open."""
+
+    def run(batches):
+        for batch in batches:
+            parts = [_few_pairs(row, percent) for row in zip(*(c.to_pylist() for c in batch.columns))]
+            if parts:
+                u, v, answer = np.concatenate(parts, 1)
+                both = np.unique(np.stack([np.minimum(u, v), np.maximum(u, v), answer]), axis=1)
+                yield pa.RecordBatch.from_arrays([pa.array(x) for x in both], names=["u", "v", "answer"])
+
+    return runs.mapInArrow(run, "u long, v long, answer long").distinct()
 
 
 def _ints(blob: bytes) -> np.ndarray:
@@ -334,13 +357,14 @@ def _linked(percent: int):
     return F.col("common") * (100 + percent) >= percent * (F.col("nu") + F.col("nv"))
 
 
-def _few_pairs(columns, percent: int, answer: int):
-    """Pairs of different components in one short list whose sizes and positions allow enough overlap and whose derived answer is this one."""
+def _few_pairs(columns, percent: int):
+    """u, v, answer of the pairs of different components in one short list that sizes, positions and derived answers allow."""
     ids, ns, pos, c, hub, common, hub_size = (np.array(x, np.int64) for x in columns)
-    fits = _possible(ns[:, None], pos[:, None], ns[None, :], pos[None, :], percent) & (c[:, None] != c[None, :])
-    known = np.where(hub[:, None] == hub[None, :], derived(ns[:, None], common[:, None], ns[None, :], common[None, :], hub_size[:, None], percent), 0)
-    x, y = np.nonzero(np.triu(fits & (known == answer), 1))
-    return np.stack([ids[x], ids[y]])
+    x, y = np.triu_indices(len(ids), 1)
+    near = _possible(ns[x], pos[x], ns[y], pos[y], percent) & (c[x] != c[y])
+    x, y = x[near], y[near]
+    answer = np.where(hub[x] == hub[y], derived(ns[x], common[x], ns[y], common[y], hub_size[x], percent), 0)
+    return np.stack([ids[x], ids[y], answer])[:, answer >= 0]
 
 
 def _units(members: DataFrame, block: int) -> DataFrame:
@@ -403,7 +427,7 @@ def jaccard_components(docs: DataFrame, id_col: str = "doc_id", text: str = "tex
     signed = stored(set_signatures(docs, id_col, text, width), "sets")
     frequent = frequent_shingles(docs, id_col, text, width, percent)
     lists = stored(_lists(_postings(docs, id_col, text, width, percent, frequent), parallelism(spark)), "lists")
-    tried = stored(_pairs(lists.select("ids", "ns", "pos"), lambda i, n, p: _hub_pairs(_ints(i), _ints(n), _ints(p), percent)), "hub-pairs")
+    tried = stored(_candidates(lists, percent), "hub-pairs")
     known = stored(count_common(tried, docs, id_col, text, width, bitmap_buckets), "hub-counts")
     links = known.where(_linked(percent)).select("u", "v")
     found = stored(components(links), "hub-components")
@@ -418,13 +442,15 @@ def jaccard_components(docs: DataFrame, id_col: str = "doc_id", text: str = "tex
     open_members = stored(named.join(open_tokens, "token", "left_semi").select("token", band.alias("band"), "id", "n", "pos", "c").distinct(), "open-members")
     long = open_members.groupBy("token").agg(F.count(F.lit(1)).alias("size"), F.min("id").alias("hub")).where(F.col("size") > short_list)
     # Short lists: their pairs across components, at most short_list / 2 for each member.
-    short = open_members.join(long, "token", "left_anti").join(best, "id", "left")
+    # A list of two is settled by its hub.
+    settled = open_members.groupBy("token").agg(F.count(F.lit(1)).alias("size")).where((F.col("size") == 2) | (F.col("size") > short_list)).select("token")
+    short = open_members.join(settled, "token", "left_anti").join(best, "id", "left")
     short = short.select("token", "id", "n", "pos", "c", F.coalesce("b.hub", "id").alias("hub"), F.coalesce("b.common", F.lit(0)).alias("common"), F.coalesce("b.hub_size", F.lit(0)).alias("hub_size"))
     fields = ("id", "n", "pos", "c", "hub", "common", "hub_size")
     runs = stored(short.groupBy("token").agg(F.collect_list(F.struct(*fields)).alias("m")).select(*[F.col(f"m.{f}").alias(f) for f in fields]), "short-lists")
-    few = stored(_pairs(runs, lambda *x: _few_pairs(x, percent, 0)).join(tried, ["u", "v"], "left_anti"), "few-pairs")
-    more = count_common(few, docs, id_col, text, width, bitmap_buckets).where(_linked(percent)).select("u", "v")
-    more = more.unionByName(_pairs(runs, lambda *x: _few_pairs(x, percent, 1)))
+    asked = stored(_open_pairs(runs, percent).join(tried, ["u", "v"], "left_anti"), "few-pairs")
+    more = count_common(asked.where("answer = 0").select("u", "v").distinct(), docs, id_col, text, width, bitmap_buckets).where(_linked(percent)).select("u", "v")
+    more = more.unionByName(asked.where("answer = 1").select("u", "v"))
     # Long lists: members that any of them connects form a cluster, whose blocks meet.
     crowd = stored(open_members.join(long, "token").select("hub", "band", "id").distinct(), "crowded")
     if not crowd.isEmpty():
