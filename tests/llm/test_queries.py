@@ -57,3 +57,19 @@ def test_run_equals_its_stages(spark):
     rows = lambda df: sorted((r.doc_id, r.lang, r.source, r.n_tokens, bytes(r.token_ids)) for r in df.collect())
     expected = rows(docs)
     assert expected and rows(corpus_pipeline.run(spark, DATA)) == expected
+
+
+def test_stages_keep_columns_nulls_and_repeats(spark):
+    text = "Ein Satz aus vielen Worten steht hier allein und wird nicht wiederholt."
+    rows = [(1, text, "de", "a", 9, "mine", "x"), (1, text + " Noch einer.", "de", None, 9, None, "x"), (None, text + " Und noch ein ganz anderer Satz.", "de", "a", 9, "mine", "y"), (3, None, "de", "a", 0, "m", "z"), (4, "", None, "b", 0, "m", "z"), (5, "77 !", "de", "b", 0, "m", "z")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long, n_removed string, copy_no string")
+    kept = corpus_pipeline.keep_languages(spark, spark.read.parquet(f"{DATA}/documents.parquet").select(*docs.columns[:5]), DATA)
+    assert kept.count() > 0
+    lines = corpus_pipeline.drop_repeated_lines(spark, docs, DATA)
+    assert lines.columns == docs.columns and sorted((r.doc_id or 0, r.n_removed or "", r.copy_no) for r in lines.collect()) == sorted((r[0] or 0, r[5] or "", r[6]) for r in rows)
+    mixed = corpus_pipeline.mix_sources(spark, docs, DATA).collect()
+    assert mixed and {(r.doc_id, r.source, r.n_removed, r.copy_no) for r in mixed} <= {(r[0], r[3], r[5], r[6]) for r in rows}
+    ids = corpus_pipeline.encode_text(spark, docs, DATA).collect()
+    assert len(ids) == len(rows) and sorted(r.n_tokens == 0 for r in ids) == [False] * 4 + [True] * 2
+    for _, stage in corpus_pipeline.STAGES:
+        assert stage(spark, docs.limit(0), DATA).count() == 0
