@@ -18,18 +18,28 @@ from policyloom.runtime import stored
 LEAST_LANGUAGE_SCORE = 0.05
 
 
+def _apart(docs: DataFrame) -> DataFrame:
+    """The columns under names of their own, so that an operator's outputs replace none of them."""
+    return docs.withColumnsRenamed({c: f"in_{c}" for c in docs.columns})
+
+
+def _back(made: DataFrame, columns: list[str]) -> DataFrame:
+    return made.select(*[F.col(f"`in_{c}`").alias(c) for c in columns])
+
+
 def keep_languages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents of a learned language; texts without letters, or unlike every language, go."""
+    """Documents of a learned language; texts that are null, without letters, or unlike every language, go. Rows are judged one by one."""
     model = langid.fit(docs.where(~langid.held_out()).select("doc_id", "text", "lang"))
-    named = langid.identify(docs.withColumnsRenamed({c: f"in_{c}" for c in docs.columns}), model, "in_text")
-    kept = named.where((F.col("lang_pred") != "und") & (F.col("score") >= LEAST_LANGUAGE_SCORE))
-    return kept.select(*[F.col(f"in_{c}").alias(c) for c in docs.columns])
+    named = langid.identify(_apart(docs), model, "in_text")
+    return _back(named.where((F.col("lang_pred") != "und") & (F.col("score") >= LEAST_LANGUAGE_SCORE)), docs.columns)
 
 
 def drop_repeated_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents without repeated lines; those of which only blank lines are left go. n_chars counts what is left."""
-    kept = linedup.dedupe_lines(docs).where((F.col("n_removed") == 0) | F.col("text").rlike(r"\S"))
-    return kept.select(*[F.length("text").cast("long").alias(c) if c == "n_chars" else F.col(c) for c in docs.columns])
+    """Documents without repeated lines; those of which only blank lines are left go, those without lines to remove stay as they are. n_chars counts what is left."""
+    kept = linedup.dedupe_lines(_apart(docs), "in_doc_id", "in_text").where((F.col("n_removed") == 0) | F.col("in_text").rlike(r"\S"))
+    if "n_chars" in docs.columns:
+        kept = kept.withColumn("in_n_chars", F.length("in_text").cast("long"))
+    return _back(kept, docs.columns)
 
 
 def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -47,12 +57,12 @@ def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataF
 
 
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents repeated or left out, so that sources have their target shares, in a random order."""
-    return mixing.mix(docs).select(*docs.columns)
+    """Documents repeated or left out, so that sources have their target shares, in a random order; a null source is one of its own."""
+    return _back(mixing.mix(_apart(docs), "in_doc_id", "in_source"), docs.columns)
 
 
 def encode_text(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Ids of every document."""
+    """Ids of every document; a null text has none."""
     return bpe.encode(docs.select("doc_id", "lang", "source", "text"), ranks_path()).select("doc_id", "lang", "source", "n_tokens", "token_ids")
 
 
