@@ -30,7 +30,7 @@ from ..runtime import ship
 from .kernels import U64, blocks_of, mix, same_spans, slices, span_hashes
 
 _RUN = 1 << 18
-_CACHE_ENTRIES = 1 << 19
+_CACHE_ENTRIES = 1 << 16
 #: The characters that \\s matches in the vocabulary's pattern.
 _SPACES = "\t\n\v\f\r \x85\xa0                　"
 _SPACE, _LETTER, _NUMBER, _OTHER, _EDGE = range(5)

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import ctypes
+import gc
 import hashlib
 
 import numpy as np
@@ -175,8 +177,19 @@ def as_bytes(column) -> list:
     return column.cast(kind).to_pylist()
 
 
+def _trim() -> None:
+    """Hand freed memory back to the system: a worker lives on after its task, beside those of later stages."""
+    trim = getattr(ctypes.CDLL(None), "malloc_trim", None)
+    if trim:
+        trim(0)
+
+
 def slices(batches, rows: int = 512):
     """Arrow batches in runs of a few rows, so that a task holds few whole texts as Python objects at once."""
-    for batch in batches:
-        for at in range(0, batch.num_rows, rows):
-            yield batch.slice(at, rows)
+    try:
+        for batch in batches:
+            for at in range(0, batch.num_rows, rows):
+                yield batch.slice(at, rows)
+    finally:
+        gc.collect()
+        _trim()
