@@ -9,9 +9,10 @@ have equal anchors, which splits the space of suffixes into independent shards:
 2. A second scan sends the pieces of remembered anchors to their shards, packed. Equal pieces of a task meet there
    first: all but those of the smallest id are covered at once, so a passage that many documents share sends one piece a
    task; of equal pieces of a shard, too, only the first is looked into.
-3. A shard takes pieces in batches in id order. A batch gets a suffix array over its strings' starts; equal neighbours
-   match within the batch, and a merge scan against each level finds matches with earlier batches. What is new becomes
-   a level, and levels merge while the newer is at least half as large as the older.
+3. A shard takes pieces in batches in id order. A batch gets a suffix array over its strings' starts, in byte order to a
+   depth of `length` bytes; neighbours that share all of them match within the batch, and a scan in that order against
+   each level finds matches with earlier batches. What is new becomes a level, and levels merge while the newer is at
+   least half as large as the older. Levels live as long as their shard's task, which holds one shard at a time.
 4. Runs of matching starts go back by document, and documents are cut.
 
 Text is shuffled once, to meet its spans. Strings are compared by all their bytes; only anchors are hashes.
@@ -106,64 +107,60 @@ def _runs(texts: list[bytes], length: int, gram: int):
 
 
 class SuffixLevels:
-    """Suffix arrays of distinct strings, the newest last; sizes at least halve from one to the next.
+    """Suffix arrays of distinct strings in byte order, the newest last; sizes at least halve from one to the next.
 
-    An array is ordered by a hash of its strings, which keeps equal ones together as well as their bytes would; a match is
-    one of all bytes.
+    A string is a suffix of its piece cut after `length` bytes, the depth to which matches are looked for: two suffixes
+    share that many bytes where their strings are equal.
     """
 
     def __init__(self, length: int):
         self.length = length
-        self.levels: list[tuple[np.ndarray, np.ndarray]] = []
-
-    def scan(self, order: np.ndarray, strings: np.ndarray) -> np.ndarray:
-        """Which of the strings, in the order of their hashes, some level holds."""
-        found = np.zeros(len(order), bool)
-        for held, bytes_held in self.levels:
-            seat = np.searchsorted(held, order)
+        self.levels: list[np.ndarray] = []
+
+    def scan(self, strings: np.ndarray) -> np.ndarray:
+        """Which of the strings, in byte order, have a common prefix of all `length` bytes with their place in some level."""
+        found = np.zeros(len(strings), bool)
+        for held in self.levels:
+            open_ = np.flatnonzero(~found)
+            seat = np.searchsorted(held, strings[open_])
             seat[seat == len(held)] = 0
-            maybe = np.flatnonzero(held[seat] == order)
-            found[maybe] |= (bytes_held[seat[maybe]] == strings[maybe]).all(1)
+            found[open_] = held[seat] == strings[open_]
         return found
 
-    def add(self, order: np.ndarray, strings: np.ndarray) -> None:
-        """Take distinct strings that no level holds, in the order of their hashes."""
-        if not len(order):
+    def add(self, strings: np.ndarray) -> None:
+        """Take distinct strings that no level holds, in byte order; levels of like size merge in one pass."""
+        if not len(strings):
             return
-        self.levels.append((order, strings))
-        while len(self.levels) > 1 and 2 * len(self.levels[-1][0]) >= len(self.levels[-2][0]):
+        self.levels.append(strings)
+        while len(self.levels) > 1 and 2 * len(self.levels[-1]) >= len(self.levels[-2]):
             new, old = self.levels.pop(), self.levels.pop()
-            both = np.concatenate([old[0], new[0]])
-            at = np.argsort(both, kind="stable")
-            self.levels.append((both[at], np.concatenate([old[1], new[1]])[at]))
+            self.levels.append(np.insert(old, np.searchsorted(old, new), new))
 
 
-def covered(owners: np.ndarray, texts: list[bytes], index: SuffixLevels) -> np.ndarray:
-    """For the starts of pieces in id order: whether an earlier id has the string. The index takes the new ones."""
-    length = index.length
+def suffix_array(texts: list[bytes], length: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Starts of strings of `length` bytes within the texts, numbered text by text: their byte order (equal ones in order
+    of their numbers), the strings in that order, and where a string differs from the one before."""
     sizes = np.array([len(x) for x in texts], np.int64)
     counts = sizes - length + 1
     data = np.frombuffer(b"".join(texts), np.uint8)
-    start = np.repeat(np.cumsum(sizes) - sizes, counts) + np.arange(counts.sum()) - np.repeat(np.cumsum(counts) - counts, counts)
-    hashes = window_hashes(data, length)[start]
-    view = np.lib.stride_tricks.sliding_window_view(data, length)
-    at = np.argsort(hashes, kind="stable")
-    ordered, start = hashes[at], start[at]
-    owner = np.repeat(owners, counts)[at]
-    first = np.concatenate(([True], ordered[1:] != ordered[:-1]))
-    again = np.flatnonzero(~first)
-    # Equal hashes of unequal strings start a group of their own.
-    for part in range(0, len(again), 1 << 16):
-        k = again[part : part + (1 << 16)]
-        first[k[(view[start[k]] != view[start[k - 1]]).any(1)]] = True
+    start = np.repeat(np.cumsum(sizes) - sizes - (np.cumsum(counts) - counts), counts) + np.arange(counts.sum())
+    # Strings of one width: padding cannot make unequal ones equal, and null bytes sort first.
+    strings = np.lib.stride_tricks.sliding_window_view(data, length)[start].view(f"S{length}").reshape(-1)
+    order = np.argsort(strings, kind="stable")
+    strings = strings[order]
+    return order, strings, np.concatenate(([True], strings[1:] != strings[:-1]))
+
+
+def covered(owners: np.ndarray, texts: list[bytes], index: SuffixLevels) -> np.ndarray:
+    """For the starts of pieces in id order: whether an earlier id has the string. The index takes the new ones."""
+    order, strings, first = suffix_array(texts, index.length)
+    owner = np.repeat(owners, [len(x) - index.length + 1 for x in texts])[order]
     heads = np.flatnonzero(first)
     group = np.cumsum(first) - 1
-    strings = view[start[heads]]
-    known = index.scan(ordered[heads], strings)
-    hit = known[group] | (owner > owner[heads][group])
-    index.add(ordered[heads][~known], strings[~known])
-    out = np.empty(len(at), bool)
-    out[at] = hit
+    known = index.scan(strings[heads])
+    index.add(strings[heads[~known]])
+    out = np.empty(len(order), bool)
+    out[order] = known[group] | (owner > owner[heads][group])
     return out
 
 
@@ -188,7 +185,7 @@ def _unpack(blob: bytes) -> tuple[np.ndarray, list[bytes]]:
     return rows, [raw[b - s : b] for b, s in zip(ends.tolist(), rows["size"].tolist())]
 
 
-def repeated_spans(docs: DataFrame, id_col: str, text: str, length: int = 50, gram: int = 20, bitmap_buckets: int = 2048, batch_strings: int = 1 << 17) -> DataFrame:
+def repeated_spans(docs: DataFrame, id_col: str, text: str, length: int = 50, gram: int = 20, bitmap_buckets: int = 2048, batch_strings: int = 1 << 17, shard_bytes: int = 1 << 23) -> DataFrame:
     """Rows (o, sig, start, stop): byte ranges of a text that strings of smaller ids cover; o is the id in order, sig a hash of the text."""
     spark = docs.sparkSession
     ship(spark)
@@ -216,7 +213,9 @@ def repeated_spans(docs: DataFrame, id_col: str, text: str, length: int = 50, gr
     # An anchor counts once for each of its texts; that two rows may share an id only adds candidates.
     counted = rows.select("text").mapInArrow(anchors, "anchor long, n long").groupBy("anchor").agg(F.sum("n").alias("n"))
     shared = spark.sparkContext.broadcast(collect_bitmap(counted.where("n > 1"), "anchor", bitmap_buckets))
-    shards = parallelism(spark)
+    # Shards grow in number, not in size: one for so many bytes of text, and one a task.
+    total = rows.agg(F.sum(F.octet_length("text"))).first()[0] or 0
+    shards = max(parallelism(spark), -(-total // shard_bytes))
 
     def sent(batches):
         held, size = [], 0
@@ -309,7 +308,7 @@ def repeated_spans(docs: DataFrame, id_col: str, text: str, length: int = 50, gr
         return list(zip(at["o"].tolist(), at["sig"].tolist(), (begin + turn_on).tolist(), (begin + turn_off + length - 1).tolist()))
 
     blobs = rows.mapInArrow(sent, "shard int, o long, blob binary")
-    return blobs.repartition(shards, "shard").sortWithinPartitions("shard", "o").select("shard", "blob").mapInArrow(found, "o long, sig long, start long, stop long")
+    return blobs.repartitionById(shards, "shard").sortWithinPartitions("shard", "o").select("shard", "blob").mapInArrow(found, "o long, sig long, start long, stop long")
 
 
 def _order(id_col: str):

@@ -183,11 +183,23 @@ def test_suffix_dedup(spark):
 
 def test_levels_merge_geometrically():
     levels = suffixes.SuffixLevels(2)
-    for k in range(32):
-        levels.add(np.array([k], np.uint64), np.array([[k, k + 1]], np.uint8))
-    sizes = [len(x) for x, _ in levels.levels]
+    rng = random.Random(8)
+    for k in rng.sample(range(32), 32):
+        levels.add(np.array([bytes([k, k + 1])], "S2"))
+    sizes = [len(x) for x in levels.levels]
     assert sum(sizes) == 32 and all(2 * b < a for a, b in zip(sizes, sizes[1:]))
-    assert levels.scan(np.array([7, 8, 99], np.uint64), np.array([[7, 8], [1, 1], [99, 100]], np.uint8)).tolist() == [True, False, False]
+    assert all((np.sort(x) == x).all() for x in levels.levels)
+    assert levels.scan(np.array([bytes([1, 1]), bytes([7, 8]), bytes([99, 100])], "S2")).tolist() == [False, True, False]
+
+
+def test_suffix_array_is_in_byte_order():
+    rng = random.Random(9)
+    texts = [bytes(rng.choices([0, 1, 128, 255], k=rng.randint(5, 300))) for _ in range(20)] + [bytes(60), bytes(5)]
+    plain = [t[k : k + 5] for t in texts for k in range(len(t) - 4)]
+    order, strings, first = suffixes.suffix_array(texts, 5)
+    assert order.tolist() == sorted(range(len(plain)), key=lambda k: (plain[k], k))
+    assert [x.ljust(5, b"\0") for x in strings.tolist()] == sorted(plain)
+    assert [k for k in range(len(plain)) if first[k]] == [k for k in range(len(plain)) if not k or sorted(plain)[k] != sorted(plain)[k - 1]]
 
 
 def test_pieces_cover_each_string_once():
