@@ -179,6 +179,9 @@ def as_bytes(column) -> list:
 
 def _trim() -> None:
     """Hand freed memory back to the system: a worker lives on after its task, beside those of later stages."""
+    import pyarrow as pa
+
+    pa.default_memory_pool().release_unused()
     trim = getattr(ctypes.CDLL(None), "malloc_trim", None)
     if trim:
         trim(0)
