@@ -11,6 +11,9 @@ from pathlib import Path
 from pyspark.sql import DataFrame, SparkSession
 
 _PACKAGE = Path(__file__).resolve().parent
+_BATCH_KEY = "spark.sql.execution.arrow.maxBytesPerBatch"
+#: Bytes of an Arrow batch for a Python worker, in place of Spark's default; the executor and the worker each hold a batch a task.
+_BATCH_BYTES, _BATCH_DEFAULT = "4m", "67108864b"
 
 
 def local_session(cores: str = "*", partitions: int = 8, **conf: str) -> SparkSession:
@@ -39,7 +42,12 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def ship(spark: SparkSession) -> None:
-    """Send this package to Python workers, once per context, so that UDFs import it on any executor."""
+    """Send this package to Python workers, once per context, so that UDFs import it on any executor.
+
+    Arrow batches are bounded by bytes, as rows may be long; a size that the session names itself stays.
+    """
+    if spark.conf.get(_BATCH_KEY, _BATCH_DEFAULT) == _BATCH_DEFAULT:
+        spark.conf.set(_BATCH_KEY, _BATCH_BYTES)
     context = spark.sparkContext
     if getattr(context, "_policyloom_shipped", False):
         return
