@@ -3,7 +3,8 @@
 A line occurrence goes if the same line occurs earlier, or if an earlier first occurrence of another
 line lies within one edit of it (insertion, deletion or substitution of one character), whatever their lengths.
 Earlier means by (doc_id, position); all is judged on the input, so a line may go for one that goes itself.
-near_chars can spare short lines from near matching; blank lines are never touched.
+Lines under near_chars characters are compared exactly, as one edit makes another word or number of them: of `}`, `1` and `2` all stay.
+Blank lines are never touched.
 
 1. Exact: lines are keyed by 128 bits of hash; one aggregation with map-side combine finds first occurrences.
 2. Anchors: a single edit leaves one half of a line whole, so each distinct line emits a key for each half, for its own
@@ -94,7 +95,7 @@ def _near(docs: DataFrame, first: DataFrame, id_col: str, text: str, bitmap_buck
     wanted = anchors.join(shared, "anchor", "left_semi").select("h1", "h2").distinct()
     place = first.join(wanted, ["h1", "h2"], "left_semi").select(
         "h1", "h2", F.col("first").alias("ord"),
-        F.expr(f"try_cast((first - first % {_SPAN}) / {_SPAN} as bigint)").alias("d"), F.expr(f"cast(first % {_SPAN} as int)").alias("p"),
+        F.expr(f"try_cast((first - pmod(first, {_SPAN})) / {_SPAN} as bigint)").alias("d"), F.expr(f"cast(pmod(first, {_SPAN}) as int)").alias("p"),
     )
     place = stored(place, "line-places")
     held = _in_bitmap(docs.select(F.col(id_col).cast("long").alias("d"), F.col(text).alias("text")), F.col("d"), _bitmap(F.col("d"), place, bitmap_buckets), bitmap_buckets)
@@ -140,7 +141,7 @@ def _removed(digests: DataFrame, first: DataFrame, near: DataFrame) -> DataFrame
     return met.where(F.col("near") | (_place() != F.col("first"))).select("d", "s", "p")
 
 
-def dedupe_lines(docs: DataFrame, id_col: str = "doc_id", text: str = "text", near_chars: int = 1, bitmap_buckets: int = 2048, fine_parts: int = 16) -> DataFrame:
+def dedupe_lines(docs: DataFrame, id_col: str = "doc_id", text: str = "text", near_chars: int = 8, bitmap_buckets: int = 2048, fine_parts: int = 16) -> DataFrame:
     """The documents with removed lines cut out of `text`, and n_lines (before) and n_removed."""
     digests = stored(_digests(docs, id_col, text, near_chars), "line-digests")
     once = [F.first(f"a{k}").alias(f"a{k}") for k in range(4)]

@@ -227,7 +227,7 @@ def test_line_dedup(spark, least):
         i, r = rng.randrange(len(x) + 1), rng.random()
         return x if r < 0.3 else x[:i] + rng.choice("abé") + x[i:] if r < 0.55 else x[:i] + x[i + 1 :] if r < 0.75 else x[:i] + rng.choice("aü") + x[i + 1 :]
 
-    rows = [(k, "\n".join(changed(rng.choice(base)) for _ in range(rng.randint(0, 6)))) for k in range(150)]
+    rows = [(k, "\n".join(changed(rng.choice(base)) for _ in range(rng.randint(0, 6)))) for k in (*range(-70, 74), -(1 << 63), 1 - (1 << 63), (1 << 63) - 1, (1 << 63) - 2, -(1 << 31), 1 << 31)]
     rows += [(None, "abc"), (500, None), (501, ""), (502, "aa\n\n \nbb"), (502, "aa\ncc"), (503, "x" * 3000), (504, "x" * 3001)]
     key = lambda i: 1 << 63 if i is None else i
     seen = [(key(i), p, x) for i, t in rows if t is not None for p, x in enumerate(t.split("\n")) if x.strip(" \t\r\x0b\f")]
@@ -244,10 +244,17 @@ def test_line_dedup(spark, least):
 def test_short_lines_one_edit_apart_and_a_hot_line(spark):
     rows = [(0, "short line one\na\nhot"), (1, "short line onf\nb\nhot"), (2, "short line tne!\nab\nhot"), (3, "other\nhot"), *[(k, "hot\nhot") for k in range(4, 400)]]
     got = {r.doc_id: (r.text, r.n_removed) for r in linedup.dedupe_lines(docs_of(spark, rows)).collect()}
-    assert got[0] == ("short line one\na\nhot", 0) and got[1] == ("", 3) and got[2] == ("short line tne!", 2) and got[3] == ("other", 1)
+    assert got[0] == ("short line one\na\nhot", 0) and got[1] == ("b", 2) and got[2] == ("short line tne!\nab", 1) and got[3] == ("other", 1)
     assert all(got[k] == ("", 2) for k in range(4, 400))
 
 
+def test_code_keeps_its_short_lines_and_negative_ids_meet(spark):
+    code = "{\nx = compute(a)\n}\n1\n2"
+    rows = [(-2, "x\nline number one"), (-1, "y\nline number onf"), (5, code)]
+    got = {r.doc_id: r.text for r in linedup.dedupe_lines(docs_of(spark, rows)).collect()}
+    assert got == {-2: "x\nline number one", -1: "y", 5: code}
+
+
 def test_a_text_of_many_lines_is_rebuilt(spark):
     lines = [f"line {k:08} {k * 7919 % 1000003:08}" for k in range(60_000)]
     rows = [(1, "\n".join(lines[::2])), (2, "\n".join(lines))]
