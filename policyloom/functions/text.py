@@ -12,6 +12,9 @@ from pyspark.sql import types as T
 
 from . import patterns as P
 
+#: What ids of stable_id() and of planned releases begin with.
+ID_PREFIX = "pl"
+
 
 @F.pandas_udf(T.StringType())
 def nfkc_casefold(text: pd.Series) -> pd.Series:
@@ -19,6 +22,12 @@ def nfkc_casefold(text: pd.Series) -> pd.Series:
     return text.map(lambda x: x.lower() if x.isascii() else unicodedata.normalize("NFKC", x).casefold(), na_action="ignore")
 
 
+def exact_fold(text: Column) -> Column:
+    """NFKC and full case folding in two lanes: texts of ASCII alone natively, the others through Arrow; a lane sees nulls for the rows of the other."""
+    ascii_only = F.octet_length(text) == F.length(text)
+    return F.coalesce(F.when(ascii_only, F.lower(text)), nfkc_casefold(F.when(~ascii_only, text)))
+
+
 def fold(text: Column) -> Column:
     """Native folding: lower case with sharp s spelt out, equal to NFKC and case folding on texts without compatibility characters."""
     return F.replace(F.lower(text), F.lit("ß"), F.lit("ss"))
@@ -188,6 +197,6 @@ def holds_forbidden_field(text: pd.Series) -> pd.Series:
     return text.map(one)
 
 
-def stable_id(namespace: str, payload_json: Column, digits: int = 24) -> Column:
+def stable_id(namespace: str, payload_json: Column, digits: int = 24, prefix: str = ID_PREFIX) -> Column:
     """A name from the hash of a canonical JSON payload."""
-    return F.concat(F.lit(f"sg-{namespace}-"), F.substring(F.sha2(payload_json, 256), 1, digits))
+    return F.concat(F.lit(f"{prefix}-{namespace}-"), F.substring(F.sha2(payload_json, 256), 1, digits))

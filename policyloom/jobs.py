@@ -113,8 +113,8 @@ def bounded_files(spark: SparkSession, path: str, most_bytes: int = FILE_BYTES,
     return files.select("path", "content")
 
 
-def robots_allow(agent: str):
-    """UDF (robots text, url) of whether an agent may fetch a URL."""
+def robots_allow(crawler: str):
+    """UDF (robots text, url) of whether a crawler may fetch a URL."""
 
     @F.pandas_udf("boolean")
     def run(robots: pd.Series, urls: pd.Series) -> pd.Series:
@@ -124,7 +124,7 @@ def robots_allow(agent: str):
             if text not in known:
                 known[text] = RobotFileParser()
                 known[text].parse((text or "").splitlines())
-            return known[text].can_fetch(agent, url)
+            return known[text].can_fetch(crawler, url)
 
         return pd.Series([one(t, u) for t, u in zip(robots, urls)], dtype=bool)
 

@@ -12,6 +12,7 @@ import json
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..functions import patterns as P
 from ..functions import text as X
 from . import similarity
 from .joins import duplicates
@@ -225,7 +226,7 @@ def _final_ok(args: Column, rule_ids: Column) -> Column:
     """A decision of known fields and values whose rule, if any, is active."""
     maybe = lambda name, *allowed: F.coalesce((_kind(args, name) == "VOID") | ((_kind(args, name) == "STRING") & (_field(args, name).isin(*allowed) if allowed else F.lit(True))), F.lit(True))
     number = (_kind(args, "confidence") == "BIGINT") | (_kind(args, "confidence") == "DOUBLE") | _kind(args, "confidence").startswith("DECIMAL")
-    route = F.coalesce((_kind(args, "route") == "STRING") & _field(args, "route").isin("fast", "hybrid", "slow", "agent"), F.lit(True))
+    route = F.coalesce((_kind(args, "route") == "STRING") & _field(args, "route").isin(*P.ROUTES), F.lit(True))
     rule = _field(args, "rule_id")
     return (
         _only(args, *FINAL_FIELDS) & F.coalesce((_kind(args, "label") == "STRING") & _field(args, "label").isin("safe", "unsafe"), F.lit(False))

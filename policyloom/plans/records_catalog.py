@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 
 from ..functions import gates as G
 from ..functions import patterns as P
+from ..functions import text as X
 from ..operators import exports, grammar, records, shifts, tools
 from ..runtime import ship, table
 from .. import jobs
@@ -82,7 +83,7 @@ def blueprint_checks(spark, d):
     v = F.col("p_partkey") % 23
     rows = table(spark, d, "part").select(
         "p_partkey",
-        _pick(v, F.concat(F.lit("sg-blueprint-"), "p_partkey"), v2="", v3="same").alias("blueprint_id"), _pick(v, F.concat(F.lit("sg-family-"), "p_partkey"), v3="same").alias("family_id"),
+        _pick(v, F.concat(F.lit(f"{X.ID_PREFIX}-blueprint-"), "p_partkey"), v2="", v3="same").alias("blueprint_id"), _pick(v, F.concat(F.lit(f"{X.ID_PREFIX}-family-"), "p_partkey"), v3="same").alias("family_id"),
         _pick(v, "p-ads", v4=" ").alias("policy_id"),
         _pick(v, ["R1", "R2", "R3"], v5=["R1", "", "R3"], v6=["R1", "R2", "R2"]).alias("active_rule_ids"),
         _pick(v, ["Fraud", "Spam", "Abuse"], v7=["Fraud", "Spam"], v8=["Fraud", "Spam", " "], v9=["Fraud", "Spam", "Spam"]).alias("active_rule_titles"),
@@ -276,10 +277,10 @@ def budget_restore_checks(spark, d):
 
 @query("""SELECT page_id, page_id % 3 <> 1 AND NOT (page_id % 3 = 2 AND starts_with(regexp_replace(url, '^https?://[^/?#]+', ''), '/p')) AS allowed FROM pages""")
 def robots_checks(spark, d):
-    """Whether robots files of three kinds let an agent fetch a page."""
+    """Whether robots files of three kinds let a crawler fetch a page."""
     ship(spark)
     v = F.col("page_id") % 3
-    robots = _pick(v, "User-agent: other\nDisallow: /", v1="User-agent: *\nDisallow: /", v2="User-agent: *\nDisallow: /p")
+    robots = _pick(v, f"{P.ROBOTS_NAME}: other\nDisallow: /", v1=f"{P.ROBOTS_NAME}: *\nDisallow: /", v2=f"{P.ROBOTS_NAME}: *\nDisallow: /p")
     return table(spark, d, "pages").select("page_id", jobs.robots_allow("policyloom-bot")(robots, F.col("url")).alias("allowed"))
 
 
@@ -641,7 +642,6 @@ def evidence_filter(spark, d):
 FROM conversations u LEFT JOIN conversations a ON a.conv_id = u.conv_id AND a.turn = u.turn + 1 AND a.role = 'assistant' WHERE u.role = 'user'""")
 def conversation_pair_text(spark, d):
     """Query and response as one text."""
-    from ..functions import text as X
 
     turns = table(spark, d, "conversations")
     replies = turns.where("role = 'assistant'").select("conv_id", (F.col("turn") - 1).alias("turn"), F.col("text").alias("reply"))
@@ -653,7 +653,6 @@ def conversation_pair_text(spark, d):
 sha256('{"n_name":"' || n_name || '","n_nationkey":' || n_nationkey || ',"n_regionkey":' || n_regionkey || ',"name":"' || n_name || ' \\u00e9"}') AS ascii_sha256 FROM nation""")
 def manifest_checksum(spark, d):
     """Hashes of canonical JSON rows, from JSON with its names in another order; also with all but ASCII escaped."""
-    from ..functions import text as X
 
     ship(spark)
     line = F.to_json(F.struct(F.concat("n_name", F.lit(" é")).alias("name"), "n_regionkey", "n_nationkey", "n_name"))
