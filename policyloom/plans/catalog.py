@@ -691,6 +691,7 @@ def _allowed(url: str | None) -> set[str]:
 
 
 from . import records_catalog as _records  # noqa: E402
+from . import runs_catalog as _runs  # noqa: E402
 
-QUERIES |= _records.QUERIES
-ORACLE_SQL |= _records.ORACLE_SQL
+QUERIES |= _records.QUERIES | _runs.QUERIES
+ORACLE_SQL |= _records.ORACLE_SQL | _runs.ORACLE_SQL
