@@ -205,7 +205,7 @@ def stream_automaton(events: DataFrame, run: str, count: int, batch_size: int =
         def init(self, handle: StatefulProcessorHandle) -> None:
             self.now = handle.getValueState("now", "place long, state string, counted long")
 
-        def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timers) -> Iterator[pd.DataFrame]:
+        def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
             place, state, counted = self.now.get() if self.now.exists() else (0, STATES[0], 0)
             for frame in rows:
                 out = []

@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from ..operators import automaton
+from ..operators import automaton, settlement
 from ..runtime import table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -74,3 +74,55 @@ def event_log_totals(spark, d):
     """What a reader gets of each log up to its first fault."""
     checked = automaton.event_automaton(event_log(spark, d), "user_id", ["event_id"], F.lit(1_000_000))
     return automaton.log_totals(checked, "user_id")
+
+
+# --- budgets ------------------------------------------------------------------------------------------------------
+
+_CAPS = settlement.Caps(requests=24, cost=120_000, patience=20 * 3600 * 1_000_000)
+
+#: Two of three entries of a user reserve; a record is for the reservation one or four entries before it, or after it, and some never come.
+_ENTRIES = """WITH a AS (SELECT event_id, user_id, ts, CASE WHEN event_id % 5 IN (0, 1, 3) THEN 'reserve' ELSE 'record' END AS kind,
+  lag(event_id, 1) OVER w AS before1, lag(event_id, 4) OVER w AS before4, lead(event_id, 1) OVER w AS after1, CAST(floor(abs(value) * 100) AS BIGINT) AS v
+  FROM events WINDOW w AS (PARTITION BY user_id ORDER BY ts, event_id)),
+entries AS (SELECT event_id, user_id, ts, kind, CASE WHEN kind = 'reserve' THEN event_id WHEN event_id % 7 < 4 THEN before1 WHEN event_id % 7 < 6 THEN before4 ELSE after1 END AS request,
+  CASE WHEN kind = 'reserve' THEN CASE WHEN event_id % 101 = 0 THEN NULL WHEN event_id % 103 = 0 THEN -5 WHEN event_id % 107 = 0 THEN 0 ELSE 4000 + v % 5000 END
+    ELSE CASE WHEN event_id % 97 = 2 THEN NULL WHEN event_id % 89 = 2 THEN 20000 WHEN event_id % 83 = 2 THEN -1 ELSE v % 4000 END END AS amount,
+  CASE WHEN kind = 'record' THEN event_id % 113 <> 2 END AS complete FROM a)"""
+
+_SETTLE_SQL = "WITH RECURSIVE " + _ENTRIES.removeprefix("WITH ") + f""",
+e AS (SELECT *, epoch_us(ts) AS due, row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) AS place FROM entries),
+r AS (SELECT DISTINCT user_id, 0::BIGINT AS place, NULL::BIGINT AS number, NULL::VARCHAR AS code, 0::BIGINT AS requests, 0::BIGINT AS spent, true AS complete,
+  []::STRUCT(id BIGINT, amount BIGINT, since BIGINT)[] AS opened, []::STRUCT(id BIGINT, amount BIGINT, since BIGINT)[] AS charged FROM e
+UNION ALL
+SELECT user_id, place, number, code, requests + (code = 'granted')::BIGINT,
+  spent + CASE WHEN NOT took OR kind = 'reserve' THEN 0 WHEN amount IS NULL THEN CASE WHEN late THEN 0 ELSE held END ELSE amount - CASE WHEN late THEN held ELSE 0 END END,
+  complete AND (NOT took OR kind = 'reserve' OR coalesce(fine AND amount <= held, false)),
+  CASE WHEN code = 'granted' THEN list_append(opened, {{'id': request, 'amount': amount, 'since': due}}) WHEN took THEN list_filter(opened, lambda g: g.id <> request) ELSE opened END,
+  CASE WHEN took THEN list_filter(charged, lambda g: g.id <> request) ELSE charged END
+FROM (SELECT *, CASE WHEN kind = 'reserve' THEN CASE WHEN held IS NOT NULL THEN 'duplicate_request' WHEN requests >= {_CAPS.requests} THEN 'max_requests'
+      WHEN NOT complete OR coalesce(amount, 0) = 0 THEN 'cost_accounting_incomplete' WHEN amount < 0 THEN 'invalid_amount'
+      WHEN spent + coalesce(list_sum([g.amount for g in opened]), 0) + amount > {_CAPS.cost} THEN 'max_estimated_cost' ELSE 'granted' END
+    WHEN held IS NULL THEN 'no_open_reservation' WHEN amount < 0 THEN 'invalid_amount' WHEN amount IS NULL THEN 'cost_accounting_incomplete' WHEN amount > held THEN 'cost_reservation_exceeded'
+    WHEN spent + amount - CASE WHEN late THEN held ELSE 0 END > {_CAPS.cost} THEN 'max_estimated_cost' WHEN late THEN 'settled_late' ELSE 'settled' END AS code,
+    kind = 'record' AND held IS NOT NULL AND NOT coalesce(amount < 0, false) AS took
+  FROM (SELECT *, len(list_filter(charged, lambda g: g.id = request)) > 0 AS late, coalesce(list_filter(opened, lambda g: g.id = request)[1].amount, list_filter(charged, lambda g: g.id = request)[1].amount) AS held
+    FROM (SELECT r.user_id, e.place, e.event_id AS number, e.kind, e.request, e.amount, coalesce(e.complete, true) AS fine, e.due, r.requests, r.complete,
+        r.spent + coalesce(list_sum([g.amount for g in r.opened if g.since + {_CAPS.patience} < e.due]), 0)::BIGINT AS spent,
+        list_filter(r.opened, lambda g: g.since + {_CAPS.patience} >= e.due) AS opened, list_concat(r.charged, list_filter(r.opened, lambda g: g.since + {_CAPS.patience} < e.due)) AS charged
+      FROM r JOIN e ON e.user_id = r.user_id AND e.place = r.place + 1))))
+SELECT number AS event_id, user_id, code, requests, spent::BIGINT AS spent, coalesce(list_sum([g.amount for g in opened]), 0)::BIGINT AS reserved, complete AS accounting_complete FROM r WHERE place > 0"""
+
+
+def budget_entries(spark: SparkSession, d: str) -> DataFrame:
+    """The entries above, with their event time; the window only makes an input."""
+    events = table(spark, d, "events").select("event_id", "user_id", "ts", "value")
+    rows = spark.sql(_ENTRIES.replace("FROM events", "FROM {events}") + " SELECT * FROM entries", events=events)
+    at = F.expr("timestampdiff(MICROSECOND, TIMESTAMP_NTZ'1970-01-01 00:00:00', cast(ts AS TIMESTAMP_NTZ))")
+    return rows.select("user_id", at.alias("at"), F.col("event_id").alias("number"), "kind", F.col("request").cast("string").alias("request"), F.col("amount").cast("long").alias("amount"), "complete")
+
+
+@query(_SETTLE_SQL)
+def budget_settlement(spark, d):
+    """Every entry's code and its budget's totals after it: grants, costs in time, late or never, and records that come before their request."""
+    made = settlement.settle(budget_entries(spark, d), "user_id", _CAPS)
+    return made.select(F.col("number").alias("event_id"), "user_id", "code", "requests", "spent", "reserved", "accounting_complete")

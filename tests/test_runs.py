@@ -5,7 +5,7 @@ import random
 import pytest
 from pyspark.sql import functions as F
 
-from policyloom.operators import automaton
+from policyloom.operators import automaton, settlement
 from policyloom.runtime import scratch_path
 
 LOG = "run long, at long, sequence long, event string, code string, batch_count long, accepted_count long, completed_count long"
@@ -70,3 +70,68 @@ def test_automaton_equals_a_replay_and_its_stream(spark):
     stream.awaitTermination()
     streamed = sorted((tuple(r) for r in spark.read.parquet(out).collect()), key=str)
     assert streamed == [r for r in expected if r[0] is not None]
+
+
+# --- budgets ------------------------------------------------------------------------------------------------------
+
+ENTRIES = "budget long, at long, number long, kind string, request string, amount long, complete boolean"
+CAPS = settlement.Caps(requests=12, cost=60_000, patience=9_000_000)
+
+
+def entries_of(rnd, budget, n):
+    rows, known = [], []
+    for k in range(n):
+        at = 1_000_000_000 + k * 1_000_000 + rnd.choice([0, 0, 500_000])
+        if rnd.random() < 0.5 or not known:
+            known.append(f"r{k}")
+            rows.append((budget, at, k, "reserve", rnd.choice([f"r{k}", f"r{k}", f"r{k}", rnd.choice(known)]), rnd.choice([None, 0, -3, *[rnd.randrange(1000, 9000)] * 20]), None))
+        else:
+            rows.append((budget, at, k, rnd.choice(["record"] * 30 + ["other"]), rnd.choice([known[-1], rnd.choice(known), f"r{k + 1}"]), rnd.choice([None, -1, 20_000, *[rnd.randrange(4000)] * 60]), rnd.choice([None, True, True] * 20 + [False])))
+    return rows
+
+
+def settled(rows):
+    ledgers, out = {}, []
+    for row in sorted(rows, key=lambda r: tuple((v is not None, v) for v in r)):
+        ledger = ledgers.setdefault(row[0], settlement.Ledger(CAPS))
+        out.append((row[0], *ledger.step(dict(zip(settlement.ENTRY, row[1:], strict=True)))))
+    return sorted(out, key=str)
+
+
+def test_settlement_by_hand():
+    ledger = settlement.Ledger(settlement.Caps(requests=3, cost=100, patience=10))
+    step = lambda at, kind, request, amount, complete=True: ledger.step({"at": at, "number": 0, "kind": kind, "request": request, "amount": amount, "complete": complete})[2:6]
+    assert step(1, "reserve", "a", 60) == ("granted", 1, 0, 60)
+    assert step(2, "reserve", "b", 50) == ("max_estimated_cost", 1, 0, 60)
+    assert step(3, "record", "a", 20) == ("settled", 1, 20, 0)
+    assert step(4, "reserve", "b", 50) == ("granted", 2, 20, 50)
+    assert step(15, "reserve", "c", 40) == ("max_estimated_cost", 2, 70, 0)  # b was charged in full
+    assert step(16, "record", "b", 10) == ("settled_late", 2, 30, 0)
+    assert step(17, "record", "b", 10) == ("no_open_reservation", 2, 30, 0)
+    assert step(18, "reserve", "c", 40) == ("granted", 3, 30, 40)
+    assert step(19, "reserve", "d", 1) == ("max_requests", 3, 30, 40)
+    assert step(20, "record", "c", 41) == ("cost_reservation_exceeded", 3, 71, 0) and not ledger.complete
+
+
+def test_settlement_equals_a_replay_and_its_stream(spark):
+    rnd = random.Random(4)
+    rows = [r for budget, n in [(1, 300), (2, 30), (3, 1), (4, 90), (None, 20)] for r in entries_of(rnd, budget, n)]
+    frame = spark.createDataFrame(rows, ENTRIES)
+    made = settlement.settle(frame.repartition(5), "budget", CAPS)
+    expected = settled(rows)
+    assert sorted((tuple(r) for r in made.collect()), key=str) == expected and len({r[3] for r in expected}) > 8
+    last = {r.budget: (r.requests, r.spent, r.reserved) for r in settlement.totals(made, frame, "budget").collect()}
+    assert last == {b: next(r[4:7] for r in reversed(sorted((r for r in expected if r[0] == b), key=lambda r: (r[1], r[2])))) for b in (1, 2, 3, 4, None)}
+    assert settlement.settle(frame.limit(0), "budget", CAPS).count() == 0
+    path, out = scratch_path(spark, "entries"), scratch_path(spark, "entries-out")
+    known = [r for r in rows if r[0] is not None]
+    known.sort(key=lambda r: r[1] + rnd.randrange(20_000_000))  # arrivals are up to 20 s out of order
+    for part in (known[:150], known[150:300], known[300:], [(9, 10_000_000_000, 0, "reserve", "x", 1, None)], [(9, 10_000_000_001, 1, "reserve", "y", 1, None)]):
+        spark.createDataFrame(part, ENTRIES).withColumn("time", F.timestamp_micros("at")).coalesce(1).write.mode("append").parquet(path)
+    spark.conf.set("spark.sql.streaming.stateStore.providerClass", "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider")
+    schema = spark.read.parquet(path).schema
+    source = spark.readStream.schema(schema).option("maxFilesPerTrigger", 1).parquet(path)
+    made = settlement.stream_settle(source, "budget", CAPS, "30 seconds")
+    query = made.writeStream.format("parquet").option("checkpointLocation", scratch_path(spark, "entries-state")).trigger(availableNow=True).start(out)
+    query.awaitTermination()
+    assert sorted((tuple(r) for r in spark.read.parquet(out).where("budget <> 9").collect()), key=str) == [r for r in expected if r[0] is not None]
