@@ -17,6 +17,8 @@ from ..functions import text as X
 from ..operators import decisions, grammar, joins, ledger, planning, similarity
 from ..runtime import ship, stored, table
 from ..sources import readers
+from .sql import ENGLISH as _ENGLISH
+from .sql import FOLD, SQUEEZE, TOKENS
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE_SQL: dict[str, str] = {}
@@ -38,11 +40,6 @@ def _lines(items: dict[str, int]) -> str:
     return ", ".join(f"('{k}', {w}, {i})" for i, (k, w) in enumerate(items.items()))
 
 
-# Folding in SQL that equals the native one.
-FOLD = "replace(lower({}), 'ß', 'ss')"
-SQUEEZE = r"trim(regexp_replace({}, '\s+', ' ', 'g'))"
-TOKENS = "regexp_extract_all(" + FOLD + ", '[a-z0-9]+')"
-
 # --- scans, normalisation, first-wins -----------------------------------------------------------------------------
 
 
@@ -217,7 +214,6 @@ def rl_prompt_rows(spark, d):
 
 # --- text gates ---------------------------------------------------------------------------------------------------
 
-_ENGLISH = r"length(regexp_replace({0}, '[^A-Za-z]', '', 'g'))::DOUBLE / nullif(length(regexp_replace({0}, '[^\p{{L}}]', '', 'g')), 0)"
 _SIMPLE_WORDS = r"len(regexp_extract_all({0}, '[\p{{L}}\p{{N}}_'']+'))"
 _NATIVE_WORDS = lambda c: F.regexp_count(c, F.lit(r"[\p{L}\p{N}_']+"))
 

@@ -4,23 +4,26 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..operators import automaton, settlement
-from ..runtime import table
+from ..functions import text as X
+from ..operators import automaton, query_run, settlement, similarity
+from ..runtime import scratch_path, ship, table
+from ..sources.commits import CommitLog
+from . import sql
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE_SQL: dict[str, str] = {}
 
 
-def query(sql: str | None = None):
+def query(oracle: str | None = None):
     """Register a query under its function's name."""
 
     def add(make):
         QUERIES[make.__name__] = make
-        if sql:
-            ORACLE_SQL[make.__name__] = sql
+        if oracle:
+            ORACLE_SQL[make.__name__] = oracle
         return make
 
     return add
@@ -126,3 +129,66 @@ def budget_settlement(spark, d):
     """Every entry's code and its budget's totals after it: grants, costs in time, late or never, and records that come before their request."""
     made = settlement.settle(budget_entries(spark, d), "user_id", _CAPS)
     return made.select(F.col("number").alias("event_id"), "user_id", "code", "requests", "spent", "reserved", "accounting_complete")
+
+
+# --- generation ---------------------------------------------------------------------------------------------------
+
+#: Replies stand in the tables: the text at the first attempt, the text with other letters at the second. Some batches cannot be parsed, some reviews disagree.
+_RUN_SQL = """WITH RECURSIVE n AS (SELECT count(*) AS total, max(doc_id) + 1 AS most FROM documents),
+c AS (SELECT (a.attempt - 1) * most + doc_id + 1 AS rid, doc_id + 1 AS ordinal, a.attempt, doc_id // 4 AS batch, source, CASE a.attempt WHEN 1 THEN text ELSE translate(text, 'et', 'iz') END AS text, total
+  FROM documents, (VALUES (1), (2)) a(attempt), n),
+l AS (SELECT *, CASE WHEN batch % 29 = 3 AND attempt = 1 THEN 'parse_invalid_batch' WHEN NOT (coalesce({english} >= 0.8, false) AND regexp_matches(text, '[A-Za-z]')) THEN 'wrong_language' END AS local FROM c),
+p AS MATERIALIZED (SELECT rid, ordinal, source, {key} AS k, list_distinct(list_transform(range(1, len(t) - 3), lambda i: array_to_string(t[i:i + 4], ' '))) AS s FROM (SELECT *, {tokens} AS t FROM l WHERE local IS NULL)),
+b AS (SELECT item_id + 1 AS ordinal, {key} AS k, list_distinct(list_transform(range(1, len(t) - 3), lambda i: array_to_string(t[i:i + 4], ' '))) AS s FROM (SELECT *, {tokens} AS t FROM benchmark)),
+u AS (SELECT p.rid FROM p JOIN b USING (ordinal) WHERE p.k = b.k OR (len(p.s) > 0 AND len(b.s) > 0 AND 2 * len(list_intersect(p.s, b.s)) >= len(p.s) + len(b.s) - len(list_intersect(p.s, b.s)))),
+g AS MATERIALIZED (SELECT rid, source, unnest(s) AS s FROM p),
+o AS (SELECT x.rid AS x, y.rid AS y, count(*) AS i FROM g x JOIN g y ON x.s = y.s AND x.rid < y.rid AND x.source IS DISTINCT FROM y.source GROUP BY x.rid, y.rid),
+near AS (SELECT y AS rid, list(x) AS near FROM o JOIN p a ON a.rid = x JOIN p b ON b.rid = y WHERE i >= 0.85 * (len(a.s) + len(b.s) - i) GROUP BY y),
+same AS (SELECT y.rid, list(x.rid) AS same FROM p x JOIN p y ON x.k = y.k AND x.rid < y.rid GROUP BY y.rid),
+r AS MATERIALIZED (SELECT l.rid, l.ordinal, l.attempt, l.attempt * 1000000000 + l.batch AS batch, l.local, coalesce(same, []) AS same, coalesce(near, []) AS near, u.rid IS NOT NULL AS copied,
+    CASE WHEN l.batch % 31 = 7 THEN 'semantic_review_invalid' WHEN l.ordinal % 13 = 5 AND l.attempt = 1 THEN 'semantic_mismatch' END AS verdict, (total * 7 // 10) AS cap, row_number() OVER (ORDER BY l.rid) AS turn
+  FROM l LEFT JOIN same USING (rid) LEFT JOIN near USING (rid) LEFT JOIN u USING (rid)),
+w AS (SELECT 0::BIGINT AS turn, 0::BIGINT AS ordinal, 0 AS attempt, NULL::VARCHAR AS code, []::BIGINT[] AS won, 0::BIGINT AS asked, 0::BIGINT AS batch, false AS stopped
+UNION ALL SELECT turn, ordinal, attempt, code, CASE WHEN code = 'accepted' THEN list_append(won, rid) ELSE won END, asked, batch, stopped
+FROM (SELECT *, CASE WHEN NOT takes THEN NULL WHEN local IS NOT NULL THEN local WHEN list_has_any(same, won) THEN 'exact_duplicate' WHEN copied THEN 'source_too_similar' WHEN list_has_any(near, won) THEN 'near_duplicate'
+      ELSE coalesce(verdict, 'accepted') END AS code
+  FROM (SELECT r.rid, r.turn, r.ordinal, r.attempt, r.local, r.same, r.near, r.copied, r.verdict, w.won,
+      NOT w.stopped AND NOT (r.attempt = 2 AND list_contains(w.won, r.ordinal)) AND (w.batch = r.batch OR 2 * (w.asked + 1) <= r.cap) AS takes,
+      w.asked + (NOT w.stopped AND NOT (r.attempt = 2 AND list_contains(w.won, r.ordinal)) AND w.batch <> r.batch AND 2 * (w.asked + 1) <= r.cap)::BIGINT AS asked,
+      CASE WHEN w.stopped OR (r.attempt = 2 AND list_contains(w.won, r.ordinal)) THEN w.batch ELSE r.batch END AS batch,
+      w.stopped OR (NOT (r.attempt = 2 AND list_contains(w.won, r.ordinal)) AND w.batch <> r.batch AND 2 * (w.asked + 1) > r.cap) AS stopped
+    FROM w JOIN r ON r.turn = w.turn + 1))),
+z AS (SELECT ordinal, max(attempt) FILTER (code IS NOT NULL) AS attempts, max_by(code, attempt) FILTER (code IS NOT NULL) AS code FROM w WHERE turn > 0 GROUP BY ordinal)
+SELECT ordinal - 1 AS doc_id, CASE WHEN code = 'accepted' THEN 'accepted' WHEN attempts >= 2 THEN 'rejected' ELSE 'pending' END AS status, coalesce(attempts, 0)::BIGINT AS attempts, code FROM z"""
+
+
+def generation_run(spark: SparkSession, d: str) -> tuple[DataFrame, query_run.Run]:
+    """The plan and the functions of the run above."""
+    ship(spark)
+    docs = table(spark, d, "documents")
+    plan = docs.select((F.col("doc_id") + 1).alias("ordinal"), F.col("source").alias("family"), F.lit("p").alias("policy_id"))
+    texts = docs.select((F.col("doc_id") + 1).alias("ordinal"), "text")
+    items = table(spark, d, "benchmark").select((F.col("item_id") + 1).alias("ordinal"), F.col("text").alias("source_text"))
+
+    def provide(rows: DataFrame) -> DataFrame:
+        query = F.when(F.col("attempt") == 1, F.col("text")).otherwise(F.translate("text", "et", "iz"))
+        return rows.join(texts, "ordinal").select("ordinal", query.alias("query"), F.lit(None).cast("string").alias("response"), (~((F.col("batch") % 29 == 3) & (F.col("attempt") == 1))).alias("valid"))
+
+    def review(rows: DataFrame) -> DataFrame:
+        return rows.select("ordinal", F.when(F.col("batch") % 31 == 7, "semantic_review_invalid").when((F.col("ordinal") % 13 == 5) & (F.col("attempt") == 1), "semantic_mismatch").alias("verdict"))
+
+    def copied(rows: DataFrame) -> DataFrame:
+        met = rows.join(items, "ordinal")
+        return met.where(similarity.source_similar(met, F.col("source_text"), F.col("query"), F.col("response")))
+
+    gate = lambda rows: F.when(X.is_english(F.col("query")), "accepted").otherwise("wrong_language")
+    return plan, query_run.Run(provide, gate, review, copied, attempts=2, requests=docs.count() * 7 // 10)
+
+
+@query(_RUN_SQL.format(english=sql.ENGLISH.format("text"), key=sql.SQUEEZE.format(sql.FOLD.format("text")), tokens=sql.TOKENS.format("text")))
+def query_run_outcome(spark, d):
+    """Status, attempts and last code of every planned row of a run: near duplicates by an index that grows, source copies, blind review, and a budget that ends."""
+    plan, run = generation_run(spark, d)
+    log = CommitLog(spark, scratch_path(spark, "run"), query_run.SCHEMAS)
+    query_run.run_queries(plan, run, log)
+    return query_run.outcome(plan, log, run.attempts).select((F.col("ordinal") - 1).alias("doc_id"), "status", "attempts", "code")
