@@ -245,3 +245,37 @@ def run_status(plan: DataFrame, log: CommitLog, run: Run) -> dict[str, object]:
     used = log.manifest(log.latest())["note"]["requests"] if log.latest() else 0
     accepted, rejected, left = (counts.get(k, 0) for k in ("accepted", "rejected", "pending"))
     return {"status": "complete" if accepted == sum(counts.values()) else "incomplete", "accepted": accepted, "rejected": rejected, "pending": left, "requests": used}
+
+
+def run_faults(plan: DataFrame, log: CommitLog, run: Run) -> DataFrame:
+    """What a reader checks before it takes a run up, beside the log's own hashes: each check and how many rows fail it.
+
+    Attempts of a row are 1, 2, ..., the accepted one the last; ids are planned; events add up to the rows; the index holds exactly what was accepted;
+    accepted rows pass their gate, and none is equal or near to one that was accepted before it.
+    """
+    accepted, refused, events = log.table("accepted"), log.table("refused"), log.table("events")
+    tries = refused.select("ordinal", "attempt", F.lit(False).alias("won")).unionByName(accepted.select("ordinal", "attempt", F.lit(True).alias("won")))
+    each = tries.groupBy("ordinal").agg(F.count(F.lit(1)).alias("n"), F.countDistinct("attempt").alias("d"), F.max("attempt").alias("most"), F.max(F.when(F.col("won"), F.col("attempt"))).alias("won"), F.count_if("won").alias("wins"))
+    sound = (F.col("n") == F.col("d")) & (F.col("n") == F.col("most")) & (F.col("n") <= run.attempts) & (F.col("wins") <= 1) & (F.col("won").isNull() | (F.col("won") == F.col("n")))
+    count = lambda name, rows: rows.agg(F.count(F.lit(1)).alias("n")).select(F.lit(name).alias("check"), "n")
+    sums = events.where("event <> 'provider_stop'").agg(F.coalesce(F.sum("batch_count"), F.lit(0)).alias("tried"), F.coalesce(F.sum("accepted_count"), F.lit(0)).alias("won"))
+    rows = accepted.agg(F.count(F.lit(1)).alias("a")).crossJoin(refused.agg(F.count(F.lit(1)).alias("r")))  # one row each
+    held = log.table("holders").select("key", "family", "ordinal")
+    mine = accepted.select("key", "family", "ordinal")
+    sets, postings = log.table("sets"), log.table("postings")
+    parts = [
+        count("attempts", each.where(~sound)),
+        count("unplanned", tries.join(plan.select("ordinal"), "ordinal", "left_anti")),
+        count("event_totals", sums.crossJoin(rows).where("tried <> a + r or won <> a")),
+        count("index", held.exceptAll(mine).unionByName(mine.exceptAll(held)).select("ordinal").unionByName(mine.join(sets, "key", "left_anti").select("ordinal"))),
+        count("gate", accepted.withColumn("code", run.gate(accepted)).where("not code <=> 'accepted'")),
+        count("equal", held.groupBy("key").agg(F.count(F.lit(1)).alias("n")).where("n > 1")),
+    ]
+    out = parts[0]
+    for part in parts[1:]:
+        out = out.unionByName(part)
+    # A row stands after those of earlier versions and, in its own, after smaller ordinals: attempt, then ordinal.
+    near = mine.join(accepted.select("ordinal", "attempt"), "ordinal").withColumn("ordinal", F.col("attempt") * F.lit(1 << 40) + F.col("ordinal"))
+    order = held.join(accepted.select("ordinal", "attempt"), "ordinal").withColumn("ordinal", F.col("attempt") * F.lit(1 << 40) + F.col("ordinal")).select("key", "family", "ordinal")
+    hit = _hit(_near(sets, postings, postings, sets, run.threshold), order).select("key", F.struct("one", "second").alias("near"))
+    return out.unionByName(count("near", near.join(hit, "key").where(_blocks("near"))))

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Callable
+from dataclasses import replace
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -192,3 +193,15 @@ def query_run_outcome(spark, d):
     log = CommitLog(spark, scratch_path(spark, "run"), query_run.SCHEMAS)
     query_run.run_queries(plan, run, log)
     return query_run.outcome(plan, log, run.attempts).select((F.col("ordinal") - 1).alias("doc_id"), "status", "attempts", "code")
+
+
+@query(ORACLE_SQL["query_run_outcome"])
+def resume_state(spark, d):
+    """The same run, broken off at half its budget, verified and taken up again: rows, attempts and codes are those of an unbroken one."""
+    plan, run = generation_run(spark, d)
+    log = CommitLog(spark, scratch_path(spark, "run"), query_run.SCHEMAS)
+    query_run.run_queries(plan, replace(run, requests=run.requests // 2), log)
+    if log.verify() or not query_run.run_faults(plan, log, run).where("n > 0").isEmpty():
+        raise RuntimeError("the stored run is not sound")
+    query_run.run_queries(plan, run, log)
+    return query_run.outcome(plan, log, run.attempts).select((F.col("ordinal") - 1).alias("doc_id"), "status", "attempts", "code")

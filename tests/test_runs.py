@@ -135,3 +135,131 @@ def test_settlement_equals_a_replay_and_its_stream(spark):
     query = made.writeStream.format("parquet").option("checkpointLocation", scratch_path(spark, "entries-state")).trigger(availableNow=True).start(out)
     query.awaitTermination()
     assert sorted((tuple(r) for r in spark.read.parquet(out).where("budget <> 9").collect()), key=str) == [r for r in expected if r[0] is not None]
+
+
+# --- generation and its commit log --------------------------------------------------------------------------------
+
+WORDS = [f"word{k}" for k in range(400)]
+
+
+def candidate(ordinal, attempt):
+    """Texts in groups of equal and near ones; a later attempt has other words."""
+    rnd = random.Random(f"{ordinal % 9}-{attempt if ordinal % 4 else 1}")
+    words = [rnd.choice(WORDS) for _ in range(60)]
+    if ordinal % 5 == 1:
+        words[ordinal % 3] = f"changed{ordinal}"  # near, not equal
+    return " ".join(words) if ordinal % 11 else "Überlänge ﬁne " * 9  # a ligature
+
+
+def plain_run(total, families, attempts, requests):
+    """One row after the other, by attempt, then ordinal."""
+    import unicodedata
+
+    def grams(text):
+        tokens = [t for t in "".join(c if c.isascii() and c.isalnum() else " " for c in unicodedata.normalize("NFKC", text).casefold()).split()]
+        return {tuple(tokens[i : i + 5]) for i in range(len(tokens) - 4)}
+
+    won, last, used, batch_now = [], {}, 0, None
+    for attempt in range(1, attempts + 1):
+        for ordinal in range(1, total + 1):
+            if any(o == ordinal for o, *_ in won):
+                continue
+            if batch_now != (attempt, (ordinal - 1) // 4):
+                if used + 2 > requests:
+                    return won, last, used
+                used, batch_now = used + 2, (attempt, (ordinal - 1) // 4)
+            text = candidate(ordinal, attempt)
+            key, mine = " ".join(unicodedata.normalize("NFKC", text).casefold().split()), grams(text)
+            near = lambda g: bool(g and mine) and len(g & mine) >= 0.85 * len(g | mine)  # noqa: B023, E731
+            if (ordinal - 1) // 4 % 7 == 3 and attempt == 1:
+                code = "parse_invalid_batch"
+            elif ordinal % 10 == 9:
+                code = "gate"
+            elif any(k == key for _, _, k, _ in won):
+                code = "exact_duplicate"
+            elif any(families(o) != families(ordinal) and near(g) for o, _, _, g in won):
+                code = "near_duplicate"
+            else:
+                code = "semantic_mismatch" if ordinal % 8 == 5 and attempt == 1 else "accepted"
+            last[ordinal] = (attempt, code)
+            if code == "accepted":
+                won.append((ordinal, attempt, key, mine))
+    return won, last, used
+
+
+def small_run(spark, requests=None):
+    from policyloom.operators import query_run
+    from policyloom.runtime import ship
+
+    ship(spark)
+    total, families = 45, lambda o: f"f{o % 4}" if o % 6 else "f0"
+    plan = spark.createDataFrame([(o, families(o), "p") for o in range(1, total + 1)], "ordinal long, family string, policy_id string")
+    texts = spark.createDataFrame([(o, a, candidate(o, a)) for o in range(1, total + 1) for a in (1, 2, 3)], "ordinal long, attempt int, query string")
+
+    def provide(rows):
+        valid = ~((F.col("batch") % 7 == 3) & (F.col("attempt") == 1))
+        return rows.join(texts, ["ordinal", "attempt"]).select("ordinal", "query", F.lit(None).cast("string").alias("response"), valid.alias("valid"))
+
+    gate = lambda rows: F.when(F.col("ordinal") % 10 == 9, "gate").otherwise("accepted")
+    review = lambda rows: rows.select("ordinal", F.when((F.col("ordinal") % 8 == 5) & (F.col("attempt") == 1), "semantic_mismatch").alias("verdict"))
+    return plan, query_run.Run(provide, gate, review, None, attempts=2, requests=requests, first_range=24), families, total
+
+
+def outcomes(plan, log, run):
+    from policyloom.operators import query_run
+
+    return {r.ordinal: (r.attempts, r.code) for r in query_run.outcome(plan, log, run.attempts).collect() if r.attempts}
+
+
+def test_a_killed_run_ends_like_an_unbroken_one_and_like_a_replay(spark):
+    from policyloom.operators import query_run
+    from policyloom.sources.commits import CommitLog
+
+    plan, run, families, total = small_run(spark, requests=38)
+    won, last, used = plain_run(total, families, 2, 38)
+    assert {c for _, c in last.values()} >= {"accepted", "gate", "exact_duplicate", "near_duplicate"}
+    root = scratch_path(spark, "run")
+    kills = ["accepted", "events", "manifest", "staged", "commit"]
+
+    class Killed(Exception):
+        pass
+
+    done = []
+    for point in kills:
+
+        def after(name, point=point):
+            if name == point:
+                raise Killed(point)
+
+        log = CommitLog(spark, root, query_run.SCHEMAS, after)
+        try:
+            query_run.run_queries(plan, run, log)
+        except Killed:
+            done.append(point)
+    assert done[:3] == kills[:3]
+    log = CommitLog(spark, root, query_run.SCHEMAS)
+    status = query_run.run_queries(plan, run, log)
+    assert outcomes(plan, log, run) == last and status["requests"] == used and status["accepted"] == len(won) and log.verify() == []
+    assert query_run.run_faults(plan, log, run).where("n > 0").count() == 0
+    # The same run again finds nothing to do; a changed table is found.
+    version = log.latest()
+    assert query_run.run_queries(plan, run, log) == status and log.latest() == version
+    spark.createDataFrame([(1, 9, "made up")], query_run.SCHEMAS["refused"]).write.mode("append").parquet(f"{root}/v=1/refused")
+    assert log.verify() == [(1, "refused")]
+    assert {r.check for r in query_run.run_faults(plan, log, run).where("n > 0").collect()} == {"attempts", "event_totals"}
+
+
+def test_exact_fold_equals_python_on_every_code_point(spark):
+    import sys
+    import unicodedata
+
+    from policyloom.functions import text as X
+    from policyloom.runtime import ship
+
+    ship(spark)
+    points = [c for c in range(1, sys.maxunicode + 1) if not 0xD800 <= c <= 0xDFFF]
+    rows = [(k, "".join(map(chr, points[k : k + 64])) + "aZ") for k in range(0, len(points), 64)]
+    got = spark.createDataFrame(rows, "k int, t string").select("t", X.exact_fold(F.col("t")).alias("f")).collect()
+    assert all(r.f == unicodedata.normalize("NFKC", r.t).casefold() for r in got) and len(got) == len(rows)
+    plan = spark.createDataFrame([("ASCII only",), (None,)], "t string").select(X.exact_fold(F.col("t")).alias("f"))
+    assert [r.f for r in plan.collect()] == ["ascii only", None]
