@@ -12,10 +12,11 @@ from collections.abc import Iterator
 from typing import Any
 
 import pandas as pd
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..runtime import parallelism, stored
+from ..runtime import stored
+from .ranges import numbered
 
 BLOCK = 128
 _MOVE = "array<struct<to: int, add: bigint>>"
@@ -54,18 +55,6 @@ def moved(state: str, event: str | None) -> str:
     return NEXT[state].get(event) or other.get(event, other[None])
 
 
-def numbered(rows: DataFrame, group: str, order: list[str]) -> DataFrame:
-    """Rows with their place in their group, `idx` from 0, and the group's size n. Rows are dealt by ranges, so no task gets a whole group; a null group is one."""
-    ranged = stored(rows.repartitionByRange(parallelism(rows.sparkSession), group, *order).withColumn("__part", F.spark_partition_id()), "ranges")
-    held = ranged.groupBy(group, "__part").agg(F.count(F.lit(1)).alias("__held"))
-    by = Window.partitionBy(group)
-    before = F.coalesce(F.sum("__held").over(by.orderBy("__part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
-    offsets = stored(held.select(F.col(group).alias("__g"), F.col("__part").alias("__p"), before.alias("__before"), F.sum("__held").over(by).alias("n")), "range-offsets")
-    inner = F.row_number().over(Window.partitionBy("__part", group).orderBy(*order))
-    met = ranged.withColumn("__inner", inner).join(offsets, F.col(group).eqNullSafe(F.col("__g")) & (F.col("__part") == F.col("__p")))
-    return met.withColumn("idx", F.col("__before") + F.col("__inner") - 1).drop("__before", "__inner", "__part", "__g", "__p")
-
-
 def _composed(items: Column) -> Column:
     """One function for an array of functions, applied in order."""
     same = F.array(*[F.struct(F.lit(s).alias("to"), F.lit(0).cast("long").alias("add")) for s in range(len(STATES))]).cast(_MOVE)

@@ -26,7 +26,7 @@ from ..functions import patterns as P
 from ..functions import text as X
 from ..runtime import stored
 from ..sources.commits import CommitLog
-from .automaton import numbered
+from .ranges import numbered
 
 #: Tables of a run's commit log.
 SCHEMAS = {

@@ -2,23 +2,91 @@
 
 from __future__ import annotations
 
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import text as X
-from ..runtime import cut, stored
+from ..runtime import cut, parallelism, ship, stored
 
 
-def overlap_top_k(queries: DataFrame, records: DataFrame, query_id: str, query_text: Column, record_id: str, record_text: Column, k: int, least: int = 1, token_set=X.token_set) -> DataFrame:
-    """For each query the k records that share most distinct tokens; ties by record id. Records below `least` shared tokens are left out.
+#: Token entries of a block of queries or records; a pair of blocks is one task's work and memory.
+BLOCK_TOKENS = 1 << 21
 
-    Joined on tokens, so records without a common token cost nothing; counts combine before they are ranked.
+
+def best_of_block(queries: pa.Table, records: pa.Table, k: int, least: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(query row, record row, shared tokens) of the k best records of a block for each query, ties by record id.
+
+    Postings are read rare tokens first, in growing groups. Once the k-th best count exceeds the tokens that are left, no further record can
+    come in: the long lists of common tokens are then looked up only for the records that can still be among the best.
     """
-    q = queries.select(F.col(query_id), F.explode(token_set(query_text)).alias("token"))
-    r = records.select(F.col(record_id), F.explode(token_set(record_text)).alias("token"))
-    score = q.join(r, "token").groupBy(query_id, record_id).agg(F.count(F.lit(1)).alias("score")).where(F.col("score") >= least)
-    rank = F.row_number().over(Window.partitionBy(query_id).orderBy(F.desc("score"), record_id))
-    return score.withColumn("rank", rank).where(F.col("rank") <= k)
+    lists = [t.column("tokens").combine_chunks() for t in (queries, records)]
+    (q_at, q_tok), (r_at, r_tok) = [(x.offsets.to_numpy(), x.values.to_numpy()[x.offsets[0].as_py() : x.offsets[-1].as_py()]) for x in lists]
+    q_at, r_at = q_at - q_at[0], r_at - r_at[0]
+    owner = np.repeat(np.arange(len(r_at) - 1), np.diff(r_at))
+    order = np.argsort(r_tok, kind="stable")
+    known, starts = np.unique(r_tok[order], return_index=True)
+    ends, owner = np.append(starts[1:], len(order)), owner[order]
+    place = np.minimum(np.searchsorted(known, q_tok), max(len(known) - 1, 0))
+    there = known[place] == q_tok if len(known) else np.zeros(len(q_tok), bool)
+    by_id = np.empty(len(r_at) - 1, np.int64)
+    by_id[np.array(pc.sort_indices(records.column("rid")))] = np.arange(len(r_at) - 1)
+    out = ([], [], [])
+    for q in range(len(q_at) - 1):
+        held = slice(q_at[q], q_at[q + 1])
+        tokens = place[held][there[held]]
+        tokens = tokens[np.argsort(ends[tokens] - starts[tokens], kind="stable")]
+        counts, done, group, cut = np.zeros(len(r_at) - 1, np.int64), 0, 4, least
+        while done < len(tokens):
+            lists_now = [owner[starts[t] : ends[t]] for t in tokens[done : done + group]]
+            counts += np.bincount(np.concatenate(lists_now), minlength=len(counts))
+            done, group = done + len(lists_now), 2 * group
+            if len(counts) > k:
+                cut = max(least, int(np.partition(counts, len(counts) - k)[len(counts) - k]))
+            if len(tokens) - done < cut:
+                break
+        rows = np.flatnonzero(counts + (len(tokens) - done) >= cut)
+        score = counts[rows]
+        for t in tokens[done:]:
+            mine = owner[starts[t] : ends[t]]
+            at = np.minimum(np.searchsorted(mine, rows), len(mine) - 1)
+            score = score + (mine[at] == rows)
+        best = np.lexsort((by_id[rows], -score))[:k]
+        best = best[score[best] >= least]
+        for part, values in zip(out, (np.full(len(best), q), rows[best], score[best]), strict=True):
+            part.append(values)
+    return tuple(np.concatenate(part) if part else np.zeros(0, np.int64) for part in out)
+
+
+def overlap_top_k(queries: DataFrame, records: DataFrame, query_id: str, query_text: Column, record_id: str, record_text: Column, k: int, least: int = 1, token_set=X.token_set, block: int = BLOCK_TOKENS) -> DataFrame:
+    """For each query the k records that share most distinct tokens; ties by record id. Records below `least` shared tokens are left out. Ids are unique and not null.
+
+    Queries and records are dealt into blocks of about `block` tokens. Each pair of blocks counts in one task and gives at most k records a query, so what is
+    shuffled is token hashes once for each block of the other side, and k rows; no pair of a query and a record is a row.
+    """
+    spark = queries.sparkSession
+    ship(spark)
+    hashed = lambda text: F.transform(token_set(text), lambda t: F.xxhash64(t))
+    q = stored(queries.select(F.col(query_id).alias("qid"), hashed(query_text).alias("tokens")).where("size(tokens) > 0"), "ranking-queries")
+    r = stored(records.select(F.col(record_id).alias("rid"), hashed(record_text).alias("tokens")).where("size(tokens) > 0"), "ranking-records")
+    size = lambda df: df.agg(F.coalesce(F.sum(F.size("tokens")), F.lit(0))).first()[0]
+    n_q = 1 + size(q) // block
+    n_r = max(1 + size(r) // block, -(-min(parallelism(spark), 64) // n_q))  # as many tasks as the session has partitions, if blocks are few
+    dealt_q = q.select("*", F.pmod(F.xxhash64("qid"), F.lit(n_q)).alias("a"), F.explode(F.sequence(F.lit(0).cast("long"), F.lit(n_r - 1).cast("long"))).alias("b"))
+    dealt_r = r.select("*", F.pmod(F.xxhash64("rid"), F.lit(n_r)).alias("b"), F.explode(F.sequence(F.lit(0).cast("long"), F.lit(n_q - 1).cast("long"))).alias("a"))
+
+    def run(left: pa.Table, right: pa.Table) -> pa.Table:
+        if not left.num_rows or not right.num_rows:
+            return pa.table({"qid": left.column("qid").slice(0, 0), "rid": right.column("rid").slice(0, 0), "score": pa.array([], pa.int64())})
+        rows, found, score = best_of_block(left, right, k, least)
+        return pa.table({"qid": left.column("qid").take(pa.array(rows)), "rid": right.column("rid").take(pa.array(found)), "score": pa.array(score, pa.int64())})
+
+    kinds = f"qid {queries.schema[query_id].dataType.simpleString()}, rid {records.schema[record_id].dataType.simpleString()}, score long"
+    found = dealt_q.groupBy("a", "b").cogroup(dealt_r.groupBy("a", "b")).applyInArrow(run, kinds)
+    rank = F.row_number().over(Window.partitionBy("qid").orderBy(F.desc("score"), "rid"))
+    return found.withColumn("rank", rank).where(F.col("rank") <= k).select(F.col("qid").alias(query_id), F.col("rid").alias(record_id), "score", "rank")
 
 
 def overlap_top_k_with_zeros(queries: DataFrame, records: DataFrame, query_id: str, query_text: Column, record_id: str, record_text: Column, k: int, token_set=X.word_or_cjk_set) -> DataFrame:

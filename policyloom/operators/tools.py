@@ -14,6 +14,7 @@ from pyspark.sql import functions as F
 
 from ..functions import patterns as P
 from ..functions import text as X
+from ..runtime import stored
 from . import similarity
 from .joins import duplicates
 
@@ -168,7 +169,7 @@ def execute(calls: DataFrame, cases: DataFrame, claims: DataFrame, destinations:
     search_cases and verify_claim rank by shared tokens, claims from two on; at most five records a call, so results are small.
     inspect_destination looks a normalised indicator up. Arguments are strict: a count is a JSON whole number.
     """
-    coded = calls.select("call_id", "name", "arguments", call_code(F.col("name"), F.col("arguments")).alias("code"))
+    coded = stored(calls.select("call_id", "name", "arguments", call_code(F.col("name"), F.col("arguments")).alias("code")), "coded-calls")
     given = lambda name: F.get_json_object("arguments", f"$.{name}")
     count = F.coalesce(given("top_k").try_cast("int"), F.lit(USUAL_RESULTS)).alias("top_k")
     sound = coded.where("code is null")

@@ -350,15 +350,15 @@ def tool_execute(spark, d):
 _WORDS = r"list_distinct(regexp_extract_all(replace(lower({0}), 'ß', 'ss'), '[a-z0-9_]+|[\x{{3400}}-\x{{9FFF}}]'))"
 
 
-@query(f"""WITH q AS (SELECT conv_id * 1000 + turn AS call_id, unnest({_WORDS.format('left(text, 12)')}) AS t FROM conversations), r AS (SELECT item_id, unnest({_WORDS.format('text')}) AS t FROM benchmark),
+@query(f"""WITH q AS (SELECT conv_id * 1000 + turn AS call_id, unnest({_WORDS.format('text')}) AS t FROM conversations), r AS (SELECT item_id, unnest({_WORDS.format('text')}) AS t FROM benchmark),
 s AS (SELECT call_id, item_id, count(*) AS score FROM q JOIN r USING (t) GROUP BY call_id, item_id),
 a AS (SELECT c.conv_id * 1000 + c.turn AS call_id, b.item_id, coalesce(score, 0) AS score FROM conversations c CROSS JOIN benchmark b LEFT JOIN s ON s.call_id = c.conv_id * 1000 + c.turn AND s.item_id = b.item_id)
 SELECT call_id, item_id, score, rank FROM (SELECT *, row_number() OVER (PARTITION BY call_id ORDER BY score DESC, item_id) AS rank FROM a) WHERE rank <= 4""")
 def case_search_zero_overlap(spark, d):
-    """The four items that share most tokens with the start of each turn; items that share none fill up, smallest id first."""
+    """The four items that share most tokens with each turn; items that share none fill up, smallest id first."""
     from ..operators.similarity import overlap_top_k_with_zeros
 
-    turns = table(spark, d, "conversations").select((F.col("conv_id") * 1000 + F.col("turn")).alias("call_id"), F.substring("text", 1, 12).alias("asked"))
+    turns = table(spark, d, "conversations").select((F.col("conv_id") * 1000 + F.col("turn")).alias("call_id"), F.col("text").alias("asked"))
     found = overlap_top_k_with_zeros(turns, table(spark, d, "benchmark"), "call_id", F.col("asked"), "item_id", F.col("text"), 4)
     return found.select("call_id", "item_id", "score", F.col("rank").cast("long").alias("rank"))
 

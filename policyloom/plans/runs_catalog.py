@@ -5,12 +5,12 @@ from __future__ import annotations
 from collections.abc import Callable
 from dataclasses import replace
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions import text as X
-from ..operators import automaton, query_run, settlement, similarity
-from ..runtime import scratch_path, ship, table
+from ..operators import automaton, capped, query_run, settlement, similarity
+from ..runtime import scratch_path, ship, stored, table
 from ..sources.commits import CommitLog
 from . import sql
 
@@ -205,3 +205,56 @@ def resume_state(spark, d):
         raise RuntimeError("the stored run is not sound")
     query_run.run_queries(plan, run, log)
     return query_run.outcome(plan, log, run.attempts).select((F.col("ordinal") - 1).alias("doc_id"), "status", "attempts", "code")
+
+
+# --- caps ---------------------------------------------------------------------------------------------------------
+
+_BATCH_CAPS = {"records": 650, "requests": 1300, "cost": 1_700_000}
+_CAPPED_SQL = f"""WITH l AS (SELECT l_suppkey % 97 AS batch, l_orderkey, l_linenumber, 1 + l_linenumber % 3 AS requests, CAST(floor(l_quantity * 100) AS BIGINT) AS cost FROM lineitem),
+s AS (SELECT *, row_number() OVER w AS idx, sum(requests) OVER w AS r, sum(cost) OVER w AS c FROM l WINDOW w AS (PARTITION BY batch ORDER BY l_orderkey, l_linenumber ROWS UNBOUNDED PRECEDING)),
+d AS (SELECT *, CASE WHEN idx > {_BATCH_CAPS["records"]} THEN 'max_records' WHEN r > {_BATCH_CAPS["requests"]} THEN 'max_requests' WHEN c > {_BATCH_CAPS["cost"]} THEN 'max_cost' END AS reason FROM s),
+o AS (SELECT batch, count(*) AS n_rows, count(*) FILTER (reason IS NULL) AS done, min_by(reason, idx) FILTER (reason IS NOT NULL) AS reason FROM d GROUP BY batch)"""
+
+
+@query(_CAPPED_SQL + " SELECT o.batch, n_rows, done, o.reason, o.reason IS NULL AS published, CASE WHEN o.reason IS NULL THEN (SELECT sum(cost)::BIGINT FROM d WHERE d.batch = o.batch) END AS published_cost FROM o")
+def capped_batches(spark, d):
+    """Batches under three caps, published whole or not at all, and what the published folder then holds."""
+    line = table(spark, d, "lineitem").select(
+        (F.col("l_suppkey") % 97).alias("batch"), "l_orderkey", "l_linenumber", (1 + F.col("l_linenumber") % 3).cast("long").alias("requests"), F.floor(F.col("l_quantity") * 100).cast("long").alias("cost")
+    )
+    decided = stored(capped.capped(line, "batch", ["l_orderkey", "l_linenumber"], _BATCH_CAPS), "capped")
+    path = scratch_path(spark, "published")
+    outcomes = capped.publish(decided, "batch", path)
+    if outcomes.where("published").isEmpty():
+        return outcomes.withColumn("published_cost", F.lit(None).cast("long"))
+    held = spark.read.schema(line.schema).parquet(path).groupBy("batch").agg(F.sum("cost").alias("published_cost"))
+    return outcomes.join(held, "batch", "left")
+
+
+_ALLOCATION_SQL = """WITH c AS (SELECT source, count(*) AS n, row_number() OVER (ORDER BY source) AS place, CASE WHEN hash_place % 4 = 1 THEN 3 WHEN hash_place % 4 = 2 THEN 40 ELSE 100000 END AS most
+  FROM (SELECT *, dense_rank() OVER (ORDER BY source) AS hash_place FROM documents) GROUP BY source, hash_place),
+t AS (SELECT *, greatest((SELECT count(*) * 6 // 10 FROM documents) - coalesce(sum(least(n, most)) OVER (ORDER BY place ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0), 0)::BIGINT AS remaining FROM c),
+a AS (SELECT source, place, n, most, least(n, most, remaining)::BIGINT AS taken, CASE WHEN remaining = 0 THEN 'skipped' WHEN most > remaining THEN 'truncated' ELSE 'whole' END AS status FROM t)"""
+
+
+def _allocation(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame]:
+    docs = table(spark, d, "documents").select("doc_id", "source")
+    counts = docs.groupBy("source").agg(F.count(F.lit(1)).alias("n"))
+    place = F.row_number().over(Window.orderBy("source"))  # the sources' table is the configuration here
+    most = F.when(F.col("place") % 4 == 1, 3).when(F.col("place") % 4 == 2, 40).otherwise(100_000).cast("long")
+    configured = counts.withColumn("place", place.cast("long")).withColumn("most", most)
+    return docs, stored(capped.allocate(configured, docs.count() * 6 // 10), "allocation")
+
+
+@query(_ALLOCATION_SQL + " SELECT source, place, n, most::BIGINT AS most, taken, status FROM a")
+def import_allocation(spark, d):
+    """What one global cap leaves to each source in turn, and which are truncated or skipped."""
+    return _allocation(spark, d)[1]
+
+
+@query(_ALLOCATION_SQL + """, r AS (SELECT doc_id, source, row_number() OVER (PARTITION BY source ORDER BY doc_id) - 1 AS idx FROM documents)
+SELECT doc_id, source, idx FROM r JOIN a USING (source) WHERE idx < taken""")
+def import_rows(spark, d):
+    """The rows that the allocation takes."""
+    docs, allocation = _allocation(spark, d)
+    return capped.allocated_rows(docs, allocation, ["doc_id"]).select("doc_id", "source", "idx")

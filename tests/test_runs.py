@@ -263,3 +263,72 @@ def test_exact_fold_equals_python_on_every_code_point(spark):
     assert all(r.f == unicodedata.normalize("NFKC", r.t).casefold() for r in got) and len(got) == len(rows)
     plan = spark.createDataFrame([("ASCII only",), (None,)], "t string").select(X.exact_fold(F.col("t")).alias("f"))
     assert [r.f for r in plan.collect()] == ["ascii only", None]
+
+
+# --- running sums, caps, rankings ---------------------------------------------------------------------------------
+
+
+def test_running_sums_and_caps(spark):
+    import os
+
+    from policyloom.operators import capped
+    from policyloom.operators.ranges import running_sums
+
+    rnd = random.Random(6)
+    rows = [(rnd.choice([None, 1, 1, 1, 1, 2, 3, k % 7]), k, rnd.choice([None, 0, 1, 2, 3]), rnd.randrange(100)) for k in range(600)]
+    frame = spark.createDataFrame(rows, "batch long, at long, requests long, cost long").repartition(7)
+    got = {(r.batch, r.at): (r.idx, r.n, r.cost_before) for r in running_sums(frame, "batch", ["at"], ["cost"]).collect()}
+    caps = {"records": 250, "requests": 60, "cost": 3000}
+    decided = capped.capped(frame, "batch", ["at"], caps).cache()
+    reasons = {(r.batch, r.at): r.reason for r in decided.collect()}
+    whole = []
+    for batch in {r[0] for r in rows}:
+        mine = sorted((r for r in rows if r[0] == batch), key=lambda r: r[1])
+        used, cost = 0, 0
+        for k, (_, at, requests, amount) in enumerate(mine):
+            assert got[batch, at] == (k, len(mine), cost)
+            used, cost = used + (requests or 0), cost + amount
+            assert reasons[batch, at] == ("max_records" if k >= 250 else "max_requests" if used > 60 else "max_cost" if cost > 3000 else None)
+        if not any(reasons[r[0], r[1]] for r in mine):
+            whole += mine
+    path = scratch_path(spark, "published")
+    outcomes = {r.batch: r for r in capped.publish(decided, "batch", path).collect()}
+    published = sorted((tuple(r) for r in spark.read.schema(frame.schema).parquet(path).select(*frame.columns).collect()), key=str)
+    assert 0 < len(whole) < len(rows) and published == sorted(whole, key=str)
+    assert outcomes[1].published is False and outcomes[1].reason and outcomes[1].done < outcomes[1].n_rows
+    none = scratch_path(spark, "nothing")
+    capped.publish(decided.where("batch = 1"), "batch", none)
+    assert not [p for p in os.listdir(os.path.dirname(none.removeprefix("file:"))) if p.startswith(os.path.basename(none))]
+    with pytest.raises(ValueError):
+        capped.publish(decided, "batch", path)
+
+
+def test_allocation_of_a_global_cap(spark):
+    from policyloom.operators import capped
+
+    counts = spark.createDataFrame([("a", 5, 10, 1), ("b", 9, 4, 2), ("c", 2, 50, 3), ("d", 7, 7, 4), ("e", 1, 1, 5)], "source string, n long, most long, place long")
+    got = {r.source: (r.taken, r.status) for r in capped.allocate(counts, 12).collect()}
+    assert got == {"a": (5, "whole"), "b": (4, "whole"), "c": (2, "truncated"), "d": (1, "truncated"), "e": (0, "skipped")}
+    rows = spark.createDataFrame([(s, k) for s, n in [("a", 5), ("b", 9), ("c", 2), ("d", 7), ("e", 1)] for k in range(n)], "source string, at long")
+    taken = capped.allocated_rows(rows, capped.allocate(counts, 12), ["at"]).collect()
+    assert sorted((r.source, r.at, r.idx) for r in taken) == [(s, k, k) for s, n in [("a", 5), ("b", 4), ("c", 2), ("d", 1)] for k in range(n)]
+
+
+@pytest.mark.parametrize("block", [1 << 21, 150])
+def test_ranking_equals_all_counts(spark, block):
+    from policyloom.operators import similarity
+
+    rnd = random.Random(8)
+    common, rare = [f"c{k}" for k in range(12)], [f"r{k}" for k in range(80)]
+    text = lambda: " ".join([w for w in common if rnd.random() < 0.8] + rnd.sample(rare, rnd.randrange(9)))
+    queries = [(f"q{k}", rnd.choice([text(), text(), "", "unknown words", text() + " unknown"])) for k in range(40)] + [("qn", None)]
+    records = [(f"d{k:03}é" if k % 7 else f"D{k}", rnd.choice([text(), text(), text(), ""])) for k in range(120)] + [("dn", None)]
+    q, r = spark.createDataFrame(queries, "q string, t string"), spark.createDataFrame(records, "d string, u string")
+    got = similarity.overlap_top_k(q, r, "q", F.col("t"), "d", F.col("u"), 4, least=3, block=block).collect()
+    expected = []
+    for name, asked in queries:
+        mine = set((asked or "").split())
+        scored = sorted((-len(mine & set((u or "").split())), d.encode(), d) for d, u in records)
+        expected += [(name, d, -score, k + 1) for k, (score, _, d) in enumerate([x for x in scored if -x[0] >= 3][:4])]
+    assert sorted(map(tuple, got)) == sorted(expected)
+    assert similarity.overlap_top_k(q.limit(0), r, "q", F.col("t"), "d", F.col("u"), 4).count() == 0
