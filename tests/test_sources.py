@@ -114,3 +114,38 @@ def test_streams(spark, tmp_path):
         q.stop()
     assert spark.table("counts").agg(F.sum("n")).first()[0] == 40
     assert {r.event_type: (r.total, r.within) for r in spark.table("usage").collect()} == {"a": (400.0, False), "b": (380.0, True)}
+
+
+def test_zip_members_are_read_in_parallel(spark, tmp_path):
+    import zipfile
+
+    from policyloom.sources import archives
+
+    with zipfile.ZipFile(tmp_path / "a.zip", "w", zipfile.ZIP_DEFLATED) as z:
+        z.writestr("x/Youtube01.csv", "COMMENT_ID,CONTENT,CLASS\r\nc1,\"two\nlines, and a comma\",1\r\n,second,0\r\n")
+        z.writestr("youtube02.csv", b"\xef\xbb\xbfCOMMENT_ID,CONTENT,CLASS\nc3,third\xc3\xa9,1\n")
+        z.writestr("notes.txt", "n" * 1000)
+        z.writestr("../out.csv", "a,b\n1,2\n")
+        z.writestr("empty.csv", "")
+        z.writestr("latin.csv", b"a\n\xe9\n")
+        z.writestr("folder/", "")
+    with zipfile.ZipFile(tmp_path / "b.zip", "w", zipfile.ZIP_STORED) as z:
+        z.writestr("good.bin", b"\x00\x01")
+        z.writestr("bad.bin", b"payload that will be damaged")
+    data = (tmp_path / "b.zip").read_bytes().replace(b"payload that will", b"payload thot will")
+    (tmp_path / "b.zip").write_bytes(data)
+    (tmp_path / "c.zip").write_bytes(b"no archive")
+    archives.register(spark)
+    read = lambda **o: spark.read.format("zip_members").options(path=str(tmp_path), **o).load()
+    whole = read(member_bytes=900)
+    assert whole.rdd.getNumPartitions() == 9
+    got = {(r.archive, r.member): (r.code, bytes(r.content) if r.content is not None else None) for r in whole.collect()}
+    assert got["b.zip", "good.bin"] == (None, b"\x00\x01") and got["b.zip", "bad.bin"] == ("damaged", None) and got["c.zip", None] == ("not_an_archive", None)
+    assert got["a.zip", "notes.txt"] == ("too_large", None) and got["a.zip", "../out.csv"] == ("unsafe_name", None) and got["a.zip", "empty.csv"] == (None, b"")
+    rows = read(rows="csv").where("member like '%.csv'").collect()
+    assert {(r.member, r.code) for r in rows if r.code} == {("../out.csv", "unsafe_name"), ("empty.csv", "no_header"), ("latin.csv", "not_text")}
+    assert [(r.row, r.fields["CONTENT"]) for r in rows if r.member == "x/Youtube01.csv"] == [(1, "two\nlines, and a comma"), (2, "second")]
+    with pytest.raises(Exception, match="more than 500 bytes"):
+        read(total_bytes=500).collect()
+    seeds = readers.comment_rows(archives.comment_archive(spark, str(tmp_path))).collect()
+    assert sorted((r.source_id, r.text, r.source_label) for r in seeds) == [("Youtube01:000001:c1", "two lines, and a comma", "spam"), ("Youtube01:000002:row-2", "second", "ham"), ("youtube02:000001:c3", "thirdé", "spam")]
