@@ -27,13 +27,14 @@ from ..functions import text as X
 from ..runtime import stored
 from ..sources.commits import CommitLog
 from .ranges import numbered
+from .similarity import first_holders, near_keys, preceded, set_prefixes
 
 #: Tables of a run's commit log.
 SCHEMAS = {
     "accepted": "ordinal long, attempt int, family string, query string, response string, key binary",
     "refused": "ordinal long, attempt int, code string",
     "sets": "key binary, n int, grams array<long>",
-    "postings": "gram long, n int, key binary",
+    "postings": "gram long, key binary, n int, last long",
     "holders": "key binary, family string, ordinal long",
     "events": "event string, code string, batch_count long, accepted_count long, completed_count long",
 }
@@ -72,42 +73,9 @@ def _ranges(most: int, first: int) -> list[tuple[int, int]]:
     return out
 
 
-def _prefixes(sets: DataFrame, threshold: float) -> DataFrame:
-    """The first n - ceil(threshold n) + 1 shingles of each set in hash order: sets that reach the threshold share one."""
-    size = F.col("n") - F.ceil(F.col("n") * threshold - 1e-9).cast("int") + 1
-    return sets.where("n > 0").select(F.explode(F.slice("grams", F.lit(1), size)).alias("gram"), "n", "key")
-
-
-def _near(mine: DataFrame, prefixes: DataFrame, postings: DataFrame, theirs: DataFrame, threshold: float) -> DataFrame:
-    """Pairs (key, other) of different keys whose sets reach the threshold."""
-    met = prefixes.join(postings.select("gram", F.col("n").alias("m"), F.col("key").alias("other")), "gram")
-    close = met.where((F.col("key") != F.col("other")) & (F.least("n", "m") >= F.greatest("n", "m") * threshold - 1e-9)).select("key", "other").distinct()
-    both = close.join(mine.select("key", "grams"), "key").join(theirs.select(F.col("key").alias("other"), F.col("grams").alias("more")), "other")
-    return both.where(X.jaccard(F.col("grams"), F.col("more")) >= threshold).select("key", "other")
-
-
-def _two_first(holders: DataFrame) -> DataFrame:
-    """Of each key the first holder (ordinal and family) and the first of another family: enough to tell whether a row has one before it of another family."""
-    each = holders.groupBy("key", "family").agg(F.min("ordinal").alias("ordinal"))
-    one = each.groupBy("key").agg(F.min(F.struct("ordinal", "family")).alias("one"))
-    rest = each.join(one, "key").where(~F.col("family").eqNullSafe(F.col("one.family"))).groupBy("key").agg(F.min("ordinal").alias("second"))
-    return one.join(rest, "key", "left")
-
-
-def _hit(pairs: DataFrame, holders: DataFrame) -> DataFrame:
-    """(key, one, second): the first near holder of each key, and the first of another family than that one's."""
-    found = pairs.join(_two_first(holders).withColumnRenamed("key", "other"), "other")
-    one = found.groupBy("key").agg(F.min("one").alias("least"))
-    same = found.join(one, "key")
-    second = F.min(F.when(F.col("one.family").eqNullSafe(F.col("least.family")), F.col("second")).otherwise(F.col("one.ordinal")))
-    return same.groupBy("key").agg(F.first("least").alias("one"), second.alias("second"))
-
-
-def _blocks(hit: str) -> Column:
-    """Whether a row (ordinal, family) has a holder of another family before it, by a column pair of _hit()."""
-    one, second = F.col(f"{hit}.one"), F.col(f"{hit}.second")
-    first = F.when(one.family.eqNullSafe(F.col("family")), second).otherwise(one.ordinal)
-    return F.coalesce(first < F.col("ordinal"), F.lit(False))
+def both_ways(pairs: DataFrame) -> DataFrame:
+    """Pairs (key, other) and their reverse."""
+    return pairs.select("key", "other").unionByName(pairs.select(F.col("other").alias("key"), F.col("key").alias("other")))
 
 
 def settle(rows: DataFrame, pairs: DataFrame) -> DataFrame:
@@ -120,22 +88,22 @@ def settle(rows: DataFrame, pairs: DataFrame) -> DataFrame:
     while True:
         won = state.where("verdict = 'accepted'")
         taken = won.groupBy("key").agg(F.min("ordinal").alias("taken"))
-        near = _hit(pairs, won).select("key", F.struct("one", "second").alias("near"))
+        near = first_holders(pairs, won).select("key", F.struct("one", "second").alias("near"))
         open_ = state.where("able and verdict is null")
         ahead = open_.groupBy("key").agg(F.min("ordinal").alias("ahead"))
-        waits = _hit(pairs, open_).select("key", F.struct("one", "second").alias("waits"))
+        waits = first_holders(pairs, open_).select("key", F.struct("one", "second").alias("waits"))
         seen = state.join(taken, "key", "left").join(near, "key", "left").join(ahead, "key", "left").join(waits, "key", "left")
-        exact, close = F.coalesce(F.col("taken") < F.col("ordinal"), F.lit(False)), _blocks("near")
-        free = F.col("able") & (F.col("ahead") == F.col("ordinal")) & ~_blocks("waits")
+        exact, close = F.coalesce(F.col("taken") < F.col("ordinal"), F.lit(False)), preceded("near")
+        free = F.col("able") & (F.col("ahead") == F.col("ordinal")) & ~preceded("waits")
         decided = F.when(exact, "exact_duplicate").when(close, "near_duplicate").when(free, "accepted")
         state = stored(seen.select("ordinal", "family", "key", "able", F.when(F.col("verdict") == "accepted", F.col("verdict")).otherwise(decided).alias("verdict")), "settle")
         if state.where("able and verdict is null").isEmpty():
             break
     # Rows that were not able may have got a first code before an earlier equal row was accepted; the last round has looked at all of them again.
     last = state.where("verdict = 'accepted'")
-    taken, near = last.groupBy("key").agg(F.min("ordinal").alias("taken")), _hit(pairs, last).select("key", F.struct("one", "second").alias("near"))
+    taken, near = last.groupBy("key").agg(F.min("ordinal").alias("taken")), first_holders(pairs, last).select("key", F.struct("one", "second").alias("near"))
     seen = state.join(taken, "key", "left").join(near, "key", "left")
-    code = F.when(F.col("verdict") == "accepted", F.col("verdict")).when(F.coalesce(F.col("taken") < F.col("ordinal"), F.lit(False)), "exact_duplicate").when(_blocks("near"), "near_duplicate")
+    code = F.when(F.col("verdict") == "accepted", F.col("verdict")).when(F.coalesce(F.col("taken") < F.col("ordinal"), F.lit(False)), "exact_duplicate").when(preceded("near"), "near_duplicate")
     return seen.select("ordinal", code.alias("verdict"))
 
 
@@ -165,13 +133,13 @@ def step(run: Run, log: CommitLog, rows: DataFrame, batches: int, stopped: bool)
     else:
         passed = passed.withColumn("copied", F.lit(False))
     sets = stored(passed.groupBy("key").agg(F.first("grams").alias("grams")).select("key", F.size("grams").alias("n"), "grams"), "sets")
-    prefixes = stored(_prefixes(sets, run.threshold), "prefixes")
+    prefixes = stored(set_prefixes(sets, run.threshold), "prefixes")
     # Against everything accepted in earlier steps: those rows stand before all of this step's, so their ordinals count as 0.
     known = log.table("holders").withColumn("ordinal", F.lit(0).cast("long"))
-    old = stored(_near(sets, prefixes, log.table("postings"), log.table("sets"), run.threshold), "near-index")
-    hit = _hit(old, known).select("key", F.struct("one", "second").alias("near"))
+    old = stored(near_keys(sets, prefixes, run.threshold, log.table("sets"), log.table("postings")), "near-index")
+    hit = first_holders(old, known).select("key", F.struct("one", "second").alias("near"))
     equal = known.select("key").distinct().withColumn("equal", F.lit(True))
-    met = passed.join(equal, "key", "left").join(hit, "key", "left").withColumns({"equal": F.coalesce("equal", F.lit(False)), "close": _blocks("near")}).drop("near", "grams")
+    met = passed.join(equal, "key", "left").join(hit, "key", "left").withColumns({"equal": F.coalesce("equal", F.lit(False)), "close": preceded("near")}).drop("near", "grams")
     # Reviewed is what may still be accepted; the others take part as rows that cannot be, for the codes of duplicates within the step.
     open_ = stored(met.withColumn("open", ~F.col("equal") & ~F.col("copied") & ~F.col("close")), "met")
     if run.review:
@@ -180,7 +148,7 @@ def step(run: Run, log: CommitLog, rows: DataFrame, batches: int, stopped: bool)
     else:
         open_ = open_.withColumn("verdict", F.lit(None).cast("string"))
     seen = stored(open_.select("ordinal", "family", "key", "equal", "copied", "close", "open", "verdict"), "reviewed")
-    pairs = stored(_near(sets, prefixes, prefixes, sets, run.threshold), "near-step")
+    pairs = stored(both_ways(near_keys(sets, prefixes, run.threshold)), "near-step")
     settled = settle(seen.withColumn("able", F.col("open") & F.col("verdict").isNull()), pairs).withColumnRenamed("verdict", "new")
     joined = gated.drop("grams").join(seen.select("ordinal", "equal", "copied", "close", "verdict"), "ordinal", "left").join(settled, "ordinal", "left")
     code = (
@@ -277,5 +245,5 @@ def run_faults(plan: DataFrame, log: CommitLog, run: Run) -> DataFrame:
     # A row stands after those of earlier versions and, in its own, after smaller ordinals: attempt, then ordinal.
     near = mine.join(accepted.select("ordinal", "attempt"), "ordinal").withColumn("ordinal", F.col("attempt") * F.lit(1 << 40) + F.col("ordinal"))
     order = held.join(accepted.select("ordinal", "attempt"), "ordinal").withColumn("ordinal", F.col("attempt") * F.lit(1 << 40) + F.col("ordinal")).select("key", "family", "ordinal")
-    hit = _hit(_near(sets, postings, postings, sets, run.threshold), order).select("key", F.struct("one", "second").alias("near"))
-    return out.unionByName(count("near", near.join(hit, "key").where(_blocks("near"))))
+    hit = first_holders(both_ways(near_keys(sets, postings, run.threshold)), order).select("key", F.struct("one", "second").alias("near"))
+    return out.unionByName(count("near", near.join(hit, "key").where(preceded("near"))))

@@ -104,27 +104,85 @@ def overlap_top_k_with_zeros(queries: DataFrame, records: DataFrame, query_id: s
     return scored.unionByName(zeros).withColumn("rank", rank).where(F.col("rank") <= k)
 
 
-def near_pairs(docs: DataFrame, id_col: str, text: Column, threshold: float, family: str | None = None, width: int = 5) -> DataFrame:
-    """Pairs (left_id < right_id) whose shingle sets reach the threshold, of different families if given.
+def set_prefixes(sets: DataFrame, threshold: float) -> DataFrame:
+    """(gram, key, n, last) for the first n - ceil(threshold n) + 1 shingles of each set (key, n, grams sorted); last is the last of them.
+
+    Sets that reach the threshold share one of them. The order is that of the hashes, the same for any set at any time, so an index of prefixes can grow.
+    """
+    size = F.col("n") - F.ceil(F.col("n") * threshold - 1e-9).cast("int") + 1
+    cut = sets.where("n > 0").select("key", "n", F.slice("grams", F.lit(1), size).alias("head"))
+    return cut.select(F.explode("head").alias("gram"), "key", "n", F.element_at("head", -1).alias("last"))
+
 
-    Prefix filter: sets that reach t share one of their first n - ceil(t n) + 1 shingles in any common order; rare ones come
-    first, so index lists are short. Pairs are verified on the whole sets.
+def near_keys(sets: DataFrame, prefixes: DataFrame, threshold: float, others: DataFrame | None = None, postings: DataFrame | None = None) -> DataFrame:
+    """Pairs (key, other) of different sets that reach the threshold: within sets (key < other), or of sets with `others`, by their postings.
+
+    Shared shingles of two prefixes are counted before any set is fetched. Of the set whose prefix ends first, all that is shared within its prefix
+    lies in the other's prefix too, so what is counted and the rest of that set bound the overlap; few pairs are left to be verified on whole sets.
     """
-    sets = docs.select(F.col(id_col).alias("id"), *([F.col(family).alias("family")] if family else []), X.gram_hashes(text, width).alias("grams"))
-    # Sets are used four times below: hashed once, kept in the shared folder, read back by column.
-    sets = stored(sets.withColumn("n", F.size("grams")).where("n > 0"), "shingle-sets")
-    flat = sets.select("id", "n", F.explode("grams").alias("g"))
-    often = flat.groupBy("g").agg(F.count(F.lit(1)).alias("df")).where("df > 1")
-    ranked = flat.join(often, "g", "left").withColumn("rn", F.row_number().over(Window.partitionBy("id").orderBy(F.coalesce("df", F.lit(1)), "g")))
-    prefix = ranked.where((F.col("rn") <= F.col("n") - F.ceil(F.col("n") * threshold - 1e-9) + 1) & F.col("df").isNotNull()).select("id", "n", "g")
-    other = prefix.select(F.col("id").alias("right_id"), F.col("n").alias("m"), "g")
-    close = (F.col("id") < F.col("right_id")) & (F.least("n", "m") >= F.greatest("n", "m") * threshold - 1e-9)
-    pairs = prefix.join(other, "g").where(close).select(F.col("id").alias("left_id"), "right_id").distinct()
-    side = lambda name: sets.select(F.col("id").alias(f"{name}_id"), F.col("grams").alias(f"{name}_grams"), *([F.col("family").alias(f"{name}_family")] if family else []))
-    joined = pairs.join(side("left"), "left_id").join(side("right"), "right_id").withColumn("jaccard", X.jaccard(F.col("left_grams"), F.col("right_grams")))
-    if family:
-        joined = joined.where("not (left_family <=> right_family)")
-    return joined.where(F.col("jaccard") >= threshold).select("left_id", "right_id", "jaccard")
+    theirs = prefixes if postings is None else postings
+    met = prefixes.join(theirs.select("gram", F.col("key").alias("other"), F.col("n").alias("m"), F.col("last").alias("other_last")), "gram")
+    met = met.where((F.col("key") < F.col("other")) if postings is None else (F.col("key") != F.col("other")))
+    met = met.where(F.least("n", "m") >= F.greatest("n", "m") * threshold - 1e-9)
+    counted = met.groupBy("key", "other", "n", "m", "last", "other_last").agg(F.count(F.lit(1)).alias("shared"))
+    beyond = F.ceil(F.when(F.col("last") <= F.col("other_last"), F.col("n")).otherwise(F.col("m")) * threshold - 1e-9) - 1
+    least = F.ceil((F.col("n") + F.col("m")) * (threshold / (1 + threshold)) - 1e-9)
+    close = counted.where(F.col("shared") + beyond >= least).select("key", "other")
+    whole = (sets if others is None else others).select(F.col("key").alias("other"), F.col("grams").alias("more"))
+    both = close.join(sets.select("key", "grams"), "key").join(whole, "other").withColumn("jaccard", X.jaccard(F.col("grams"), F.col("more")))
+    return both.where(F.col("jaccard") >= threshold).select("key", "other", "jaccard")
+
+
+def _two_first(holders: DataFrame) -> DataFrame:
+    """Of each key the first holder (ordinal and family) and the first of another family: enough to tell whether a row has one before it of another family."""
+    each = holders.groupBy("key", "family").agg(F.min("ordinal").alias("ordinal"))
+    one = each.groupBy("key").agg(F.min(F.struct("ordinal", "family")).alias("one"))
+    rest = each.join(one, "key").where(~F.col("family").eqNullSafe(F.col("one.family"))).groupBy("key").agg(F.min("ordinal").alias("second"))
+    return one.join(rest, "key", "left")
+
+
+def first_holders(pairs: DataFrame, holders: DataFrame) -> DataFrame:
+    """(key, one, second) over pairs (key, other): the first of the others' holders (key, family, ordinal), and the first of another family than that one's."""
+    found = pairs.join(_two_first(holders).withColumnRenamed("key", "other"), "other")
+    one = found.groupBy("key").agg(F.min("one").alias("least"))
+    second = F.min(F.when(F.col("one.family").eqNullSafe(F.col("least.family")), F.col("second")).otherwise(F.col("one.ordinal")))
+    return found.join(one, "key").groupBy("key").agg(F.first("least").alias("one"), second.alias("second"))
+
+
+def preceded(hit: str) -> Column:
+    """Whether a row (ordinal, family) comes after a holder of another family, by a struct of first_holders()' columns."""
+    one = F.col(f"{hit}.one")
+    first = F.when(one.family.eqNullSafe(F.col("family")), F.col(f"{hit}.second")).otherwise(one.ordinal)
+    return F.coalesce(first < F.col("ordinal"), F.lit(False))
+
+
+def _keyed(docs: DataFrame, id_col: str, text: Column, family: str | None, width: int) -> tuple[DataFrame, DataFrame]:
+    """Rows (id, family, key) with a shingle set, and the distinct sets (key, n, grams sorted). Equal sets share a key of 128 bits."""
+    hashed = docs.select(F.col(id_col).alias("id"), F.col(family).alias("family") if family else F.lit(None).cast("string").alias("family"), F.array_sort(X.gram_hashes(text, width)).alias("grams")).where("size(grams) > 0")
+    rows = stored(hashed.withColumn("key", F.struct(F.xxhash64("grams").alias("a"), F.xxhash64(F.lit(7), F.col("grams")).alias("b"))), "shingle-sets")
+    return rows.drop("grams"), stored(rows.groupBy("key").agg(F.first("grams").alias("grams")).select("key", F.size("grams").alias("n"), "grams"), "distinct-sets")
+
+
+def near_pairs(docs: DataFrame, id_col: str, text: Column, threshold: float, family: str | None = None, width: int = 5) -> DataFrame:
+    """Pairs (left_id < right_id) whose shingle sets reach the threshold, of different families if given. Equal sets are compared once and expanded to rows at the end."""
+    rows, sets = _keyed(docs, id_col, text, family, width)
+    one = near_keys(sets, stored(set_prefixes(sets, threshold), "set-prefixes"), threshold)
+    pairs = one.unionByName(one.select(F.col("other").alias("key"), F.col("key").alias("other"), "jaccard"))
+    repeated = rows.groupBy("key").agg(F.count(F.lit(1)).alias("c")).where("c > 1").select("key", F.col("key").alias("other"), F.lit(1.0).alias("jaccard"))
+    left, right = (rows.select(F.col("id").alias(f"{s}_id"), F.col("family").alias(f"{s}_family"), F.col("key").alias(k)) for s, k in (("left", "key"), ("right", "other")))
+    met = pairs.unionByName(repeated).join(left, "key").join(right, "other").where("left_id < right_id")
+    return (met.where("not (left_family <=> right_family)") if family else met).select("left_id", "right_id", "jaccard")
+
+
+def near_earlier(docs: DataFrame, id_col: str, text: Column, threshold: float, family: str, width: int = 5) -> DataFrame:
+    """Ids of rows with a near row of a smaller id in another family. No pair of rows is formed: of the rows of a set, the first and the first of another family tell."""
+    rows, sets = _keyed(docs, id_col, text, family, width)
+    one = near_keys(sets, stored(set_prefixes(sets, threshold), "set-prefixes"), threshold).select("key", "other")
+    same = sets.select("key", F.col("key").alias("other"))
+    pairs = one.unionByName(one.select(F.col("other").alias("key"), F.col("key").alias("other"))).unionByName(same)
+    holders = rows.withColumnRenamed("id", "ordinal")
+    hit = first_holders(pairs, holders).select("key", F.struct("one", "second").alias("near"))
+    return holders.join(hit, "key").where(preceded("near")).select(F.col("ordinal").alias(id_col))
 
 
 def source_similar(rows: DataFrame, source: Column, query: Column, response: Column, threshold: float = 0.5) -> Column:

@@ -315,7 +315,7 @@ def operational_harm_terms(spark, d):
 # --- the cascade --------------------------------------------------------------------------------------------------
 
 
-def gate_codes(docs: DataFrame, sources: DataFrame | None = None, identifier=_simple_pii, words=_NATIVE_WORDS) -> DataFrame:
+def gate_codes(docs: DataFrame, sources: DataFrame | None = None, identifier=_simple_pii, words=_NATIVE_WORDS, folded=X.fold) -> DataFrame:
     """First failing gate of every document as a candidate: doc_id, code. A candidate's family is its source column.
 
     Gates 1 to 7 read one row. Only rows that pass them enter the joins of gates 8 to 10: an equal text of a smaller id,
@@ -327,10 +327,10 @@ def gate_codes(docs: DataFrame, sources: DataFrame | None = None, identifier=_si
     # The local gates run once; of rows that they refuse only the code is kept.
     local = stored(rows.withColumn("local", code).withColumn("text", F.when(F.col("local") == "accepted", text)).drop("bin"), "local-gates")
     passed = local.where("local = 'accepted'").select("doc_id", "source", "text")
-    key = F.sha2(X.canonical(text), 256)
+    key = F.sha2(X.canonical(text, folded=folded), 256)
     first = passed.groupBy(key.alias("key")).agg(F.min("doc_id").alias("first"))
     exact = passed.select("doc_id", key.alias("key")).join(first, "key").where("doc_id <> first").select("doc_id", F.lit(True).alias("exact"))
-    near = similarity.near_pairs(passed, "doc_id", text, P.NEAR_DUPLICATE, "source").select(F.col("right_id").alias("doc_id")).distinct().withColumn("near", F.lit(True))
+    near = similarity.near_earlier(passed, "doc_id", text if folded is X.fold else folded(text), P.NEAR_DUPLICATE, "source").withColumn("near", F.lit(True))
     coded = local.select("doc_id", "local").join(exact, "doc_id", "left").join(near, "doc_id", "left")
     copied = F.lit(False)
     if sources is not None:
@@ -373,7 +373,7 @@ def gate_cascade_exact(spark, d):
     """The cascade with the exact identifier gate, Unicode words, and a source text: the benchmark item of the same number."""
     ship(spark)
     items = table(spark, d, "benchmark").select(F.col("item_id").alias("doc_id"), F.col("text").alias("source_text"))
-    return gate_codes(table(spark, d, "documents"), items, pii.external_identifier, X.word_count)
+    return gate_codes(table(spark, d, "documents"), items, pii.external_identifier, X.word_count, X.exact_fold)
 
 
 # --- duplicates and similarity ------------------------------------------------------------------------------------
