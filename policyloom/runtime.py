@@ -90,7 +90,9 @@ def stored(df: DataFrame, label: str) -> DataFrame:
     """Write a frame as Parquet into the shared folder and read it back: cuts lineage, survives lost executors, prunes columns."""
     path = scratch_path(df.sparkSession, label)
     df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    made = df.sparkSession.read.schema(df.schema).parquet(path)
+    made._policyloom_path = path
+    return made
 
 
 def delete_path(spark: SparkSession, path: str) -> None:
@@ -100,6 +102,12 @@ def delete_path(spark: SparkSession, path: str) -> None:
     target.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(target, True)
 
 
+def discard(*frames: DataFrame) -> None:
+    """Remove the files of stored() frames that nothing will read any more: neither they nor what is derived from them and not yet written."""
+    for frame in frames:
+        delete_path(frame.sparkSession, frame._policyloom_path)
+
+
 def parallelism(spark: SparkSession) -> int:
     """The session's shuffle partition count, read when the plan is built."""
     return max(1, int(spark.conf.get("spark.sql.shuffle.partitions")))
