@@ -34,7 +34,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..runtime import parallelism, stored
+from ..runtime import discard, parallelism, stored
 
 _ORDER = "decimal(38,0)"
 _SPAN = 1 << 31
@@ -126,7 +126,9 @@ def _near(docs: DataFrame, first: DataFrame, id_col: str, text: str, bitmap_buck
     mine = kept.select("ord", F.col("line").alias("mine"))
     other = kept.select(F.col("ord").alias("partner"), F.col("line").alias("other"))
     verified = pairs.join(mine, "ord").join(other, "partner").where(F.levenshtein("mine", "other", 1).between(0, 1))
-    return verified.select("h1", "h2")
+    near = stored(verified.select("h1", "h2"), "line-near")
+    discard(place, kept)
+    return near
 
 
 def _removed(digests: DataFrame, first: DataFrame, near: DataFrame) -> DataFrame:
@@ -146,8 +148,9 @@ def dedupe_lines(docs: DataFrame, id_col: str = "doc_id", text: str = "text", ne
     digests = stored(_digests(docs, id_col, text, near_chars), "line-digests")
     once = [F.first(f"a{k}").alias(f"a{k}") for k in range(4)]
     first = stored(digests.groupBy("h1", "h2").agg(F.min(_place()).alias("first"), F.count(F.lit(1)).alias("n"), *once), "line-firsts")
-    near = stored(_near(docs, first, id_col, text, bitmap_buckets, fine_parts), "line-near")
-    gone = _removed(digests, first, near).groupBy(F.col("d").alias("__d"), F.col("s").alias("__s")).agg(F.collect_set("p").alias("__gone"))
+    near = _near(docs, first, id_col, text, bitmap_buckets, fine_parts)
+    gone = stored(_removed(digests, first, near).groupBy(F.col("d").alias("__d"), F.col("s").alias("__s")).agg(F.collect_set("p").alias("__gone")), "line-gone")
+    discard(digests, first, near)
     kept = [c for c in docs.columns if c.lower() not in {"n_lines", "n_removed"}]
     parts = F.split(F.col(text), "\n", -1)
     # The lines are bound once, as a lambda's variable; what is left is picked by position.
