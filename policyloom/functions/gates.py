@@ -22,7 +22,9 @@ def role_wrapper(text: Column) -> Column:
 
 def meta_language(text: Column) -> Column:
     """Speaks of data sets or labels instead of being content."""
-    return _any(text, *P.META_LANGUAGE) | (_any(text, P.LABEL_CONTEXT) & _any(text, *P.LABEL_DECISION))
+    # One word of these stands in whatever the patterns match, so most texts are read once.
+    possible = _any(text, r"\b(?:dataset|training|oracle|annotat|active|rule|generate|label|safe|unsafe)")
+    return possible & (_any(text, *P.META_LANGUAGE) | (_any(text, P.LABEL_CONTEXT) & _any(text, *P.LABEL_DECISION)))
 
 
 def harm_clauses(text: Column) -> Column:
@@ -40,8 +42,17 @@ def _count(text: Column, pattern: str) -> Column:
 
 
 def operational_harm(text: Column) -> Column:
-    """Step-by-step instructions for weapons, credential theft or malware: at least two sequence words and two relationships."""
-    clauses = harm_clauses(text)
+    """Step-by-step instructions for weapons, credential theft or malware: at least two sequence words and two relationships.
+
+    Each kind needs a word of its own, which a text without it cannot have in any clause; so clauses are split and judged only where the text has one.
+    """
+    parts = (_any(text, P.EXPLOSIVE_DOMAIN), _any(text, P.CREDENTIAL_ACTION), _any(text, P.MALWARE_DOMAIN))
+    judged = F.transform(F.array(harm_clauses(text)), lambda clauses: _harmful(text, clauses))[0]
+    return (_count(text, P.SEQUENCE) >= 2) & F.when(parts[0] | parts[1] | parts[2], judged).otherwise(False)
+
+
+def _harmful(text: Column, clauses: Column) -> Column:
+    """Whether bound clauses hold two relationships of one kind."""
     weapons = _sum(clauses, lambda c: F.when(_any(c, P.EXPLOSIVE_DOMAIN), _count(c, P.EXPLOSIVE_CONSTRUCTION) + _count(c, P.EXPLOSIVE_ASSEMBLY)).otherwise(0))
     theft = _sum(clauses, lambda c: F.when(_any(text, P.CREDENTIAL_THEFT) | _any(c, P.CREDENTIAL_OBJECT), _count(c, P.CREDENTIAL_ACTION)).otherwise(0))
     targeted_deploy = lambda c: _any(c, P.MALWARE_DEPLOY) & _any(c, P.ATTACK_TARGET)
@@ -68,7 +79,7 @@ def operational_harm(text: Column) -> Column:
     defensive = _any(text, P.MALWARE_SAMPLE) & _any(text, P.DEFENSIVE) & _any(text, P.DOWNLOAD) & _any(text, P.EXECUTE) & ~offensive
     flow = F.exists(clauses, lambda c: _any(c, P.MALWARE_DOMAIN) & ~_any(c, P.MALWARE_REPORT))
     malware = ~defensive & flow & (_sum(clauses, links) >= 2)
-    return (_count(text, P.SEQUENCE) >= 2) & ((weapons >= 2) | (theft >= 2) | malware)
+    return (weapons >= 2) | (theft >= 2) | malware
 
 
 def length_bin_ok(text: Column, bin_name: Column, words=word_count) -> Column:

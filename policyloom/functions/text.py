@@ -78,12 +78,12 @@ def grams(text: Column, width: int = 5, folded=fold) -> Column:
 
 
 def gram_hashes(text: Column, width: int = 5, folded=fold) -> Column:
-    """The same runs as distinct 64-bit hashes: eight bytes each where they are stored, shuffled or joined."""
+    """The same runs as distinct 64-bit hashes: eight bytes each where they are stored, shuffled or joined. Tokens are hashed once, runs from their hashes."""
     return F.transform(
-        F.array(tokens(text, folded)),
+        F.array(F.transform(tokens(text, folded), lambda t: F.xxhash64(t))),
         lambda t: F.when(
             F.size(t) >= width,
-            F.array_distinct(F.transform(F.sequence(F.lit(0), F.greatest(F.size(t) - width, F.lit(0))), lambda i: F.xxhash64(F.slice(t, i + 1, width)))),
+            F.array_distinct(F.transform(F.sequence(F.lit(0), F.greatest(F.size(t) - width, F.lit(0))), lambda i: F.xxhash64(*[F.get(t, i + k) for k in range(width)]))),
         ).otherwise(F.array().cast("array<bigint>")),
     )[0]
 
@@ -102,7 +102,8 @@ def word_count(text: Column) -> Column:
 def english_share(text: Column) -> Column:
     """ASCII letters among all letters; null without letters."""
     letters = F.length(F.regexp_replace(text, r"[^\p{L}]", ""))
-    return F.when(letters > 0, F.length(F.regexp_replace(text, "[^A-Za-z]", "")) / letters)
+    mixed = F.when(letters > 0, F.length(F.regexp_replace(text, "[^A-Za-z]", "")) / letters)
+    return F.when(F.octet_length(text) == F.length(text), F.when(text.rlike("[A-Za-z]"), F.lit(1.0))).otherwise(mixed)
 
 
 def is_english(text: Column) -> Column:

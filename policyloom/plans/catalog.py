@@ -265,9 +265,11 @@ _SIMPLE_PII = (
 
 
 def _simple_pii(text):
+    """Whether a text holds one of them; a pattern runs only where the text has what it cannot match without."""
+    needs = (text.contains("@"), text.contains("://") | text.contains("www."), text.rlike("[0-9]"), text.contains("@"), text.contains("_") | text.contains("AKIA"))
     found = F.lit(False)
-    for p in _SIMPLE_PII:
-        found = found | text.rlike(p)
+    for need, p in zip(needs, _SIMPLE_PII, strict=True):
+        found = found | (need & text.rlike(p))
     return found
 
 
@@ -411,7 +413,7 @@ SELECT doc_id, item_id, count(*) AS common, any_value(nb.n) AS item_size, any_va
 GROUP BY doc_id, item_id""")
 def source_similarity(spark, d):
     """Shared shingles of documents and benchmark items, with both sizes; counts combine before they are shuffled."""
-    side = lambda name, key: table(spark, d, name).select(key, X.grams(F.col("text")).alias("g")).withColumn("n", F.size("g").cast("long"))
+    side = lambda name, key: table(spark, d, name).select(key, X.gram_hashes(F.col("text")).alias("g")).withColumn("n", F.size("g").cast("long"))
     items = side("benchmark", "item_id").select("item_id", F.col("n").alias("item_size"), F.explode("g").alias("s"))
     docs = side("documents", "doc_id").select("doc_id", F.col("n").alias("doc_size"), F.explode("g").alias("s"))
     return docs.join(items, "s").groupBy("doc_id", "item_id", "item_size", "doc_size").agg(F.count(F.lit(1)).alias("common"))

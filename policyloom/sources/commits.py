@@ -13,6 +13,7 @@ from __future__ import annotations
 import json
 import uuid
 from collections.abc import Callable
+from concurrent.futures import ThreadPoolExecutor
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -76,13 +77,17 @@ class CommitLog:
     def commit(self, tables: dict[str, DataFrame], note: dict[str, object]) -> int:
         """Adds rows to tables and makes them count; another writer's version of the same number is an error."""
         version = self.latest() + 1
-        found = {}
-        for name in self.schemas:
+
+        def add(name: str) -> dict[str, object]:
             rows = tables.get(name)
             rows = self.spark.createDataFrame([], self.schemas[name]) if rows is None else rows.select(*[F.col(f"`{f.name}`").cast(f.dataType).alias(f.name) for f in self.schemas[name]])
             rows.write.parquet(f"{self.root}/v={version}/{name}")
             self.after(name)
-            found[name] = content(self.spark.read.schema(self.schemas[name]).parquet(f"{self.root}/v={version}/{name}"))
+            return content(self.spark.read.schema(self.schemas[name]).parquet(f"{self.root}/v={version}/{name}"))
+
+        # Tables are written side by side; the manifest waits for all of them.
+        with ThreadPoolExecutor(len(self.schemas)) as pool:
+            found = dict(zip(self.schemas, pool.map(add, self.schemas), strict=True))
         self._write(f"v={version}/manifest", json.dumps({"version": version, "note": note, "tables": found}, sort_keys=True))
         self.after("manifest")
         self._point(version)
