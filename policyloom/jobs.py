@@ -10,9 +10,9 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .operators import exports, grammar, records
+from .operators import capped, exports, grammar, records
 from .operators.joins import duplicates
-from .runtime import ship
+from .runtime import ship, stored
 from .sources import readers, writers
 
 #: Byte caps of an artifact, a response, a robots file, an imported file and a whole import, and record caps.
@@ -170,8 +170,8 @@ def cases_of(rows: DataFrame, governance: dict) -> DataFrame:
 def import_cases(spark: SparkSession, config: str, path: str) -> DataFrame:
     """Local regulatory pages of a configuration into one bundle: cases and a report, the report last.
 
-    Every row is checked before any is read. Records are taken in configured order until the global cap is met; sources that
-    the cap cuts short or leaves out are named in the report.
+    Every row is checked before any is read. All sources are read in one plan, each at most up to its own cap; one allocation gives every source what the
+    global cap leaves to it, in configured order, and the report names the sources that it cuts short or leaves out.
     """
     document = read_yaml(spark, config)
     items = document.get("regulatory_cases") or []
@@ -184,32 +184,32 @@ def import_cases(spark: SparkSession, config: str, path: str) -> DataFrame:
     bad = listed.select("position", records.import_row_code(F.col("row")).alias("code")).where("code is not null").orderBy("position").first()
     if bad:
         raise ValueError(f"import row {bad.position}: {bad.code}")
-    made, cut_short, skipped = None, [], []
-    for item in items:
+    found = None
+    for place, item in enumerate(items):
         if item["input_type"] != "local_html":
             raise ValueError("crawled artifacts are imported by readers.verified_artifacts and cases_of")
         host = urlsplit(item["source_url"]).hostname
         if grammar.url_verdict(item["source_url"], set(item["allowed_domains"])) != "ok":
             raise ValueError(f"the source URL at {host} is not allowed")
-        if not left:
-            skipped.append(item["source_dataset"])
-            continue
         files = bounded_files(spark, item["local_html_path"], document.get("max_file_bytes", FILE_BYTES), document.get("max_total_bytes", TOTAL_BYTES))
-        pages = files.select(F.lit(0).alias("page"), F.col("content").cast("string").alias("html"), F.sha2("content", 256).alias("source_content_hash"))
-        most = min(left, item["max_records"])
-        found = readers.page_cases(pages, "page", "html", most=most + 1)
-        n = found.count()
-        if n > most:
-            cut_short.append(item["source_dataset"])
-        left -= min(n, most)
+        pages = files.select(F.xxhash64("path").alias("page_id"), "path", F.col("content").cast("string").alias("html"), F.sha2("content", 256).alias("source_content_hash"))
+        texts = readers.page_cases(pages, "page_id", "html", most=min(left, item["max_records"]))
+        rows = texts.join(pages.drop("html"), "page_id").select(F.lit(str(place)).alias("source"), "path", "position", "text", "source_content_hash")
+        found = rows if found is None else found.unionByName(rows)
+    found = stored(found, "import-texts")
+    listed = spark.createDataFrame([(str(k), k, x["max_records"]) for k, x in enumerate(items)], "source string, place long, most long")
+    counts = listed.join(found.groupBy("source").agg(F.count(F.lit(1)).alias("n")), "source", "left").fillna(0, ["n"])
+    allocation = stored(capped.allocate(counts, left), "import-allocation")
+    named = {status: [items[r.place]["source_dataset"] for r in allocation.where(F.col("status") == status).orderBy("place").collect()] for status in ("truncated", "skipped")}
+    taken, made = stored(capped.allocated_rows(found, allocation, ["path", "position"]), "import-rows"), None
+    for place, item in enumerate(items):
         governance = {k: item[k] for k in ("source_dataset", "source_url", "retrieved_at", "license_id", "usage_scope", "license_review_status", "terms_review_status", "content_review_status")}
-        rows = cases_of(found.where(F.col("position") < most).drop("page_id").crossJoin(F.broadcast(pages.select("source_content_hash"))), governance)
+        rows = cases_of(taken.where(F.col("source") == str(place)).select("position", "text", "source_content_hash"), governance)
         made = rows if made is None else made.unionByName(rows)
     if not duplicates(made, "content_hash").isEmpty():
         raise ValueError("two cases hold the same text")
     writers.write_jsonl(made, f"{path}/cases")
-    stored = spark.read.json(f"{path}/cases")
-    report = import_report(stored).withColumns({"truncated_sources": F.lit(json.dumps(cut_short)), "skipped_sources": F.lit(json.dumps(skipped))})
+    report = import_report(spark.read.json(f"{path}/cases")).withColumns({f"{status}_sources": F.lit(json.dumps(names)) for status, names in named.items()})
     writers.write_jsonl(report, f"{path}/_report")
     return report
 

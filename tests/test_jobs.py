@@ -133,6 +133,15 @@ def test_import_takes_records_up_to_the_cap(spark, tmp_path):
     config.write_text(json.dumps({"max_records": 1, "regulatory_cases": [row, row | {"source_dataset": "two"}]}))
     report = jobs.import_cases(spark, str(config), str(tmp_path / "out")).first()
     assert (report.n_cases, report.n_published, report.truncated_sources, report.skipped_sources) == (1, 1, '["one"]', '["two"]')
+    # Two files of one source keep their own hashes, and one cap goes over all sources in order.
+    (tmp_path / "two").mkdir()
+    for k in (1, 2):
+        (tmp_path / "two" / f"{k}.html").write_text(f"<article><p>file {k} has a paragraph of its own</p><p>and file {k} has another one</p></article>")
+    config.write_text(json.dumps({"max_records": 4, "regulatory_cases": [row | {"local_html_path": str(tmp_path / "two"), "max_records": 3}, row | {"source_dataset": "two"}]}))
+    report = jobs.import_cases(spark, str(config), str(tmp_path / "out3")).first()
+    cases = spark.read.json(str(tmp_path / "out3" / "cases"))
+    assert report.n_cases == cases.count() == 4 and json.loads(report.skipped_sources) == []
+    assert cases.where("source_dataset = 'one'").select("source_content_hash").distinct().count() == 2
     config.write_text(json.dumps({"max_records": 1, "regulatory_cases": [row | {"license_id": "tbd"}]}))
     with pytest.raises(ValueError, match="ungoverned_license"):
         jobs.import_cases(spark, str(config), str(tmp_path / "out2"))
