@@ -333,7 +333,7 @@ def _wanted_sets(ids: DataFrame, docs: DataFrame, id_col: str, text: str, width:
 
 
 def count_common(pairs: DataFrame, docs: DataFrame, id_col: str, text: str, width: int, bitmap_buckets: int) -> DataFrame:
-    """u, v, common, nu, nv of pairs, from their whole sets. Heavy hubs' sets are broadcast: at most four times as many as there are partitions."""
+    """u, v, common, nu, nv of pairs, from their whole sets. Pairs meet both sets by id, so a heavy hub's pairs are one key of a join, which Spark splits only where it is adaptive."""
     needed = pairs.select(F.col("u").alias("id")).union(pairs.select("v")).distinct()
     sets = _wanted_sets(needed, docs, id_col, text, width, bitmap_buckets)
     by_v = pairs.join(sets.select(F.col("id").alias("v"), F.col("tokens").alias("right")), "v")
