@@ -84,7 +84,7 @@ def load_stores(spark: SparkSession, root: str) -> tuple[dict[str, DataFrame], s
     mark, stores = hashlib.sha256(), {}
     for name, (schema, key) in STORES.items():
         mark.update(name.encode())
-        for row in spark.read.format("binaryFile").load(f"{root}/{name}").select("content").collect():
+        for row in spark.read.format("binaryFile").load(f"{root}/{name}").select("content").toLocalIterator():  # a file at a time
             mark.update(row[0])
         stores[name.split(".")[0]] = read_jsonl(spark, f"{root}/{name}", schema, key)
     return stores, mark.hexdigest()
