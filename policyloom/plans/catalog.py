@@ -419,7 +419,15 @@ def source_similarity(spark, d):
     return docs.join(items, "s").groupBy("doc_id", "item_id", "item_size", "doc_size").agg(F.count(F.lit(1)).alias("common"))
 
 
-@query()
+@query(f"""WITH RECURSIVE p AS MATERIALIZED (SELECT doc_id, {SQUEEZE.format(FOLD.format('text'))} AS k, CASE WHEN len(t) >= 5 THEN {_SHINGLES} ELSE [] END AS s, row_number() OVER (ORDER BY doc_id) AS turn
+  FROM (SELECT *, {TOKENS.format('text')} AS t FROM documents)),
+g AS MATERIALIZED (SELECT doc_id, unnest(s) AS s FROM p),
+o AS (SELECT a.doc_id AS x, b.doc_id AS y, count(*) AS i FROM g a JOIN g b ON a.s = b.s AND a.doc_id < b.doc_id GROUP BY a.doc_id, b.doc_id),
+e AS (SELECT y, x FROM o JOIN p a ON a.doc_id = x JOIN p b ON b.doc_id = y WHERE i >= 0.85 * (len(a.s) + len(b.s) - i) UNION SELECT b.doc_id, a.doc_id FROM p a JOIN p b ON a.k = b.k AND a.doc_id < b.doc_id),
+c AS MATERIALIZED (SELECT p.turn, p.doc_id, list(x) FILTER (x IS NOT NULL) AS before FROM p LEFT JOIN e ON y = p.doc_id GROUP BY p.turn, p.doc_id),
+w AS (SELECT 0::BIGINT AS turn, NULL::BIGINT AS doc_id, false AS kept, []::BIGINT[] AS won
+UNION ALL SELECT c.turn, c.doc_id, NOT list_has_any(coalesce(before, []), won), CASE WHEN list_has_any(coalesce(before, []), won) THEN won ELSE list_append(won, c.doc_id) END FROM w JOIN c ON c.turn = w.turn + 1)
+SELECT doc_id, kept FROM w WHERE turn > 0""")
 def greedy_accept_dedup(spark, d):
     """Documents accepted one after the other unless one accepted before is equal or a near duplicate."""
     docs = table(spark, d, "documents")
