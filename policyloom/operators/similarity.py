@@ -9,7 +9,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import text as X
-from ..runtime import cut, parallelism, ship, stored
+from ..runtime import discard, parallelism, ship, stored
 
 
 #: Token entries of a block of queries or records; a pair of blocks is one task's work and memory.
@@ -104,16 +104,113 @@ def overlap_top_k_with_zeros(queries: DataFrame, records: DataFrame, query_id: s
     return scored.unionByName(zeros).withColumn("rank", rank).where(F.col("rank") <= k)
 
 
-def set_prefixes(sets: DataFrame, threshold: float) -> DataFrame:
-    """(gram, key, n, last) for the first n - ceil(threshold n) + 1 shingles of each set (key, n, grams sorted); last is the last of them.
+#: Shingles that stand last in the order of prefixes: at most so many, each in more than so many sets of those looked at. Any list gives the same pairs.
+MOST_COMMON, COMMON_FROM, LOOKED_AT = 1 << 15, 4, 1 << 14
+#: Work of one comparing task, in shingles of the pairs it gets; it bounds what the task holds.
+CELL_WORK = 1 << 23
 
-    Sets that reach the threshold share one of them. The order is that of the hashes, the same for any set at any time, so an index of prefixes can grow.
+
+def common_grams(sets: DataFrame, held: DataFrame | None = None) -> list[int]:
+    """Shingles of many sets, such as those of quoted passages, so that prefixes can begin with the others. held: unique keys of the sets that count.
+
+    Prefixes are right with any list, so it is made from every 16th set, or more of a small table; no pair depends on it.
+    """
+    every = max(1, min(16, sets.count() // LOOKED_AT))
+    some = sets.where(F.pmod(F.xxhash64(F.lit(7), "key"), F.lit(every)) == 0).select("key", "grams")
+    n = F.count(F.lit(1)).alias("n")
+    many = (some if held is None else some.join(held, "key")).select(F.explode("grams").alias("gram")).groupBy("gram").agg(n).where(F.col("n") > COMMON_FROM)
+    return [r.gram for r in many.orderBy(F.desc("n"), "gram").limit(MOST_COMMON).collect()]
+
+
+def heads_of(grams: pa.ListArray, threshold: float, listed: np.ndarray) -> pa.ListArray:
+    """The first n - ceil(threshold n) + 1 codes of each set. Their natural order has the listed shingles (sorted) last: codes are negative for others, not for them.
+
+    A code has 63 bits of a shingle; the lost one can only add candidates.
+    """
+    at, values = grams.offsets.to_numpy() - grams.offsets[0].as_py(), grams.values.to_numpy()[grams.offsets[0].as_py() : grams.offsets[-1].as_py()]
+    code = (values.view(np.uint64) >> np.uint64(1)).astype(np.int64)
+    common = listed[np.minimum(np.searchsorted(listed, values), len(listed) - 1)] == values if len(listed) else np.zeros(len(values), bool)
+    code, n = np.where(common, code, ~code), np.diff(at).astype(np.int64)
+    row = np.repeat(np.arange(len(n)), n)
+    code = code[np.lexsort((code, row))]
+    size = n - np.ceil(n * threshold - 1e-9).astype(np.int64) + 1
+    kept = code[np.arange(len(code)) - at[row] < size[row]]
+    return pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum(size)]), pa.int32()), pa.array(kept))
+
+
+def set_prefixes(sets: DataFrame, threshold: float, common: list[int], held: DataFrame | None = None) -> DataFrame:
+    """(gram, key, n, last) for the first n - ceil(threshold n) + 1 shingles of each set (key, n, grams); last is the last of them.
+
+    Sets that reach the threshold share one of them. The order is that of heads_of(), the same for any set at any time for one list of common shingles,
+    so an index of prefixes can grow. held: unique keys of the sets that count; heads travel to meet them, whole sets do not.
     """
-    size = F.col("n") - F.ceil(F.col("n") * threshold - 1e-9).cast("int") + 1
-    cut = sets.where("n > 0").select("key", "n", F.slice("grams", F.lit(1), size).alias("head"))
+    ship(sets.sparkSession)
+    listed = np.sort(np.array(common, np.int64))
+
+    def run(batches):
+        for batch in batches:
+            yield pa.RecordBatch.from_arrays([batch.column("key"), batch.column("n"), heads_of(batch.column("grams"), threshold, listed)], ["key", "n", "head"])
+
+    kind = sets.schema["key"].dataType.simpleString()
+    cut = sets.where("n > 0").select("key", "n", "grams").mapInArrow(run, f"key {kind}, n int, head array<bigint>")
+    cut = cut if held is None else cut.join(held, "key")
     return cut.select(F.explode("head").alias("gram"), "key", "n", F.element_at("head", -1).alias("last"))
 
 
+def common_of_pairs(pairs: pa.Table, sets: pa.Table) -> np.ndarray:
+    """How many shingles the sets of each pair (key, other) share; sets: set (its key) and sorted grams of every set that a pair names."""
+    grams = sets.column("grams").combine_chunks()
+    at, values = grams.offsets.to_numpy() - grams.offsets[0].as_py(), grams.values.to_numpy()[grams.offsets[0].as_py() : grams.offsets[-1].as_py()]
+    left, right = (pc.index_in(pairs.column(c), sets.column("set")).to_numpy() for c in ("key", "other"))
+    shared = np.zeros(len(left), np.int64)
+    order = np.argsort(left, kind="stable")
+    for rows in np.split(order, np.flatnonzero(np.diff(left[order])) + 1):
+        if not len(rows):
+            continue
+        mine, sizes = values[at[left[rows[0]]] : at[left[rows[0]] + 1]], at[right[rows] + 1] - at[right[rows]]
+        theirs = np.concatenate([values[at[o] : at[o + 1]] for o in right[rows]])
+        hit = mine[np.minimum(np.searchsorted(mine, theirs), len(mine) - 1)] == theirs
+        shared[rows] = np.add.reduceat(hit.astype(np.int64), np.concatenate([[0], np.cumsum(sizes)[:-1]]))
+    return shared
+
+
+def verified(close: DataFrame, sets: DataFrame, threshold: float, work: int = CELL_WORK) -> DataFrame:
+    """Pairs (key, other, jaccard) of close (key, other, n, m) that reach the threshold on whole sets (key, grams).
+
+    A pair does not carry sets: pairs that hang together by their smallest neighbour meet in a cell, and a set is sent once to each cell that compares it.
+    Cells are sized by the shingles of their pairs; one with too many is divided by both keys of its pairs.
+    """
+    spark = close.sparkSession
+    ship(spark)
+    pairs = stored(close.select("key", "other", "n", "m"), "close-pairs")
+    weight = (F.col("n") + F.col("m") + 16).cast("long")
+    total = pairs.agg(F.coalesce(F.sum(weight), F.lit(0))).first()[0]
+    cells = max(parallelism(spark), 1 + total // work)
+    least = F.least("key", "other").alias("least")
+    lowest = pairs.select(F.col("key").alias("end"), least).unionByName(pairs.select(F.col("other").alias("end"), least)).groupBy("end").agg(F.min("least").alias("least"))
+    met = pairs.join(lowest.select(F.col("end").alias("key"), F.col("least").alias("l")), "key").join(lowest.select(F.col("end").alias("other"), F.col("least").alias("r")), "other")
+    placed = stored(met.select("key", "other", "n", "m", F.pmod(F.xxhash64(F.least("l", "r")), F.lit(cells)).alias("cell")), "placed-pairs")
+    heavy = placed.groupBy("cell").agg(F.ceil(F.sqrt(F.sum(weight) / work)).cast("long").alias("parts")).where("parts > 1")
+    side = lambda c: F.pmod(F.xxhash64(F.lit(7), c), F.coalesce("parts", F.lit(1).cast("long")))
+    dealt = stored(placed.join(heavy, "cell", "left").select("cell", side("key").alias("i"), side("other").alias("j"), "key", "other", "n", "m"), "dealt-pairs")
+    at = ["cell", "i", "j"]
+    wanted = dealt.select(*at, "key").unionByName(dealt.select(*at, F.col("other").alias("key"))).distinct()
+    kind = dealt.schema["key"].dataType.simpleString()
+
+    def run(left: pa.Table, right: pa.Table) -> pa.Table:
+        shared = common_of_pairs(left, right) if left.num_rows else np.zeros(0, np.int64)
+        n, m = (left.column(c).to_numpy().astype(np.int64) for c in ("n", "m"))
+        score = shared / (n + m - shared)
+        near = pa.array(np.flatnonzero(score >= threshold))
+        return pa.table({"key": left.column("key").take(near), "other": left.column("other").take(near), "jaccard": pa.array(score).take(near)})
+
+    sent = wanted.join(sets.select("key", "grams"), "key").select(*[F.col(c).alias(f"to_{c}") for c in at], F.col("key").alias("set"), "grams")
+    made = dealt.groupBy(*at).cogroup(sent.groupBy(*[f"to_{c}" for c in at])).applyInArrow(run, f"key {kind}, other {kind}, jaccard double")
+    out = stored(made, "near-keys")
+    discard(pairs, placed, dealt)
+    return out
+
+
 def near_keys(sets: DataFrame, prefixes: DataFrame, threshold: float, others: DataFrame | None = None, postings: DataFrame | None = None) -> DataFrame:
     """Pairs (key, other) of different sets that reach the threshold: within sets (key < other), or of sets with `others`, by their postings.
 
@@ -127,10 +224,8 @@ def near_keys(sets: DataFrame, prefixes: DataFrame, threshold: float, others: Da
     counted = met.groupBy("key", "other", "n", "m", "last", "other_last").agg(F.count(F.lit(1)).alias("shared"))
     beyond = F.ceil(F.when(F.col("last") <= F.col("other_last"), F.col("n")).otherwise(F.col("m")) * threshold - 1e-9) - 1
     least = F.ceil((F.col("n") + F.col("m")) * (threshold / (1 + threshold)) - 1e-9)
-    close = counted.where(F.col("shared") + beyond >= least).select("key", "other")
-    whole = (sets if others is None else others).select(F.col("key").alias("other"), F.col("grams").alias("more"))
-    both = close.join(sets.select("key", "grams"), "key").join(whole, "other").withColumn("jaccard", X.jaccard(F.col("grams"), F.col("more")))
-    return both.where(F.col("jaccard") >= threshold).select("key", "other", "jaccard")
+    close = counted.where(F.col("shared") + beyond >= least).select("key", "other", "n", "m")
+    return verified(close, sets if others is None else sets.select("key", "grams").unionByName(others.select("key", "grams")), threshold)
 
 
 def _two_first(holders: DataFrame) -> DataFrame:
@@ -156,17 +251,26 @@ def preceded(hit: str) -> Column:
     return F.coalesce(first < F.col("ordinal"), F.lit(False))
 
 
-def _keyed(docs: DataFrame, id_col: str, text: Column, family: str | None, width: int) -> tuple[DataFrame, DataFrame]:
-    """Rows (id, family, key) with a shingle set, and the distinct sets (key, n, grams sorted). Equal sets share a key of 128 bits."""
-    hashed = docs.select(F.col(id_col).alias("id"), F.col(family).alias("family") if family else F.lit(None).cast("string").alias("family"), F.array_sort(X.gram_hashes(text, width)).alias("grams")).where("size(grams) > 0")
-    rows = stored(hashed.withColumn("key", F.struct(F.xxhash64("grams").alias("a"), F.xxhash64(F.lit(7), F.col("grams")).alias("b"))), "shingle-sets")
-    return rows.drop("grams"), stored(rows.groupBy("key").agg(F.first("grams").alias("grams")).select("key", F.size("grams").alias("n"), "grams"), "distinct-sets")
+def _keyed(docs: DataFrame, id_col: str, text: Column, family: str | None, width: int, threshold: float) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """Rows (id, family, key) with a shingle set, whose key is the number of the first row with an equal one; sets (key, n, grams sorted) of all rows; and prefixes of the first ones.
+
+    Whole sets are written once and not dealt by content: equal sets meet by 128 bits, and only their prefixes go on.
+    """
+    grams = F.sort_array(X.gram_hashes(text, width))
+    hashed = docs.select(F.col(id_col).alias("id"), F.col(family).alias("family") if family else F.lit(None).cast("string").alias("family"), grams.alias("grams")).where("size(grams) > 0")
+    same = F.struct(F.xxhash64("grams").alias("a"), F.xxhash64(F.lit(7), F.col("grams")).alias("b")).alias("same")
+    sets = stored(hashed.select("id", "family", same, F.monotonically_increasing_id().alias("key"), F.size("grams").alias("n"), "grams"), "shingle-sets")
+    first = sets.groupBy("same").agg(F.min("key").alias("first"))
+    rows = stored(sets.select("id", "family", "same").join(first, "same").select("id", "family", F.col("first").alias("key")), "set-rows")
+    held = first.select(F.col("first").alias("key"))
+    common = common_grams(sets, held)
+    return rows, sets.select("key", "n", "grams"), stored(set_prefixes(sets, threshold, common, held), "set-prefixes")
 
 
 def near_pairs(docs: DataFrame, id_col: str, text: Column, threshold: float, family: str | None = None, width: int = 5) -> DataFrame:
     """Pairs (left_id < right_id) whose shingle sets reach the threshold, of different families if given. Equal sets are compared once and expanded to rows at the end."""
-    rows, sets = _keyed(docs, id_col, text, family, width)
-    one = near_keys(sets, stored(set_prefixes(sets, threshold), "set-prefixes"), threshold)
+    rows, sets, prefixes = _keyed(docs, id_col, text, family, width, threshold)
+    one = near_keys(sets, prefixes, threshold)
     pairs = one.unionByName(one.select(F.col("other").alias("key"), F.col("key").alias("other"), "jaccard"))
     repeated = rows.groupBy("key").agg(F.count(F.lit(1)).alias("c")).where("c > 1").select("key", F.col("key").alias("other"), F.lit(1.0).alias("jaccard"))
     left, right = (rows.select(F.col("id").alias(f"{s}_id"), F.col("family").alias(f"{s}_family"), F.col("key").alias(k)) for s, k in (("left", "key"), ("right", "other")))
@@ -174,11 +278,20 @@ def near_pairs(docs: DataFrame, id_col: str, text: Column, threshold: float, fam
     return (met.where("not (left_family <=> right_family)") if family else met).select("left_id", "right_id", "jaccard")
 
 
+def near_representatives(docs: DataFrame, id_col: str, text: Column, threshold: float, width: int = 5) -> tuple[DataFrame, DataFrame]:
+    """Rows (id, first) with a shingle set and the smallest id of an equal set, and pairs (early, late) of such first ids whose sets reach the threshold. Copies are not paired."""
+    rows, sets, prefixes = _keyed(docs, id_col, text, None, width, threshold)
+    first = stored(rows.groupBy("key").agg(F.min("id").alias("first")), "set-firsts")
+    one = near_keys(sets, prefixes, threshold)
+    met = one.join(first.withColumnRenamed("first", "a"), "key").join(first.select(F.col("key").alias("other"), F.col("first").alias("b")), "other")
+    return rows.join(first, "key").select("id", "first"), met.select(F.least("a", "b").alias("early"), F.greatest("a", "b").alias("late"))
+
+
 def near_earlier(docs: DataFrame, id_col: str, text: Column, threshold: float, family: str, width: int = 5) -> DataFrame:
     """Ids of rows with a near row of a smaller id in another family. No pair of rows is formed: of the rows of a set, the first and the first of another family tell."""
-    rows, sets = _keyed(docs, id_col, text, family, width)
-    one = near_keys(sets, stored(set_prefixes(sets, threshold), "set-prefixes"), threshold).select("key", "other")
-    same = sets.select("key", F.col("key").alias("other"))
+    rows, sets, prefixes = _keyed(docs, id_col, text, family, width, threshold)
+    one = near_keys(sets, prefixes, threshold).select("key", "other")
+    same = rows.select("key", F.col("key").alias("other")).distinct()
     pairs = one.unionByName(one.select(F.col("other").alias("key"), F.col("key").alias("other"))).unionByName(same)
     holders = rows.withColumnRenamed("id", "ordinal")
     hit = first_holders(pairs, holders).select("key", F.struct("one", "second").alias("near"))
@@ -202,15 +315,18 @@ def greedy_accept(rows: DataFrame, edges: DataFrame, id_col: str = "id") -> Data
     Rounds: a row without an undecided or kept earlier neighbour is kept; a neighbour of an earlier kept row goes. Each round
     decides at least the first undecided row of every conflict group, so rounds follow the longest chain.
     """
-    open_edges = cut(edges.select("early", "late").distinct())
-    state = cut(rows.select(F.col(id_col).alias("id")).withColumn("kept", F.lit(None).cast("boolean")))
+    open_edges = stored(edges.select("early", "late").distinct(), "edges")
+    state = stored(rows.select(F.col(id_col).alias("id")).withColumn("kept", F.lit(None).cast("boolean")), "greedy")
     while True:
         undecided = state.where("kept is null").select("id")
         blocked = open_edges.join(undecided.withColumnRenamed("id", "early"), "early", "left_semi").select(F.col("late").alias("id")).distinct()
         lost = open_edges.join(state.where("kept").select(F.col("id").alias("early")), "early", "left_semi").select(F.col("late").alias("id")).distinct()
-        state = cut(
+        made = stored(
             state.join(lost.withColumn("lost", F.lit(True)), "id", "left").join(blocked.withColumn("wait", F.lit(True)), "id", "left")
-            .select("id", F.when(F.col("kept").isNotNull(), F.col("kept")).when(F.col("lost"), False).when(F.col("wait").isNull(), True).alias("kept"))
+            .select("id", F.when(F.col("kept").isNotNull(), F.col("kept")).when(F.col("lost"), False).when(F.col("wait").isNull(), True).alias("kept")), "greedy",
         )
+        discard(state)
+        state = made
         if state.where("kept is null").isEmpty():
+            discard(open_edges)
             return state.withColumnRenamed("id", id_col)

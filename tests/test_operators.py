@@ -50,6 +50,26 @@ def test_near_pairs_and_greedy_acceptance(spark):
     assert kept == {1: True, 2: False, 3: True, 4: False, 5: True}
 
 
+def test_near_pairs_carry_no_sets_and_copies_are_not_paired(spark):
+    """Pairs against brute force with cells of one pair's work, a list of common shingles, and copies that stay one set."""
+    base = [f"w{i}" for i in range(60)]
+    texts = [" ".join([*base[:k], f"x{k}", *base[k + 1 :]]) for k in range(0, 60, 3)] + [" ".join(base)] * 30 + ["one two", "one two", None]
+    docs = spark.createDataFrame(list(enumerate(texts)), "id long, t string")
+    rows, pairs = similarity.near_representatives(docs, "id", F.col("t"), 0.85)
+    sets = [{tuple(t.split()[i : i + 5]) for i in range(len(t.split()) - 4)} if t else set() for t in texts]
+    firsts = {r.id: r["first"] for r in rows.collect()}
+    assert firsts == {i: sets.index(s) for i, s in enumerate(sets) if s}
+    near = {(a, b) for a, b in combinations(sorted(set(firsts.values())), 2) if len(sets[a] & sets[b]) >= 0.85 * len(sets[a] | sets[b])}
+    assert {(r.early, r.late) for r in pairs.collect()} == near and near
+    _, kept, prefixes = similarity._keyed(docs, "id", F.col("t"), None, 5, 0.85)
+    close = kept.alias("a").join(kept.alias("b"), F.col("a.key") < F.col("b.key")).select("a.key", F.col("b.key").alias("other"), "a.n", F.col("b.n").alias("m"))
+    for work in (100, 1 << 20):
+        found = similarity.verified(close, kept, 0.85, work)
+        assert found.columns == ["key", "other", "jaccard"] and found.count() == sum(len(x & y) >= 0.85 * len(x | y) for x, y in combinations([s for s in sets if s], 2))
+    plain, listed = ({(r.key, r.gram) for r in similarity.set_prefixes(kept, 0.85, c).collect()} for c in ([], [r[0] for r in kept.select(F.explode("grams")).distinct().limit(40).collect()]))
+    assert len(plain) == len(listed) and plain != listed
+
+
 def test_source_similarity_views(spark):
     long = " ".join(f"w{i}" for i in range(20))
     df = spark.createDataFrame([(long, "hello", long), (long, "hello", None), (None, "x", None), ("Hello", "hello ", None)], "s string, q string, r string")
