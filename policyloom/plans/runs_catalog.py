@@ -173,7 +173,9 @@ def generation_run(spark: SparkSession, d: str) -> tuple[DataFrame, query_run.Ru
 
     def provide(rows: DataFrame) -> DataFrame:
         query = F.when(F.col("attempt") == 1, F.col("text")).otherwise(F.translate("text", "et", "iz"))
-        return rows.join(texts, "ordinal").select("ordinal", query.alias("query"), F.lit(None).cast("string").alias("response"), (~((F.col("batch") % 29 == 3) & (F.col("attempt") == 1))).alias("valid"))
+        # Only a step's range of texts is dealt, not the whole table at every step.
+        low, high = rows.agg(F.min("ordinal"), F.max("ordinal")).first()
+        return rows.join(texts.where(F.col("ordinal").between(low, high)), "ordinal").select("ordinal", query.alias("query"), F.lit(None).cast("string").alias("response"), (~((F.col("batch") % 29 == 3) & (F.col("attempt") == 1))).alias("valid"))
 
     def review(rows: DataFrame) -> DataFrame:
         return rows.select("ordinal", F.when(F.col("batch") % 31 == 7, "semantic_review_invalid").when((F.col("ordinal") % 13 == 5) & (F.col("attempt") == 1), "semantic_mismatch").alias("verdict"))

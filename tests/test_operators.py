@@ -259,3 +259,12 @@ def test_blueprints_are_whole(spark):
     for r in got:
         assert r.active_rule_titles == [f"title {x}" for x in r.active_rule_ids] and r.tool_capable is False
         assert r.intended_answers == ([f"title {r.primary_rule_id}"] if r.intended_label == "unsafe" else []) and (r.primary_rule_id is None) == (r.intended_label == "safe")
+
+
+def test_a_source_is_ranked_from_lots_not_whole(spark):
+    """The drawn records are the first of each source in order; no window over a whole source is planned."""
+    seeds = spark.range(4000).select(F.when(F.col("id") % 10 < 9, "big").otherwise("small").alias("source"), F.col("id").cast("string").alias("source_id"))
+    order = F.sha2(F.concat_ws("|", "source", "source_id"), 256)
+    got = {(r.source, r.turn): r.source_id for r in planning.first_by_source(seeds, order, 7).collect()}
+    rows = [(r.source, r.o, r.source_id) for r in seeds.select("source", "source_id", order.alias("o")).collect()]
+    assert got == {(s, k + 1): i for s in ("big", "small") for k, (_, _, i) in enumerate(sorted(r for r in rows if r[0] == s)[:7])}
