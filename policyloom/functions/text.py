@@ -112,7 +112,13 @@ def is_english(text: Column) -> Column:
 
 def normalize_seed(text: Column) -> Column:
     """Seed text with e-mail addresses, URLs and phone numbers masked; null if empty or over the limit."""
-    masked = F.regexp_replace(F.regexp_replace(F.regexp_replace(text, "(?U)" + P.SEED_EMAIL, "[EMAIL]"), "(?U)" + P.SEED_URL, "[URL]"), "(?U)" + P.SEED_PHONE, "[PHONE]")
+    # A pattern runs only where the text has what each of its matches has.
+    def mask(text: Column, need, pattern: str, name: str) -> Column:
+        return F.transform(F.array(text), lambda t: F.when(need(t), F.regexp_replace(t, "(?U)" + pattern, name)).otherwise(t))[0]
+
+    masked = mask(text, lambda t: t.contains("@"), P.SEED_EMAIL, "[EMAIL]")
+    masked = mask(masked, lambda t: t.contains("://"), P.SEED_URL, "[URL]")
+    masked = mask(masked, lambda t: t.rlike(r"(?U)\d"), P.SEED_PHONE, "[PHONE]")
     clean = squeeze(masked)
     return F.when(F.length(clean).between(1, P.TEXT_LIMIT), clean)
 

@@ -144,3 +144,13 @@ def test_log_sanitising(spark):
     got = values(spark, [("api_key=abc; Bearer xyz, a@b.co",), ("😀" * 2050,)], "t string", X.sanitize_log(F.col("t")))
     assert got[0][0] == "api_key=[REDACTED]; Bearer [REDACTED], [REDACTED_EMAIL]"
     assert got[1][0] == "😀" * 2048 + "...[truncated]"
+
+
+def test_patterns_run_only_where_they_can_match():
+    """A text without marks runs few patterns; whatever a pattern finds, in any case of letters, may_hold() has allowed."""
+    held = ["a@b.example", "www.X.example", "HTTP://x", "123-45-6789", "DOB 1/2/1990", "PaSSport: AB12345", "cu\u017ftomer id: AB12345", "to\u212aen api key is abcdef1", "1.2.3.4", "fe80::1:2", "aa-bb-cc-dd-ee-ff",
+            "account number 12345678", "order id: A12345", "sk_live_abcdefgh1", "AKIAABCDEFGH1", "4111 1111 1111 1111", "12 Oak street", "@someone", "+1 555 123 4567 89", "name: Ann Lee", "secret abcdefgh1"]
+    for text in held:
+        for kind, _ in pii._STEPS:
+            assert not pii._RE[kind].search(text) or pii.may_hold(kind, text), (kind, text)
+    assert [kind for kind, _ in pii._STEPS if pii.may_hold(kind, "plain words, nothing else")] == ["TITLE_CASE_PERSON"]
