@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
@@ -108,6 +110,14 @@ def overlap_top_k_with_zeros(queries: DataFrame, records: DataFrame, query_id: s
 MOST_COMMON, COMMON_FROM, LOOKED_AT = 1 << 15, 4, 1 << 14
 #: Work of one comparing task, in shingles of the pairs it gets; it bounds what the task holds.
 CELL_WORK = 1 << 23
+#: Most ids that are sent to the rows they name; more of them are joined.
+MOST_SENT = 1 << 19
+
+
+def among(rows: DataFrame, ids: DataFrame, name: str, how: str = "left_semi") -> DataFrame:
+    """Rows joined with ids by `name`. Few ids are sent to the rows, so long rows stay where they are; ids are counted first."""
+    few = ids.limit(MOST_SENT + 1).count() <= MOST_SENT
+    return rows.join(F.broadcast(ids) if few else ids, name, how)
 
 
 def common_grams(sets: DataFrame, held: DataFrame | None = None) -> list[int]:
@@ -133,13 +143,13 @@ def heads_of(grams: pa.ListArray, threshold: float, listed: np.ndarray) -> pa.Li
     code, n = np.where(common, code, ~code), np.diff(at).astype(np.int64)
     row = np.repeat(np.arange(len(n)), n)
     code = code[np.lexsort((code, row))]
-    size = n - np.ceil(n * threshold - 1e-9).astype(np.int64) + 1
+    size = np.where(n > 0, n - np.ceil(n * threshold - 1e-9).astype(np.int64) + 1, 0)
     kept = code[np.arange(len(code)) - at[row] < size[row]]
     return pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum(size)]), pa.int32()), pa.array(kept))
 
 
 def set_prefixes(sets: DataFrame, threshold: float, common: list[int], held: DataFrame | None = None) -> DataFrame:
-    """(gram, key, n, last) for the first n - ceil(threshold n) + 1 shingles of each set (key, n, grams); last is the last of them.
+    """(gram, key, n, last) for the first n - ceil(threshold n) + 1 shingles of each set (key, grams); last is the last of them.
 
     Sets that reach the threshold share one of them. The order is that of heads_of(), the same for any set at any time for one list of common shingles,
     so an index of prefixes can grow. held: unique keys of the sets that count; heads travel to meet them, whole sets do not.
@@ -149,10 +159,11 @@ def set_prefixes(sets: DataFrame, threshold: float, common: list[int], held: Dat
 
     def run(batches):
         for batch in batches:
-            yield pa.RecordBatch.from_arrays([batch.column("key"), batch.column("n"), heads_of(batch.column("grams"), threshold, listed)], ["key", "n", "head"])
+            grams = batch.column("grams")
+            yield pa.RecordBatch.from_arrays([batch.column("key"), pc.list_value_length(grams), heads_of(grams, threshold, listed)], ["key", "n", "head"])
 
     kind = sets.schema["key"].dataType.simpleString()
-    cut = sets.where("n > 0").select("key", "n", "grams").mapInArrow(run, f"key {kind}, n int, head array<bigint>")
+    cut = sets.select("key", "grams").mapInArrow(run, f"key {kind}, n int, head array<bigint>")
     cut = cut if held is None else cut.join(held, "key")
     return cut.select(F.explode("head").alias("gram"), "key", "n", F.element_at("head", -1).alias("last"))
 
@@ -174,10 +185,10 @@ def common_of_pairs(pairs: pa.Table, sets: pa.Table) -> np.ndarray:
     return shared
 
 
-def verified(close: DataFrame, sets: DataFrame, threshold: float, work: int = CELL_WORK) -> DataFrame:
-    """Pairs (key, other, jaccard) of close (key, other, n, m) that reach the threshold on whole sets (key, grams).
+def verified(close: DataFrame, sets: DataFrame | Callable[[DataFrame], DataFrame], threshold: float, work: int = CELL_WORK) -> DataFrame:
+    """Pairs (key, other, jaccard) of close (key, other, n, m) that reach the threshold on whole sets (key, grams), or what gives the sets of keys.
 
-    A pair does not carry sets: pairs that hang together by their smallest neighbour meet in a cell, and a set is sent once to each cell that compares it.
+    Only sets that a pair names are dealt. A pair does not carry sets: pairs that hang together by their smallest neighbour meet in a cell, and a set is sent once to each cell that compares it.
     Cells are sized by the shingles of their pairs; one with too many is divided by both keys of its pairs.
     """
     spark = close.sparkSession
@@ -204,15 +215,17 @@ def verified(close: DataFrame, sets: DataFrame, threshold: float, work: int = CE
         near = pa.array(np.flatnonzero(score >= threshold))
         return pa.table({"key": left.column("key").take(near), "other": left.column("other").take(near), "jaccard": pa.array(score).take(near)})
 
-    sent = wanted.join(sets.select("key", "grams"), "key").select(*[F.col(c).alias(f"to_{c}") for c in at], F.col("key").alias("set"), "grams")
+    ids = wanted.select("key").distinct()
+    held = sets(ids) if callable(sets) else among(sets.select("key", "grams"), ids, "key")
+    sent = wanted.join(held, "key").select(*[F.col(c).alias(f"to_{c}") for c in at], F.col("key").alias("set"), "grams")
     made = dealt.groupBy(*at).cogroup(sent.groupBy(*[f"to_{c}" for c in at])).applyInArrow(run, f"key {kind}, other {kind}, jaccard double")
     out = stored(made, "near-keys")
     discard(pairs, placed, dealt)
     return out
 
 
-def near_keys(sets: DataFrame, prefixes: DataFrame, threshold: float, others: DataFrame | None = None, postings: DataFrame | None = None) -> DataFrame:
-    """Pairs (key, other) of different sets that reach the threshold: within sets (key < other), or of sets with `others`, by their postings.
+def near_keys(sets: DataFrame | Callable[[DataFrame], DataFrame], prefixes: DataFrame, threshold: float, postings: DataFrame | None = None) -> DataFrame:
+    """Pairs (key, other) of different sets that reach the threshold: of those in prefixes (key < other), or of those with the sets in postings.
 
     Shared shingles of two prefixes are counted before any set is fetched. Of the set whose prefix ends first, all that is shared within its prefix
     lies in the other's prefix too, so what is counted and the rest of that set bound the overlap; few pairs are left to be verified on whole sets.
@@ -225,7 +238,7 @@ def near_keys(sets: DataFrame, prefixes: DataFrame, threshold: float, others: Da
     beyond = F.ceil(F.when(F.col("last") <= F.col("other_last"), F.col("n")).otherwise(F.col("m")) * threshold - 1e-9) - 1
     least = F.ceil((F.col("n") + F.col("m")) * (threshold / (1 + threshold)) - 1e-9)
     close = counted.where(F.col("shared") + beyond >= least).select("key", "other", "n", "m")
-    return verified(close, sets if others is None else sets.select("key", "grams").unionByName(others.select("key", "grams")), threshold)
+    return verified(close, sets, threshold)
 
 
 def _two_first(holders: DataFrame) -> DataFrame:

@@ -70,6 +70,23 @@ def test_near_pairs_carry_no_sets_and_copies_are_not_paired(spark):
     assert len(plain) == len(listed) and plain != listed
 
 
+def test_only_sets_that_pairs_name_are_fetched(spark):
+    """Sets may be given by what makes them from their keys: it is asked for those of the pairs alone, and a set of nothing has no prefix."""
+    sets = spark.createDataFrame([(k, list(range(k, k + 20))) for k in range(9)] + [(9, [])], "key long, grams array<long>")
+    close = spark.createDataFrame([(0, 1, 20, 20), (2, 8, 20, 20)], "key long, other long, n int, m int")
+    asked = []
+
+    def fetch(ids):
+        asked.extend(r.key for r in ids.collect())
+        return similarity.among(sets, ids, "key")
+
+    assert [(r.key, r.other) for r in similarity.verified(close, fetch, 0.85).collect()] == [(0, 1)] and sorted(asked) == [0, 1, 2, 8]
+    assert {r.key for r in similarity.set_prefixes(sets, 0.85, []).collect()} == set(range(9))
+    ids = spark.createDataFrame([(3,)], "key long")
+    assert [r.key for r in similarity.among(sets, ids, "key").collect()] == [3] and similarity.among(sets, ids, "key", "left_anti").count() == 9
+
+
+
 def test_source_similarity_views(spark):
     long = " ".join(f"w{i}" for i in range(20))
     df = spark.createDataFrame([(long, "hello", long), (long, "hello", None), (None, "x", None), ("Hello", "hello ", None)], "s string, q string, r string")
