@@ -18,46 +18,63 @@ from ..runtime import discard, parallelism, ship, stored
 BLOCK_TOKENS = 1 << 21
 
 
+#: A token of more than one in so many records of a block has a row of a table of bytes, one a record; others have lists.
+COMMON_OF_BLOCK = 32
+
+
 def best_of_block(queries: pa.Table, records: pa.Table, k: int, least: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """(query row, record row, shared tokens) of the k best records of a block for each query, ties by record id.
 
-    Postings are read rare tokens first, in growing groups. Once the k-th best count exceeds the tokens that are left, no further record can
-    come in: the long lists of common tokens are then looked up only for the records that can still be among the best.
+    Rows of a query's common tokens are added up byte by byte, its rare tokens are counted from their lists. Records with many tokens come first: the k-th best of
+    the first ones is the least that can still come in, so few of the others are sorted.
     """
     lists = [t.column("tokens").combine_chunks() for t in (queries, records)]
     (q_at, q_tok), (r_at, r_tok) = [(x.offsets.to_numpy(), x.values.to_numpy()[x.offsets[0].as_py() : x.offsets[-1].as_py()]) for x in lists]
-    q_at, r_at = q_at - q_at[0], r_at - r_at[0]
-    owner = np.repeat(np.arange(len(r_at) - 1), np.diff(r_at))
-    order = np.argsort(r_tok, kind="stable")
-    known, starts = np.unique(r_tok[order], return_index=True)
-    ends, owner = np.append(starts[1:], len(order)), owner[order]
-    place = np.minimum(np.searchsorted(known, q_tok), max(len(known) - 1, 0))
-    there = known[place] == q_tok if len(known) else np.zeros(len(q_tok), bool)
-    by_id = np.empty(len(r_at) - 1, np.int64)
-    by_id[np.array(pc.sort_indices(records.column("rid")))] = np.arange(len(r_at) - 1)
+    q_at, n = q_at - q_at[0], len(r_at) - 1
+    largest = np.argsort(-np.diff(r_at), kind="stable")
+    spot = np.empty(n, np.int32)
+    spot[largest] = np.arange(n, dtype=np.int32)
+    # Of the block's tokens only those of a query are kept.
+    known, place = np.unique(q_tok, return_inverse=True)
+    if not len(known) or not n:
+        return tuple(np.zeros(0, np.int64) for _ in range(3))
+    token = np.searchsorted(known, r_tok).astype(np.int32)
+    token[known[np.minimum(token, len(known) - 1)] != r_tok] = -1
+    owner = np.repeat(spot, np.diff(r_at))[token >= 0]
+    token = token[token >= 0]
+    owner, df = owner[np.argsort(token, kind="stable")], np.bincount(token, minlength=len(known))
+    del token
+    ends = np.cumsum(df)
+    starts = ends - df
+    common = np.flatnonzero(df * COMMON_OF_BLOCK > n)
+    row_of = np.full(len(known), -1)
+    row_of[common] = np.arange(len(common))
+    table = np.zeros((len(common), n), np.uint8)
+    for row, t in enumerate(common):
+        table[row, owner[starts[t] : ends[t]]] = 1
+    by_id = np.empty(n, np.int64)
+    by_id[np.array(pc.sort_indices(records.column("rid")))] = np.arange(n)
+    by_id = by_id[largest]
+    first = min(n, max(k, n // 16))
     out = ([], [], [])
     for q in range(len(q_at) - 1):
-        held = slice(q_at[q], q_at[q + 1])
-        tokens = place[held][there[held]]
-        tokens = tokens[np.argsort(ends[tokens] - starts[tokens], kind="stable")]
-        counts, done, group, cut = np.zeros(len(r_at) - 1, np.int64), 0, 4, least
-        while done < len(tokens):
-            lists_now = [owner[starts[t] : ends[t]] for t in tokens[done : done + group]]
-            counts += np.bincount(np.concatenate(lists_now), minlength=len(counts))
-            done, group = done + len(lists_now), 2 * group
-            if len(counts) > k:
-                cut = max(least, int(np.partition(counts, len(counts) - k)[len(counts) - k]))
-            if len(tokens) - done < cut:
-                break
-        rows = np.flatnonzero(counts + (len(tokens) - done) >= cut)
-        score = counts[rows]
-        for t in tokens[done:]:
-            mine = owner[starts[t] : ends[t]]
-            at = np.minimum(np.searchsorted(mine, rows), len(mine) - 1)
-            score = score + (mine[at] == rows)
-        best = np.lexsort((by_id[rows], -score))[:k]
-        best = best[score[best] >= least]
-        for part, values in zip(out, (np.full(len(best), q), rows[best], score[best]), strict=True):
+        tokens = place[q_at[q] : q_at[q + 1]]
+        tokens = tokens[df[tokens] > 0]
+        if len(tokens) < least:
+            continue
+        row = row_of[tokens]
+        rare, rows = tokens[row < 0], row[row >= 0]
+        score = np.zeros(n, np.uint16 if len(tokens) < 1 << 16 else np.uint32)
+        for at in range(0, len(rows), 255):  # what a byte holds
+            score += np.add.reduce(table[rows[at : at + 255]], axis=0, dtype=np.uint8)
+        if len(rare):
+            held = [owner[a:b] for a, b in zip(starts[rare].tolist(), ends[rare].tolist(), strict=True)]
+            score += np.bincount(np.concatenate(held), minlength=n).astype(score.dtype)
+        cut = max(least, int(np.partition(score[:first], first - k)[first - k])) if first >= k else least
+        found = np.flatnonzero(score >= cut)
+        shared = score[found].astype(np.int64)
+        best = np.lexsort((by_id[found], -shared))[:k]
+        for part, values in zip(out, (np.full(len(best), q), largest[found[best]], shared[best]), strict=True):
             part.append(values)
     return tuple(np.concatenate(part) if part else np.zeros(0, np.int64) for part in out)
 

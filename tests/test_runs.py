@@ -341,3 +341,30 @@ def test_ranking_equals_all_counts(spark, block):
         expected += [(name, d, -score, k + 1) for k, (score, _, d) in enumerate([x for x in scored if -x[0] >= 3][:4])]
     assert sorted(map(tuple, got)) == sorted(expected)
     assert similarity.overlap_top_k(q.limit(0), r, "q", F.col("t"), "d", F.col("u"), 4).count() == 0
+
+
+def test_ranking_of_a_block_holds_what_its_queries_have():
+    """Long queries (more common tokens than a byte counts) against plain counts; the memory of a block follows the tokens that queries have, not those of the records."""
+    import tracemalloc
+
+    import numpy as np
+    import pyarrow as pa
+
+    from policyloom.operators.similarity import best_of_block
+
+    rnd = np.random.default_rng(4)
+    lists = lambda sizes, most: pa.array([rnd.choice(most, n, replace=False) for n in sizes], pa.list_(pa.int64()))
+    q, r = lists([600, 3, 0, 290, 40], 700), lists(rnd.integers(0, 600, 300), 900)
+    queries, records = pa.table({"tokens": q}), pa.table({"rid": [f"{k * 7 % 300:03}" for k in range(300)], "tokens": r})
+    got = best_of_block(queries, records, 4, 2)
+    expected = []
+    for k, mine in enumerate(q.to_pylist()):
+        scored = sorted((-len(set(mine) & set(x)), records["rid"][i].as_py(), i) for i, x in enumerate(r.to_pylist()))
+        expected += [(k, i, -s) for s, _, i in scored[:4] if s <= -2]
+    assert list(zip(*(x.tolist() for x in got), strict=True)) == expected
+    many = pa.ListArray.from_arrays(pa.array(range(0, 1_000_001, 200), pa.int32()), pa.array(rnd.integers(10**6, 10**12, 1_000_000)))
+    tracemalloc.start()
+    best_of_block(queries, pa.table({"rid": list(range(5000)), "tokens": many}), 4, 2)
+    most = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert most < 24e6
