@@ -16,9 +16,12 @@ in blocks, where the common counts of all of them are derived together from the
 that share a member form one cluster for that, which is cut by size band and into blocks.
 
 Links are verified on whole sets or follow from verified counts, so they are exact up to 64-bit shingle hashes. Blocks yield as
-many links as join their components, so a group of n near copies makes no n * n rows. Text is scanned six times, never
-shuffled; what travels are hashes of frequent-candidate shingles for counting, prefix postings, and the sets of documents that
-occur in a candidate pair (found through a bitmap of fixed size).
+many links as join their components, so a group of n near copies makes no n * n rows. Text is scanned five times, never
+shuffled. What travels is kept small, as disks hold all of it at once:
+
+* Shingles are counted by 32 bits a shingle, and only prefix shingles that a second set may have are sent as postings.
+* A set has a sketch of one to two bits a shingle, whose difference is at most that of the sets. Pairs and blocks meet with
+  sketches first; whole sets, 64 times as large, are read (behind a bitmap) and sent only where sketches leave a link possible.
 
 Defined results: words and shingles as in kernels; a null or wordless text has the empty set, n_shingles 0 and
 links with nothing. Every row is linked for itself, repeated ids and rows too; a component is named by the smallest
@@ -32,7 +35,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..runtime import parallelism, ship, stored
+from ..runtime import discard, parallelism, ship, stored
 from .bitmaps import collect_bitmap, may_hold
 from .components import components, spread_join
 from .kernels import U64, as_bytes, batch_shingles, mix, slices
@@ -40,6 +43,10 @@ from .kernels import U64, as_bytes, batch_shingles, mix, slices
 _COLUMNS = 4096
 _LIST = 4096
 _BLOCK = 64
+#: So many blocks of whole sets are one block of sketches.
+_WIDE = 8
+#: Bits of the bitmap for each repeated shingle, and its most pieces of 4 KB.
+_BITS, _PIECES = 16, 16384
 
 
 def required_overlap(nx, ny, percent: int):
@@ -74,48 +81,118 @@ def _key(s: np.ndarray) -> int:
     return int(mix(np.array([s.sum(), np.bitwise_xor.reduce(s * (s | U64(1)))], U64) + U64(len(s))).sum().view(np.int64)) if len(s) else 0
 
 
+def sketch(s: np.ndarray) -> bytes:
+    """Parities of a set: shingles flip one of a power of two of bits, at least as many as there are shingles.
+
+    Sets with d shingles that the other lacks differ in at most d bits, also after folding.
+    """
+    bits = max(64, 1 << (len(s) - 1).bit_length())
+    return np.packbits(np.bincount((s & U64(bits - 1)).astype(np.int64), minlength=bits) & 1, bitorder="little").tobytes()
+
+
+def fold(sketch: bytes, size: int) -> bytes:
+    """The sketch of the same set in fewer bytes, a power of two of at least 8."""
+    x = np.frombuffer(sketch, np.uint8)
+    return np.bitwise_xor.reduce(x.reshape(-1, size)).tobytes()
+
+
+def _differ(nx, ny, percent: int):
+    """The most shingles that linked sets of nx and ny may have apart."""
+    return nx + ny - 2 * required_overlap(nx, ny, percent)
+
+
+def may_link(nx: int, x: bytes, ny: int, y: bytes, percent: int) -> bool:
+    """Whether the sketches of two sets leave a link possible."""
+    size = min(len(x), len(y))
+    x, y = (int.from_bytes(z if len(z) == size else fold(z, size), "little") for z in (x, y))
+    return (x ^ y).bit_count() <= _differ(nx, ny, percent)
+
+
 def set_signatures(docs: DataFrame, id_col: str = "doc_id", text: str = "text", width: int = 5) -> DataFrame:
-    """id, n (set size), and the set's key."""
+    """id, n (set size), the set's key and sketch."""
 
     def make(_, ids, sets):
-        rows = [(len(s), _key(s)) for s in sets]
-        yield [pa.array(ids, pa.int64()), pa.array([r[0] for r in rows], pa.int64()), pa.array([r[1] for r in rows], pa.int64())]
+        rows = [(len(s), _key(s), sketch(s) if len(s) else None) for s in sets]
+        yield [pa.array(ids, pa.int64()), pa.array([r[0] for r in rows], pa.int64()), pa.array([r[1] for r in rows], pa.int64()), pa.array([r[2] for r in rows], pa.binary())]
+
+    return _map(docs, id_col, text, width, "id long, n long, key long, sketch binary", make)
+
+
+def _reach(percent: int) -> np.uint64:
+    """Shingles are counted below this hash, as far as a prefix in hash order reaches."""
+    return U64(int((1.3 * (100 - percent) / 100) * 2**64))
+
 
-    return _map(docs, id_col, text, width, "id long, n long, key long", make)
+def _stems(s: np.ndarray, bits: int) -> np.ndarray:
+    """The first 32 + bits bits of hashes."""
+    return (s >> U64(32 - bits)).astype(np.int64)
 
 
-def frequent_shingles(docs: DataFrame, id_col: str, text: str, width: int, percent: int, at_least: int = 32, most: int = 200_000) -> np.ndarray:
-    """The most frequent shingles, at most `most` of them: they go last in the global order.
+def repeated_shingles(docs: DataFrame, id_col: str, text: str, width: int, percent: int, bits: int) -> DataFrame:
+    """stem, n: how many sets have shingles of a stem, for those of several sets; equal sets of different tasks count each.
 
-    Counted over all documents among those hashes that a prefix in hash order can reach; any such set gives exact results.
+    Tasks send stems as arrays, dealt by their first bits; the other 32 bits of each travel. Different shingles of one stem
+    are counted together, which makes more candidates and loses none.
     """
-    limit = U64(int((1.3 * (100 - percent) / 100) * 2**64))
+    limit = _reach(percent)
 
     def emit(state):
         if state.get("size"):
-            tokens, counts = np.unique(np.concatenate(state["parts"]), return_counts=True)
-            yield [pa.array(tokens.view(np.int64)), pa.array(counts)]
+            stems, counts = np.unique(_stems(np.concatenate(state["parts"]), bits), return_counts=True)
+            part, low = stems >> 32, stems.astype(np.uint32)
+            edges = np.flatnonzero(np.concatenate(([True], part[1:] != part[:-1], [True])))
+            spans = list(zip(edges[:-1].tolist(), edges[1:].tolist()))
+            # Counts are sent of the few that a task met several times.
+            often = [np.flatnonzero(counts[a:b] > 1).astype(np.uint32) for a, b in spans]
+            more = [counts[a:b][x].astype(np.uint32) for (a, b), x in zip(spans, often)]
+            yield [pa.array(part[edges[:-1]]), *[pa.array(x, pa.binary()) for x in ([low[a:b].tobytes() for a, b in spans], [x.tobytes() for x in often], [x.tobytes() for x in more])]]
         state.update(size=0, parts=[])
 
-    def make(state, ids, sets):
+    def make(state, _, sets):
+        seen = state.setdefault("seen", set())
         for s in sets:
-            low = s[: np.searchsorted(s, limit)]
-            state.setdefault("parts", []).append(low)
-            state["size"] = state.get("size", 0) + len(low)
-            if state["size"] > 2_000_000:
-                yield from emit(state)
-
-    counts = _map(docs, id_col, text, width, "token long, n long", make, emit).groupBy("token").agg(F.sum("n").alias("n"))
-    top = counts.where(F.col("n") >= at_least).orderBy(F.desc("n"), "token").limit(most)
-    return np.sort(np.array([r.token for r in top.select("token").collect()], np.int64).view(U64))
-
-
-def _postings(docs, id_col, text, width, percent, frequent) -> DataFrame:
-    """token, set key, n, position for the prefix of every set; a task emits a set once."""
-    shared = docs.sparkSession.sparkContext.broadcast(frequent)
+            if len(s) and (i := _key(s)) not in seen:
+                seen.add(i)
+                low = s[: np.searchsorted(s, limit)]
+                state.setdefault("parts", []).append(low)
+                state["size"] = state.get("size", 0) + len(low)
+                if state["size"] > 2_000_000:
+                    yield from emit(state)
+
+    def count(table):
+        parts = [np.frombuffer(b, np.uint32) for b in table.column("low").to_pylist()]
+        low, n = np.concatenate(parts), np.ones(sum(map(len, parts)), np.int64)
+        at = 0
+        for x, often, more in zip(parts, table.column("often").to_pylist(), table.column("more").to_pylist()):
+            n[at + np.frombuffer(often, np.uint32)] = np.frombuffer(more, np.uint32)
+            at += len(x)
+        order = np.argsort(low, kind="stable")
+        low, n = low[order], n[order]
+        starts = np.flatnonzero(np.concatenate(([True], low[1:] != low[:-1]))) if len(low) else np.empty(0, np.int64)
+        total = np.add.reduceat(n, starts) if len(low) else n
+        stems = (table.column("part")[0].as_py() << 32) + low[starts].astype(np.int64)
+        return pa.table({"stem": stems[total > 1], "n": total[total > 1]})
+
+    sent = _map(docs, id_col, text, width, "part long, low binary, often binary, more binary", make, emit)
+    return sent.groupBy("part").applyInArrow(count, "stem long, n long")
+
+
+def frequent_stems(repeated: DataFrame, at_least: int = 32, most: int = 2_000_000) -> np.ndarray:
+    """The most frequent stems, at most `most` of them: their shingles go last in the global order. Any such set gives exact results."""
+    top = repeated.where(F.col("n") >= at_least).orderBy(F.desc("n"), "stem").limit(most)
+    return np.sort(top.select("stem").toArrow().column(0).to_numpy())
+
+
+def _postings(docs, id_col, text, width, percent, bits, frequent, repeated) -> DataFrame:
+    """token, set key, n, position for those prefix shingles of every set that a second set may have; a task emits a set once.
+
+    repeated: a bitmap of the stems that several sets have; shingles beyond those counted are all sent.
+    """
+    shared = docs.sparkSession.sparkContext.broadcast((frequent, repeated))
+    limit = _reach(percent)
 
     def make(state, _, sets):
-        last, out = shared.value, []
+        (last, held), out = shared.value, []
         seen = state.setdefault("seen", set())
         for s in sets:
             if len(s) and (i := _key(s)) not in seen:
@@ -123,14 +200,17 @@ def _postings(docs, id_col, text, width, percent, frequent) -> DataFrame:
                 p = prefix_size(len(s), percent)
                 head = s
                 if len(last):
-                    seat = np.minimum(np.searchsorted(last, s), len(last) - 1)
-                    common = last[seat] == s
+                    stems = _stems(s, bits)
+                    seat = np.minimum(np.searchsorted(last, stems), len(last) - 1)
+                    common = last[seat] == stems
                     head = np.concatenate([s[~common], s[common]])
-                out.append((head[:p], i, len(s)))
+                head = head[:p]
+                pos = np.flatnonzero((head >= limit) | may_hold(held, _stems(head, bits)))
+                out.append((head[pos], i, len(s), pos))
         if out:
             sizes = [len(x[0]) for x in out]
             repeat = lambda k: pa.array(np.repeat(np.array([x[k] for x in out], np.int64), sizes))
-            yield [pa.array(np.concatenate([x[0] for x in out]).view(np.int64)), repeat(1), repeat(2), pa.array(np.concatenate([np.arange(x, dtype=np.int64) for x in sizes]))]
+            yield [pa.array(np.concatenate([x[0] for x in out]).view(np.int64)), repeat(1), repeat(2), pa.array(np.concatenate([x[3] for x in out]))]
 
     return _map(docs, id_col, text, width, "token long, id long, n long, pos long", make)
 
@@ -332,10 +412,25 @@ def _wanted_sets(ids: DataFrame, docs: DataFrame, id_col: str, text: str, width:
     return sets.groupBy("id").agg(F.first("tokens").alias("tokens"))
 
 
-def count_common(pairs: DataFrame, docs: DataFrame, id_col: str, text: str, width: int, bitmap_buckets: int) -> DataFrame:
+def _near_pairs(pairs: DataFrame, sketches: DataFrame, percent: int) -> DataFrame:
+    """Those of the pairs (u, v) that their sketches (id, n, sketch) leave possible."""
+    by_v = pairs.join(sketches.select(F.col("id").alias("v"), F.col("n").alias("nv"), F.col("sketch").alias("right")), "v")
+    both = by_v.join(sketches.select(F.col("id").alias("u"), F.col("n").alias("nu"), F.col("sketch").alias("left")), "u")
+
+    def run(batches):
+        for batch in batches:
+            near = [may_link(*row, percent) for row in zip(*(c.to_pylist() for c in batch.columns[2:]))]
+            yield batch.select(["u", "v"]).filter(pa.array(near, pa.bool_()))
+
+    return both.select("u", "v", "nu", "left", "nv", "right").mapInArrow(run, "u long, v long")
+
+
+def _ends(pairs: DataFrame) -> DataFrame:
+    return pairs.select(F.col("u").alias("id")).union(pairs.select("v")).distinct()
+
+
+def count_common(pairs: DataFrame, sets: DataFrame) -> DataFrame:
     """u, v, common, nu, nv of pairs, from their whole sets. Pairs meet both sets by id, so a heavy hub's pairs are one key of a join, which Spark splits only where it is adaptive."""
-    needed = pairs.select(F.col("u").alias("id")).union(pairs.select("v")).distinct()
-    sets = _wanted_sets(needed, docs, id_col, text, width, bitmap_buckets)
     by_v = pairs.join(sets.select(F.col("id").alias("v"), F.col("tokens").alias("right")), "v")
     both = by_v.join(sets.select(F.col("id").alias("u"), F.col("tokens").alias("left")), "u")
 
@@ -368,71 +463,115 @@ def _few_pairs(columns, percent: int):
 
 
 def _units(members: DataFrame, block: int) -> DataFrame:
-    """Members (cluster, band, id) dealt to blocks that must meet: h1, h2, i, j, side, id.
+    """Members (cluster, band, id, c) dealt to wide blocks that must meet: h1, h2, i, j, side, part, id, c; part is the block of whole sets.
 
     Sets of a cluster meet if they are of one size band or of neighbouring ones; others differ too much in size. A band of a
     cluster is cut in blocks, so that no group is collected whole.
     """
-    own = stored(members.select("cluster", "band", "id", F.xxhash64("cluster", "band").alias("hub")).distinct(), "cluster-members")
+    own = stored(members.select("cluster", "band", "id", "c", F.xxhash64("cluster", "band").alias("hub")).distinct(), "cluster-members")
     hubs = own.select("cluster", "band", "hub").distinct()
-    blocks = own.groupBy("hub").agg(F.count(F.lit(1)).alias("n")).withColumn("blocks", F.ceil(F.col("n") / block).cast("int"))
-    own = own.select("hub", "id")
-    dealt = own.join(blocks, "hub").withColumn("mine", F.pmod(F.xxhash64("id"), F.col("blocks")).cast("int"))
+    blocks = own.groupBy("hub").agg(F.count(F.lit(1)).alias("n")).withColumn("parts", F.ceil(F.col("n") / block).cast("int")).withColumn("blocks", F.ceil(F.col("parts") / _WIDE).cast("int"))
+    own = own.select("hub", "id", "c")
+    dealt = own.join(blocks, "hub").withColumn("part", F.pmod(F.xxhash64("id"), F.col("parts")).cast("int")).withColumn("mine", F.floor(F.col("part") / _WIDE).cast("int"))
     every = lambda n: F.explode(F.sequence(F.lit(0), F.col(n) - 1))
     same = dealt.where("n > 1").withColumn("other", every("blocks"))
     same = same.select(
         F.col("hub").alias("h1"), F.col("hub").alias("h2"), F.least("mine", "other").alias("i"), F.greatest("mine", "other").alias("j"),
-        F.when(F.col("mine") == F.col("other"), 2).when(F.col("mine") < F.col("other"), 0).otherwise(1).alias("side"), "id",
+        F.when(F.col("mine") == F.col("other"), 2).when(F.col("mine") < F.col("other"), 0).otherwise(1).alias("side"), "part", "id", "c",
     )
     next_band = hubs.select("cluster", (F.col("band") - 1).alias("band"), F.col("hub").alias("h2"))
     sizes = blocks.select("hub", "blocks")
     meet = hubs.withColumnRenamed("hub", "h1").join(next_band, ["cluster", "band"]).select("h1", "h2").distinct()
     meet = meet.join(sizes.withColumnsRenamed({"hub": "h1", "blocks": "b1"}), "h1").join(sizes.withColumnsRenamed({"hub": "h2", "blocks": "b2"}), "h2")
-    left = dealt.select(F.col("hub").alias("h1"), "mine", "id").join(meet, "h1").withColumn("j", every("b2")).select("h1", "h2", F.col("mine").alias("i"), "j", F.lit(0).alias("side"), "id")
-    right = dealt.select(F.col("hub").alias("h2"), "mine", "id").join(meet, "h2").withColumn("i", every("b1")).select("h1", "h2", "i", F.col("mine").alias("j"), F.lit(1).alias("side"), "id")
+    dealt = dealt.select("hub", "mine", "part", "id", "c")
+    left = dealt.withColumnRenamed("hub", "h1").join(meet, "h1").withColumn("j", every("b2")).select("h1", "h2", F.col("mine").alias("i"), "j", F.lit(0).alias("side"), "part", "id", "c")
+    right = dealt.withColumnRenamed("hub", "h2").join(meet, "h2").withColumn("i", every("b1")).select("h1", "h2", "i", F.col("mine").alias("j"), F.lit(1).alias("side"), "part", "id", "c")
     return same.unionByName(left).unionByName(right)
 
 
-def _block_links(units: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
-    """Links found in blocks, as many as join each block's components: no pair rows are made."""
-    sent = units.join(sets, "id").repartition(parallelism(units.sparkSession), "h1", "h2", "i", "j").sortWithinPartitions("h1", "h2", "i", "j")
-    sent = sent.select("h1", "h2", "i", "j", "side", "id", "tokens")
+def near_places(x: np.ndarray, nx: np.ndarray, cx: np.ndarray, y: np.ndarray, ny: np.ndarray, cy: np.ndarray, percent: int) -> tuple[np.ndarray, np.ndarray]:
+    """Places of the sets of one block, and of another, that sketches (rows of 64-bit words) let link into the other across components."""
+    apart = np.zeros((len(nx), len(ny)), np.int64)
+    for k in range(x.shape[1]):
+        apart += np.bitwise_count(x[:, k, None] ^ y[None, :, k])
+    near = (apart <= _differ(nx[:, None], ny[None, :], percent)) & (cx[:, None] != cy[None, :])
+    return np.flatnonzero(near.any(1)), np.flatnonzero(near.any(0))
 
-    def run(batches):
-        held, at = [], None
 
-        def done():
-            if len(held) < 2:
-                return None
-            keys = np.array([r[1] for r in held], np.int64)
-            x, y = link_sets([np.frombuffer(r[2], U64) for r in held], np.array([r[0] for r in held]), percent)
-            return pa.RecordBatch.from_arrays([pa.array(keys[x]), pa.array(keys[y])], names=["u", "v"]) if len(x) else None
+def _by_cell(batches, done):
+    """Rows of batches, sorted by four columns of a cell, in lists of one cell; yields what done(cell, rows without them) makes."""
+    held, at = [], None
+    for batch in batches:
+        for row in zip(*(c.to_pylist() for c in batch.columns)):
+            if row[:4] != at:
+                if len(held) > 1 and (out := done(at, held)) is not None:
+                    yield out
+                held, at = [], row[:4]
+            held.append(row[4:])
+    if len(held) > 1 and (out := done(at, held)) is not None:
+        yield out
+
+
+def _cells(units: DataFrame) -> DataFrame:
+    return units.repartition(parallelism(units.sparkSession), "h1", "h2", "i", "j").sortWithinPartitions("h1", "h2", "i", "j")
+
+
+def _near_units(units: DataFrame, sketches: DataFrame, percent: int) -> DataFrame:
+    """Units (h1, h2, i, j, side, id) of blocks of whole sets: the sets that their sketches let link within the two blocks."""
+    names = ["h1", "h2", "i", "j", "side", "id"]
+
+    def done(at, held):
+        side, part, ids, c, n = (np.array(x, np.int64) for x in list(zip(*held))[:5])
+        size = min(len(r[5]) for r in held)
+        words = np.frombuffer(b"".join(fold(r[5], size) for r in held), np.uint64).reshape(len(held), -1)
+        groups = {(s, p): np.flatnonzero((side == s) & (part == p)) for s, p in sorted(set(zip(side.tolist(), part.tolist())))}
+        out = []
+        for (s, p), a in groups.items():
+            for (s2, p2), b in groups.items():
+                # Within a block every two parts meet, otherwise those of its two sides.
+                if (s, s2) == (0, 1) or s == 2 and p <= p2:
+                    left, right = near_places(words[a], n[a], c[a], words[b], n[b], c[b], percent)
+                    if len(left):
+                        own = s == 2 and p == p2
+                        out += [(*at[:2], p, p2, 2 if own else 0, i) for i in ids[a[left]].tolist()]
+                        out += [] if own else [(*at[:2], p, p2, 1, i) for i in ids[b[right]].tolist()]
+        return pa.RecordBatch.from_arrays([pa.array(x, pa.int64()) for x in zip(*out)], names=names) if out else None
+
+    sent = _cells(units.join(sketches, "id").select("h1", "h2", "i", "j", "side", "part", "id", "c", "n", "sketch"))
+    return sent.mapInArrow(lambda batches: _by_cell(slices(batches), done), ", ".join(f"{x} long" for x in names))
+
 
-        for batch in slices(batches):
-            for row in zip(*(c.to_pylist() for c in batch.columns)):
-                if row[:4] != at:
-                    if (out := done()) is not None:
-                        yield out
-                    held, at = [], row[:4]
-                held.append(row[4:])
-        if (out := done()) is not None:
-            yield out
+def _block_links(units: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
+    """Links found in blocks, as many as join each block's components: no pair rows are made."""
+
+    def done(_, held):
+        keys = np.array([r[1] for r in held], np.int64)
+        x, y = link_sets([np.frombuffer(r[2], U64) for r in held], np.array([r[0] for r in held]), percent)
+        return pa.RecordBatch.from_arrays([pa.array(keys[x]), pa.array(keys[y])], names=["u", "v"]) if len(x) else None
 
-    return sent.mapInArrow(run, "u long, v long").distinct()
+    sent = _cells(units.join(sets, "id").select("h1", "h2", "i", "j", "side", "id", "tokens"))
+    return sent.mapInArrow(lambda batches: _by_cell(slices(batches), done), "u long, v long").distinct()
 
 
 def jaccard_components(docs: DataFrame, id_col: str = "doc_id", text: str = "text", width: int = 5, percent: int = 80, bitmap_buckets: int = 1024, block: int = 512, short_list: int = 32) -> DataFrame:
     """Per row: the id, n_shingles, component_id (smallest id reachable by links, its own included)."""
     spark = docs.sparkSession
+    bits = min(32, (16 * parallelism(spark)).bit_length())
     signed = stored(set_signatures(docs, id_col, text, width), "sets")
-    frequent = frequent_shingles(docs, id_col, text, width, percent)
-    lists = stored(_lists(_postings(docs, id_col, text, width, percent, frequent), parallelism(spark)), "lists")
+    sketches = signed.where("n > 0").groupBy(F.col("key").alias("id")).agg(F.first("n").alias("n"), F.first("sketch").alias("sketch"))
+    repeated = stored(repeated_shingles(docs, id_col, text, width, percent, bits), "repeated")
+    pieces = min(_PIECES, repeated.count() * _BITS // 32768 + 1)
+    postings = _postings(docs, id_col, text, width, percent, bits, frequent_stems(repeated), collect_bitmap(repeated, "stem", pieces))
+    lists = stored(_lists(postings, parallelism(spark)), "lists")
+    discard(repeated)
     tried = stored(_candidates(lists, percent), "hub-pairs")
-    known = stored(count_common(tried, docs, id_col, text, width, bitmap_buckets), "hub-counts")
+    near = stored(_near_pairs(tried, sketches, percent), "near-hub-pairs")
+    known = stored(count_common(near, _wanted_sets(_ends(near), docs, id_col, text, width, bitmap_buckets)), "hub-counts")
     links = known.where(_linked(percent)).select("u", "v")
     found = stored(components(links), "hub-components")
     # Lists that still hold several components are searched on, across components.
-    members = lists.mapInArrow(_unpack, "token long, chunk int, id long, n long, pos long")
+    # A list of two is settled by its hub; a short piece of a long list is not.
+    members = lists.where("octet_length(ids) > 16 or chunk > 0").mapInArrow(_unpack, "token long, chunk int, id long, n long, pos long")
     # Each member with its component and the hub that it has most in common with; a hub has all in common with itself.
     best = known.select(F.col("v").alias("id"), "u", "common", "nu").unionByName(known.select(F.col("u").alias("id"), "u", F.col("nu").alias("common"), "nu"))
     best = best.groupBy("id").agg(F.max(F.struct("common", F.col("u").alias("hub"), F.col("nu").alias("hub_size"))).alias("b"))
@@ -442,25 +581,29 @@ def jaccard_components(docs: DataFrame, id_col: str = "doc_id", text: str = "tex
     open_members = stored(named.join(open_tokens, "token", "left_semi").select("token", band.alias("band"), "id", "n", "pos", "c").distinct(), "open-members")
     long = open_members.groupBy("token").agg(F.count(F.lit(1)).alias("size"), F.min("id").alias("hub")).where(F.col("size") > short_list)
     # Short lists: their pairs across components, at most short_list / 2 for each member.
-    # A list of two is settled by its hub.
-    settled = open_members.groupBy("token").agg(F.count(F.lit(1)).alias("size")).where((F.col("size") == 2) | (F.col("size") > short_list)).select("token")
-    short = open_members.join(settled, "token", "left_anti").join(best, "id", "left")
+    short = open_members.join(long, "token", "left_anti").join(best, "id", "left")
     short = short.select("token", "id", "n", "pos", "c", F.coalesce("b.hub", "id").alias("hub"), F.coalesce("b.common", F.lit(0)).alias("common"), F.coalesce("b.hub_size", F.lit(0)).alias("hub_size"))
     fields = ("id", "n", "pos", "c", "hub", "common", "hub_size")
     runs = stored(short.groupBy("token").agg(F.collect_list(F.struct(*fields)).alias("m")).select(*[F.col(f"m.{f}").alias(f) for f in fields]), "short-lists")
     asked = stored(_open_pairs(runs, percent).join(tried, ["u", "v"], "left_anti"), "few-pairs")
-    more = count_common(asked.where("answer = 0").select("u", "v").distinct(), docs, id_col, text, width, bitmap_buckets).where(_linked(percent)).select("u", "v")
-    more = more.unionByName(asked.where("answer = 1").select("u", "v"))
+    few = stored(_near_pairs(asked.where("answer = 0").select("u", "v").distinct(), sketches, percent), "near-few-pairs")
+    wanted = _ends(few)
     # Long lists: members that any of them connects form a cluster, whose blocks meet.
-    crowd = stored(open_members.join(long, "token").select("hub", "band", "id").distinct(), "crowded")
+    crowd = stored(open_members.join(long, "token").select("hub", "band", "id", "c").distinct(), "crowded")
+    discard(lists, tried, runs, open_members)
+    units = None
     if not crowd.isEmpty():
         clusters = components(crowd.select(F.col("hub").alias("u"), F.col("id").alias("v"))).withColumnRenamed("component_id", "cluster")
-        units = _units(crowd.select("band", "id").distinct().join(clusters, "id"), block)
-        wanted = _wanted_sets(crowd.select("id").distinct(), docs, id_col, text, width, bitmap_buckets)
-        more = more.unionByName(_block_links(units, wanted, percent))
+        units = stored(_near_units(_units(crowd.select("band", "id", "c").distinct().join(clusters, "id"), block), sketches, percent), "near-units")
+        wanted = wanted.union(units.select("id")).distinct()
+    sets = _wanted_sets(wanted, docs, id_col, text, width, bitmap_buckets)
+    more = count_common(few, sets).where(_linked(percent)).select("u", "v").unionByName(asked.where("answer = 1").select("u", "v"))
+    if units is not None:
+        more = more.unionByName(_block_links(units, sets, percent))
     final = components(links.unionByName(more))
     least = signed.where("n > 0").groupBy("key").agg(F.min("id").alias("least"))
     groups = stored(least.join(final.withColumnRenamed("id", "key"), "key", "left").withColumn("c", F.coalesce("component_id", "key")).select("key", "least", "c"), "groups")
+    discard(near, known, found, asked, few, crowd, *([units] if units is not None else []))
     by_key = spread_join(groups, groups.groupBy("c").agg(F.min("least").alias("smallest")), "c").select("key", "smallest")
     named_rows = signed.where("n = 0").select("id", "n", F.lit(None).cast("long").alias("smallest")).unionByName(spread_join(signed.where("n > 0"), by_key, "key").select("id", "n", "smallest"))
     component = F.when((F.col("n") > 0) & F.col("id").isNotNull(), F.col("smallest")).otherwise(F.col("id"))

@@ -2,6 +2,7 @@
 
 import base64
 import hashlib
+import os
 import random
 import re
 
@@ -10,6 +11,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from policyloom.llm import bpe, components, embeddings, fingerprints, jaccard, kernels, langid, linedup, mixing, suffixes, toxicity, warc
+from policyloom.runtime import shared_dir
 
 tokenizers = pytest.importorskip("public_tokenizers")
 
@@ -403,6 +405,48 @@ def test_derived_answers_are_right():
     assert found == {-1, 0, 1}
 
 
+def test_sketches_rule_out_no_link():
+    rng = np.random.default_rng(8)
+    fate = set()
+    for _ in range(2000):
+        n = int(rng.integers(1, 300))
+        x = np.unique(rng.integers(0, 2**64, n, np.uint64))
+        y = np.union1d(x[rng.random(len(x)) < rng.choice([0, 0.5, 0.9, 1])], rng.integers(0, 2**64, rng.integers(1, 1 + n // 8 + 1), np.uint64))
+        both = len(np.intersect1d(x, y))
+        linked, near = 100 * both >= 80 * (len(x) + len(y) - both), jaccard.may_link(len(x), jaccard.sketch(x), len(y), jaccard.sketch(y), 80)
+        assert near or not linked
+        fate.add((linked, near, both == 0))
+    assert {(True, True, False), (False, False, False), (False, False, True)} <= fate
+
+
+def test_shingles_of_several_sets_are_counted(spark):
+    rows = [(k, " ".join(f"{'all' if j < 30 else 'pair' + str(k // 2) if j < 60 else 'own' + str(k)}-{j}" for j in range(90))) for k in range(40)]
+    bits = 7
+    want, limit = {}, jaccard._reach(80)
+    for s in kernels.batch_shingles([t.encode() for _, t in rows]):
+        for stem in jaccard._stems(s[s < limit], bits).tolist():
+            want[stem] = want.get(stem, 0) + 1
+    got = jaccard.repeated_shingles(docs_of(spark, rows).repartition(5), "doc_id", "text", 5, 80, bits)
+    assert sorted(map(tuple, got.collect())) == sorted((k, n) for k, n in want.items() if n > 1)
+    assert set(jaccard.frequent_stems(got, 40).tolist()) == {k for k, n in want.items() if n == 40}
+
+
+@pytest.mark.parametrize("shared", [0, 60])
+def test_jaccard_sends_little_of_sets_that_cannot_link(spark, monkeypatch, shared):
+    sent, own = {}, {}
+    for name in ("_wanted_sets", "_lists"):
+        own[name] = getattr(jaccard, name)
+        monkeypatch.setattr(jaccard, name, lambda frame, *a, name=name: sent.setdefault(name, []).append(frame.count()) or own[name](frame, *a))
+    before = set(os.listdir(shared_dir(spark).removeprefix("file:")))
+    rows = [(k, " ".join([f"same{j}" for j in range(shared)] + [f"own{k}-{j}" for j in range(60)])) for k in range(600)]
+    got = jaccard.jaccard_components(docs_of(spark, rows), block=16, short_list=8)
+    assert {(r.n_shingles, r.component_id == r.doc_id) for r in got.collect()} == {(56 + shared, True)}
+    # Shingles of one set are no postings; sketches tell that sets with a common half do not link.
+    assert sum(sent["_wanted_sets"]) == 0 and sum(sent["_lists"]) < 600 * (2 if shared == 0 else 15)
+    left = {x.partition("-")[0] for x in set(os.listdir(shared_dir(spark).removeprefix("file:"))) - before}
+    assert not left & {"lists", "hub", "open", "short", "few", "crowded"}
+
+
 def test_jaccard_without_rows_or_ids(spark):
     assert jaccard.jaccard_components(docs_of(spark, [])).count() == 0
     got = jaccard.jaccard_components(docs_of(spark, [(None, "a b c"), (4, "a b c"), (2, "a b c")])).collect()
