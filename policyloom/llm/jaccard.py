@@ -571,17 +571,19 @@ def jaccard_components(docs: DataFrame, id_col: str = "doc_id", text: str = "tex
     found = stored(components(links), "hub-components")
     # Lists that still hold several components are searched on, across components.
     # A list of two is settled by its hub; a short piece of a long list is not.
-    members = lists.where("octet_length(ids) > 16 or chunk > 0").mapInArrow(_unpack, "token long, chunk int, id long, n long, pos long")
+    more_than_two = lists.where("octet_length(ids) > 16 or chunk > 0")
+    named = lambda members: members.join(found, "id", "left").withColumn("c", F.coalesce("component_id", "id")).drop("component_id")
+    tops = named(more_than_two.select("token", "ids").mapInArrow(_unpack, "token long, id long")).groupBy("token")
+    open_tokens = tops.agg(F.min("c").alias("a"), F.max("c").alias("b"), F.count(F.lit(1)).alias("size"), F.min("id").alias("hub")).where("a < b").select("token", "size", "hub")
+    # Lists meet their token's row packed, and members go by id only, so no task gets a common token's members.
+    members = more_than_two.join(open_tokens, "token").select("token", "size", "hub", "ids", "ns", "pos").mapInArrow(_unpack, "token long, size long, hub long, id long, n long, pos long")
     # Each member with its component and the hub that it has most in common with; a hub has all in common with itself.
     best = known.select(F.col("v").alias("id"), "u", "common", "nu").unionByName(known.select(F.col("u").alias("id"), "u", F.col("nu").alias("common"), "nu"))
     best = best.groupBy("id").agg(F.max(F.struct("common", F.col("u").alias("hub"), F.col("nu").alias("hub_size"))).alias("b"))
-    named = members.join(found, "id", "left").withColumn("c", F.coalesce("component_id", "id")).drop("component_id")
-    open_tokens = named.groupBy("token").agg(F.min("c").alias("a"), F.max("c").alias("b")).where("a < b").select("token")
     band = F.floor(F.log(F.col("n").cast("double")) / float(np.log(100 / percent)))
-    open_members = stored(named.join(open_tokens, "token", "left_semi").select("token", band.alias("band"), "id", "n", "pos", "c").distinct(), "open-members")
-    long = open_members.groupBy("token").agg(F.count(F.lit(1)).alias("size"), F.min("id").alias("hub")).where(F.col("size") > short_list)
+    open_members = stored(named(members).select("token", "size", "hub", band.alias("band"), "id", "n", "pos", "c"), "open-members")
     # Short lists: their pairs across components, at most short_list / 2 for each member.
-    short = open_members.join(long, "token", "left_anti").join(best, "id", "left")
+    short = open_members.where(F.col("size") <= short_list).drop("hub").join(best, "id", "left")
     short = short.select("token", "id", "n", "pos", "c", F.coalesce("b.hub", "id").alias("hub"), F.coalesce("b.common", F.lit(0)).alias("common"), F.coalesce("b.hub_size", F.lit(0)).alias("hub_size"))
     fields = ("id", "n", "pos", "c", "hub", "common", "hub_size")
     runs = stored(short.groupBy("token").agg(F.collect_list(F.struct(*fields)).alias("m")).select(*[F.col(f"m.{f}").alias(f) for f in fields]), "short-lists")
@@ -589,7 +591,7 @@ def jaccard_components(docs: DataFrame, id_col: str = "doc_id", text: str = "tex
     few = stored(_near_pairs(asked.where("answer = 0").select("u", "v").distinct(), sketches, percent), "near-few-pairs")
     wanted = _ends(few)
     # Long lists: members that any of them connects form a cluster, whose blocks meet.
-    crowd = stored(open_members.join(long, "token").select("hub", "band", "id", "c").distinct(), "crowded")
+    crowd = stored(open_members.where(F.col("size") > short_list).select("hub", "band", "id", "c").distinct(), "crowded")
     discard(lists, tried, runs, open_members)
     units = None
     if not crowd.isEmpty():
@@ -611,13 +613,11 @@ def jaccard_components(docs: DataFrame, id_col: str = "doc_id", text: str = "tex
 
 
 def _unpack(batches):
+    """A row for each member of packed lists; columns that are no blobs are repeated."""
+    names = {"ids": "id", "ns": "n"}
     for batch in batches:
-        token, chunk, ids, ns, pos = (c.to_pylist() for c in batch.columns)
-        if not token:
-            continue
-        sizes = [len(x) // 8 for x in ids]
-        whole = lambda blobs: pa.array(_ints(b"".join(blobs)))
-        yield pa.RecordBatch.from_arrays(
-            [pa.array(np.repeat(np.array(token, np.int64), sizes)), pa.array(np.repeat(np.array(chunk, np.int32), sizes)), whole(ids), whole(ns), whole(pos)],
-            names=["token", "chunk", "id", "n", "pos"],
-        )
+        columns = dict(zip(batch.schema.names, batch.columns))
+        if batch.num_rows:
+            sizes = [len(x) // 8 for x in columns["ids"].to_pylist()]
+            made = [pa.array(np.repeat(x.to_numpy(), sizes) if pa.types.is_integer(x.type) else _ints(b"".join(x.to_pylist()))) for x in columns.values()]
+            yield pa.RecordBatch.from_arrays(made, names=[names.get(x, x) for x in columns])
